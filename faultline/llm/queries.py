@@ -3,8 +3,22 @@
 from __future__ import annotations
 
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .language_id import op8_language_id
 from .mixing import OP1_SQL, op1_mix_sources
+from .packing import op4_packing
+from .quality import op3_quality
+from .token_file import op6_token_files
 from .url_filter import OP9_SQL, op9_url_filter
+from .warc import OP2_SQL, op2_warc
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op9_url_filter": op9_url_filter, "op10_exact_dedup": op10_exact_dedup}
-SQL = {"op1_mix_sources": OP1_SQL, "op9_url_filter": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_warc": op2_warc,
+    "op3_quality": op3_quality,
+    "op4_packing": op4_packing,
+    "op6_token_files": op6_token_files,
+    "op8_language_id": op8_language_id,
+    "op9_url_filter": op9_url_filter,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+SQL = {"op1_mix_sources": OP1_SQL, "op2_warc": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_exact_dedup": OP10_SQL}
