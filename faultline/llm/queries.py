@@ -5,8 +5,10 @@ from __future__ import annotations
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .language_id import op8_language_id
 from .mixing import OP1_SQL, op1_mix_sources
+from .ngram_join import op7_ngram_join
 from .packing import op4_packing
 from .quality import op3_quality
+from .suffix_dedup import op5_suffix_dedup
 from .token_file import op6_token_files
 from .url_filter import OP9_SQL, op9_url_filter
 from .warc import OP2_SQL, op2_warc
@@ -16,7 +18,9 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_packing": op4_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_files": op6_token_files,
+    "op7_ngram_join": op7_ngram_join,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
