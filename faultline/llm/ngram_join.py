@@ -2,9 +2,10 @@
 
 Documents with equal shingle sets form one class, of which only the least doc_id goes on. Every two sets with the
 asked-for similarity share a shingle among the first few of each in one global order (frequent shingles last, else
-by hash), so components of "shares such a shingle" contain every link. Within a component, members are the leaves
-of a tree whose nodes hold OR-combined bitmaps and size ranges; a traversal of node pairs drops those whose
-largest possible overlap is too small, and what remains is counted exactly.
+by hash). Members of such a shingle's group are tied where their bitmaps and sizes leave a link possible, and the
+components of these ties contain every link. Within a component, members are the leaves of a tree whose nodes hold
+OR-combined bitmaps and size ranges; a traversal of node pairs drops those whose largest possible overlap is too
+small, and what remains is counted exactly.
 
 A component larger than ``BLOCK`` is dealt out in blocks: each block meets itself and a pivot block; members that
 are still outside the component's largest group then meet every block. No link between different texts is lost,
@@ -13,6 +14,7 @@ and the copied rows grow with the outsiders and not with the square of a group o
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from .components import components
 from .shared import fmix, save, table
 
 WORDS, PERCENT = 4, 85  # of op7; near-duplicate stages take five words and 80 percent
-BUCKETS = 1 << 16
+BUCKETS, CHUNKS = 1 << 20, 256  # hash buckets of the frequency table, and the parts it is summed in
 BLOCK = 1000
 LEAF, FAN = 8, 8
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -51,44 +53,67 @@ def prefix_length(n, percent: int):
 
 
 def _frequencies(words: int):
+    """One packed count vector for each task and part of the table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(BUCKETS, np.int64)
+        n = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            for text in batch["text"]:
-                n += np.bincount((shingles(text.as_py(), words) >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+            for at in range(0, batch.num_rows, 256):
+                found = [shingles(t.as_py(), words) for t in batch["text"][at : at + 256]]
+                np.add.at(n, (np.concatenate(found) >> np.uint64(44)).astype(np.int64), np.uint32(1))
+        packed = [zlib.compress(part.tobytes(), 1) for part in np.split(n, CHUNKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], ["part", "packed"])
 
     return run
 
 
+def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, packed in zip(batch["part"].to_pylist(), batch["packed"]):
+            n = np.frombuffer(zlib.decompress(packed.as_py()), np.uint32).astype(np.int64)
+            sums[part] = sums[part] + n if part in sums else n
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "packed"])
+
+
 def frequent_buckets(docs: DataFrame, words: int) -> np.ndarray:
     """Which of the hash buckets hold far more shingles than chance gives: one flag each, whatever the corpus."""
-    rows = docs.select("text").mapInArrow(_frequencies(words), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS
+    counted = docs.select("text").mapInArrow(_frequencies(words), "part int, packed binary")
     n = np.zeros(BUCKETS)
-    for b, k in rows:
-        n[b] = k
+    for row in counted.repartition("part").mapInArrow(_add_parts, "part int, packed binary").collect():  # CHUNKS rows
+        size = BUCKETS // CHUNKS
+        n[row.part * size : (row.part + 1) * size] = np.frombuffer(row.packed, np.int64)
     return n > n.mean() + 8 * np.sqrt(n.mean()) + 20
 
 
-SETS = "doc_id long, n_shingles long, set_hash binary, prefix binary"
+def bitmap_of(x: np.ndarray) -> bytes:
+    """A bit for each shingle in a power of two of at least twice as many bits."""
+    width = min(1 << 15, max(64, 1 << int(2 * len(x) - 1).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[(x & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+SETS = "doc_id long, n_shingles long, set_hash binary, prefix binary, bitmap binary"
 
 
 def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for an empty set) and the hashes of the prefix of every document."""
+    """doc_id, n_shingles, set_hash (null for an empty set), the prefix and the bitmap of every document."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_buckets(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = frequent.value
         for batch in batches:
-            sizes, hashes, prefixes = [], [], []
+            sizes, hashes, prefixes, bitmaps = [], [], [], []
             for text in batch["text"]:
                 x = shingles(text.as_py(), words)
                 sizes.append(len(x))
                 hashes.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-                back = late[(x >> np.uint64(48)).astype(np.int64)]
+                back = late[(x >> np.uint64(44)).astype(np.int64)]
+                bitmaps.append(bitmap_of(x) if len(x) else None)
                 prefixes.append(np.concatenate([x[~back], x[back]])[: prefix_length(len(x), percent)].tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(prefixes, pa.binary())], ["doc_id", "n_shingles", "set_hash", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(bitmaps, pa.binary())], ["doc_id", "n_shingles", "set_hash", "prefix", "bitmap"])
 
     return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS), "shingles")
 
@@ -101,12 +126,73 @@ def _explode_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(ids, [len(p) // 8 for p in packed]))], ["token", "rep"])
 
 
-def candidate_components(reps: DataFrame) -> DataFrame:
-    """``reps``: rep, prefix. (rep, cluster) of those that share a prefix shingle with another."""
+def _tie_members(percent: int):
+    """Rows sorted by token: token, rep, n, bitmap. Out: (u, v) so that every pair that may link is tied by a path."""
+
+    def fold(bits: int, width: int, to: int) -> int:
+        while width > to:
+            width >>= 1
+            bits = (bits >> width) | (bits & ((1 << width) - 1))
+        return bits
+
+    def solve(rows: list[tuple[int, int, bytes]]) -> set[tuple[int, int]]:
+        rows = sorted((n, rep, 8 * len(b), int.from_bytes(b, "little")) for rep, n, b in rows)
+        root = list(range(len(rows)))
+        for i, (n, _, width, bits) in enumerate(rows):
+            counts = {width: bits.bit_count()}
+            for j in range(i + 1, len(rows)):
+                m, _, other, theirs = rows[j]
+                if 100 * n < percent * m:
+                    break  # sizes only grow
+                if root[i] == root[j]:
+                    continue
+                if other > width:
+                    theirs = fold(theirs, other, width)
+                common = (bits & theirs).bit_count()
+                most = min(n - counts[width] + common, m - theirs.bit_count() + common)
+                if (100 + percent) * most >= percent * (n + m):
+                    a, b = root[i], root[j]
+                    root = [a if r == b else r for r in root]
+        first: dict[int, int] = {}
+        ties = set()
+        for k, r in enumerate(root):
+            hub = first.setdefault(r, rows[k][1])
+            if hub != rows[k][1]:
+                ties.add((hub, rows[k][1]))
+        return ties
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, held, ties = None, [], set()
+        for batch in batches:
+            for t, *row in zip(*(batch[c].to_pylist() for c in ("token", "rep", "n", "bitmap"))):
+                if t != token:
+                    if len(held) > 1:
+                        ties |= solve(held)
+                    token, held = t, []
+                held.append(row)
+            if len(ties) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*ties)], ["u", "v"])
+                ties = set()
+        if len(held) > 1:
+            ties |= solve(held)
+        if ties:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*ties)], ["u", "v"])
+
+    return run
+
+
+def candidate_components(reps: DataFrame, percent: int, block: int) -> DataFrame:
+    """``reps``: rep, n, prefix, bitmap. (rep, cluster) of those that may link with another.
+
+    Members of a prefix shingle's group are tied by bitmaps; a group of more than ``block`` is tied as a whole.
+    """
     tokens = reps.mapInArrow(_explode_prefix, "token long, rep long")
-    shared = tokens.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("most")).filter("hub < most").select("token", "hub")
-    edges = save(tokens.join(shared, "token").filter("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct(), "candidates")
-    found = components(edges)
+    shared = tokens.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    met = save(tokens.join(shared, "token"), "shared")
+    large = met.filter((F.col("members") > block) & (F.col("rep") != F.col("hub"))).select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
+    small = met.filter(F.col("members") <= block).select("token", "rep").join(reps.select("rep", "n", "bitmap"), "rep")
+    tied = small.select("token", "rep", "n", "bitmap").repartition("token").sortWithinPartitions("token").mapInArrow(_tie_members(percent), "u long, v long").distinct()
+    found = save(components(save(tied.unionByName(large), "candidates")), "clustered")
     return save(found.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).unionByName(found.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct()), "clusters")
 
 
@@ -263,8 +349,8 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """
     sets = shingle_table(docs, words, percent)
     classes = save(sets.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    one = sets.select("doc_id", "set_hash", "prefix").join(classes.select(F.col("set_hash").alias("h"), "rep"), (F.col("set_hash") == F.col("h")) & (F.col("doc_id") == F.col("rep"))).select("rep", "prefix").dropDuplicates(["rep"])
-    clusters = candidate_components(one)
+    one = sets.select("doc_id", F.col("n_shingles").alias("n"), "set_hash", "prefix", "bitmap").join(classes.select(F.col("set_hash").alias("h"), "rep"), (F.col("set_hash") == F.col("h")) & (F.col("doc_id") == F.col("rep"))).select("rep", "n", "prefix", "bitmap").dropDuplicates(["rep"])
+    clusters = candidate_components(save(one, "one"), percent, block)
     sized = clusters.groupBy("cluster").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / F.lit(float(block))).cast("long"))
     members = _with_sets(docs, clusters, words)
     members = save(members.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "dealt")
