@@ -92,7 +92,7 @@ def regions(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def suffix_array(data: np.ndarray, depth: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the suffixes in order of their first ``depth`` bytes (over 8), ties by position; ranks by position.
+    """Starts of the suffixes in order of their first ``depth`` bytes (over 8), ties in any order; ranks by position.
 
     Suffixes with equal first ``depth`` bytes have one rank.
 
@@ -104,7 +104,7 @@ def suffix_array(data: np.ndarray, depth: int = SPAN) -> tuple[np.ndarray, np.nd
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = key << np.uint64(8) | padded[i : i + n]
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     # the end of the text sorts before any byte: ranks start at 1, and short suffixes are told apart below
     new = np.ones(n, bool)
     new[1:] = key[sa[1:]] != key[sa[:-1]]
@@ -118,7 +118,7 @@ def suffix_array(data: np.ndarray, depth: int = SPAN) -> tuple[np.ndarray, np.nd
         step = min(h, depth - h)
         s = sa[active]
         pair = rank[s] * np.int64(n + 1) + rank[s + step]
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         s, pair = s[order], pair[order]
         sa[active] = s
         new = np.ones(len(active), bool)
@@ -129,21 +129,23 @@ def suffix_array(data: np.ndarray, depth: int = SPAN) -> tuple[np.ndarray, np.nd
     return sa, rank[:n]
 
 
-def kasai(data: np.ndarray, sa: np.ndarray, rank: np.ndarray, starts: np.ndarray, depth: int = SPAN) -> np.ndarray:
-    """Common prefix, up to ``depth``, of each suffix with the one before it in ``sa``, by position.
+def kasai(data: np.ndarray, sa: np.ndarray, rank: np.ndarray, starts: np.ndarray, lens: np.ndarray, depth: int = SPAN) -> np.ndarray:
+    """Common prefix, up to ``depth``, of each suffix in ``sa`` with the one before it there, by position.
 
-    Kasai's walk in text order, where the next prefix is shorter by one at most, runs in lockstep from all of
-    ``starts`` (where it begins at 0). Suffixes of one rank agree to ``depth``; after such a pair the walk begins
-    at 0 again, since what lies past ``depth`` isn't ordered.
+    ``sa`` holds the suffixes of the runs of ``lens`` positions from ``starts`` on, or all of the text's. Kasai's walk in
+    text order, where the next prefix is shorter by one at most, runs in lockstep over the runs. It begins at 0 again
+    where the neighbour's successor isn't in ``sa``, and after a pair of one rank, which agrees to ``depth``: what lies
+    past ``depth`` isn't ordered.
     """
     n = len(data)
-    before = np.full(n, -1)
+    before = np.full(n + 1, -1)
     before[sa[1:]] = sa[:-1]
+    inside = np.zeros(n + 1, bool)
+    inside[sa] = True
     padded = np.append(data, np.zeros(depth + 16, np.uint8)).astype(np.uint64)
     word = np.zeros(n + depth + 8, np.uint64)
     for i in range(8):
         word = word << np.uint64(8) | padded[i : i + len(word)]
-    lens = np.diff(np.append(starts, n))
     by = np.argsort(-lens, kind="stable")
     starts, lens = starts[by], lens[by]
     out = np.zeros(n, np.int64)
@@ -152,22 +154,28 @@ def kasai(data: np.ndarray, sa: np.ndarray, rank: np.ndarray, starts: np.ndarray
         live = int(np.searchsorted(-lens, -t))
         i = starts[:live] + t
         j = before[i]
-        now = np.where((j >= 0) & (h[:live] < depth), np.maximum(h[:live] - 1, 0), 0)
-        now[(j >= 0) & (rank[i] == rank[j])] = depth
-        go = np.flatnonzero((j >= 0) & (now < depth))
+        same_rank = (j >= 0) & (rank[i] == rank[j])
+        carry = inside[before[i - 1] + 1] & (h[:live] < depth) & (j >= 0) if t else False
+        now = np.where(same_rank, depth, np.where(carry, np.maximum(h[:live] - 1, 0), 0))
+        go = np.flatnonzero((j >= 0) & ~same_rank)
         while len(go):
             x = word[i[go] + now[go]] ^ word[j[go] + now[go]]
-            same = np.zeros(len(go), np.int64)
-            for k in range(8):
-                same += x < np.uint64(1 << 8 * k) if k else x == 0
+            whole = x == 0
+            part = x[~whole]
+            same = np.full(len(go), 8)
             # x under 256**k has 8 - k equal leading bytes
+            same[~whole] = 8 - np.searchsorted(_BYTES, part, "right")
             now[go] = np.minimum(now[go] + same, np.minimum(depth, n - np.maximum(i[go], j[go])))
-            go = go[(same == 8) & (now[go] < depth) & (np.maximum(i[go], j[go]) + now[go] < n)]
+            go = go[whole]
+            go = go[(now[go] < depth) & (np.maximum(i[go], j[go]) + now[go] < n)]
         h[:live] = now
         out[i] = now
     return out
 
 
+_BYTES = np.array([1 << 8 * k for k in range(8)], np.uint64)
+
+
 def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -227,11 +235,13 @@ def _solve_shard(rows: list[tuple], hot: bool, parts: int) -> Iterator[tuple]:
     starts = np.cumsum([0] + [len(c) for c in contents[:-1]])
     windows = np.array([r[2] for r in rows])
     sa, rank = suffix_array(data)
-    lcp = kasai(data, sa, rank, starts)
-    classes = np.cumsum(lcp[sa] < SPAN)
+    window_starts = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    is_window = np.zeros(len(data), bool)
+    is_window[window_starts] = True
+    sa = sa[is_window[sa]]
+    classes = np.cumsum(kasai(data, sa, rank, starts, windows)[sa] < SPAN)
     of = np.empty(len(data), np.int64)
     of[sa] = classes
-    window_starts = np.repeat(starts - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
     row_of = np.repeat(np.arange(len(rows)), windows)
     copies = np.array([r[4] for r in rows])
     known = of[window_starts]
