@@ -140,12 +140,13 @@ HEDGED_CAUSES = (
 CONTRADICTIONS = ("no issue found", "unable to reproduce", "not maintenance related")
 
 # ---- fixed values: issue families in order, each with keywords, exemplars and the pattern that supports it ----
+# (patterns of two lookaheads are tied to the start of a line, which finds the same and takes linear time)
 UNKNOWN = "unknown"
 FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
     "main_break": (
         ("main break", "broken main", "water main burst", "water line break", "broke the main"),
         ("water main or water line is broken busted burst or gushing", "water is coming up through pavement above a broken main"),
-        r"(?i)(?=.*\bwater (?:main|line)\b)(?=.*\b(?:break\w*|broke|burst|busted|gushing)\b)",
+        r"(?im)^(?=.*\bwater (?:main|line)\b)(?=.*\b(?:break\w*|broke|burst|busted|gushing)\b)",
     ),
     "low_pressure": (
         ("low pressure", "no pressure", "pressure dropped", "weak flow", "no water pressure"),
@@ -165,7 +166,7 @@ FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
             "roots in line", "grease in line", "jetted line", "line cleaning",
         ),
         ("sewer drain or manhole is backed up stopped clogged blocked or overflowing", "roots grease or another blockage are restricting the sewer line"),
-        r"(?i)(?=.*\b(?:sewer|drain|manhole)\b)(?=.*\b(?:backups?|backed up|stoppage|clog\w*|block\w*|overflow\w*|roots?|grease)\b)",
+        r"(?im)^(?=.*\b(?:sewer|drain|manhole)\b)(?=.*\b(?:backups?|backed up|stoppage|clog\w*|block\w*|overflow\w*|roots?|grease)\b)",
     ),
     "pothole": (
         ("pothole", "hole in roadway"),
@@ -176,7 +177,7 @@ FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
     "pavement_damage": (
         ("pavement", "asphalt", "road crack", "surface failure"),
         ("pavement or asphalt is cracked deteriorating rough or failing", "roadway surface is sinking or washed out"),
-        r"(?i)(?=.*\b(?:pavement|asphalt|roadway|road surface)\b)(?=.*\b(?:crack\w*|deteriorat\w*|rough|fail\w*|sink\w*|washed out|damage\w*)\b)",
+        r"(?im)^(?=.*\b(?:pavement|asphalt|roadway|road surface)\b)(?=.*\b(?:crack\w*|deteriorat\w*|rough|fail\w*|sink\w*|washed out|damage\w*)\b)",
     ),
     "meter_failure": (
         ("meter failed", "meter not reading", "meter fault", "bad meter", "meter problem", "changeout meter"),
@@ -194,7 +195,7 @@ FAMILIES: dict[str, tuple[tuple[str, ...], tuple[str, ...], str]] = {
     "electrical_issue": (
         ("electrical", "power outage", "breaker", "streetlight", "streetlights out", "short circuit"),
         ("street light or security light is out blinking flickering or cycling", "electrical service has no power exposed wires a short or a tripped breaker"),
-        r"(?i)(?=.*\b(?:lights?|streetlights?|power|electrical|breaker|wire|circuit)\b)"
+        r"(?im)^(?=.*\b(?:lights?|streetlights?|power|electrical|breaker|wire|circuit)\b)"
         r"(?=.*\b(?:out|off|outage|blink\w*|flicker\w*|cycl\w*|trip\w*|short|exposed|broken|fail\w*)\b)",
     ),
     "reconnect": (

@@ -39,7 +39,7 @@ def clean_note(c: Column) -> Column:
     empty = low.isin("", *K.MEANINGLESS) | reduce(lambda a, b: a | b, (F.startswith(low, F.lit(p)) for p in K.SYSTEM_PREFIXES)) | any_match(x, K.BOILERPLATE)
     said = F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: ~any_match(s, K.BOILERPLATE) & (text_key(s) != ""))
     keys = F.transform(said, text_key)
-    kept = F.array_join(F.transform(F.filter(F.arrays_zip(said.alias("s"), F.transform(keys, lambda k, i: F.array_position(keys, k) == i + 1).alias("f")), lambda z: z["1"]), lambda z: F.trim(z["0"])), " ")
+    kept = F.array_join(F.transform(F.filter(said, lambda s, i: F.array_position(keys, text_key(s)) == i + 1), F.trim), " ")
     return F.when(empty | (F.length(F.regexp_replace(kept, r"(?U)\W", "")) < 8), "").otherwise(kept)
 
 

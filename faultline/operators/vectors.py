@@ -20,10 +20,13 @@ STOP_WORDS = (
 
 def ngrams(words: Column, lengths) -> Column:
     """All runs of the given numbers of words, joined by blanks."""
-    parts = []
-    for n in lengths:
+    none = F.array().cast("array<string>")
+
+    def runs(n: int) -> Column:
         last = F.size(words) - n
-        parts.append(F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i, n=n: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>")))
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(none)
+
+    parts = [runs(n) for n in lengths]
     return F.flatten(F.array(*parts))
 
 

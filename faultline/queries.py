@@ -1,6 +1,783 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library and their SQL.
+
+Names begin with the inventory id of what they exercise. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import constants as K
+from .functions import classify as C
+from .functions import text as X
+from .functions import values as V
+from .operators import calibration, features, grouping, insight, normalize, pairs, profile, registers, scoring, vectors
+from .plans.bindings import HISTORIES_SQL, JOBS_SQL, LINKS_SQL, event_orders, histories, jobs, links, notes, table
+from .sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+def quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+# ---- A: sources and sinks ----
+
+
+@query("a3_alias_resolution", "SELECT CAST(o_orderkey AS VARCHAR) AS work_order_id, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderstatus AS status, o_orderpriority AS priority FROM orders")
+def a3(spark, sf):
+    raw = table(spark, sf, "orders").select(F.col("o_orderkey").alias("WORK_ORDER_ID"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Initiate_Date"), F.col("o_orderstatus").alias("STATUS"), F.col("o_orderpriority").alias("Priority"))
+    return tables.with_canonical_columns(raw, "work_orders").select("work_order_id", "date", "status", "priority")
+
+
+@query("a12_backfill", "SELECT CAST(conv_id AS VARCHAR) AS work_order_id, CAST(turn AS VARCHAR) AS comment_id, turn AS source_sequence FROM conversations")
+def a12(spark, sf):
+    c = notes(spark, sf).drop("source_sequence").withColumn("created_at", F.lit(None).cast("timestamp"))
+    return tables.backfill(comments=c)[1].select("work_order_id", "comment_id", "source_sequence")
+
+
+@query("a13_fingerprint")
+def a13(spark, sf):
+    return tables.fingerprint(table(spark, sf, "lineitem"))
+
+
+@query("a14_source_label", "SELECT source, CASE WHEN starts_with(source, 'src1') THEN 'starter' ELSE 'other' END AS label, count(*) AS n FROM documents GROUP BY ALL")
+def a14(spark, sf):
+    s = F.when(F.startswith("source", F.lit("src1")), F.concat(F.lit("starter:"), "source")).otherwise(F.col("source"))
+    return table(spark, sf, "documents").select("source", V.source_label(s).alias("label")).groupBy("source", "label").agg(F.count("*").alias("n"))
+
+
+# ---- B: normalisation ----
+
+
+@query("b1_valid_identifier", "SELECT coalesce(lower(trim(source)) NOT IN ('', 'null', 'none', 'nan', '0'), false) AS ok, coalesce(lower(trim(CAST(doc_id AS VARCHAR))) NOT IN ('', 'null', 'none', 'nan', '0'), false) AS id_ok, count(*) AS n FROM documents GROUP BY ALL")
+def b1(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select(V.valid_identifier(F.col("source")).alias("ok"), V.valid_identifier(F.col("doc_id").cast("string")).alias("id_ok")).groupBy("ok", "id_ok").agg(F.count("*").alias("n"))
+
+
+@query("b2_parse_timestamp", "SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1990-01-01' AND o_orderdate <= TIMESTAMP '1997-06-30' THEN date_trunc('day', o_orderdate) END AS parsed FROM orders")
+def b2(spark, sf):
+    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    s = F.when(k == 0, F.date_format(d, "yyyy-MM-dd'T'00:00:00'Z'")).when(k == 1, F.date_format(d, "M/d/yyyy")).when(k == 2, F.date_format(d, "yyyy/MM/dd")).otherwise(F.date_format(d, "M/d/yyyy 0:00"))
+    return table(spark, sf, "orders").select("o_orderkey", V.parse_timestamp(s, F.lit("1997-06-30").cast("timestamp")).alias("parsed"))
+
+
+@query("b3_asset_key", "SELECT p_partkey, upper(regexp_replace(trim(p_type), '\\s+', '_', 'g')) || ':' || upper(trim(p_brand)) AS asset_key FROM part")
+def b3(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", V.asset_key(F.col("p_type"), F.col("p_brand")).alias("asset_key"))
+
+
+@query("b4_asset_class", "SELECT CASE WHEN p_partkey % 3 = 0 THEN 'location' ELSE 'equipment' END AS asset_class, count(*) AS n FROM part GROUP BY ALL")
+def b4(spark, sf):
+    kind = F.when(F.col("p_partkey") % 3 == 0, "city_facilities").otherwise(F.col("p_type"))
+    return table(spark, sf, "part").select(V.asset_class(kind).alias("asset_class")).groupBy("asset_class").agg(F.count("*").alias("n"))
+
+
+@query("b5_label", "SELECT p_partkey, upper(regexp_replace(trim(p_name), '\\s+', ' ', 'g')) AS label FROM part")
+def b5(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", V.label(F.col("p_name"), upper=True).alias("label"))
+
+
+@query("b6_tri_state", "SELECT CASE l_linestatus WHEN 'O' THEN true WHEN 'F' THEN false END AS flag, count(*) AS n FROM lineitem GROUP BY ALL")
+def b6(spark, sf):
+    s = F.when(F.col("l_linestatus") == "O", "Yes").when(F.col("l_linestatus") == "F", " 0 ").otherwise("maybe")
+    return table(spark, sf, "lineitem").select(V.tri_state(s).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
+@query("b7_first_wins", f"WITH {LINKS_SQL} SELECT work_order_id, asset_key, row_idx FROM links QUALIFY row_number() OVER (PARTITION BY work_order_id ORDER BY row_idx) = 1")
+def b7(spark, sf):
+    return normalize.first_wins(links(spark, sf), "work_order_id").select("work_order_id", "asset_key", "row_idx")
+
+
+@query("b8_bulk_jobs", f"WITH {LINKS_SQL} SELECT work_order_id, count(DISTINCT asset_key) AS assets FROM links GROUP BY 1 HAVING count(DISTINCT asset_key) > 8")
+def b8(spark, sf):
+    return normalize.bulk_jobs(links(spark, sf), 8)
+
+
+ROLE_SQL = "CASE role WHEN 'appliesto' THEN 2 WHEN 'attached' THEN 1 ELSE 0 END"
+
+
+@query("b9_link_candidates", f"WITH {LINKS_SQL}, bulk AS (SELECT work_order_id FROM links GROUP BY 1 HAVING count(DISTINCT asset_key) > 8) SELECT work_order_id, asset_key, role FROM links WHERE work_order_id <> '0' AND work_order_id NOT IN (SELECT work_order_id FROM bulk) QUALIFY row_number() OVER (PARTITION BY work_order_id, asset_key ORDER BY {ROLE_SQL} DESC, row_idx) = 1")
+def b9(spark, sf):
+    x = links(spark, sf).select("work_order_id", F.lit("part").alias("entity_type"), F.split_part("asset_key", F.lit(":"), F.lit(2)).alias("entity_uid"), "role", "row_idx")
+    return normalize.link_candidates(x, 8).select("work_order_id", "asset_key", "role")
+
+
+@query("b10_catch_all", f"WITH {LINKS_SQL} SELECT work_order_id, asset_key FROM links WHERE asset_key NOT IN (SELECT asset_key FROM links GROUP BY 1 HAVING count(*) >= 40) AND asset_key NOT IN ('PART:1')")
+def b10(spark, sf):
+    return normalize.drop_catch_all(links(spark, sf), 40, ("PART:1",)).select("work_order_id", "asset_key")
+
+
+@query("b12_known_orders", f"WITH {LINKS_SQL}, {JOBS_SQL} SELECT work_order_id, asset_key FROM links WHERE work_order_id IN (SELECT work_order_id FROM jobs WHERE status = 'O')")
+def b12(spark, sf):
+    return normalize.with_known(links(spark, sf), jobs(spark, sf).filter("status = 'O'")).select("work_order_id", "asset_key")
+
+
+@query("b13_orphans", f"WITH {LINKS_SQL}, {JOBS_SQL} SELECT work_order_id FROM jobs WHERE work_order_id NOT IN (SELECT work_order_id FROM links WHERE role = 'appliesto')")
+def b13(spark, sf):
+    return normalize.orphans(jobs(spark, sf), links(spark, sf).filter("role = 'appliesto'")).select("work_order_id")
+
+
+@query("b14_nest", f"WITH {LINKS_SQL} SELECT work_order_id, string_agg(asset_key, '|' ORDER BY asset_key) AS assets FROM (SELECT DISTINCT work_order_id, asset_key FROM links) GROUP BY 1")
+def b14(spark, sf):
+    return links(spark, sf).groupBy("work_order_id").agg(F.array_join(F.array_sort(F.collect_set("asset_key")), "|").alias("assets"))
+
+
+@query("b15_anchors", f"""WITH {LINKS_SQL}, r AS (SELECT *, {ROLE_SQL} AS priority, CASE WHEN row_idx % 2 = 0 THEN 1 ELSE 0 END AS loc FROM links),
+s AS (SELECT *, CASE WHEN priority > 0 THEN (2 - priority) * 2 + loc END AS rank FROM r)
+SELECT work_order_id, asset_key, role FROM s WHERE rank = (SELECT min(rank) FROM s t WHERE t.work_order_id = s.work_order_id)""")
+def b15(spark, sf):
+    x = links(spark, sf).withColumn("priority", V.role_priority(F.col("role"))).withColumn("asset_class", F.when(F.col("row_idx") % 2 == 0, "location").otherwise("equipment"))
+    return normalize.anchors(x).select("work_order_id", "asset_key", "role")
+
+
+@query("b17_validation_report", "SELECT 'work_orders' AS name, 'source' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'entities', 'source', count(*) FROM lineitem UNION ALL SELECT 'entities', 'excluded', count(*) FROM lineitem WHERE l_returnflag = 'N'")
+def b17(spark, sf):
+    li = links(spark, sf)
+    return normalize.validation_report(a=(table(spark, sf, "orders"), "source"), b=(li, "source"), c=(li.filter("role = 'other'"), "excluded")).withColumn("name", F.when(F.col("name") == "a", "work_orders").otherwise("entities"))
+
+
+@query("b18_violations", "SELECT CAST(o_orderkey AS VARCHAR) AS key, concat_ws(',', CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status' END, CASE WHEN o_totalprice < 1000 THEN 'price' END) AS failed FROM orders WHERE o_orderstatus NOT IN ('O', 'F') OR o_totalprice < 1000")
+def b18(spark, sf):
+    x = table(spark, sf, "orders").withColumn("id", F.col("o_orderkey").cast("string"))
+    return normalize.violations(x, "id", status=F.col("o_orderstatus").isin("O", "F"), price=F.col("o_totalprice") >= 1000).withColumn("failed", F.array_join("failed", ","))
+
+
+EPISODES_SQL = f"""{HISTORIES_SQL}, g AS (SELECT *, floor((epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER w) / 86400000000.0) AS gap FROM histories WINDOW w AS (PARTITION BY asset_key ORDER BY occurred_at, work_order_id)),
+n AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY asset_key ORDER BY occurred_at, work_order_id) AS episode FROM g),
+ep AS (SELECT asset_key, CAST(episode AS BIGINT) AS episode, count(*) AS jobs, min(occurred_at) AS started, max(occurred_at) AS ended, CAST(floor((epoch_us(max(occurred_at)) - epoch_us(min(occurred_at))) / 86400000000.0) AS BIGINT) AS span_days FROM n GROUP BY ALL HAVING count(*) BETWEEN 3 AND 40)"""
+
+
+def episodes(spark, sf):
+    return grouping.gap_episodes(histories(spark, sf), gap_days=0)
+
+
+@query("b19_register_filter", f"WITH {EPISODES_SQL} SELECT asset_key, episode, jobs FROM ep WHERE CAST(ended AS DATE) >= DATE '2024-01-10' AND CAST(started AS DATE) <= DATE '2024-01-20'")
+def b19(spark, sf):
+    x = episodes(spark, sf).withColumnsRenamed({"started": "first_seen", "ended": "last_seen"})
+    return normalize.register_filter(x, start="2024-01-10", end="2024-01-20").select("asset_key", "episode", "jobs")
+
+
+@query("b20_facets", f"WITH {JOBS_SQL} SELECT string_agg(DISTINCT department, ',' ORDER BY department) AS departments, string_agg(DISTINCT priority, ',' ORDER BY priority) AS priorities FROM jobs")
+def b20(spark, sf):
+    f = normalize.facets(jobs(spark, sf), "department", "priority")
+    return f.select(F.array_join("department", ",").alias("departments"), F.array_join("priority", ",").alias("priorities"))
+
+
+# ---- C: text ----
+
+
+@query("c1_clean_note")
+def c1(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.clean_note(F.col("text")).alias("cleaned"))
+
+
+@query("c3_corpus_boilerplate", """WITH k AS (SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_à-öø-ÿ]+', ' ', 'g')) AS key FROM documents), n AS (SELECT key, count(*) AS n FROM k GROUP BY 1)
+SELECT doc_id, n >= greatest(4, floor((SELECT count(*) FROM documents) * 0.001)) AND length(key) < 120 AS is_boilerplate FROM k JOIN n USING (key)""")
+def c3(spark, sf):
+    return X.corpus_boilerplate(table(spark, sf, "documents"), share=0.001).select("doc_id", "is_boilerplate")
+
+
+@query("c4_maintenance", "SELECT doc_id, coalesce(text, '') <> '' AND NOT regexp_matches(coalesce(text, ''), '(?i)\\bjanitorial suppl(?:y|ies)\\b|\\bsupply order\\b|\\b(?:attend(?:ed)?|staff) (?:a )?(?:training|meeting|conference)\\b|\\btraining (?:class|course|session)\\b') AS ok FROM documents")
+def c4(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.is_maintenance(F.col("text")).alias("ok"))
+
+
+@query("c5_redact_pii")
+def c5(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.redact_pii(F.coalesce("text", F.lit(""))).alias("r")).select("doc_id", "r.text", "r.was_redacted", F.array_join("r.kinds", ",").alias("kinds"))
+
+
+@query("c6_redact_external")
+def c6(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.redact_external(F.coalesce("text", F.lit(""))).alias("r")).select("doc_id", "r.text", F.array_join("r.kinds", ",").alias("kinds"))
+
+
+@query("c7_outbound_screen")
+def c7(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.array("source").alias("allowed"))
+    return X.screen(d, "text", "allowed")[1].select("doc_id")
+
+
+@query("c8_text_key", "SELECT p_partkey, trim(regexp_replace(lower(p_name || '--' || p_brand), '\\W+', ' ', 'g')) AS key FROM part")
+def c8(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", X.text_key(F.concat("p_name", F.lit("--"), "p_brand")).alias("key"))
+
+
+@query("c9_to_ascii", "SELECT doc_id, regexp_replace(translate(replace(coalesce(text, ''), '…', '...'), '–—‘’“”' || chr(160), '--''''\"\" '), '[^\\x00-\\x7F]', ' ', 'g') AS folded FROM documents")
+def c9(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.to_ascii(F.coalesce("text", F.lit(""))).alias("folded"))
+
+
+@query("c10_chunks", """WITH p AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents),
+c AS (SELECT doc_id, t, unnest(range(0, CAST(ceil(greatest(length(t) - 900, 0) / 750.0) AS BIGINT) + 1)) AS k FROM p WHERE length(t) >= 40)
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_no, substr(t, CAST(k AS BIGINT) * 750 + 1, 900) AS chunk FROM c""")
+def c10(spark, sf):
+    return X.chunks(table(spark, sf, "documents")).select("doc_id", "chunk_no", "chunk")
+
+
+@query("c11_phrases")
+def c11(spark, sf):
+    return vectors.phrases(table(spark, sf, "benchmark"), "item_id", "text").select("term", "documents", r6(F.col("score"), "score"))
+
+
+@query("c13_excerpts", "SELECT CAST(conv_id AS VARCHAR) AS work_order_id, substr(string_agg(text, ' ' ORDER BY turn, text), 1, 180) AS excerpt FROM conversations GROUP BY 1")
+def c13(spark, sf):
+    said = F.transform(F.array_sort(F.collect_list(F.struct("source_sequence", "text"))), lambda n: n["text"])
+    return notes(spark, sf).groupBy("work_order_id").agg(F.substring(F.array_join(said, " "), 1, 180).alias("excerpt"))
+
+
+# ---- D: classification and sequence features ----
+
+#: Corpus words as a stand-in taxonomy: keywords, exemplars, pattern.
+BENCH = {
+    "ending": (("tion", "ing"), ("tion ing", "ing tion"), r"(?i)tion|ing"),
+    "article": (("the", "and"), ("the and", "and the"), r"(?i)\b(?:the|and)\b"),
+    "romance": (("ment", "que"), ("ment que", "que ment"), r"(?i)ment|que"),
+}
+
+
+@query("d1_family_support", "SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(t, 'tion|ing') THEN 'ending' END, CASE WHEN regexp_matches(t, '\\b(?:the|and)\\b') THEN 'article' END, CASE WHEN regexp_matches(t, 'ment|que') THEN 'romance' END) AS families FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")
+def d1(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(C.supported(F.col("text"), BENCH), ",").alias("families"))
+
+
+def _hits(w: str) -> str:
+    return f"CAST((length(t) - length(replace(t, '{w}', ''))) / {len(w)} AS INTEGER)"
+
+
+@query("d2_keyword_vote", f"""WITH h AS (SELECT doc_id, CASE WHEN regexp_matches(t, 'tion|ing') THEN {_hits('tion')} + {_hits('ing')} ELSE -1 END AS a, CASE WHEN regexp_matches(t, '\\b(?:the|and)\\b') THEN {_hits('the')} + {_hits('and')} ELSE -1 END AS b,
+CASE WHEN regexp_matches(t, 'ment|que') THEN {_hits('ment')} + {_hits('que')} ELSE -1 END AS c FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents))
+SELECT doc_id, CASE WHEN greatest(a, b, c) <= 0 THEN NULL WHEN a >= b AND a >= c THEN 'ending' WHEN b >= c THEN 'article' ELSE 'romance' END AS family, CASE WHEN greatest(a, b, c) > 0 THEN greatest(a, b, c) END AS n FROM h""")
+def d2(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", C.keyword_vote(F.col("text"), BENCH).alias("v")).select("doc_id", "v.family", "v.n")
+
+
+@query("d4_classification")
+def d4(spark, sf):
+    return C.classify(table(spark, sf, "documents"), "doc_id", "text").withColumn("score", F.round("score", 6))
+
+
+def _term_sql(terms) -> str:
+    return "(?i)\\b(?:" + "|".join(terms) + ")\\b"
+
+
+@query("d5_note_patterns", "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{_term_sql(t)}') THEN '{n}' END" for n, t in K.NOTE_PATTERNS.items()) + ") AS patterns FROM documents")
+def d5(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(X.note_patterns(F.col("text")), ",").alias("patterns"))
+
+
+@query("d6_resolution_signal", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{_term_sql(t)}') THEN '{s}'" for s, t in (("UNRESOLVED", K.CONFLICT_TERMS), ("RESOLVED", K.RESOLUTION_TERMS), ("NO_ISSUE_OBSERVED", K.NO_ISSUE_TERMS), ("REPAIR_RECORDED", K.REPAIR_TERMS))) + " ELSE 'UNKNOWN' END AS signal FROM documents")
+def d6(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.resolution_signal(F.col("text")).alias("signal"))
+
+
+@query("d7_repair_signal", f"SELECT doc_id, regexp_matches(coalesce(text, ''), '{_term_sql(K.REPAIR_TERMS)}') AS repair, regexp_matches(coalesce(text, ''), '{_term_sql(K.FOLLOW_UP_TERMS)}') AS follow_up FROM documents")
+def d7(spark, sf):
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf, "documents").select("doc_id", X.has_term(t, K.REPAIR_TERMS).alias("repair"), X.has_term(t, K.FOLLOW_UP_TERMS).alias("follow_up"))
+
+
+@query("d8_nearest_known", f"""WITH {HISTORIES_SQL}, c AS (SELECT u.asset_key, u.work_order_id, k.work_order_id AS donor, k.family AS donor_family, abs(epoch_us(u.occurred_at) - epoch_us(k.occurred_at)) AS gap_us, k.occurred_at AS kt
+FROM histories u JOIN histories k ON u.asset_key = k.asset_key AND u.family = 'unknown' AND k.family <> 'unknown' AND abs(epoch_us(u.occurred_at) - epoch_us(k.occurred_at)) <= 86400000000)
+SELECT asset_key, work_order_id, gap_us FROM c QUALIFY row_number() OVER (PARTITION BY asset_key, work_order_id ORDER BY gap_us, kt) = 1""")
+def d8(spark, sf):
+    return features.nearest_known(histories(spark, sf), days=1).select("asset_key", "work_order_id", "gap_us")
+
+
+@query("d10_temporal_features", f"""WITH {HISTORIES_SQL}, h AS (SELECT *, epoch_us(occurred_at) AS t, row_number() OVER (PARTITION BY asset_key ORDER BY occurred_at, work_order_id) AS rn, floor((epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER (PARTITION BY asset_key, family ORDER BY occurred_at, work_order_id)) / 86400000000.0) AS fgap FROM histories)
+SELECT asset_key, work_order_id, CAST(floor((t - lag(t) OVER w) / 86400000000.0) AS BIGINT) AS days_since_previous,
+(SELECT count(*) FROM h p WHERE p.asset_key = h.asset_key AND p.rn < h.rn AND p.t >= h.t - 86400000000) AS jobs_1d,
+(SELECT count(*) FROM h p WHERE p.asset_key = h.asset_key AND p.rn < h.rn AND p.t >= h.t - 7 * 86400000000) AS jobs_7d,
+round(avg(fgap) OVER f, 6) AS recurrence_interval_days, CAST(coalesce(sum(CAST(repair AS BIGINT)) OVER f, 0) AS BIGINT) AS previous_repairs, least(1.0, count(*) OVER f / 4.0) AS persistence
+FROM h WINDOW w AS (PARTITION BY asset_key ORDER BY occurred_at, work_order_id), f AS (PARTITION BY asset_key, family ORDER BY occurred_at, work_order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def d10(spark, sf):
+    x = features.temporal_features(histories(spark, sf), days=(1, 7))
+    return x.select("asset_key", "work_order_id", "days_since_previous", "jobs_1d", "jobs_7d", r6(F.col("recurrence_interval_days"), "recurrence_interval_days"), "previous_repairs", "persistence")
+
+
+@query("d11_family_distribution", f"WITH {HISTORIES_SQL} SELECT family, count(*) AS n FROM histories GROUP BY 1")
+def d11(spark, sf):
+    return features.family_distribution(histories(spark, sf))
+
+
+@query("d12_direct_cause", "WITH s AS (SELECT doc_id, unnest(string_split(text, '.')) AS s, generate_subscripts(string_split(text, '.'), 1) AS i FROM documents WHERE text IS NOT NULL), h AS (SELECT doc_id, trim(s) || '.' AS cause, i FROM s WHERE (" + " OR ".join(f"contains(lower(s), '{m}')" for m in K.CAUSE_MARKERS) + ") AND NOT (" + " OR ".join(f"contains(lower(s), '{m}')" for m in K.HEDGED_CAUSES) + ")) SELECT d.doc_id, h.cause FROM documents d LEFT JOIN (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) = 1) h USING (doc_id)")
+def d12(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.direct_cause(F.array("text")).alias("cause"))
+
+
+# ---- E: vectors ----
+
+TFIDF_SQL = """toks AS (SELECT item_id AS doc, list_filter(regexp_extract_all(lower(text), '[a-z0-9_à-öø-ÿß]+'), lambda x: length(x) >= 2) AS w FROM benchmark),
+grams AS (SELECT doc, unnest(w) AS term FROM toks UNION ALL SELECT doc, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM toks WHERE len(w) > 1),
+tf AS (SELECT doc, term, count(*) AS tf FROM grams GROUP BY ALL), vocab AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 4096),
+v AS (SELECT doc, tf.term, tf * (ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + df)) + 1.0) AS v FROM tf JOIN vocab USING (term)),
+weights AS (SELECT doc, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc)) AS w FROM v)"""
+
+
+@query("e1_tfidf", f"WITH {TFIDF_SQL} SELECT doc, term, round(w, 6) AS w FROM weights")
+def e1(spark, sf):
+    return vectors.fit(table(spark, sf, "benchmark"), "item_id", "text").select("doc", "term", r6(F.col("w"), "w"))
+
+
+@query("e2_pair_similarity", f"WITH {TFIDF_SQL} SELECT a.item_id AS source, b.item_id AS target, round(coalesce((SELECT sum(x.w * y.w) FROM weights x JOIN weights y ON x.term = y.term WHERE x.doc = a.item_id AND y.doc = b.item_id), 0), 6) AS semantic FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
+def e2(spark, sf):
+    b = table(spark, sf, "benchmark")
+    p = b.select(F.col("item_id").alias("source"), (F.col("item_id") + 1).alias("target")).join(b.select(F.col("item_id").alias("target")), "target", "left_semi")
+    return vectors.pair_similarity(p, vectors.fit(b, "item_id", "text")).select("source", "target", r6(F.col("semantic"), "semantic"))
+
+
+@query("e3_query_top_k", f"WITH {TFIDF_SQL}, q AS (SELECT term, w AS q FROM weights WHERE doc = 0) SELECT doc, round(sum(w * q), 6) AS score FROM weights JOIN q USING (term) GROUP BY doc ORDER BY sum(w * q) DESC, doc LIMIT 10")
+def e3(spark, sf):
+    w = vectors.fit(table(spark, sf, "benchmark"), "item_id", "text")
+    return vectors.query_top_k(w, w.filter("doc = 0")).select("doc", r6(F.col("score"), "score"))
+
+
+COS_SQL = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))))"
+COS = COS_SQL.format(a="v.embedding", b="q.embedding")
+
+
+@query("e4_dense_top_k", f"SELECT q.vec_id AS query_id, v.vec_id, round({COS}, 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id IN (0, 7, 42)) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.vec_id) <= 10")
+def e4(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.filter(F.col("vec_id").isin(0, 7, 42)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vectors.dense_top_k(e, q).select("query_id", "vec_id", r6(F.col("score"), "score"))
+
+
+KNN_SQL = f"""n AS (SELECT q.vec_id AS q_id, q.label AS truth, v.label, {COS} AS score FROM embeddings v JOIN embeddings q ON v.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.vec_id) <= 5),
+vt AS (SELECT q_id, truth, label, count(*) AS votes, avg(score) AS confidence FROM n GROUP BY ALL), p AS (SELECT q_id AS vec_id, truth AS label, label AS predicted, confidence FROM vt QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY votes DESC, label) = 1)"""
+
+
+@query("e5_knn_classify", f"WITH {KNN_SQL} SELECT vec_id, label, predicted, round(confidence, 6) AS confidence FROM p")
+def e5(spark, sf):
+    return vectors.knn_classify(table(spark, sf, "embeddings")).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("e6_knn_summary", f"WITH {KNN_SQL} SELECT count(*) AS n, round(avg(CAST(label = predicted AS INTEGER)), 6) AS accuracy, round((SELECT max(c) FROM (SELECT count(*) AS c FROM p GROUP BY label)) / count(*), 6) AS baseline FROM p")
+def e6(spark, sf):
+    return vectors.knn_summary(vectors.knn_classify(table(spark, sf, "embeddings"))).select("n", r6(F.col("accuracy"), "accuracy"), r6(F.col("baseline"), "baseline"))
+
+
+@query("e7_pca")
+def e7(spark, sf):
+    return vectors.pca_2d(table(spark, sf, "embeddings"))[0]
+
+
+@query("e8_filtered_search", f"SELECT q.vec_id AS query_id, v.vec_id, round({COS}, 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id = 3) q WHERE v.label = 2 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.vec_id) <= 5")
+def e8(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.filter("vec_id = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return vectors.dense_top_k(e, q, 5, F.col("label") == 2).select("query_id", "vec_id", r6(F.col("score"), "score"))
+
+
+# ---- F: joins ----
+
+
+@query("f1_bridge", f"WITH {LINKS_SQL}, {JOBS_SQL} SELECT l.work_order_id, asset_key, role, department, occurred_at FROM links l LEFT JOIN jobs USING (work_order_id)")
+def f1(spark, sf):
+    return links(spark, sf).join(jobs(spark, sf), "work_order_id", "left").select("work_order_id", "asset_key", "role", "department", "occurred_at")
+
+
+@query("f2_note_attach", "SELECT CAST(conv_id AS VARCHAR) AS work_order_id, string_agg(text, ' ' ORDER BY turn, text) AS note FROM conversations GROUP BY 1")
+def f2(spark, sf):
+    said = F.transform(F.array_sort(F.collect_list(F.struct("source_sequence", "text"))), lambda n: n["text"])
+    return notes(spark, sf).groupBy("work_order_id").agg(F.array_join(said, " ").alias("note"))
+
+
+@query("f3_window_pairs", f"WITH {HISTORIES_SQL} SELECT DISTINCT least(a.work_order_id, b.work_order_id) AS source, greatest(a.work_order_id, b.work_order_id) AS target FROM histories a JOIN histories b ON a.asset_key = b.asset_key AND a.work_order_id < b.work_order_id AND abs(epoch_us(a.occurred_at) - epoch_us(b.occurred_at)) <= 21600000000")
+def f3(spark, sf):
+    return pairs.window_pairs(histories(spark, sf), days=0.25)
+
+
+@query("f4_neighbour_pairs", f"WITH {HISTORIES_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY occurred_at, work_order_id) AS r FROM histories WHERE family <> 'unknown') SELECT DISTINCT least(a.work_order_id, b.work_order_id) AS source, greatest(a.work_order_id, b.work_order_id) AS target FROM h a JOIN h b ON a.family = b.family AND b.r BETWEEN a.r + 1 AND a.r + 12 AND epoch_us(b.occurred_at) - epoch_us(a.occurred_at) <= 3600000000")
+def f4(spark, sf):
+    return pairs.neighbour_pairs(histories(spark, sf), days=1 / 24, slice_days=1)
+
+
+# ---- G: edges, groups, episodes ----
+
+
+def edges(spark, sf):
+    """Scored pairs of events; the similarity of two events is that of their values."""
+    o = event_orders(spark, sf)
+    p = pairs.candidate_pairs(o, days=0.5, neighbours=3)
+    v = o.select("work_order_id", "value")
+    p = p.join(v.select(F.col("work_order_id").alias("source"), F.col("value").alias("a")), "source").join(v.select(F.col("work_order_id").alias("target"), F.col("value").alias("b")), "target")
+    p = p.select("source", "target", F.try_divide(F.least("a", "b"), F.greatest("a", "b")).alias("semantic"))
+    return pairs.score_edges(p, o, days=0.5)
+
+
+EDGES_SQL = f"""{HISTORIES_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY occurred_at, work_order_id) AS r FROM histories WHERE family <> 'unknown'),
+pr AS (SELECT DISTINCT least(a.work_order_id, b.work_order_id) AS source, greatest(a.work_order_id, b.work_order_id) AS target FROM histories a JOIN histories b ON a.asset_key = b.asset_key AND a.work_order_id < b.work_order_id AND abs(epoch_us(a.occurred_at) - epoch_us(b.occurred_at)) <= 43200000000
+UNION SELECT least(a.work_order_id, b.work_order_id), greatest(a.work_order_id, b.work_order_id) FROM f a JOIN f b ON a.family = b.family AND b.r BETWEEN a.r + 1 AND a.r + 3 AND epoch_us(b.occurred_at) - epoch_us(a.occurred_at) <= 43200000000),
+sc AS (SELECT source, target, least(a.value, b.value) / nullif(greatest(a.value, b.value), 0) AS semantic, a.asset_key = b.asset_key AS same_asset, greatest(0.0, 1.0 - abs(epoch_us(a.occurred_at) - epoch_us(b.occurred_at)) / 86400000000.0 / 0.5) AS temporal_score, a.family = b.family AND a.family <> 'unknown' AS same_issue_family, a.family AS sf, b.family AS tf FROM pr JOIN histories a ON a.work_order_id = source JOIN histories b ON b.work_order_id = target),
+ed AS (SELECT *, least(1.0, greatest(0.0, 0.35 * semantic + 0.30 * CAST(same_asset AS INTEGER) + 0.15 * temporal_score + 0.20 * CAST(same_issue_family AS INTEGER))) AS weight FROM sc)"""
+
+
+@query("g2_edge_scores", f"WITH {EDGES_SQL} SELECT source, target, same_asset, same_issue_family, round(temporal_score, 6) AS temporal_score, round(weight, 6) AS weight FROM ed")
+def g2(spark, sf):
+    return edges(spark, sf).select("source", "target", "same_asset", "same_issue_family", r6(F.col("temporal_score"), "temporal_score"), r6(F.col("weight"), "weight"))
+
+
+@query("g3_admitted_edges", f"WITH {EDGES_SQL} SELECT source, target FROM ed WHERE same_asset AND (sf = tf OR sf = 'unknown' OR tf = 'unknown') AND weight >= 0.8")
+def g3(spark, sf):
+    return pairs.admitted(edges(spark, sf), 0.8).select("source", "target")
+
+
+def groups(spark, sf):
+    return grouping.constrained_groups(pairs.admitted(edges(spark, sf), 0.9), event_orders(spark, sf), span_days=1)
+
+
+@query("g4_constrained_groups")
+def g4(spark, sf):
+    return groups(spark, sf)
+
+
+@query("g5_incidents", f"""WITH {EPISODES_SQL}, m AS (SELECT n.* FROM n JOIN ep USING (asset_key, episode)),
+b AS (SELECT asset_key, episode, 'INC-' || upper(substr(sha1(string_agg(work_order_id, '|' ORDER BY work_order_id)), 1, 8)) AS incident_id, min(occurred_at) AS first_seen, max(occurred_at) AS last_seen, count(*) AS jobs FROM m GROUP BY ALL),
+fm AS (SELECT asset_key, episode, family, count(*) AS c FROM m GROUP BY asset_key, episode, family QUALIFY row_number() OVER (PARTITION BY asset_key, episode ORDER BY count(*) DESC, min(occurred_at), min(CAST(work_order_id AS VARCHAR))) = 1)
+SELECT incident_id, asset_key, family, first_seen, last_seen, jobs, c >= 3 AS recurring FROM b JOIN fm USING (asset_key, episode)""")
+def g5(spark, sf):
+    return incidents(spark, sf).select("incident_id", "asset_key", "family", "first_seen", "last_seen", "jobs", "recurring")
+
+
+def episode_groups(spark, sf):
+    """Members of gap episodes as groups."""
+    h = event_orders(spark, sf)
+    w = Window.partitionBy("asset_key").orderBy("occurred_at", "work_order_id")
+    gap = V.floor_days(F.col("occurred_at"), F.lag("occurred_at").over(w))
+    x = h.withColumn("_n", F.when(gap.isNull() | (gap > 0), 1).otherwise(0)).withColumn("episode", F.sum("_n").over(w))
+    keep = episodes(spark, sf).select("asset_key", "episode")
+    return x.join(keep, ["asset_key", "episode"]).select("work_order_id", F.concat_ws("#", "asset_key", "episode").alias("group"))
+
+
+def incidents(spark, sf):
+    return grouping.build_incidents(episode_groups(spark, sf), event_orders(spark, sf))
+
+
+def members(spark, sf):
+    i = incidents(spark, sf).select("incident_id", "group")
+    return episode_groups(spark, sf).join(i, "group").join(event_orders(spark, sf), "work_order_id")
+
+
+@query("g6_memberships")
+def g6(spark, sf):
+    return grouping.memberships(episode_groups(spark, sf), incidents(spark, sf), event_orders(spark, sf), pairs.admitted(edges(spark, sf), 0.8))
+
+
+@query("g7_gap_episodes", f"WITH {EPISODES_SQL} SELECT * FROM ep")
+def g7(spark, sf):
+    return episodes(spark, sf)
+
+
+@query("g8_timeline", f"WITH {HISTORIES_SQL} SELECT asset_key, work_order_id, CAST(floor((epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER (PARTITION BY asset_key ORDER BY occurred_at, work_order_id)) / 86400000000.0) AS BIGINT) AS gap_days FROM histories")
+def g8(spark, sf):
+    return grouping.timeline(histories(spark, sf)).select("asset_key", "work_order_id", "gap_days")
+
+
+# ---- H: confidence, risk, calibration, audit ----
+
+
+def confidence(spark, sf):
+    m = members(spark, sf).select("incident_id", "work_order_id", "occurred_at", "family", F.col("primary_asset_keys").alias("own"), (F.col("value") > 10).alias("noted"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("trigger_score"), "signal")
+    none = m.select("incident_id", F.lit(0.5).alias("semantic")).limit(0)
+    return scoring.confidence(incidents(spark, sf), m, none)
+
+
+@query("h1_confidence")
+def h1(spark, sf):
+    c = scoring.with_level(confidence(spark, sf).withColumn("score", F.col("raw_score")))
+    return c.select("incident_id", r6(F.col("temporal_consistency"), "temporal_consistency"), r6(F.col("evidence_strength"), "evidence_strength"), r6(F.col("raw_score"), "raw_score"), "level", "needs_review")
+
+
+SCORED_SQL = "scored AS (SELECT doc_id, least(1.0, n_chars / 10000.0) AS score, quality AS label, source AS asset_key FROM labels JOIN documents USING (doc_id))"
+
+
+def scored(spark, sf):
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "n_chars", "source"), "doc_id")
+    return d.select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 10000.0).alias("score"), F.col("quality").alias("label"), F.col("source").alias("asset_key"))
+
+
+@query("h3_levels", f"WITH {SCORED_SQL} SELECT doc_id, CASE WHEN score >= 0.82 THEN 'HIGH' WHEN score >= 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS level, score < 0.72 AS needs_review FROM scored")
+def h3(spark, sf):
+    return scoring.with_level(scored(spark, sf)).select("doc_id", "level", "needs_review")
+
+
+@query("h4_calibration_step", f"WITH {SCORED_SQL} SELECT doc_id, CASE WHEN score >= 0.8 THEN 0.9 WHEN score >= 0.3 THEN 0.5 ELSE 0.1 END AS calibrated FROM scored")
+def h4(spark, sf):
+    return scored(spark, sf).select("doc_id", scoring.calibrated(F.col("score"), F.array(F.lit(0.1), F.lit(0.3), F.lit(0.8)), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("calibrated"))
+
+
+@query("h6_isotonic_fit")
+def h6(spark, sf):
+    a = calibration.fit_isotonic(scored(spark, sf))
+    return a.select(F.posexplode(F.arrays_zip("x_values", "y_values")).alias("step", "p")).select("step", r6(F.col("p.x_values"), "x"), r6(F.col("p.y_values"), "y"))
+
+
+@query("h7_brier", f"WITH {SCORED_SQL} SELECT count(*) AS n, round(avg((score - label) * (score - label)), 6) AS brier, round(avg(CAST(CAST(score >= 0.5 AS INTEGER) = label AS INTEGER)), 6) AS accuracy FROM scored")
+def h7(spark, sf):
+    return calibration.brier(scored(spark, sf)).select("n", r6(F.col("brier"), "brier"), r6(F.col("accuracy"), "accuracy"))
+
+
+@query("h8_calibration_bins", f"WITH {SCORED_SQL} SELECT CAST(least(floor(score * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(label), 6) AS observed FROM scored GROUP BY 1")
+def h8(spark, sf):
+    return calibration.bins(scored(spark, sf)).select("bin", "n", r6(F.col("mean_score"), "mean_score"), r6(F.col("observed"), "observed"))
+
+
+@query("h9_thresholds", f"WITH {SCORED_SQL} SELECT t AS threshold, count(*) FILTER (score >= t) AS accepted, round(avg(label) FILTER (score >= t), 6) AS precision, count(*) FILTER (score < t) AS review_load, round(count(*) FILTER (score >= t) / count(*), 6) AS coverage FROM scored, (VALUES (0.5::DOUBLE), (0.6), (0.7), (0.8), (0.9)) v(t) GROUP BY t")
+def h9(spark, sf):
+    return calibration.thresholds(scored(spark, sf)).select("threshold", "accepted", r6(F.col("precision"), "precision"), "review_load", r6(F.col("coverage"), "coverage"))
+
+
+@query("h10_split_by_asset", f"WITH {SCORED_SQL}, a AS (SELECT DISTINCT asset_key FROM scored), o AS (SELECT asset_key FROM a ORDER BY sha256(asset_key) LIMIT (SELECT greatest(1, CAST(round(count(*) * 0.2) AS BIGINT)) FROM a)) SELECT doc_id, asset_key IN (SELECT asset_key FROM o) AS held_out FROM scored")
+def h10(spark, sf):
+    return calibration.split_by_asset(scored(spark, sf)).select("doc_id", "held_out")
+
+
+@query("h11_audit_sample", f"WITH {EPISODES_SQL} SELECT asset_key || '#' || episode AS incident_id, jobs FROM ep ORDER BY sha256('audit:' || asset_key || '#' || episode) LIMIT 50")
+def h11(spark, sf):
+    x = episodes(spark, sf).select(F.concat_ws("#", "asset_key", "episode").alias("incident_id"), "jobs")
+    return calibration.audit_sample(x)
+
+
+@query("h12_declared_values", f"WITH {SCORED_SQL} SELECT min(CASE WHEN trim(asset_key) <> '' THEN trim(asset_key) END) AS value, count(DISTINCT CASE WHEN trim(asset_key) <> '' THEN trim(asset_key) END) AS declared FROM scored")
+def h12(spark, sf):
+    return calibration.declared(scored(spark, sf), "asset_key")
+
+
+RISK_SQL = f"""{LINKS_SQL}, {JOBS_SQL}, ev AS (SELECT DISTINCT asset_key, work_order_id, occurred_at, department AS family, CASE WHEN priority LIKE '1%' OR priority LIKE '2%' THEN 'high' ELSE 'normal' END AS priority, status FROM links JOIN jobs USING (work_order_id)),
+l AS (SELECT *, max(occurred_at) OVER (PARTITION BY asset_key) AS latest FROM ev), f AS (SELECT asset_key, max(c) AS repeated FROM (SELECT asset_key, family, count(*) AS c FROM l GROUP BY ALL) GROUP BY 1),
+ra AS (SELECT asset_key, count(*) AS jobs, count(*) FILTER (epoch_us(occurred_at) >= epoch_us(latest) - 90 * 86400000000) AS recent_90, count(*) FILTER (priority = 'high') AS high_priority, count(*) FILTER (status = 'O') AS unresolved FROM l GROUP BY 1),
+rk AS (SELECT asset_key, jobs, recent_90, high_priority, unresolved, repeated, CAST(round_even(25 * least(1.0, jobs / 8.0) + 30 * least(1.0, greatest(0, repeated - 1) / 4.0) + 15 * least(1.0, high_priority / 3.0) + 15 * least(1.0, unresolved / 3.0) + 15 * least(1.0, recent_90 / 5.0), 0) AS BIGINT) AS risk FROM ra JOIN f USING (asset_key))"""
+
+
+def risk(spark, sf):
+    e = links(spark, sf).select("asset_key", "work_order_id").distinct().join(jobs(spark, sf), "work_order_id")
+    e = e.withColumn("family", F.col("department")).withColumn("priority", F.when(F.col("priority").rlike("^[12]"), "High").otherwise("normal"))
+    s = e.select("asset_key", F.col("work_order_id").alias("incident_id"), F.when(F.col("status") == "O", "UNRESOLVED").otherwise("RESOLVED").alias("resolution_status"))
+    return scoring.asset_risk(e, s)
+
+
+@query("h14_asset_risk", f"WITH {RISK_SQL} SELECT asset_key, jobs, repeated, recent_90, high_priority, unresolved, risk FROM rk")
+def h14(spark, sf):
+    return risk(spark, sf).select("asset_key", "jobs", "repeated", "recent_90", "high_priority", "unresolved", "risk")
+
+
+# ---- I: findings ----
+
+
+def finding_members(spark, sf):
+    note = F.array(F.concat(F.lit("Value "), F.col("value").cast("string"), F.when(F.col("value") > 150, " due to load").otherwise("")))
+    return members(spark, sf).select("incident_id", "work_order_id", "occurred_at", "family", "repair", "signal", note.alias("cleaned"), note.alias("redacted"), F.col("asset_keys").alias("assets"))
+
+
+def findings(spark, sf):
+    i = incidents(spark, sf).select("incident_id", "asset_key", "family", "recurring", "first_seen", "last_seen", "resolution_status")
+    return insight.generate_insights(i, finding_members(spark, sf), tables.rules_table(spark))
+
+
+@query("i1_insights")
+def i1(spark, sf):
+    return findings(spark, sf).select("incident_id", "title", "summary", F.array_join("observations", " ").alias("observations"), "interpretation", F.col("possible_cause.statement").alias("possible_cause"), "recommended_action")
+
+
+@query("i4_pm_interval", f"""WITH {EPISODES_SQL}, m AS (SELECT n.* FROM n JOIN ep USING (asset_key, episode)),
+fm AS (SELECT asset_key, episode, family, count(*) AS c FROM m GROUP BY asset_key, episode, family QUALIFY row_number() OVER (PARTITION BY asset_key, episode ORDER BY count(*) DESC, min(occurred_at), min(work_order_id)) = 1),
+g2 AS (SELECT m.asset_key, m.episode, round_even((epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER (PARTITION BY m.asset_key, m.episode ORDER BY occurred_at, work_order_id)) / 86400000000.0, 3) AS gap FROM m JOIN fm USING (asset_key, episode, family)),
+md AS (SELECT asset_key, episode, count(*) FILTER (gap > 0) AS gaps, median(gap) FILTER (gap > 0) AS med FROM g2 GROUP BY ALL)
+SELECT asset_key, md.episode, CASE WHEN c >= 3 AND gaps >= 2 THEN 'RECOMMENDED' ELSE 'INSUFFICIENT_EVIDENCE' END AS status, CASE WHEN c >= 3 AND gaps >= 2 THEN gaps END AS gaps FROM md JOIN fm USING (asset_key, episode)""")
+def i4(spark, sf):
+    i = incidents(spark, sf).select("incident_id", "asset_key", "family", "recurring", "group").join(insight._jobs(finding_members(spark, sf)), "incident_id")
+    x = insight.pm_interval(i).select("asset_key", F.split_part("group", F.lit("#"), F.lit(2)).cast("long").alias("episode"), "interval.status", F.filter("interval.observed_gap_days", lambda g: g > 0).alias("g"))
+    return x.select("asset_key", "episode", "status", F.when(F.col("status") == "RECOMMENDED", F.size("g").cast("long")).alias("gaps"))
+
+
+@query("i8_evidence_text")
+def i8(spark, sf):
+    return insight.evidence_text(finding_members(spark, sf))
+
+
+@query("i9_citation_gate", "SELECT CAST(NULL AS VARCHAR) AS incident_id, CAST(NULL AS VARCHAR) AS failed FROM region WHERE false")
+def i9(spark, sf):
+    return insight.citation_violations(findings(spark, sf), finding_members(spark, sf)).withColumn("failed", F.array_join("failed", ","))
+
+
+# ---- J: registers and dashboard ----
+
+
+def reviews(spark, sf):
+    i = incidents(spark, sf)
+    n = F.crc32(F.col("incident_id").cast("binary")) % 5
+    return i.select(F.concat(F.lit("R-"), "incident_id").alias("review_id"), "incident_id", F.when(n == 0, "rejected").when(n == 1, "approved").otherwise("pending").alias("decision"), F.lit(False).alias("archived"), F.lit("{}").alias("snapshot"))
+
+
+@query("j1_incident_register")
+def j1(spark, sf):
+    i = registers.active(incidents(spark, sf), reviews(spark, sf))
+    return registers.incident_register(i, i.groupBy("asset_key").agg(F.count("*").alias("risk"))).select("incident_id", "asset_key", "last_seen", "risk")
+
+
+@query("j3_asset_register", f"WITH {RISK_SQL} SELECT asset_key, risk FROM rk")
+def j3(spark, sf):
+    a = links(spark, sf).select("asset_key").distinct()
+    return registers.asset_register(a, risk(spark, sf)).select("asset_key", "risk")
+
+
+@query("j4_asset_departments", f"WITH {LINKS_SQL}, {JOBS_SQL} SELECT asset_key, department FROM links JOIN jobs USING (work_order_id) GROUP BY asset_key, department QUALIFY row_number() OVER (PARTITION BY asset_key ORDER BY count(*) DESC, min(occurred_at), min(work_order_id), department) = 1")
+def j4(spark, sf):
+    return registers.asset_departments(links(spark, sf), jobs(spark, sf))
+
+
+@query("j7_review_queue")
+def j7(spark, sf):
+    c = confidence(spark, sf).select("incident_id", F.col("incident_id").alias("title"), F.col("raw_score").alias("score"))
+    return registers.review_queue(c, reviews(spark, sf), "pending").select("review_id", r6(F.col("confidence"), "confidence"))
+
+
+@query("j10_review_carry_over")
+def j10(spark, sf):
+    c = scoring.with_level(confidence(spark, sf).withColumn("score", F.col("raw_score"))).withColumn("title", F.col("incident_id"))
+    return registers.carry_reviews(reviews(spark, sf), c.filter(F.crc32(F.col("incident_id").cast("binary")) % 7 != 0)).select("incident_id", "decision", "archived")
+
+
+@query("j11_kpis", f"WITH {RISK_SQL} SELECT (SELECT count(*) FROM jobs) AS jobs, (SELECT count(DISTINCT asset_key) FROM links) AS assets, (SELECT count(*) FROM rk WHERE risk >= 65) AS high_risk_equipment")
+def j11(spark, sf):
+    a = links(spark, sf).select("asset_key").distinct().withColumn("asset_class", F.lit("equipment"))
+    i = incidents(spark, sf)
+    c = confidence(spark, sf).withColumn("score", F.col("raw_score"))
+    return registers.kpis(jobs(spark, sf), a, i, risk(spark, sf), reviews(spark, sf), c).select("jobs", "assets", "high_risk_equipment")
+
+
+@query("j12_resolution_rate", f"WITH {JOBS_SQL} SELECT round(count(*) FILTER (status = 'F') / nullif(count(*) FILTER (status <> 'P'), 0), 6) AS resolution_rate FROM jobs")
+def j12(spark, sf):
+    x = jobs(spark, sf).select(F.when(F.col("status") == "F", "RESOLVED").when(F.col("status") == "P", "UNKNOWN").otherwise("UNRESOLVED").alias("resolution_status"))
+    return registers.resolution_rate(x).select(r6(F.col("resolution_rate"), "resolution_rate"))
+
+
+@query("j14_per_month", f"WITH {JOBS_SQL} SELECT strftime(occurred_at, '%Y-%m') AS month, count(*) AS n FROM jobs GROUP BY 1")
+def j14(spark, sf):
+    return registers.per_month(jobs(spark, sf).withColumnRenamed("occurred_at", "first_seen"))
+
+
+@query("j15_family_mix", f"WITH {HISTORIES_SQL} SELECT family, count(*) AS n FROM histories GROUP BY 1")
+def j15(spark, sf):
+    return registers.family_mix(histories(spark, sf))
+
+
+@query("j16_top_risk", f"WITH {RISK_SQL} SELECT asset_key, risk FROM rk ORDER BY risk DESC, asset_key LIMIT 8")
+def j16(spark, sf):
+    a = links(spark, sf).select("asset_key").distinct().withColumn("asset_class", F.lit("equipment"))
+    return registers.top_risk(a, risk(spark, sf))
+
+
+@query("j17_per_year", f"WITH {JOBS_SQL} SELECT CAST(year(occurred_at) AS INTEGER) AS year, count(*) AS n, count(*) FILTER (status = 'F') AS recurring FROM jobs GROUP BY 1")
+def j17(spark, sf):
+    return registers.per_year(jobs(spark, sf).withColumn("recurring", F.col("status") == "F").withColumnRenamed("occurred_at", "first_seen"))
+
+
+@query("j18_departments", f"WITH {JOBS_SQL} SELECT department, count(*) AS n FROM jobs GROUP BY 1")
+def j18(spark, sf):
+    return registers.department_activity(jobs(spark, sf))
+
+
+@query("j21_coverage", f"WITH {JOBS_SQL} SELECT min(occurred_at) AS first_seen, max(occurred_at) AS last_seen FROM jobs")
+def j21(spark, sf):
+    return registers.coverage(jobs(spark, sf).select(F.col("occurred_at").alias("first_seen"), F.col("occurred_at").alias("last_seen")))
+
+
+@query("j24_search_incidents", f"WITH {EPISODES_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY asset_key) AS n FROM ep WHERE year(started) = 2024) SELECT asset_key || '#' || episode AS incident_id, asset_key FROM c WHERE n > 2 ORDER BY 1 LIMIT 15")
+def j24(spark, sf):
+    x = episodes(spark, sf).select(F.concat_ws("#", "asset_key", "episode").alias("incident_id"), "asset_key", F.col("started").alias("first_seen"), F.lit(False).alias("recurring"))
+    return registers.search_incidents(x, registers.parse_query("assets with more than 2 episodes in 2024")).select("incident_id", "asset_key")
+
+
+@query("j25_search_jobs", "WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS work_order_id, source AS family, coalesce(text, '') AS note FROM documents), o AS (SELECT *, len(list_intersect(list_distinct(string_split_regex(lower(note || ' ' || family), '[ \\t\\n\\x0B\\f\\r]+')), ['the', 'and', 'thble'])) AS overlap FROM d) SELECT work_order_id, family, CAST(overlap AS INTEGER) AS overlap FROM o WHERE overlap > 0 ORDER BY overlap DESC, work_order_id DESC LIMIT 15")
+def j25(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("work_order_id"), F.col("source").alias("family"), F.coalesce("text", F.lit("")).alias("note"))
+    none = spark.createDataFrame([], "doc string, score double")
+    return registers.search_jobs(d, none, ["the", "and", "thble"]).select("work_order_id", "family", "overlap")
+
+
+@query("j27_report_findings")
+def j27(spark, sf):
+    i = registers.active(incidents(spark, sf), reviews(spark, sf))
+    r = i.groupBy("asset_key").agg(F.count("*").alias("risk"))
+    return registers.report_json(registers.report_records(i, findings(spark, sf), r), limit=1_000_000)
+
+
+# ---- K: profiles ----
+
+
+@query("k1_value_counts", f"WITH {JOBS_SQL} SELECT priority, count(*) AS n FROM jobs GROUP BY 1")
+def k1(spark, sf):
+    return profile.value_counts(jobs(spark, sf), "priority")
+
+
+@query("k2_describe", "SELECT min(length(text)) AS least, median(length(text)) AS median, max(length(text)) AS most FROM documents")
+def k2(spark, sf):
+    return profile.describe(table(spark, sf, "documents"), F.length("text")).select(F.col("least").cast("long").alias("least"), "median", F.col("most").cast("long").alias("most"))
+
+
+@query("k3_null_shares", "SELECT 'doc_id' AS \"column\", 100.0 * avg(CAST(doc_id IS NULL AS INTEGER)) AS null_percent FROM documents UNION ALL SELECT 'lang', 100.0 * avg(CAST(lang IS NULL AS INTEGER)) FROM documents UNION ALL SELECT 'text', 100.0 * avg(CAST(text IS NULL AS INTEGER)) FROM documents")
+def k3(spark, sf):
+    return profile.null_shares(table(spark, sf, "documents").select("doc_id", "lang", "text"))
+
+
+@query("k4_distinct_counts", "SELECT count(DISTINCT l_partkey) AS l_partkey, count(DISTINCT l_suppkey) AS l_suppkey, count(DISTINCT l_orderkey) AS l_orderkey FROM lineitem")
+def k4(spark, sf):
+    return profile.distinct_counts(table(spark, sf, "lineitem"), "l_partkey", "l_suppkey", "l_orderkey")
+
+
+@query("k5_repeat_assets", f"WITH {LINKS_SQL}, n AS (SELECT asset_key, count(DISTINCT work_order_id) AS jobs FROM links GROUP BY 1) SELECT count(*) FILTER (jobs >= 2) AS at_least_2, count(*) FILTER (jobs >= 3) AS at_least_3, count(*) FILTER (jobs >= 5) AS at_least_5, count(*) FILTER (jobs >= 10) AS at_least_10 FROM n")
+def k5(spark, sf):
+    return profile.repeat_assets(links(spark, sf))
+
+
+@query("k6_per_year", f"WITH {JOBS_SQL} SELECT CAST(year(occurred_at) AS INTEGER) AS year, count(*) AS n FROM jobs GROUP BY 1")
+def k6(spark, sf):
+    return profile.per_year(jobs(spark, sf))
+
+
+@query("k7_assets_per_job", f"WITH {LINKS_SQL} SELECT work_order_id, asset_key, count(*) OVER (PARTITION BY work_order_id) AS assets FROM links QUALIFY count(*) OVER (PARTITION BY work_order_id) <= 4")
+def k7(spark, sf):
+    return profile.with_assets_per_job(links(spark, sf), 4).select("work_order_id", "asset_key", "assets")
+
+
+@query("k8_stratified_sample", f"WITH {JOBS_SQL}, s AS (SELECT *, count(*) OVER (PARTITION BY department) AS n, row_number() OVER (PARTITION BY department ORDER BY sha256('s:' || work_order_id), work_order_id) AS r FROM jobs) SELECT work_order_id, department FROM s WHERE r <= greatest(1, round_even(n * 0.05, 0))")
+def k8(spark, sf):
+    return profile.stratified_sample(jobs(spark, sf), "department", 0.05, "work_order_id").select("work_order_id", "department")
+
+
+@query("k9_repeat_by_type", f"WITH {LINKS_SQL}, n AS (SELECT asset_key, count(DISTINCT work_order_id) AS jobs FROM links GROUP BY 1 HAVING count(DISTINCT work_order_id) >= 3) SELECT split_part(asset_key, ':', 1) AS kind, count(*) AS assets FROM n GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def k9(spark, sf):
+    return profile.repeat_by_type(links(spark, sf))
+
+
+@query("k10_dense_sites", f"WITH {LINKS_SQL}, {JOBS_SQL} SELECT priority AS site, count(DISTINCT asset_key) AS assets, count(DISTINCT department) AS departments FROM links JOIN jobs USING (work_order_id) GROUP BY 1 HAVING count(DISTINCT asset_key) >= 3 AND count(DISTINCT department) >= 3")
+def k10(spark, sf):
+    return profile.dense_sites(links(spark, sf).join(jobs(spark, sf), "work_order_id").withColumnRenamed("priority", "site"))
+
+
+@query("k12_keyword_shares", "SELECT 'ending' AS family, count(*) FILTER (contains(lower(text), 'tion') OR contains(lower(text), 'ing')) AS n, round(count(*) FILTER (contains(lower(text), 'tion') OR contains(lower(text), 'ing')) / count(*), 6) AS share FROM documents UNION ALL SELECT 'romance', count(*) FILTER (contains(lower(text), 'ment') OR contains(lower(text), 'que')), round(count(*) FILTER (contains(lower(text), 'ment') OR contains(lower(text), 'que')) / count(*), 6) FROM documents")
+def k12(spark, sf):
+    return profile.keyword_shares(table(spark, sf, "documents"), "text", {"ending": ("tion", "ing"), "romance": ("ment", "que")}).withColumn("share", F.round("share", 6))
