@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import values as V
-
-
-def _materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage with a table in the folder that all executors share, if one is named; else with a cache."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        return df.cache()
-    path = f"{base.rstrip('/')}/faultline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..sources.store import materialise
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -28,13 +16,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Labels spread along edges and jump to their label's label, so rounds grow with the logarithm of path length.
     """
-    both = _materialise(edges.select("source", "target").union(edges.select("target", "source")).distinct(), "edges")
-    labels = _materialise(nodes.select("id").distinct().withColumn("component", F.col("id")), "labels")
+    both = materialise(edges.select("source", "target").union(edges.select("target", "source")).distinct(), "edges")
+    labels = materialise(nodes.select("id").distinct().withColumn("component", F.col("id")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("component").alias("seen"))
         met = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("seen", "component")).alias("component"))
         jump = met.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = _materialise(met.join(jump, "component", "left").select("id", "was", F.coalesce("further", "component").alias("component")), "labels")
+        new = materialise(met.join(jump, "component", "left").select("id", "was", F.coalesce("further", "component").alias("component")), "labels")
         if new.filter("was <> component").isEmpty():
             return new.select("id", "component")
         labels = new.select("id", "component")

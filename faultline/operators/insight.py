@@ -96,7 +96,7 @@ def contradicting(jobs: Column) -> Column:
 
 def generate_insights(incidents: DataFrame, members: DataFrame, rules: DataFrame) -> DataFrame:
     """One finding for each incident, with the jobs behind each of its fields. ``rules`` are few and broadcast."""
-    x = incidents.join(_jobs(members), "incident_id")
+    x = incidents.drop("jobs").join(_jobs(members), "incident_id")
     known = F.broadcast(rules.withColumnRenamed("family", "rule_family"))
     x = x.withColumn("rule_family", F.when(F.col("family").isin(*(r[0] for r in K.RULES)), F.col("family")).otherwise(K.UNKNOWN)).join(known, "rule_family")
     x = pm_interval(x)
