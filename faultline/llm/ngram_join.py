@@ -88,8 +88,8 @@ def frequent_buckets(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def bitmap_of(x: np.ndarray) -> bytes:
-    """A bit for each shingle in a power of two of at least twice as many bits."""
-    width = min(1 << 15, max(64, 1 << int(2 * len(x) - 1).bit_length()))
+    """A bit for each shingle in a power of two of at least as many bits."""
+    width = min(1 << 15, max(64, 1 << int(len(x) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(x & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -184,10 +184,12 @@ def _tie_members(percent: int):
 def candidate_components(reps: DataFrame, percent: int, block: int) -> DataFrame:
     """``reps``: rep, n, prefix, bitmap. (rep, cluster) of those that may link with another.
 
-    Members of a prefix shingle's group are tied by bitmaps; a group of more than ``block`` is tied as a whole.
+    Members of a prefix shingle's group are tied by bitmaps; a group of more than ``block`` is tied as a whole. Of
+    shingles with the same members, as near copies have many, one is enough.
     """
     tokens = reps.mapInArrow(_explode_prefix, "token long, rep long")
-    shared = tokens.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).filter("members > 1")
+    shared = tokens.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("members > 1")
+    shared = shared.groupBy("hub", "members", "who").agg(F.min("token").alias("token")).drop("who")
     met = save(tokens.join(shared, "token"), "shared")
     large = met.filter((F.col("members") > block) & (F.col("rep") != F.col("hub"))).select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
     small = met.filter(F.col("members") <= block).select("token", "rep").join(reps.select("rep", "n", "bitmap"), "rep")
