@@ -37,9 +37,19 @@ def clean_note(c: Column) -> Column:
     x = F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
     low = F.lower(x)
     empty = low.isin("", *K.MEANINGLESS) | reduce(lambda a, b: a | b, (F.startswith(low, F.lit(p)) for p in K.SYSTEM_PREFIXES)) | any_match(x, K.BOILERPLATE)
-    said = F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: ~any_match(s, K.BOILERPLATE) & (text_key(s) != ""))
-    keys = F.transform(said, text_key)
-    kept = F.array_join(F.transform(F.filter(said, lambda s, i: F.array_position(keys, text_key(s)) == i + 1), F.trim), " ")
+    said = F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: ~any_match(s, K.BOILERPLATE))
+    keyed = F.filter(F.transform(said, lambda s: F.struct(text_key(s).alias("k"), F.trim(s).alias("t"))), lambda p: p["k"] != "")
+
+    def firsts(arr: Column) -> Column:
+        """The first sentence of each key; ``arr`` is bound once, so that keys aren't made again for each sentence."""
+        return F.aggregate(
+            arr,
+            F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out")),
+            lambda acc, p: F.when(F.array_contains(acc["seen"], p["k"]), acc).otherwise(F.struct(F.array_append(acc["seen"], p["k"]).alias("seen"), F.array_append(acc["out"], p["t"]).alias("out"))),
+            lambda acc: F.array_join(acc["out"], " "),
+        )
+
+    kept = firsts(keyed)
     return F.when(empty | (F.length(F.regexp_replace(kept, r"(?U)\W", "")) < 8), "").otherwise(kept)
 
 
