@@ -24,8 +24,8 @@ from .shared import fmix, save, table, utf8
 
 SPAN, GRAM = 400, 32
 #: Regions of a shard; a region has up to 2 * SPAN bytes.
-SHARD = 3000
-_BUFFER = 1 << 22  # bytes that a task scans at once; longer texts are scanned alone
+SHARD = 1500
+_BUFFER = 1 << 20  # bytes that a task scans at once; longer texts are scanned alone
 _POS = np.uint64((1 << 30) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}

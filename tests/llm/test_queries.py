@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from faultline.llm import exact_dedup, language_id, mixing
+from faultline.llm import language_id, mixing
 from faultline.llm.queries import QUERIES, SQL
 
 from .test_operators import brute_components
@@ -55,4 +55,5 @@ def test_pipeline_stages(spark, sf):
             assert left == {r.doc_id for r in mixing.mix_sources(before).collect() if r.mix_sampled}
         else:
             assert left == set(old)
-    assert exact_dedup.DIGITS and corpus_pipeline.run(spark, sf).count() == docs.count()
+    total = lambda df: {(r[0], r[1]) for r in df.groupBy("doc_id").agg({"length": "sum"}).collect()}  # noqa: E731  where pieces are cut depends on the partitions
+    assert total(corpus_pipeline.run(spark, sf)) == total(docs)
