@@ -4,7 +4,8 @@ Documents are counted into cells (source, language, topic). Every category outsi
 ``other``, so the number of cells is bounded by the targets alone, whatever the corpus size; that bound makes the
 one-partition fitting and the broadcast of the fitted cells safe. Raking scales the cells' token weights to one
 marginal after another; a closed-form calibration then turns weights into probabilities with the asked-for
-expected number of tokens, and a hash of the id samples the documents.
+expected number of tokens, and a hash of the id samples the documents. Cells whose weight asks for more tokens than
+they hold are resampled: their documents are repeated, so that the expected shares of what is kept are the raked ones.
 """
 
 from __future__ import annotations
@@ -80,10 +81,12 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = R
 
 
 def calibrate(cells: DataFrame, keep_tokens: float) -> DataFrame:
-    """Adds ``probability`` = min(1, c * weight / tokens), with c such that keep_tokens of all tokens are expected.
+    """Adds ``probability`` = min(1, rate) and ``rate`` = c * weight / tokens, the expected copies of a document.
 
-    Cells in ascending order of tokens / weight reach 1 first; c follows from running sums. If the cells with any
-    weight hold fewer tokens than asked for, each of them gets 1.
+    c is such that keep_tokens of all tokens are expected without their copies. Cells in ascending order of
+    tokens / weight reach 1 first; c follows from running sums. Tokens times rate has the shares of the weights
+    exactly. If the cells with any weight hold fewer tokens than asked for, each of them gets probability 1 and a
+    rate of 1 or more, with c the number of tokens asked for; only then do the shares fall short.
     """
     order = (F.try_divide(F.col("tokens").cast("double"), F.col("weight")).asc_nulls_last(), *(c for c in cells.columns if c not in ("tokens", "weight")))
     up_to = Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -99,15 +102,17 @@ def calibrate(cells: DataFrame, keep_tokens: float) -> DataFrame:
     c = F.max(F.when(F.col("ratio") == F.col("from_ratio"), F.col("c_here"))).over(whole)
     out = out.withColumn("c", c)
     p = F.when(F.col("weight") <= 0, 0.0).when(F.col("from_ratio").isNull(), 1.0).when(F.col("ratio") < F.col("from_ratio"), 1.0).otherwise(F.least(F.lit(1.0), F.col("c") / F.col("ratio")))
-    return out.withColumn("probability", p).drop("ratio", "t_before", "w_after", "c_here", "from_ratio", "c")
+    rate = F.when(F.col("weight") <= 0, 0.0).when(p < 1, p).otherwise(F.greatest(F.lit(1.0), F.coalesce("c", want) / F.col("ratio")))
+    return out.withColumn("probability", p).withColumn("rate", rate).drop("ratio", "t_before", "w_after", "c_here", "from_ratio", "c")
 
 
 def mix_sources(
     docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep_tokens: float = KEEP_TOKENS, rounds: int = ROUNDS, seed: str = SEED, text: str = "text", doc_id: str = "doc_id"
 ) -> DataFrame:
-    """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_probability and mix_sampled.
+    """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_probability, mix_rate, mix_sampled and mix_copies.
 
-    mix_weight is the raked share of the document's cell. Nulls and categories without a target count as
+    mix_weight is the raked share of the document's cell, and mix_copies how often the document is taken: 0 if it
+    isn't sampled, mix_rate on average. Nulls and categories without a target count as
     ``other``, whose target is 0 unless given, so such documents get probability 0. Null texts count as empty.
     Repeated rows with one id share one decision. An empty table gives an empty result.
     """
@@ -119,15 +124,18 @@ def mix_sources(
     placed = placed.withColumn("mix_tokens", tokens_of(F.col(text)))
     cells = placed.groupBy(*(F.col(f"mix_{c}").alias(c) for c in targets)).agg(F.sum("mix_tokens").alias("tokens"))
     fitted = calibrate(rake(cells, targets, rounds), keep_tokens)
-    fitted = fitted.select(*(F.col(c).alias(f"mix_{c}") for c in targets), F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"))
+    fitted = fitted.select(*(F.col(c).alias(f"mix_{c}") for c in targets), F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"), F.col("rate").alias("mix_rate"))
     # bounded by the targets: (categories + 1) multiplied over the margins
     out = placed.join(F.broadcast(fitted), [f"mix_{c}" for c in targets])
-    return out.withColumn("mix_sampled", unit_hash(F.col(doc_id), seed) < F.col("mix_probability"))
+    unit, whole = unit_hash(F.col(doc_id), seed), F.floor("mix_rate")
+    copies = whole + (unit < F.col("mix_rate") - whole).cast("long")
+    return out.withColumn("mix_sampled", unit < F.col("mix_probability")).withColumn("mix_copies", copies)
 
 
 def keep_sampled(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``docs`` with the columns of ``docs``."""
-    return mix_sources(docs, **options).filter("mix_sampled").select(*docs.columns)
+    """The sampled rows of ``docs``, each as often as mix_copies says, with the columns of ``docs``."""
+    mixed = mix_sources(docs, **options).filter("mix_sampled")
+    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,26 @@ def test_raking_meets_margins(spark):
     assert all(0 <= r.probability <= 1 for r in out)
 
 
+def test_taken_rows_meet_targets(spark):
+    """A source with far too few tokens for its target: the rows taken, with their copies, have the shares aimed at."""
+    rows = [(i, f"text {i} of its own", ("fr", "en")[i % 3 > 0], "src0" if i % 20 == 0 else f"src{i % 19 + 1}", 1) for i in range(6000)]
+    df = spark.createDataFrame(rows, DOCS)
+    mixed = mixing.mix_sources(df).collect()
+    for c, raw in mixing.TARGETS.items():
+        expected, taken, raked = Counter(), Counter(), {}
+        for r in mixed:
+            k = r[f"mix_{c}"]
+            expected[k] += r.mix_tokens * r.mix_rate
+            taken[k] += r.mix_tokens * r.mix_copies
+        aims = {k: v / sum(raw[x] for x in expected) for k, v in raw.items() if k in expected}
+        for k, v in aims.items():
+            assert expected[k] / expected.total() == pytest.approx(v, abs=1e-6)
+            assert taken[k] / taken.total() == pytest.approx(v, abs=0.01)
+    assert all(r.mix_sampled == (r.mix_copies > 0) for r in mixed) and max(r.mix_copies for r in mixed) > 1
+    kept = Counter(r.doc_id for r in mixing.keep_sampled(df).collect())
+    assert kept == {r.doc_id: r.mix_copies for r in mixed if r.mix_copies}
+
+
 def test_mixing_edges(docs, empty):
     got = {r.doc_id: r for r in mixing.mix_sources(clashing(docs)).collect()}
     assert len(got) == 18 and got[2].mix_source == "other" and got[2].mix_probability == 0
