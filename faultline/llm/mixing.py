@@ -56,9 +56,11 @@ def unit_hash(doc_id: F.Column, seed: str) -> F.Column:
     return F.conv(h, 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = ROUNDS, keep_other: bool = False) -> DataFrame:
     """Iterative proportional fitting: ``cells`` (the target columns, tokens) gains ``weight``, which sums to 1.
 
+    With ``keep_other``, ``other`` keeps its share of the tokens in each margin for which no target of it is given,
+    and the targets share what is left.
     All windows run over one partition; ``cells`` must be bounded by the targets, as ``mix_sources`` makes it.
     """
     out = cells.coalesce(1).withColumn("weight", F.col("tokens").cast("double"))
@@ -72,6 +74,10 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]], rounds: int = R
         out = out.withColumn(f"one_{c}", F.when(first, F.col(f"aim_{c}")).otherwise(0.0))
     for c in targets:
         out = out.withColumn(f"aim_{c}", F.try_divide(F.col(f"aim_{c}"), F.sum(f"one_{c}").over(Window.partitionBy(F.lit(1)))))
+        if keep_other and OTHER not in targets[c]:
+            tokens, one = F.col("tokens").cast("double"), Window.partitionBy(F.lit(1))
+            rest = F.coalesce(F.try_divide(F.sum(F.when(F.col(c) == OTHER, tokens).otherwise(0.0)).over(one), F.sum(tokens).over(one)), F.lit(0.0))
+            out = out.withColumn("rest", rest).withColumn(f"aim_{c}", F.when(F.col(c) == OTHER, F.col("rest")).otherwise(F.col(f"aim_{c}") * (1.0 - F.col("rest"))))
     for _ in range(rounds):
         for c in targets:
             have = F.sum("weight").over(Window.partitionBy(c))
@@ -107,13 +113,14 @@ def calibrate(cells: DataFrame, keep_tokens: float) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep_tokens: float = KEEP_TOKENS, rounds: int = ROUNDS, seed: str = SEED, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep_tokens: float = KEEP_TOKENS, rounds: int = ROUNDS, seed: str = SEED, text: str = "text", doc_id: str = "doc_id", keep_other: bool = False
 ) -> DataFrame:
     """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_probability, mix_rate, mix_sampled and mix_copies.
 
     mix_weight is the raked share of the document's cell, and mix_copies how often the document is taken: 0 if it
     isn't sampled, mix_rate on average. Nulls and categories without a target count as
-    ``other``, whose target is 0 unless given, so such documents get probability 0. Null texts count as empty.
+    ``other``. Its target is its own share of the tokens with ``keep_other``, as in op1 and the pipeline; without, it is
+    0 unless given, and such documents get probability 0. Null texts count as empty.
     Repeated rows with one id share one decision. An empty table gives an empty result.
     """
     targets = targets or TARGETS
@@ -123,7 +130,7 @@ def mix_sources(
         placed = placed.withColumn(f"mix_{c}", F.when(columns[c].isin(*shares), columns[c]).otherwise(F.lit(OTHER)))
     placed = placed.withColumn("mix_tokens", tokens_of(F.col(text)))
     cells = placed.groupBy(*(F.col(f"mix_{c}").alias(c) for c in targets)).agg(F.sum("mix_tokens").alias("tokens"))
-    fitted = calibrate(rake(cells, targets, rounds), keep_tokens)
+    fitted = calibrate(rake(cells, targets, rounds, keep_other), keep_tokens)
     fitted = fitted.select(*(F.col(c).alias(f"mix_{c}") for c in targets), F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"), F.col("rate").alias("mix_rate"))
     # bounded by the targets: (categories + 1) multiplied over the margins
     out = placed.join(F.broadcast(fitted), [f"mix_{c}" for c in targets])
@@ -134,12 +141,12 @@ def mix_sources(
 
 def keep_sampled(docs: DataFrame, **options) -> DataFrame:
     """The sampled rows of ``docs``, each as often as mix_copies says, with the columns of ``docs``."""
-    mixed = mix_sources(docs, **options).filter("mix_sampled")
+    mixed = mix_sources(docs, **{"keep_other": True} | options).filter("mix_sampled")
     return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix_sources(table(spark, sf_dir, "documents"))
+    out = mix_sources(table(spark, sf_dir, "documents"), keep_other=True)
     return out.select(
         "doc_id", "mix_source", "mix_lang", "mix_topic", F.col("mix_tokens").alias("tokens"),
         F.round("mix_weight", 8).alias("weight"), F.round("mix_probability", 8).alias("probability"), F.col("mix_sampled").alias("sampled"),

@@ -121,6 +121,28 @@ def test_taken_rows_meet_targets(spark):
     assert kept == {r.doc_id: r.mix_copies for r in mixed if r.mix_copies}
 
 
+def test_unlisted_categories_keep_rows(spark, tmp_path):
+    """Null and unlisted sources and languages are sampled like the rest, in op1 and in the pipeline's stage."""
+    rows = [(i, f"text {i} of its own", (None, "it", "en", "fr", "de")[i % 5], (None, "src20", "src0", "src1", "src2", "src3", "src4")[i % 7], 1) for i in range(3500)]
+    df = spark.createDataFrame(rows, DOCS)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op1_mix_sources(spark, str(tmp_path)).collect()
+    taken = mixing.mix_sources(df, keep_other=True).collect()
+    assert {r.doc_id for r in got if r.sampled} == {r.doc_id for r in taken if r.mix_sampled} == {r.doc_id for r in mixing.keep_sampled(df).collect()}
+    whole = sum(r.mix_tokens for r in taken)
+    for c in ("source", "lang"):
+        have = sum(r.mix_tokens for r in taken if r[f"mix_{c}"] == "other") / whole
+        expected = sum(r.mix_tokens * r.mix_rate for r in taken if r[f"mix_{c}"] == "other") / sum(r.mix_tokens * r.mix_rate for r in taken)
+        assert have > 0.2 and expected == pytest.approx(have, abs=1e-6)
+    kept = {(rows[r.doc_id][2], rows[r.doc_id][3]) for r in got if r.sampled}
+    assert {(None, None), (None, "src20"), ("it", None), ("it", "src20"), ("en", "src20"), (None, "src1")} <= kept
+
+
+def test_all_unlisted_keeps_rows(spark):
+    df = spark.createDataFrame([(i, "some text", None, None, 1) for i in range(500)], DOCS)
+    assert 400 < mixing.keep_sampled(df).count() < 500
+
+
 def test_mixing_edges(docs, empty):
     got = {r.doc_id: r for r in mixing.mix_sources(clashing(docs)).collect()}
     assert len(got) == 18 and got[2].mix_source == "other" and got[2].mix_probability == 0
