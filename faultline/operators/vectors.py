@@ -68,6 +68,17 @@ def query_top_k(weights: DataFrame, query_terms: DataFrame, k: int = 10) -> Data
     return score.filter("score > 0").orderBy(F.desc("score"), "doc").limit(k)
 
 
+def queries_top_k(weights: DataFrame, query_terms: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, doc, score, rank) of the ``k`` documents nearest to each query. ``query_terms``: query_id, term, w.
+
+    Queries meet documents by their terms in a shuffled join, so neither side has to be small.
+    """
+    q = query_terms.select("query_id", "term", F.col("w").alias("q"))
+    score = weights.join(q, "term").groupBy("query_id", "doc").agg(F.sum(F.col("w") * F.col("q")).alias("score")).filter("score > 0")
+    at = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
+    return score.withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= k)
+
+
 # ---- dense vectors ----
 
 

@@ -238,7 +238,7 @@ def c10(spark, sf):
 
 @query("c11_phrases")
 def c11(spark, sf):
-    return vectors.phrases(table(spark, sf, "benchmark"), "item_id", "text").select("term", "documents", r6(F.col("score"), "score"))
+    return vectors.phrases(table(spark, sf, "documents"), "doc_id", "text").select("term", "documents", r6(F.col("score"), "score"))
 
 
 @query("c13_excerpts", "SELECT CAST(conv_id AS VARCHAR) AS work_order_id, substr(string_agg(text, ' ' ORDER BY turn, text), 1, 180) AS excerpt FROM conversations GROUP BY 1")
@@ -390,6 +390,38 @@ def e8(spark, sf):
     return vectors.dense_top_k(e, q, 5, F.col("label") == 2).select("query_id", "vec_id", r6(F.col("score"), "score"))
 
 
+#: The whole query set: every row whose id this divides, against all rows. No SQL: it would take too long.
+EVERY = 50
+
+
+@query("e1_tfidf_notes")
+def e1_notes(spark, sf):
+    return vectors.fit(table(spark, sf, "documents"), "doc_id", "text").select("doc", "term", r6(F.col("w"), "w"))
+
+
+@query("e3_query_top_k_notes")
+def e3_notes(spark, sf):
+    w = vectors.fit(table(spark, sf, "documents"), "doc_id", "text")
+    q = w.filter(F.col("doc") % EVERY == 0).withColumnRenamed("doc", "query_id")
+    return vectors.queries_top_k(w, q).select("query_id", "doc", r6(F.col("score"), "score"))
+
+
+def dense_queries(e):
+    return e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+
+
+@query("e4_dense_top_k_all")
+def e4_all(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return vectors.dense_top_k(e, dense_queries(e)).select("query_id", "vec_id", r6(F.col("score"), "score"))
+
+
+@query("e8_filtered_search_all")
+def e8_all(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return vectors.dense_top_k(e, dense_queries(e), 5, F.col("label") == 2).select("query_id", "vec_id", r6(F.col("score"), "score"))
+
+
 # ---- F: joins ----
 
 

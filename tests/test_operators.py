@@ -1,12 +1,15 @@
 """Operators on small inline rows, with the expected results of the inventory's fixtures."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from faultline import constants as K
+from faultline import queries as Q
 from faultline.functions import classify as C
 from faultline.functions import text as X
 from faultline.functions import values as V
@@ -14,6 +17,7 @@ from faultline.operators import calibration, features, grouping, insight, normal
 from faultline.sources import tables
 
 T0 = datetime(2024, 1, 1)
+X_WORDS = re.compile(r"\b(\w\w+)\b")
 
 
 def one(spark, value, f, kind="string"):
@@ -230,3 +234,38 @@ def test_search_parsing():
 
 def test_rules_cover_families():
     assert {r[0] for r in K.RULES} == {*K.FAMILIES, K.UNKNOWN}
+
+
+def test_searches_cover_the_query_set(spark, sf):
+    """Every id that 50 divides has its own top-k over all rows, dense and by terms."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    ids, labels = np.array([r.vec_id for r in e]), np.array([r.label for r in e])
+    v = np.array([r.embedding for r in e], dtype=float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+
+    def best(pairs, k):
+        return [d for _, d in sorted((-round(s, 9), d) for d, s in pairs)[:k]]
+
+    for name, k, able in (("e4_dense_top_k_all", 10, labels >= -1), ("e8_filtered_search_all", 5, labels == 2)):
+        got = {}
+        for r in sorted(Q.QUERIES[name](spark, sf).collect(), key=lambda r: (-r.score, r.vec_id)):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert set(got) == {int(i) for i in ids if i % 50 == 0} and len(got) > 3
+        for i in np.flatnonzero(ids % 50 == 0):
+            assert set(got[ids[i]]) == set(best(zip(ids[able].tolist(), v[able] @ v[i]), k))
+    weights = {}
+    for r in vectors.fit(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text").collect():
+        weights.setdefault(r.doc, {})[r.term] = r.w
+    got = {}
+    for r in Q.QUERIES["e3_query_top_k_notes"](spark, sf).collect():
+        got.setdefault(r.query_id, set()).add(r.doc)
+    assert set(got) == {d for d in weights if d % 50 == 0}
+    for d, found in got.items():
+        scores = ((o, sum(w * weights[d].get(t, 0.0) for t, w in terms.items())) for o, terms in weights.items())
+        assert found == set(best((x for x in scores if x[1] > 0), 10))
+
+
+def test_phrases_are_those_of_the_notes(spark, sf):
+    notes = [" ".join(w for w in X_WORDS.findall((r.text or "").lower()) if w not in vectors.STOP_WORDS) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = Q.QUERIES["c11_phrases"](spark, sf).collect()
+    assert got and all(r.documents == sum(f" {r.term} " in f" {n} " for n in notes) for r in got)
