@@ -269,3 +269,26 @@ def test_phrases_are_those_of_the_notes(spark, sf):
     notes = [" ".join(w for w in X_WORDS.findall((r.text or "").lower()) if w not in vectors.STOP_WORDS) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = Q.QUERIES["c11_phrases"](spark, sf).collect()
     assert got and all(r.documents == sum(f" {r.term} " in f" {n} " for n in notes) for r in got)
+
+
+def test_d4_reaches_every_method(spark, tmp_path):
+    """The bench taxonomy over a fixture: keyword votes by brute force, and exemplars where no keyword counts."""
+    texts = ["The station and the thing", "action", "moment que", "xyz", None, "", "THE END", "nothing to mention, que", "of the and to", "der und den", "das ein", "und das"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.key: r for r in Q.d4(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    assert [(got[i].family, got[i].method) for i in (9, 10)] == [("nouns", "tfidf"), ("neuters", "tfidf")] and got[11].method in ("tfidf", "below_family_margin")
+    for i, t in enumerate(texts[:9]):
+        low, best = (t or "").lower(), (0, None)
+        able = [f for f, (_, _, p) in Q.BENCH.items() if re.search(p, low)]
+        for f in able:
+            n = sum(low.count(w) for w in Q.BENCH[f][0])
+            best = (n, f) if n > best[0] else best
+        assert got[i].method == ("exact_corpus_trigger" if able else "no_supported_family") and got[i].family == (best[1] or K.UNKNOWN)
+    # keywords that don't occur leave the decision to the exemplars
+    shelf = {"a": (("zzz",), ("red apple", "green apple"), "fruit"), "b": (("zzz",), ("red brick", "grey brick"), "fruit|stone")}
+    notes = ["fruit apple", "stone brick", "fruit red", "fruit " + "apple " + " ".join(f"word{i}" for i in range(9)) + " red", "fruit", "other"]
+    df = spark.createDataFrame(list(enumerate(notes)), "doc_id long, text string")
+    found = {r.key: r for r in C.classify(df, "doc_id", "text", shelf).collect()}
+    assert [found[i].method for i in (0, 1, 2, 4, 5)] == ["tfidf", "tfidf", "below_family_margin", "no_match", "no_supported_family"]
+    assert (found[0].family, found[1].family, found[2].family) == ("a", "b", K.UNKNOWN)
