@@ -539,8 +539,10 @@ def g8(spark, sf):
 
 def confidence(spark, sf):
     m = members(spark, sf).select("incident_id", "work_order_id", "occurred_at", "family", F.col("primary_asset_keys").alias("own"), (F.col("value") > 10).alias("noted"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("trigger_score"), "signal")
-    none = m.select("incident_id", F.lit(0.5).alias("semantic")).limit(0)
-    return scoring.confidence(incidents(spark, sf), m, none)
+    at = m.select("incident_id", "work_order_id")
+    inside = pairs.admitted(edges(spark, sf)).select("source", "target", "semantic").join(at.withColumnRenamed("work_order_id", "source"), "source")
+    inside = inside.join(at.withColumnRenamed("work_order_id", "target"), ["incident_id", "target"]).select("incident_id", "semantic")
+    return scoring.confidence(incidents(spark, sf), m, inside)
 
 
 @query("h1_confidence")

@@ -292,3 +292,16 @@ def test_d4_reaches_every_method(spark, tmp_path):
     found = {r.key: r for r in C.classify(df, "doc_id", "text", shelf).collect()}
     assert [found[i].method for i in (0, 1, 2, 4, 5)] == ["tfidf", "tfidf", "below_family_margin", "no_match", "no_supported_family"]
     assert (found[0].family, found[1].family, found[2].family) == ("a", "b", K.UNKNOWN)
+
+
+def test_confidence_takes_the_edges_of_incidents(spark, sf):
+    home = {r.work_order_id: r.incident_id for r in Q.members(spark, sf).select("work_order_id", "incident_id").collect()}
+    by = {}
+    for r in pairs.admitted(Q.edges(spark, sf)).select("source", "target", "semantic").collect():
+        if home.get(r.source) is not None and home[r.source] == home.get(r.target):
+            by.setdefault(home[r.source], []).append(r.semantic)
+    got = {r.incident_id: r.semantic_consistency for r in Q.confidence(spark, sf).collect()}
+    assert by and set(got) == set(home.values())
+    for i, s in got.items():
+        assert s == pytest.approx(np.mean(by[i]) if i in by else 0.40)
+    assert any(abs(s - 0.40) > 0.01 for s in got.values())
