@@ -25,27 +25,23 @@ DIGITS = (192, 2048, 16384, 131072)
 def radix_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digits: tuple[int, ...] = DIGITS) -> DataFrame:
     """Members of every group of two or more equal texts: doc_id, sha256, keep_id (largest id), group_size.
 
-    Null texts are equal to empty ones. No row for a text that occurs once.
+    Null texts are equal to empty ones. No row for a text that occurs once. A group's number comes from the saved
+    table of the round that split it, so that groups stay apart whatever ids they hold: one id with two texts, or none.
     """
     live = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(-1).cast("long").alias("node"), utf8(text).alias("body"))
     done: DataFrame | None = None
     at = 0
     for width in chain(digits, repeat(digits[-1])):
         dealt = live.withColumn("digit", F.substring("body", at + 1, width))
-        split = (
-            dealt.groupBy("node", "digit")
-            .agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-            .filter("n > 1")
-            .withColumnsRenamed({"node": "in_node", "digit": "by"})
-        )
-        # a null-safe node: a group of rows without an id has none either
-        kept = dealt.join(split, F.col("node").eqNullSafe(F.col("in_node")) & (F.col("digit") == F.col("by")))
+        split = dealt.groupBy("node", "digit").agg(F.count("*").alias("n"), F.max("doc_id").alias("hi")).filter("n > 1")
+        split = save(split.withColumn("group", F.monotonically_increasing_id()), f"split{at}").withColumnsRenamed({"node": "in_node", "digit": "by"})
+        kept = dealt.join(split, (F.col("node") == F.col("in_node")) & (F.col("digit") == F.col("by")))
         ended = F.octet_length("digit") < width
         kept = save(
             kept.select(
                 "doc_id",
                 ended.alias("ended"),
-                F.col("lo").alias("node"),
+                F.col("group").alias("node"),
                 "hi",
                 F.col("n").alias("group_size"),
                 F.when(ended, F.sha2("body", 256)).alias("sha256"),
@@ -66,7 +62,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays. Null counts as empty. A row given twice with one id is
-    one document: both copies count in group_size and carry the same verdict. An empty table gives no rows.
+    one document: both copies count in group_size and carry the same verdict. One id with two texts is two documents.
+    Rows without an id that share their text with no row that has one are kept, with a null keep_id. An empty table
+    gives no rows.
     """
     classes = radix_classes(docs, text, doc_id, digits).dropDuplicates(["doc_id", "sha256"])
     c = classes.select(F.col("doc_id").alias("c_id"), F.col("sha256").alias("c_sha"), "keep_id", "group_size")
@@ -82,10 +80,31 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     )
 
 
+def without_rows(docs: DataFrame, gone: DataFrame, again: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``gone``, and one row of each (id, text) of ``again``; all columns stay.
+
+    Both tables hold (gone_id, gone_sha): the null-safe id and the SHA-256 of the text as UTF-8, null as empty.
+    """
+    # the row travels as one column, so that no name of docs can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.sha2(utf8("text"), 256).alias("own_sha"))
+    same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_sha") == F.col("gone_sha"))
+    left = rows.join(gone, same, "left_anti")
+    if not again.isEmpty():
+        once = left.join(again, same, "left_semi").groupBy("own_id", "own_sha").agg(F.first("row").alias("row"))
+        left = left.join(again, same, "left_anti").unionByName(once.select("row", "own_id", "own_sha"))
+    return left.select("row.*")
+
+
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text a row with a larger doc_id repeats; all columns stay."""
-    gone = radix_classes(docs).filter(~F.col("keep_id").eqNullSafe(F.col("doc_id"))).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of ``docs`` for each distinct text, that with the largest doc_id; all columns stay.
+
+    Null counts as empty. Rows without an id give way to rows with one. Of rows that repeat id and text, or of rows
+    without an id, any one stays. One id with two texts is two documents. An empty table gives no rows.
+    """
+    classes = radix_classes(docs).withColumn("stays", F.col("keep_id").eqNullSafe(F.col("doc_id")))
+    key = [F.col("doc_id").alias("gone_id"), F.col("sha256").alias("gone_sha")]
+    counted = save(classes.groupBy(*key, "stays").agg(F.count("*").alias("n")), "exact")
+    return without_rows(docs, counted.filter("NOT stays").select("gone_id", "gone_sha"), counted.filter("stays AND n > 1").select("gone_id", "gone_sha"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

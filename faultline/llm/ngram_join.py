@@ -7,6 +7,11 @@ components of these ties contain every link. Within a component, members are the
 OR-combined bitmaps and size ranges; a traversal of node pairs drops those whose largest possible overlap is too
 small, and what remains is counted exactly.
 
+A shingle that more than ``BLOCK`` classes have in their prefix is not left there: the classes it touches are read
+again, every shingle that more than ``BLOCK`` of them hold goes to the end of the one global order, and their
+prefixes are taken anew. So a passage that many otherwise different documents share ties none of them, and only
+documents that consist of such shingles for the most part, as large groups of near copies do, meet as a whole.
+
 A component larger than ``BLOCK`` is dealt out in blocks: each block meets itself and a pivot block; members that
 are still outside the component's largest group then meet every block. No link between different texts is lost,
 and the copied rows grow with the outsiders and not with the square of a group of near copies.
@@ -24,12 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import fmix, save, table
+from .exact_dedup import without_rows
+from .shared import fmix, save, table, utf8
 
 WORDS, PERCENT = 4, 85  # of op7; near-duplicate stages take five words and 80 percent
 BUCKETS, CHUNKS = 1 << 20, 256  # hash buckets of the frequency table, and the parts it is summed in
 BLOCK = 1000
 LEAF, FAN = 8, 8
+FEW = 48  # members of a prefix shingle's group up to which they are compared one by one
+MOST_COMMON = 1 << 20  # shingles of 8 bytes that may be broadcast
 _K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
@@ -95,27 +103,42 @@ def bitmap_of(x: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-SETS = "doc_id long, n_shingles long, set_hash binary, prefix binary, bitmap binary"
+SETS = "doc_id long, sha string, n_shingles long, set_hash binary, prefix binary, bitmap binary"
 
 
-def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for an empty set), the prefix and the bitmap of every document."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_buckets(docs, words))
+def prefix_of(x: np.ndarray, late: np.ndarray, common: np.ndarray, percent: int) -> bytes:
+    """The first shingles of a set in the global order: rare ones, those of frequent buckets, common ones; by hash."""
+    back = late[(x >> np.uint64(44)).astype(np.int64)]
+    if len(common):
+        held = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
+        parts = [x[~back & ~held], x[back & ~held], x[held]]
+    else:
+        parts = [x[~back], x[back]]
+    return np.concatenate(parts)[: prefix_length(len(x), percent)].tobytes()
+
+
+def shingle_table(docs: DataFrame, words: int, percent: int, frequent) -> DataFrame:
+    """doc_id, sha (of the text), n_shingles, set_hash (null for an empty set), the prefix and the bitmap of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
+        late, none = frequent.value, np.zeros(0, np.uint64)
         for batch in batches:
             sizes, hashes, prefixes, bitmaps = [], [], [], []
             for text in batch["text"]:
                 x = shingles(text.as_py(), words)
                 sizes.append(len(x))
                 hashes.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-                back = late[(x >> np.uint64(44)).astype(np.int64)]
                 bitmaps.append(bitmap_of(x) if len(x) else None)
-                prefixes.append(np.concatenate([x[~back], x[back]])[: prefix_length(len(x), percent)].tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(bitmaps, pa.binary())], ["doc_id", "n_shingles", "set_hash", "prefix", "bitmap"])
+                prefixes.append(prefix_of(x, late, none, percent) if len(x) else None)
+            columns = [pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (hashes, prefixes, bitmaps))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["sha"], *columns], [x.split()[0] for x in SETS.split(", ")])
+
+    return save(identified(docs).mapInArrow(run, SETS), "shingles")
+
 
-    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS), "shingles")
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, sha, text of every row; the first two tell all different documents apart, with or without an id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(utf8("text"), 256).alias("sha"), "text")
 
 
 def _explode_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,33 +149,75 @@ def _explode_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(ids, [len(p) // 8 for p in packed]))], ["token", "rep"])
 
 
+def _fold(bits: int, width: int, to: int) -> int:
+    while width > to:
+        width >>= 1
+        bits = (bits >> width) | (bits & ((1 << width) - 1))
+    return bits
+
+
+def _tie_few(rows: list[tuple[int, int, int, int]], percent: int) -> list[int]:
+    """rows: (size, rep, width, bits) by size. A number for each, equal where a path of possible links exists."""
+    root = list(range(len(rows)))
+    for i, (n, _, width, bits) in enumerate(rows):
+        own = bits.bit_count()
+        for j in range(i + 1, len(rows)):
+            m, _, other, theirs = rows[j]
+            if 100 * n < percent * m:
+                break  # sizes only grow
+            if root[i] == root[j]:
+                continue
+            if other > width:
+                theirs = _fold(theirs, other, width)
+            common = (bits & theirs).bit_count()
+            most = min(n - own + common, m - theirs.bit_count() + common)
+            if (100 + percent) * most >= percent * (n + m):
+                a, b = root[i], root[j]
+                root = [a if r == b else r for r in root]
+    return root
+
+
+def _tie_many(rows: list[tuple[int, int, int, int]], percent: int) -> np.ndarray:
+    """As ``_tie_few``, by a signature tree over the members of each bitmap width and the next one, folded."""
+    widths = np.array([r[2] for r in rows])
+    sizes = np.array([r[0] for r in rows], np.int64)
+    root = np.arange(len(rows))
+    for width in np.unique(widths).tolist():
+        # similar sets differ in width by a factor of two at most
+        at = np.flatnonzero((widths == width) | (widths == 2 * width))
+        packed = b"".join(_fold(rows[k][3], rows[k][2], width).to_bytes(width // 8, "little") for k in at)
+        bitmaps = np.frombuffer(packed, np.uint64).reshape(len(at), width // 64)
+        order = np.lexsort((sizes[at], bitmaps[:, 0]))
+        at, bitmaps = at[order], bitmaps[order]
+        tree = _Tree(bitmaps, sizes[at])
+        if len(at) < 2:
+            continue
+        li, lj = tree.pairs(percent) if len(at) > LEAF else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+        for part in np.array_split(np.arange(len(li)), max(1, len(li) // 4096)):
+            i, j = tree.expand(1, li[part], lj[part])
+            # two of the next width meet unfolded in their own turn
+            keep = (i < j) & (root[at[i]] != root[at[j]]) & (np.minimum(widths[at[i]], widths[at[j]]) == width)
+            i, j = i[keep], j[keep]
+            keep = tree.possible(0, i, j, percent)
+            u, v = at[i[keep]], at[j[keep]]
+            while len(u):
+                low = np.minimum(root[u], root[v])
+                np.minimum.at(root, root[u], low)
+                np.minimum.at(root, root[v], low)
+                root = root[root]
+                still = root[u] != root[v]
+                u, v = u[still], v[still]
+    while (root != root[root]).any():
+        root = root[root]
+    return root
+
+
 def _tie_members(percent: int):
     """Rows sorted by token: token, rep, n, bitmap. Out: (u, v) so that every pair that may link is tied by a path."""
 
-    def fold(bits: int, width: int, to: int) -> int:
-        while width > to:
-            width >>= 1
-            bits = (bits >> width) | (bits & ((1 << width) - 1))
-        return bits
-
     def solve(rows: list[tuple[int, int, bytes]]) -> set[tuple[int, int]]:
         rows = sorted((n, rep, 8 * len(b), int.from_bytes(b, "little")) for rep, n, b in rows)
-        root = list(range(len(rows)))
-        for i, (n, _, width, bits) in enumerate(rows):
-            counts = {width: bits.bit_count()}
-            for j in range(i + 1, len(rows)):
-                m, _, other, theirs = rows[j]
-                if 100 * n < percent * m:
-                    break  # sizes only grow
-                if root[i] == root[j]:
-                    continue
-                if other > width:
-                    theirs = fold(theirs, other, width)
-                common = (bits & theirs).bit_count()
-                most = min(n - counts[width] + common, m - theirs.bit_count() + common)
-                if (100 + percent) * most >= percent * (n + m):
-                    a, b = root[i], root[j]
-                    root = [a if r == b else r for r in root]
+        root = _tie_few(rows, percent) if len(rows) <= FEW else _tie_many(rows, percent).tolist()
         first: dict[int, int] = {}
         ties = set()
         for k, r in enumerate(root):
@@ -181,6 +246,62 @@ def _tie_members(percent: int):
     return run
 
 
+def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a batch hold each shingle."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            token, n = np.unique(np.frombuffer(b"".join(batch["shingles"][at : at + 512].to_pylist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(n)], ["token", "n"])
+
+
+def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            ids, packed = batch["rep"][at : at + 256].to_numpy(), batch["shingles"][at : at + 256].to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), np.int64)), pa.array(np.repeat(ids, [len(p) // 8 for p in packed]))], ["token", "rep"])
+
+
+def _new_prefixes(frequent, percent: int, common=None):
+    """rep, shingles (and held, the packed common ones among them, if they aren't broadcast) to rep, fresh."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = frequent.value
+        for batch in batches:
+            fresh = []
+            for k, packed in enumerate(batch["shingles"]):
+                held = common.value if common is not None else np.sort(np.array(batch["held"][k].as_py() or (), np.int64).view(np.uint64))
+                fresh.append(prefix_of(np.frombuffer(packed.as_py(), np.uint64), late, held, percent))
+            yield pa.RecordBatch.from_arrays([batch["rep"], pa.array(fresh, pa.binary())], ["rep", "fresh"])
+
+    return run
+
+
+def spread_prefixes(reps: DataFrame, sets_of, frequent, percent: int, block: int, most: int = MOST_COMMON) -> DataFrame:
+    """``reps`` (rep, n, prefix, bitmap) with prefixes in which shingles held by more than ``block`` classes come last.
+
+    ``sets_of`` gives (rep, shingles) for a table of reps. Only classes with such a shingle in their prefix are read
+    again: with all others, the first shingles of the old and the new order are the same. The common shingles are
+    broadcast up to ``most`` of them, and joined beyond.
+    """
+    tokens = reps.mapInArrow(_explode_prefix, "token long, rep long")
+    hot = save(tokens.groupBy("token").agg(F.count("*").alias("members")).filter(F.col("members") > block).select("token"), "hot")
+    if hot.isEmpty():
+        return reps
+    first = save(tokens.join(hot, "token", "left_semi").select("rep").distinct(), "touched")
+    sets = sets_of(first)
+    counts = sets.mapInArrow(_count_shingles, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    common = save(counts.filter(F.col("n") > block).select("token"), "common")
+    also = tokens.join(common, "token", "left_semi").select("rep").distinct().join(first, "rep", "left_anti")
+    sets = sets.unionByName(sets_of(also))
+    if common.count() <= most:
+        listed = np.sort(np.array([r.token for r in common.collect()], np.int64).view(np.uint64))  # at most ``most`` rows
+        fresh = sets.mapInArrow(_new_prefixes(frequent, percent, reps.sparkSession.sparkContext.broadcast(listed)), "rep long, fresh binary")
+    else:
+        held = sets.mapInArrow(_explode_shingles, "token long, rep long").join(common, "token").groupBy("rep").agg(F.collect_list("token").alias("held"))  # bounded by the set
+        fresh = sets.join(held, "rep", "left").mapInArrow(_new_prefixes(frequent, percent), "rep long, fresh binary")
+    return save(reps.join(fresh, "rep", "left").select("rep", "n", F.coalesce("fresh", "prefix").alias("prefix"), "bitmap"), "spread")
+
+
 def candidate_components(reps: DataFrame, percent: int, block: int) -> DataFrame:
     """``reps``: rep, n, prefix, bitmap. (rep, cluster) of those that may link with another.
 
@@ -195,7 +316,8 @@ def candidate_components(reps: DataFrame, percent: int, block: int) -> DataFrame
     small = met.filter(F.col("members") <= block).select("token", "rep").join(reps.select("rep", "n", "bitmap"), "rep")
     tied = small.select("token", "rep", "n", "bitmap").repartition("token").sortWithinPartitions("token").mapInArrow(_tie_members(percent), "u long, v long").distinct()
     found = save(components(save(tied.unionByName(large), "candidates")), "clustered")
-    return save(found.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).unionByName(found.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct()), "clusters")
+    roots = found.select(F.col("component").alias("rep"), F.col("component").alias("cluster")).distinct()
+    return save(found.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).unionByName(roots), "clusters")
 
 
 class _Tree:
@@ -330,37 +452,54 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_link_units(percent), "u long, v long")
 
 
-def _with_sets(docs: DataFrame, clusters: DataFrame, words: int) -> DataFrame:
-    """clusters with the members' whole sets: rep, cluster, shingles."""
+def _with_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``wanted`` (rep, cluster) with the classes' whole sets: rep, cluster, shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [shingles(t.as_py(), words).tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["rep"], batch["cluster"], pa.array(packed, pa.binary())], ["rep", "cluster", "shingles"])
 
-    met = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(clusters, "rep")
+    named = wanted.join(classes.select("rep", "rep_id", "rep_sha"), "rep")
+    met = identified(docs).join(named, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha"))).select("rep", "cluster", "text")
     return save(met.dropDuplicates(["rep"]).mapInArrow(run, "rep long, cluster long, shingles binary"), "members")
 
 
-def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links).
-
-    Words are runs without ASCII white space, lower-cased in ASCII. Two documents link when 100 times the size of
-    their sets' intersection is at least ``percent`` times that of the union. Null texts and texts without words
-    have no shingles and link with nothing. Repeated rows get equal results. A null doc_id links with nothing.
-    """
-    sets = shingle_table(docs, words, percent)
-    classes = save(sets.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    one = sets.select("doc_id", F.col("n_shingles").alias("n"), "set_hash", "prefix", "bitmap").join(classes.select(F.col("set_hash").alias("h"), "rep"), (F.col("set_hash") == F.col("h")) & (F.col("doc_id") == F.col("rep"))).select("rep", "n", "prefix", "bitmap").dropDuplicates(["rep"])
-    clusters = candidate_components(save(one, "one"), percent, block)
+def linked_rows(docs: DataFrame, words: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, sha (of the text), n_shingles, component (a number; null for an empty set)."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_buckets(docs, words))
+    sets = shingle_table(docs, words, percent, frequent)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha"))
+    classes = sets.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(least.alias("least"), F.count("*").alias("copies"))
+    classes = classes.select("set_hash", F.col("least.doc_id").alias("rep_id"), F.col("least.sha").alias("rep_sha"), "copies")
+    # numbers of the saved table's rows, so that classes stay apart whatever ids they hold
+    classes = save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    c = classes.select(F.col("set_hash").alias("h"), "rep_id", "rep_sha", "rep")
+    s = sets.select("doc_id", "sha", F.col("n_shingles").alias("n"), "set_hash", "prefix", "bitmap")
+    one = s.join(c, (F.col("set_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha")))
+    one = save(one.select("rep", "n", "prefix", "bitmap").dropDuplicates(["rep"]), "one")
+    sets_of = lambda reps: _with_sets(docs, classes, reps.withColumn("cluster", F.lit(0).cast("long")), words).drop("cluster")
+    clusters = candidate_components(spread_prefixes(one, sets_of, frequent, percent, block), percent, block)
+    links = _verified(_with_sets(docs, classes, clusters, words), clusters, percent, block)
+    linked = components(links)
+    named = classes.join(linked, F.col("rep") == F.col("node"), "left").withColumn("more", (F.col("copies") > 1) | F.col("component").isNotNull())
+    # a component's least class isn't a node of its own
+    heads = linked.select(F.col("component").alias("rep")).distinct().withColumn("head", F.lit(True))
+    named = named.join(heads, "rep", "left").filter("more OR head").select("set_hash", "rep_id", "rep_sha", F.coalesce("component", "rep").alias("component"))
+    least = named.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "rep_sha")).alias("least"))
+    named = named.join(least, "component").select(F.col("set_hash").alias("h"), F.col("least.rep_id").alias("least_id"), F.col("least.rep_sha").alias("least_sha"))
+    out = sets.select("doc_id", "sha", "n_shingles", "set_hash").join(named, F.col("set_hash") == F.col("h"), "left")
+    return out.select("doc_id", "sha", "n_shingles", "least_id", "least_sha")
+
+
+def _verified(members: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (u, v) among ``members`` (rep, cluster, shingles) that tie all that true links tie."""
     sized = clusters.groupBy("cluster").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / F.lit(float(block))).cast("long"))
-    members = _with_sets(docs, clusters, words)
     members = save(members.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "dealt")
     # first: every block with itself and with block 0 of its component
     units = F.when(F.col("block") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
-    first = members.withColumn("with", F.explode(units)).select(
-        F.struct("cluster", "with").alias("key"), F.when((F.col("block") == 0) & (F.col("with") > 0), 0).otherwise(1).alias("side"), "rep", F.col("rep").alias("grp"), "shingles"
-    )
+    side = F.when((F.col("block") == 0) & (F.col("with") > 0), 0).otherwise(1).alias("side")
+    first = members.withColumn("with", F.explode(units)).select(F.struct("cluster", "with").alias("key"), side, "rep", F.col("rep").alias("grp"), "shingles")
     named = lambda df: df.withColumn("unit", F.to_json("key")).drop("key")
     links = save(_links(named(first), percent), "links")
     large = members.filter("blocks > 1")
@@ -373,19 +512,37 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         out = biggest.withColumn("out_blocks", F.ceil((F.col("all_n") - F.col("big_n")) / F.lit(float(block))).cast("long")).filter("out_blocks > 0")
         large = large.join(out.select("cluster", "biggest", "out_blocks"), "cluster")
         outside = large.filter("grp <> biggest").withColumn("o", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("out_blocks")))
-        left = outside.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(F.struct("cluster", "o", "b").alias("key"), F.lit(0).alias("side"), "rep", "grp", "shingles")
-        right = large.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_blocks") - 1))).select(F.struct("cluster", "o", F.col("block").alias("b")).alias("key"), F.lit(1).alias("side"), "rep", "grp", "shingles")
+        left = outside.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        left = left.select(F.struct("cluster", "o", "b").alias("key"), F.lit(0).alias("side"), "rep", "grp", "shingles")
+        right = large.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_blocks") - 1)))
+        right = right.select(F.struct("cluster", "o", F.col("block").alias("b")).alias("key"), F.lit(1).alias("side"), "rep", "grp", "shingles")
         links = links.unionByName(save(_links(named(left.unionByName(right)), percent), "links2"))
-    linked = components(links)
-    classes = classes.join(linked, F.col("rep") == F.col("node"), "left").select(F.col("set_hash").alias("h"), F.coalesce("component", "rep").alias("of"), ((F.col("copies") > 1) | F.col("component").isNotNull()).alias("more")).filter("more")
-    out = sets.select("doc_id", "n_shingles", "set_hash").join(classes, F.col("set_hash") == F.col("h"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).alias("component_id"))
+    return links
+
+
+def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links).
 
+    Words are runs without ASCII white space, lower-cased in ASCII. Two documents link when 100 times the size of
+    their sets' intersection is at least ``percent`` times that of the union. Null texts and texts without words
+    have no shingles and link with nothing. Repeated rows get equal results. One id with two texts is two documents.
+    A row without an id links like any other; its component_id is null if it reaches no row with an id.
+    """
+    alone = F.col("least_sha").isNull()
+    return linked_rows(docs, words, percent, block).select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one with the least doc_id; all columns stay."""
-    gone = similar_components(docs, words, percent).filter("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """One row of ``docs`` for each component, that with the least doc_id (ties: the least SHA-256); all columns stay.
+
+    Rows without an id link like any other and give way to rows with one. Of rows that repeat id and text any one
+    stays. One id with two texts is two documents. Null texts and texts without words link with nothing, so they
+    stay. An empty table gives no rows.
+    """
+    rows = linked_rows(docs, words, percent, block).filter("least_sha IS NOT NULL")
+    rows = rows.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("sha") == F.col("least_sha")))
+    counted = save(rows.groupBy(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"), "stays").agg(F.count("*").alias("n")), "near")
+    return without_rows(docs, counted.filter("NOT stays").select("gone_id", "gone_sha"), counted.filter("stays AND n > 1").select("gone_id", "gone_sha"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

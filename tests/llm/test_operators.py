@@ -81,6 +81,16 @@ def test_drop_exact_duplicates_keeps_columns(docs):
     assert {r.doc_id for r in left.collect()} == {3, 4, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, None}
 
 
+def test_drop_exact_duplicates_keeps_one_of_each(spark):
+    """Ids with two texts, repeated rows, rows without an id; texts that differ only past the first digit."""
+    long = "x" * 500
+    rows = [(1, "a"), (2, "a"), (1, "b"), (5, "r"), (5, "r"), (None, "n"), (None, "n"), (3, ""), (9, None), (7, long + "a"), (7, long + "b"), (8, long + "b")]
+    df = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, own_sha string, row long")
+    got = exact_dedup.drop_exact_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, "a"), (1, "b"), (5, "r"), (None, "n"), (9, None), (7, long + "a"), (8, long + "b")], key=str)
+
+
 # ---- 1: mixing ----
 
 
@@ -357,14 +367,17 @@ def brute_components(data, n, percent):
     for d, t, *_ in data:
         w = [x.translate({i: i + 32 for i in range(65, 91)}) for x in __import__("re").split("[\x20\x09-\x0d]+", t or "") if x]
         sets.append((d, {tuple(w[i : i + min(n, len(w))]) for i in range(max(1, len(w) - n + 1))} if w else set()))
-    root = {d: d for d, _ in sets if d is not None}
-    for d, a in sets:
-        for e, b in sets:
-            if d is not None and e is not None and d < e and a and b and 100 * len(a & b) >= percent * len(a | b):
-                x, y = root[d], root[e]
-                for k in root:
-                    root[k] = min(x, y) if root[k] in (x, y) else root[k]
-    return sorted(((d, len(s), None if d is None else root[d]) for d, s in sets), key=str)
+    root = list(range(len(sets)))
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = sorted((root[i], root[j]))
+                root = [x if k == y else k for k in root]
+    ids = defaultdict(list)
+    for (d, _), r in zip(sets, root):
+        ids[r].append(d)
+    least = {r: min((d for d in ds if d is not None), default=None) for r, ds in ids.items()}
+    return sorted(((d, len(s), least[r]) for (d, s), r in zip(sets, root)), key=str)
 
 
 @pytest.mark.parametrize("n,percent,block", [(4, 85, 1000), (4, 85, 2), (5, 80, 3)])
@@ -391,6 +404,54 @@ def test_similar_components_empty(empty):
     assert ngram_join.similar_components(empty).collect() == []
 
 
+def test_a_shared_prefix_shingle_ties_nothing(spark, monkeypatch):
+    """Documents without links that share one shingle, which no frequent bucket shows, are never copied to pairs."""
+    monkeypatch.setattr(ngram_join, "frequent_buckets", lambda docs, n: np.zeros(ngram_join.BUCKETS, bool))
+    shared = min((words(7000 + i, 4) for i in range(400)), key=lambda t: int(ngram_join.shingles(t, 4)[0]))
+    data = [(i, shared + " " + words(20_000 + i, 12)) for i in range(20_000)] + [(30_000, shared + " " + words(20_007, 12) + " end")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    copied = []
+    links = ngram_join._links
+    monkeypatch.setattr(ngram_join, "_links", lambda members, percent: copied.append(members.count()) or links(members, percent))
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_components(df, 4, 85, 50).collect()}
+    assert got == {i: i for i in range(20_000)} | {30_000: 7}
+    assert sum(copied) < 100
+
+
+def test_common_shingles_beyond_the_broadcast(spark):
+    base = words(60, 120).split()
+    r = random.Random(6)
+    data = [(i, " ".join(w if r.random() > 0.02 else f"x{i}" for w in base)) for i in range(40)] + [(100 + i, " ".join(base[:40]) + " " + words(500 + i, 70)) for i in range(30)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    real = ngram_join.spread_prefixes
+    small = lambda *a: real(*a, most=0)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ngram_join, "spread_prefixes", small)
+        got = sorted((tuple(x) for x in ngram_join.similar_components(df, 4, 85, 8).collect()), key=str)
+    assert got == brute_components(data, 4, 85)
+
+
+def test_ties_by_tree_match_the_plain_loop():
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(200):
+        x = np.unique(r.integers(0, 2**63, int(r.integers(20, 300))).astype(np.uint64)) if k % 4 == 0 else x[r.random(len(x)) < 0.97]
+        b = ngram_join.bitmap_of(x)
+        rows.append((len(x), k, 8 * len(b), int.from_bytes(b, "little")))
+    rows.sort()
+    few, many = ngram_join._tie_few(rows, 85), ngram_join._tie_many(rows, 85)
+    assert len(set(few)) == len(set(many.tolist())) == len(set(zip(few, many.tolist())))
+
+
+def test_drop_near_duplicates_keeps_one_of_each(spark):
+    a, b, r, n = (words(80 + k, 40) for k in range(4))
+    rows = [(1, a), (2, a), (1, b), (5, r), (5, r), (None, n), (None, n), (6, ""), (6, ""), (7, None), (8, n + " more")]
+    df = spark.createDataFrame([(i, t, "x", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row string, sha long")
+    got = ngram_join.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([(1, a), (1, b), (5, r), (8, n + " more"), (6, ""), (6, ""), (7, None)], key=str)
+
+
 def test_link_members_matches_brute_force():
     r = np.random.default_rng(0)
     for trial in range(25):
