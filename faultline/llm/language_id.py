@@ -1,9 +1,10 @@
 """Language identification (operator 8): sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Byte bigrams and trigrams of the lower-cased text are hashed into ``DIMS`` features. Document frequencies come
-from every training document. The weights are fitted by follow-the-regularised-leader with elastic-net penalties
-on a bounded sample (at most ``per_lang`` documents of each of the ``MAX_LANGS`` most frequent languages), and a
-temperature, fitted on every fifth document of that sample, calibrates the probabilities. Prediction is a narrow
+Bigrams and trigrams of code points of the lower-cased text are hashed into ``DIMS`` features. Document frequencies
+come from every training document. The weights are fitted by follow-the-regularised-leader with elastic-net penalties
+on a bounded sample (at most ``per_lang`` documents of each of the ``MAX_LANGS`` most frequent languages; others are
+never predicted), which reaches the driver as counts of hashed features, at most ``DIMS`` a document. A temperature,
+fitted on every fifth document of that sample, calibrates the probabilities. Prediction is a narrow
 pass over all documents with the weights broadcast: ``DIMS`` x languages numbers, whatever the corpus size.
 """
 
@@ -40,25 +41,38 @@ class Model(NamedTuple):
     temperature: float
 
 
+_PRIME, _THIRD, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(64 - BITS)
+
+
 def feature_ids(text: str) -> np.ndarray:
-    """Hashed bigrams and trigrams of the lower-cased text between spaces, as bytes."""
-    b = np.frombuffer(b" " + text.lower().encode("utf-8", "surrogatepass") + b" ", np.uint8).astype(np.uint32)
-    two = b[:-1] * np.uint32(0x01000193) + b[1:]
-    three = two[:-1] * np.uint32(0x01000193) + b[2:] + np.uint32(0x5BD1E995)
-    mixed = np.concatenate([two, three]) * np.uint32(0x9E3779B1)
-    return (mixed >> np.uint32(32 - BITS)).astype(np.int64)
+    """Hashed bigrams and trigrams of code points of the lower-cased text between spaces."""
+    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    two = c[:-1] << np.uint64(21) | c[1:]
+    three = two[:-1] << np.uint64(21) | c[2:]
+    mixed = np.concatenate([two * _PRIME, (three ^ three >> np.uint64(31)) * _THIRD])
+    return (mixed >> _SPREAD).astype(np.int64)
 
 
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature ids in ascending order and their L2-normalised weights (1 + ln tf) * idf."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Feature ids in ascending order and how often each occurs."""
     n = np.bincount(feature_ids(text), minlength=DIMS)
     at = np.flatnonzero(n)
-    x = (1.0 + np.log(n[at])) * idf[at]
-    return at, x / np.sqrt(x @ x)
+    return at, n[at]
+
+
+def weighted(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """L2-normalised weights (1 + ln tf) * idf."""
+    x = (1.0 + np.log(n)) * idf[at]
+    return x / np.sqrt(x @ x)
+
+
+def tfidf(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, n = counted(text)
+    return at, weighted(at, n, idf)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -118,6 +132,17 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], seen))], ["feature", "df"])
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed feature ids and counts of each document; empty if it has no letter."""
+    for batch in batches:
+        ids, counts = [], []
+        for text in batch["text"].to_pylist():
+            at, n = counted(text) if has_letter(text) else (np.zeros(0), np.zeros(0))
+            ids.append(at.astype(np.uint16).tobytes())
+            counts.append(n.astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["lang"], pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "lang", "at", "n"])
+
+
 def fit_language_model(train: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """``train``: doc_id, text, lang without nulls. None if there is nothing to learn from."""
     top = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
@@ -126,8 +151,9 @@ def fit_language_model(train: DataFrame, per_lang: int = PER_LANG) -> Model | No
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     ids = train.select("doc_id", "lang").join(F.broadcast(top), "lang").filter(unit < rate).select("doc_id", "lang", unit.alias("u"))
     ids = ids.selectExpr("doc_id", "lang AS label", "row_number() OVER (PARTITION BY lang ORDER BY u, doc_id) AS rank").filter(F.col("rank") <= per_lang)
-    sample = train.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").dropDuplicates(["doc_id"])
-    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # bounded by per_lang * MAX_LANGS
+    sample = train.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").mapInArrow(_features, "doc_id long, lang string, at binary, n binary")
+    # per_lang * MAX_LANGS documents, of at most DIMS features each, whatever the length of the texts
+    rows = sample.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     langs = sorted({r.lang for r in rows})
     if not langs:
         return None
@@ -139,7 +165,11 @@ def fit_language_model(train: DataFrame, per_lang: int = PER_LANG) -> Model | No
         else:
             df[f] = n
     idf = np.log((1.0 + seen) / (1.0 + df)) + 1.0
-    data = [(*tfidf(r.text, idf), langs.index(r.lang)) for r in rows if has_letter(r.text)]
+    data = []
+    for r in rows:
+        if len(r.at):
+            at = np.frombuffer(r.at, np.uint16).astype(np.int64)
+            data.append((at, weighted(at, np.frombuffer(r.n, np.uint32), idf), langs.index(r.lang)))
     fit, held = [x for i, x in enumerate(data) if i % 5], [x for i, x in enumerate(data) if not i % 5]
     weights, bias = fit_ftrl(fit, len(langs))
     logits = np.array([weights[:, at] @ x + bias for at, x, _ in held]).reshape(len(held), len(langs))
@@ -191,6 +221,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or has a calibrated probability under min_score."""
-    out = predict_language(docs, fit_language_model(training_rows(docs)))
-    return out.filter((F.col("lang_pred") != UND) & (F.col("lang_score") >= min_score)).select(*docs.columns)
+    """``docs`` without the rows whose language is undetermined or has a calibrated probability under min_score.
+
+    All columns come back as they were, also those named lang_pred or lang_score. Null texts and texts without a
+    letter go, and so does everything if no row has a language to learn from. Repeated rows share one verdict.
+    """
+    # the row travels as one column, so that the model's names can't clash with it
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    out = predict_language(rows, fit_language_model(training_rows(docs)))
+    return out.filter((F.col("lang_pred") != UND) & (F.col("lang_score") >= min_score)).select("row.*")

@@ -23,7 +23,8 @@ TARGETS: dict[str, dict[str, float]] = {
     "lang": {"en": 0.58, "fr": 0.16, "de": 0.16, "es": 0.10},
     "topic": {"legal": 0.05, "contact": 0.05, "tabular": 0.08, "general": 0.82},
 }
-#: Topic rules over the lower-cased text: the first that has one of its marks, else general.
+#: Topics are told by word lists, not by a model: the first rule with one of its marks in the lower-cased text, else
+#: general. They are a parameter of the corpus at hand, as the targets are.
 TOPIC_MARKS: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("legal", ("licensed under", "all rights reserved", "copyright")),
     ("contact", ("@example.", "@mail.", "password")),
@@ -112,44 +113,70 @@ def calibrate(cells: DataFrame, keep_tokens: float) -> DataFrame:
     return out.withColumn("probability", p).withColumn("rate", rate).drop("ratio", "t_before", "w_after", "c_here", "from_ratio", "c")
 
 
-def mix_sources(
-    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep_tokens: float = KEEP_TOKENS, rounds: int = ROUNDS, seed: str = SEED, text: str = "text", doc_id: str = "doc_id", keep_other: bool = False
-) -> DataFrame:
-    """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_probability, mix_rate, mix_sampled and mix_copies.
-
-    mix_weight is the raked share of the document's cell, and mix_copies how often the document is taken: 0 if it
-    isn't sampled, mix_rate on average. Nulls and categories without a target count as
-    ``other``. Its target is its own share of the tokens with ``keep_other``, as in op1 and the pipeline; without, it is
-    0 unless given, and such documents get probability 0. Null texts count as empty.
-    Repeated rows with one id share one decision. An empty table gives an empty result.
-    """
+def _mixed(docs: DataFrame, targets, keep_tokens: float, rounds: int, seed: str, text: str, doc_id: str, keep_other: bool) -> DataFrame:
+    """``docs`` as the column row, with the columns that mixing adds."""
     targets = targets or TARGETS
-    columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(F.col(text))}
-    placed = docs
+    # the row travels as one column, so that no name of docs can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col("source").alias("raw_source"), F.col("lang").alias("raw_lang"))
+    columns = {"source": F.col("raw_source"), "lang": F.col("raw_lang"), "topic": topic_of(F.col("text"))}
+    placed = rows.withColumn("mix_tokens", tokens_of(F.col("text")))
     for c, shares in targets.items():
         placed = placed.withColumn(f"mix_{c}", F.when(columns[c].isin(*shares), columns[c]).otherwise(F.lit(OTHER)))
-    placed = placed.withColumn("mix_tokens", tokens_of(F.col(text)))
     cells = placed.groupBy(*(F.col(f"mix_{c}").alias(c) for c in targets)).agg(F.sum("mix_tokens").alias("tokens"))
     fitted = calibrate(rake(cells, targets, rounds, keep_other), keep_tokens)
     fitted = fitted.select(*(F.col(c).alias(f"mix_{c}") for c in targets), F.col("weight").alias("mix_weight"), F.col("probability").alias("mix_probability"), F.col("rate").alias("mix_rate"))
     # bounded by the targets: (categories + 1) multiplied over the margins
     out = placed.join(F.broadcast(fitted), [f"mix_{c}" for c in targets])
-    unit, whole = unit_hash(F.col(doc_id), seed), F.floor("mix_rate")
+    unit, whole = unit_hash(F.col("id"), seed), F.floor("mix_rate")
     copies = whole + (unit < F.col("mix_rate") - whole).cast("long")
     return out.withColumn("mix_sampled", unit < F.col("mix_probability")).withColumn("mix_copies", copies)
 
 
-def keep_sampled(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``docs``, each as often as mix_copies says, with the columns of ``docs``."""
-    mixed = mix_sources(docs, **{"keep_other": True} | options).filter("mix_sampled")
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
+def mix_sources(
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep_tokens: float = KEEP_TOKENS, rounds: int = ROUNDS, seed: str = SEED, text: str = "text", doc_id: str = "doc_id", keep_other: bool = False
+) -> DataFrame:
+    """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens, mix_weight, mix_probability, mix_rate, mix_sampled and mix_copies.
+
+    mix_weight is the raked share of the document's cell, and mix_copies how often the document is taken: 0 if it
+    isn't sampled, mix_rate on average. Nulls and categories without a target count as
+    ``other``. Its target is its own share of the tokens with ``keep_other``, as in op1 and the pipeline; without, it is
+    0 unless given, and such documents get probability 0. Null texts count as empty.
+    Repeated rows with one id share one decision. Columns of ``docs`` under these names are replaced; ``keep_sampled``
+    hands them back. An empty table gives an empty result.
+    """
+    mixed = _mixed(docs, targets, keep_tokens, rounds, seed, text, doc_id, keep_other)
+    added = [*(f"mix_{c}" for c in (targets or TARGETS)), "mix_tokens", "mix_weight", "mix_probability", "mix_rate", "mix_sampled", "mix_copies"]
+    return mixed.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in added), *added)
+
+
+def keep_sampled(docs: DataFrame, targets=None, keep_tokens: float = KEEP_TOKENS, rounds: int = ROUNDS, seed: str = SEED, keep_other: bool = True) -> DataFrame:
+    """The sampled rows of ``docs``, each as often as mix_copies says, with the columns of ``docs`` as they were."""
+    mixed = _mixed(docs, targets, keep_tokens, rounds, seed, "text", "doc_id", keep_other).filter("mix_sampled")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select("row.*")
+
+
+def margins(mixed: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """How a result of ``mix_sources`` meets its targets: margin, category, target, have, expected, taken (token shares).
+
+    A row for every category of the targets and every category found. ``have`` 0 tells a target that no token can
+    meet; its share goes to the others in proportion.
+    """
+    targets = targets or TARGETS
+    spark = mixed.sparkSession
+    aims = spark.createDataFrame([(m, k, float(v)) for m, shares in targets.items() for k, v in shares.items()], "margin string, category string, target double")
+    sums = mixed.groupBy(*(f"mix_{m}" for m in targets)).agg(F.sum("mix_tokens").alias("t"), F.sum(F.col("mix_tokens") * F.col("mix_rate")).alias("e"), F.sum(F.col("mix_tokens") * F.col("mix_copies")).alias("c"))
+    each = sums.select(F.explode(F.array(*(F.struct(F.lit(m).alias("margin"), F.col(f"mix_{m}").alias("category"), "t", "e", "c") for m in targets))).alias("x")).select("x.*")
+    each = each.groupBy("margin", "category").agg(F.sum("t").alias("t"), F.sum("e").alias("e"), F.sum("c").alias("c"))
+    whole = each.groupBy("margin").agg(F.sum("t").alias("wt"), F.sum("e").alias("we"), F.sum("c").alias("wc"))
+    share = each.join(whole, "margin").select("margin", "category", *(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0)).alias(n) for a, b, n in (("t", "wt", "have"), ("e", "we", "expected"), ("c", "wc", "taken"))))
+    return aims.join(share, ["margin", "category"], "full").select("margin", "category", F.coalesce("target", F.lit(0.0)).alias("target"), *(F.coalesce(n, F.lit(0.0)).alias(n) for n in ("have", "expected", "taken")))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"), keep_other=True)
     return out.select(
-        "doc_id", "mix_source", "mix_lang", "mix_topic", F.col("mix_tokens").alias("tokens"),
-        F.round("mix_weight", 8).alias("weight"), F.round("mix_probability", 8).alias("probability"), F.col("mix_sampled").alias("sampled"),
+        "doc_id", "mix_source", "mix_lang", "mix_topic", F.col("mix_tokens").alias("tokens"), F.round("mix_weight", 8).alias("weight"),
+        F.round("mix_probability", 8).alias("probability"), F.col("mix_sampled").alias("sampled"), F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").alias("copies"),
     )
 
 
@@ -180,9 +207,11 @@ def mix_sql(docs: str = "documents") -> str:
         "f AS (SELECT *, min(CASE WHEN c_here <= ratio THEN ratio END) OVER () AS from_ratio FROM h)",
         "k AS (SELECT *, max(CASE WHEN ratio = from_ratio THEN c_here END) OVER () AS c FROM f)",
         "p AS (SELECT *, CASE WHEN weight <= 0 THEN 0.0 WHEN from_ratio IS NULL THEN 1.0 WHEN ratio < from_ratio THEN 1.0 ELSE least(1.0, c / ratio) END AS probability FROM k)",
-        f"mixed AS (SELECT d.*, p.weight, p.probability, CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) / {float(16**12)!r} < p.probability AS sampled FROM placed d JOIN p USING ({names}))",
+        f"q AS (SELECT *, CASE WHEN weight <= 0 THEN 0.0 WHEN probability < 1 THEN probability ELSE greatest(1.0, coalesce(c, {KEEP_TOKENS} * sum(tokens) OVER ()) / ratio) END AS rate FROM p)",
+        f"v AS (SELECT d.*, q.weight, q.probability, q.rate, CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) / {float(16**12)!r} AS unit FROM placed d JOIN q USING ({names}))",
+        "mixed AS (SELECT *, unit < probability AS sampled, CAST(floor(rate) + CASE WHEN unit < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM v)",
     ]
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-OP1_SQL = mix_sql() + "SELECT doc_id, source AS mix_source, lang AS mix_lang, topic AS mix_topic, tokens, round(weight, 8) AS weight, round(probability, 8) AS probability, sampled FROM mixed"
+OP1_SQL = mix_sql() + "SELECT doc_id, source AS mix_source, lang AS mix_lang, topic AS mix_topic, tokens, round(weight, 8) AS weight, round(probability, 8) AS probability, sampled, round(rate, 6) AS rate, copies FROM mixed"

@@ -48,7 +48,7 @@ def empty(spark):
 
 def clashing(df):
     """Extra columns under names that operators use inside."""
-    for name in ("key", "body", "rep", "n", "cluster", "node", "lang_pred", "score", "weight", "tokens", "kept", "unit", "digit"):
+    for name in ("key", "body", "rep", "n", "cluster", "node", "lang_pred", "score", "weight", "tokens", "kept", "unit", "digit", "row", "id", "copy", "sha", "own_sha", "least_id", "mix_tokens", "mix_weight", "mix_source", "mix_copies", "lang_score", "fold", "prefix", "held", "record", "template", "purity"):
         df = df.selectExpr("*", f"'x' AS {name}")
     return df
 
@@ -131,6 +131,19 @@ def test_taken_rows_meet_targets(spark):
     assert kept == {r.doc_id: r.mix_copies for r in mixed if r.mix_copies}
 
 
+def test_margins_are_reported(spark, sf):
+    """Every margin of the rows taken is within a point of its target; a target without tokens shows as such."""
+    mixed = mixing.mix_sources(spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet"), keep_other=True)
+    got = mixing.margins(mixed).collect()
+    assert {(r.margin, r.category) for r in got} >= {(m, k) for m, shares in mixing.TARGETS.items() for k in shares}
+    for m in mixing.TARGETS:
+        met = sum(r.target for r in got if r.margin == m and r.have)
+        for r in got:
+            if r.margin == m:
+                assert r.expected == pytest.approx(r.target / met if r.have else 0, abs=1e-4)
+                assert r.taken == pytest.approx(r.expected, abs=0.01)
+
+
 def test_unlisted_categories_keep_rows(spark, tmp_path):
     """Null and unlisted sources and languages are sampled like the rest, in op1 and in the pipeline's stage."""
     rows = [(i, f"text {i} of its own", (None, "it", "en", "fr", "de")[i % 5], (None, "src20", "src0", "src1", "src2", "src3", "src4")[i % 7], 1) for i in range(3500)]
@@ -157,7 +170,10 @@ def test_mixing_edges(docs, empty):
     got = {r.doc_id: r for r in mixing.mix_sources(clashing(docs)).collect()}
     assert len(got) == 18 and got[2].mix_source == "other" and got[2].mix_probability == 0
     assert got[5].mix_tokens == 1 and got[13].mix_topic == "general"
-    assert mixing.mix_sources(empty).collect() == []
+    assert mixing.mix_sources(empty).collect() == [] and mixing.keep_sampled(empty).columns == empty.columns
+    wide = clashing(docs)
+    left = mixing.keep_sampled(wide)
+    assert left.columns == wide.columns and {r.mix_weight for r in left.collect()} == {"x"}
     assert mixing.keep_sampled(docs).columns == docs.columns
 
 
