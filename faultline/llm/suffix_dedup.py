@@ -25,7 +25,9 @@ from .shared import fmix, save, table, utf8
 SPAN, GRAM = 400, 32
 #: Regions of a shard; a region has up to 2 * SPAN bytes.
 SHARD = 1500
-_BUFFER = 1 << 20  # bytes that a task scans at once; longer texts are scanned alone
+_BUFFER = 1 << 20  # bytes that a task scans at once; longer texts are scanned in overlapping slices
+#: Regions from which an anchor is hot, as a share of all: so at most 1000 are, and their broadcast is bounded.
+HOT_SHARE = 1000
 _POS = np.uint64((1 << 30) - 1)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -189,21 +191,29 @@ def text_key(body: bytes) -> bytes:
     return hashlib.sha256(body).digest()[:16]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(held: list[bytes]) -> pa.RecordBatch:
-        starts = np.cumsum([0] + [len(b) for b in held[:-1]])
-        d, start, windows, anchor, c1, c2 = regions(np.frombuffer(b"".join(held), np.uint8), starts)
-        keys = pa.array([text_key(b) for b in held], pa.binary()).take(pa.array(d))
+def _scan(batches: Iterator[pa.RecordBatch], buffer: int = 0) -> Iterator[pa.RecordBatch]:
+    """Regions of all bodies. A text over the buffer is scanned in slices that share ``SPAN`` - 1 bytes, so that each of
+    its windows is seen once; a region that a slice's edge cuts is two with one anchor."""
+    buffer = buffer or _BUFFER
+
+    def flush(held: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
+        starts = np.cumsum([0] + [len(b) for *_, b in held[:-1]])
+        d, start, windows, anchor, c1, c2 = regions(np.frombuffer(b"".join(b for *_, b in held), np.uint8), starts)
+        keys = pa.array([k for k, *_ in held], pa.binary()).take(pa.array(d))
+        start = start + np.array([at for _, at, _ in held], np.int64)[d]
         return pa.RecordBatch.from_arrays([keys, pa.array(start, pa.int32()), pa.array(windows, pa.int32()), pa.array(anchor), pa.array(c1), pa.array(c2)], ["key", "start", "windows", "anchor", "c1", "c2"])
 
     held, size = [], 0
     for batch in batches:
         for body in batch["body"]:
             body = body.as_py()
-            if len(body) >= SPAN:
-                held.append(body)
-                size += len(body)
-                if size >= _BUFFER:
+            if len(body) < SPAN:
+                continue
+            key = text_key(body)
+            for at in range(0, len(body) - SPAN + 1, buffer):
+                held.append((key, at, body[at : at + buffer + SPAN - 1]))
+                size += len(held[-1][2])
+                if size >= buffer:
                     yield flush(held)
                     held, size = [], 0
     if held:
@@ -329,16 +339,23 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """``docs``: key, body. Ranges (key, first, past) of starts of ``SPAN``-byte windows that start elsewhere too."""
     found = save(docs.select("body").mapInArrow(_scan, REGION), "regions")
-    often = found.groupBy("anchor").agg(F.count("*").alias("seen")).filter("seen > 1").select("anchor")
-    found = save(found.join(often, "anchor"), "anchored")
+    often = save(found.groupBy("anchor").agg(F.count("*").alias("seen")).filter("seen > 1"), "anchors")
+    every = often.agg(F.sum("seen")).first()[0] or 0
+    hot_anchors = F.broadcast(often.filter(F.col("seen") * HOT_SHARE > every).select("anchor"))  # under HOT_SHARE rows
+
+    def by_anchor(rows: DataFrame, facts: DataFrame) -> DataFrame:
+        """Inner join on the anchor; rows of hot ones stay where they are."""
+        return rows.join(hot_anchors, "anchor", "left_anti").join(facts, "anchor").unionByName(rows.join(F.broadcast(facts.join(hot_anchors, "anchor", "left_semi")), "anchor"))
+
+    found = save(by_anchor(found, often.select("anchor")), "anchored")
     content = ["anchor", "c1", "c2", "windows"]
     # equal regions become one, by partial sums before the shuffle
     kinds = save(found.groupBy(*content).agg(F.count("*").alias("copies"), F.min(F.struct("key", "start")).alias("at")), "kinds")
     whole = kinds.filter("copies > 1").select(*content)
     ranges = found.join(whole, content).select("key", F.col("start").alias("first"), (F.col("start") + F.col("windows")).alias("past")).distinct()
-    spread = kinds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    spread = save(kinds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "spread")
     units = max(1, spread.agg(F.sum(F.when(F.col("n") <= shard, F.col("n")))).first()[0] or 0) // shard + 1
-    open_ = kinds.join(spread, "anchor").select("at.key", "at.start", "windows", "anchor", "copies", "n")
+    open_ = by_anchor(kinds, spread).select("at.key", "at.start", "windows", "anchor", "copies", "n")
     hot = F.col("n") > shard
     parts = F.ceil(F.col("n") / F.lit(float(shard))).cast("long")
     open_ = open_.withColumn("hot", hot).withColumn("unit", F.when(hot, F.xxhash64("anchor", F.pmod(F.xxhash64("key", "start"), parts))).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(units))))

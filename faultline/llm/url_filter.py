@@ -3,10 +3,16 @@
 Explicit rules come first. The urls they decide are the labelled examples from which the rest is judged: per
 host, paths form a tree of templates. Digits and long hexadecimal runs are variable at once; at each level of the
 tree, segments that are rarer than an even share of a wide node become the wildcard ``*``, and branches whose
-share of blocked examples is statistically like their parent's are merged into ``*`` too. A template is rejected
-when its smoothed share of blocked examples (its purity) is over one half.
+share of blocked examples is statistically like their parent's are merged into ``*`` too.
 
-Everything runs on counts per (host, path with variable parts), so a host with a third of all urls costs one row
+The purity of a node is its share of blocked examples, smoothed towards what it inherits: domain (the last two
+labels; it inherits ``PRIOR``), host, and each step of the template in turn. A node passes its purity on in so far as its urls have
+labels: what a child inherits lies between what the parent inherited and the parent's purity, by the labelled share
+of the parent's urls. So a branch without labels is judged by its siblings where these make up most of the parent. A
+template is rejected when its purity is over one half.
+
+Levels are built until no path goes on; a path that is alone under its node leaves at once with the rest of it as it
+is. Everything runs on counts per (host, path with variable parts), so a host with a third of all urls costs one row
 for each of its distinct generalised paths.
 """
 
@@ -21,14 +27,14 @@ from .shared import save, table
 RULES: dict[str, str] = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Segments below the root that get a level of their own; deeper ones are told apart by being there or not.
-LEVELS = 3
 #: Children from which a node counts as wide.
 WIDE = 25
 #: Standard deviations under which a branch is like its parent.
 LIKE = 1.0
 #: Blocked share expected without examples, and the number of examples it weighs.
 PRIOR, PRIOR_WEIGHT = 0.2, 2.0
+#: Levels of the tree in the SQL below, which can't loop; the operator has no such bound.
+SQL_LEVELS = 6
 #: Blocked share over which a template is rejected.
 PURITY = 0.5
 
@@ -64,21 +70,57 @@ def _like_parent(bad: F.Column, seen: F.Column, all_bad: F.Column, all_seen: F.C
     return (seen > 0) & (F.abs(own - rate) * F.sqrt(seen + 1.0) < F.lit(LIKE) * F.sqrt(rate * (1.0 - rate)))
 
 
+def domain_of(host: F.Column) -> F.Column:
+    return F.regexp_extract(host, r"([^.]*\.)?[^.]*$", 0)
+
+
+def _smoothed(bad: F.Column, seen: F.Column, inherited: F.Column) -> F.Column:
+    return (bad + F.lit(PRIOR_WEIGHT) * inherited) / (seen + F.lit(PRIOR_WEIGHT))
+
+
+def _passed_on(bad: F.Column, seen: F.Column, n: F.Column, inherited: F.Column) -> F.Column:
+    return inherited + (_smoothed(bad, seen, inherited) - inherited) * seen / n
+
+
 def path_templates(paths: DataFrame) -> DataFrame:
-    """``paths`` (host, gpath, n, bad, seen) with its template: host, gpath, template, n, bad, seen."""
-    cols = ["host", "gpath", "n", "bad", "seen"]
-    out = paths.select(*cols, *(F.split_part("gpath", F.lit("/"), F.lit(k + 1)).alias(f"s{k}") for k in range(1, LEVELS + 1)))
-    deeper = F.size(F.split("gpath", "/", -1)) > LEVELS + 1
-    for k in range(1, LEVELS + 1):
-        node = ["host", *(f"t{i}" for i in range(1, k))]
-        child = out.groupBy(*node, f"s{k}").agg(F.sum("n").alias("c_n"), F.sum("bad").alias("c_bad"), F.sum("seen").alias("c_seen"))
-        parent = child.groupBy(*node).agg(F.count("*").alias("wide"), F.sum("c_n").alias("p_n"), F.sum("c_bad").alias("p_bad"), F.sum("c_seen").alias("p_seen"))
+    """``paths`` (host, gpath, n, bad, seen) with its template and purity: host, gpath, template, purity."""
+    n, bad, seen = F.col("n"), F.col("bad"), F.col("seen")
+    sums = [F.sum(x).alias(x) for x in ("n", "bad", "seen")]
+    hosts = paths.groupBy("host").agg(*sums).withColumn("domain", domain_of(F.col("host")))
+    domains = hosts.groupBy("domain").agg(*sums)
+    domains = domains.select("domain", _passed_on(bad, seen, n, F.lit(PRIOR)).alias("inherited"))
+    hosts = hosts.join(domains, "domain").select("host", _passed_on(bad, seen, n, F.col("inherited")).alias("inherited"))
+    # a path starts with the separator or is empty; an empty one is one empty segment
+    live = paths.join(hosts, "host").withColumn("prefix", F.lit("")).withColumn("rest", F.regexp_replace("gpath", "^/", ""))
+    done: DataFrame | None = None
+    level = 0
+    while True:
+        level += 1
+        live = live.withColumn("segment", F.split_part("rest", F.lit("/"), F.lit(1)))
+        child = live.groupBy("host", "prefix", "segment").agg(F.count("*").alias("paths"), *(F.sum(x).alias(f"c_{x}") for x in ("n", "bad", "seen")))
+        parent = child.groupBy("host", "prefix").agg(F.count("*").alias("wide"), F.sum("paths").alias("all_paths"), *(F.sum(f"c_{x}").alias(f"p_{x}") for x in ("n", "bad", "seen")))
         rare = (F.col("wide") >= WIDE) & (F.col("c_n") * F.col("wide") < F.col("p_n"))
         like = _like_parent(F.col("c_bad"), F.col("c_seen"), F.col("p_bad"), F.col("p_seen"))
-        named = child.join(parent, node).select(*node, f"s{k}", F.when((F.col(f"s{k}") != "") & (rare | like), F.lit("*")).otherwise(F.col(f"s{k}")).alias(f"t{k}"))
-        out = save(out.join(named, [*node, f"s{k}"]), f"level{k}")
-    steps = [F.concat(F.lit("/"), f"t{k}") for k in range(1, LEVELS + 1)]
-    return out.select(*cols, F.concat(*steps, F.when(deeper, F.lit("/**")).otherwise(F.lit(""))).alias("template"))
+        step = F.when((F.col("segment") != "") & (rare | like), F.lit("*")).otherwise(F.col("segment"))
+        named = child.join(parent, ["host", "prefix"]).select("host", "prefix", "segment", F.concat("prefix", F.lit("/"), step).alias("next"), (F.col("all_paths") == 1).alias("alone"))
+        # paths without a segment end at their node
+        met = live.join(named, ["host", "prefix", "segment"])
+        ends = ~F.contains("rest", F.lit("/"))
+        template = F.when(F.col("alone"), F.concat("prefix", F.lit("/"), F.col("rest"))).otherwise(F.col("next"))
+        met = met.withColumn("template", template).withColumn("last", ends | F.col("alone"))
+        met = save(met.select("host", "gpath", "n", "bad", "seen", "inherited", "rest", "template", "last"), f"level{level}")
+        leaves = met.filter("last").groupBy("host", "template").agg(*sums, F.first("inherited").alias("inherited"))
+        leaves = leaves.select("host", "template", _smoothed(bad, seen, F.col("inherited")).alias("purity"))
+        part = met.filter("last").select("host", "gpath", "template").join(leaves, ["host", "template"]).select("host", "gpath", "template", "purity")
+        done = part if done is None else done.unionByName(part)
+        going = met.filter("NOT last")
+        if going.isEmpty():
+            return done
+        nodes = going.groupBy("host", "template").agg(*sums, F.first("inherited").alias("inherited"))
+        nodes = nodes.select("host", "template", _passed_on(bad, seen, n, F.col("inherited")).alias("inherited"))
+        live = going.drop("inherited", "last").join(nodes, ["host", "template"]).select(
+            "host", "gpath", "n", "bad", "seen", "inherited", F.col("template").alias("prefix"), F.expr("substring(rest, instr(rest, '/') + 1)").alias("rest")
+        )
 
 
 def judge_urls(pages: DataFrame, rules: dict[str, str] | None = None, url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -92,11 +134,7 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] | None = None, url: str =
     placed = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     placed = placed.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("ruled", verdict_of(F.col("rule"), rules)).withColumn("gpath", generalised(F.col("path")))
     counted = placed.groupBy("host", "gpath").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"), F.count("ruled").alias("seen"))
-    tree = path_templates(save(counted, "paths"))
-    # the paths of one template are pre-aggregated; the join back is on few distinct templates a host
-    pure = tree.groupBy("host", "template").agg(F.sum("bad").alias("t_bad"), F.sum("seen").alias("t_seen"))
-    purity = (F.col("t_bad") + F.lit(PRIOR * PRIOR_WEIGHT)) / (F.col("t_seen") + F.lit(PRIOR_WEIGHT))
-    judged = tree.join(pure.withColumn("purity", purity), ["host", "template"]).select("host", "gpath", "template", "purity")
+    judged = path_templates(save(counted, "paths"))
     out = placed.join(judged, ["host", "gpath"])
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("purity") > PURITY, "block").otherwise("allow")).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
 
@@ -110,32 +148,43 @@ def _op9_sql() -> str:
         at, _, start = rule.partition("/")
         return f"(host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '/{start}')"
 
+    def smoothed(inherited: str) -> str:
+        return f"(bad + {PRIOR_WEIGHT} * {inherited}) / (seen + {PRIOR_WEIGHT})"
+
+    def passed(inherited: str) -> str:
+        return f"{inherited} + ({smoothed(inherited)} - {inherited}) * seen / n"
+
     order = sorted(RULES, key=lambda r: (-len(r), r))
     parts = [
         f"""u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{UPPER}', '{LOWER}') AS host,
  regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages)""",
         "r AS (SELECT *, CASE " + " ".join(f"WHEN {fits(x)} THEN '{x}'" for x in order) + " END AS rule, regexp_replace(regexp_replace(path, '[0-9a-f]{16,}', '{h}', 'g'), '[0-9]+', '{n}', 'g') AS gpath FROM u)",
         "p AS (SELECT *, CASE rule " + " ".join(f"WHEN '{x}' THEN '{v}'" for x, v in RULES.items()) + " END AS ruled FROM r)",
-        "o0 AS (SELECT host, gpath, count(*) AS n, count(*) FILTER (ruled = 'block') AS bad, count(ruled) AS seen, " + ", ".join(f"split_part(gpath, '/', {k + 1}) AS s{k}" for k in range(1, LEVELS + 1)) + " FROM p GROUP BY host, gpath)",
+        "g AS (SELECT host, gpath, count(*) AS n, count(*) FILTER (ruled = 'block') AS bad, count(ruled) AS seen FROM p GROUP BY host, gpath)",
+        f"""h AS (SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, sum(n) AS n, sum(bad) AS bad, sum(seen) AS seen FROM g GROUP BY ALL),
+dm AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, sum(seen) AS seen FROM h GROUP BY ALL),
+dp AS (SELECT domain, {passed(str(PRIOR))} AS inherited FROM dm),
+hp AS (SELECT host, {passed("inherited")} AS inherited FROM h JOIN dp USING (domain)),
+l1 AS (SELECT g.*, inherited, '' AS prefix, regexp_replace(gpath, '^/', '') AS rest FROM g JOIN hp USING (host))""",
     ]
-    for k in range(1, LEVELS + 1):
-        node = ", ".join(["host", *(f"t{i}" for i in range(1, k))])
+    for k in range(1, SQL_LEVELS + 1):
         rate = "((p_bad + 1.0) / (p_seen + 2.0))"
-        parts += [
-            f"c{k} AS (SELECT {node}, s{k}, sum(n) AS c_n, sum(bad) AS c_bad, sum(seen) AS c_seen FROM o{k - 1} GROUP BY ALL)",
-            f"q{k} AS (SELECT {node}, count(*) AS wide, sum(c_n) AS p_n, sum(c_bad) AS p_bad, sum(c_seen) AS p_seen FROM c{k} GROUP BY ALL)",
-            f"""n{k} AS (SELECT {node}, s{k}, CASE WHEN s{k} <> '' AND ((wide >= {WIDE} AND c_n * wide < p_n) OR (c_seen > 0 AND
- abs((c_bad + {rate}) / (c_seen + 1.0) - {rate}) * sqrt(c_seen + 1.0) < {LIKE} * sqrt({rate} * (1.0 - {rate})))) THEN '*' ELSE s{k} END AS t{k} FROM c{k} JOIN q{k} USING ({node}))""",
-            f"o{k} AS (SELECT o.*, t{k} FROM o{k - 1} o JOIN n{k} USING ({node}, s{k}))",
-        ]
-    steps = " || ".join(f"'/' || t{k}" for k in range(1, LEVELS + 1))
-    parts += [
-        f"t AS (SELECT *, {steps} || CASE WHEN len(string_split(gpath, '/')) > {LEVELS + 1} THEN '/**' ELSE '' END AS template FROM o{LEVELS})",
-        f"g AS (SELECT host, template, (sum(bad) + {PRIOR * PRIOR_WEIGHT}) / (sum(seen) + {PRIOR_WEIGHT}) AS purity FROM t GROUP BY ALL)",
-    ]
+        parts.append(
+            f"""s{k} AS (SELECT *, split_part(rest, '/', 1) AS segment FROM l{k}),
+c{k} AS (SELECT host, prefix, segment, count(*) AS paths, sum(n) AS c_n, sum(bad) AS c_bad, sum(seen) AS c_seen FROM s{k} GROUP BY ALL),
+q{k} AS (SELECT host, prefix, count(*) AS wide, sum(paths) AS all_paths, sum(c_n) AS p_n, sum(c_bad) AS p_bad, sum(c_seen) AS p_seen FROM c{k} GROUP BY ALL),
+n{k} AS (SELECT host, prefix, segment, all_paths = 1 AS alone, prefix || '/' || CASE WHEN segment <> '' AND ((wide >= {WIDE} AND c_n * wide < p_n) OR (c_seen > 0 AND
+ abs((c_bad + {rate}) / (c_seen + 1.0) - {rate}) * sqrt(c_seen + 1.0) < {LIKE} * sqrt({rate} * (1.0 - {rate})))) THEN '*' ELSE segment END AS next FROM c{k} JOIN q{k} USING (host, prefix)),
+m{k} AS (SELECT s.host, gpath, n, bad, seen, inherited, rest, CASE WHEN alone THEN s.prefix || '/' || rest ELSE next END AS template, alone OR NOT contains(rest, '/') AS last FROM s{k} s JOIN n{k} USING (host, prefix, segment)),
+e{k} AS (SELECT host, template, {smoothed("inherited")} AS purity FROM (SELECT host, template, sum(n) AS n, sum(bad) AS bad, sum(seen) AS seen, any_value(inherited) AS inherited FROM m{k} WHERE last GROUP BY ALL)),
+d{k} AS (SELECT host, gpath, template, purity FROM m{k} JOIN e{k} USING (host, template) WHERE last),
+v{k} AS (SELECT host, template, {passed("inherited")} AS inherited FROM (SELECT host, template, sum(n) AS n, sum(bad) AS bad, sum(seen) AS seen, any_value(inherited) AS inherited FROM m{k} WHERE NOT last GROUP BY ALL)),
+l{k + 1} AS (SELECT m.host, gpath, n, bad, seen, v.inherited, m.template AS prefix, substr(rest, instr(rest, '/') + 1) AS rest FROM m{k} m JOIN v{k} v ON m.host = v.host AND m.template = v.template WHERE NOT last)"""
+        )
+    parts.append("t AS (" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(1, SQL_LEVELS + 1)) + ")")
     return "WITH " + ",\n".join(parts) + f"""
 SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN purity > {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, t.template, round(purity, 6) AS purity
-FROM p JOIN t ON p.host = t.host AND p.gpath = t.gpath JOIN g ON t.host = g.host AND t.template = g.template"""
+FROM p JOIN t ON p.host = t.host AND p.gpath = t.gpath"""
 
 
 OP9_SQL = _op9_sql()

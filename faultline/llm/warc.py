@@ -1,7 +1,8 @@
 """WARC archives by way of a chunked record table (operator 2).
 
-Payloads are cut into rows (record, chunk number) of at most ``CHUNK`` bytes. Writers and readers stream these
-rows and carry an incremental SHA-256, so no task builds a whole record. Of equal payloads of at least
+Payloads are cut where they are read into rows (record, chunk number) of at most ``CHUNK`` bytes that carry the
+digest so far. Only these rows move, if anything does: equal payloads are found by their digests alone. Writers and
+readers stream the rows and carry an incremental SHA-256, so none of them builds a whole record. Of equal payloads of at least
 ``MIN_REVISIT`` bytes the record with the smallest id is the response; the others are revisit records that refer
 to it and hold no payload.
 
@@ -28,36 +29,72 @@ from .shared import new_path, save, table, utf8
 
 CHUNK = 1 << 16
 MIN_REVISIT = 100
+_BATCH = 1 << 22  # bytes of chunk rows that a task hands on at once
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNKED = "page_id long, url string, chunk_no long, n_chunks long, payload_bytes long, payload_digest string, record_type string, refers_to long, chunk binary"
+CHUNKED = "record long, page_id long, url string, chunk_no long, n_chunks long, payload_bytes long, payload_digest string, sha256_so_far string, record_type string, refers_to long, chunk binary"
+CUT = "record long, page_id long, url string, chunk_no long, n_chunks long, payload_bytes long, payload_digest string, sha256_so_far string, chunk binary"
+#: Responses with copies (a digest and an id each) that may be broadcast.
+MOST_BROADCAST = 1 << 17
 READ = "page_id long, chunk_no long, n_bytes long, sha256_so_far string, last boolean, record_type string, refers_to long, payload_bytes long, chunk binary"
 
 
-def chunk_table(pages: DataFrame, chunk: int = CHUNK, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+def _cut(chunk: int):
+    """page_id, url, body to rows of ``CUT``; a record's number holds the task's in its upper bits."""
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+    names = [x.split()[0] for x in CUT.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record, rows, size = TaskContext.get().partitionId() << 40, [], 0
+        for batch in batches:
+            for page_id, url, body in zip(batch["page_id"].to_pylist(), batch["url"].to_pylist(), batch["body"]):
+                view = memoryview(body.as_buffer())
+                n = max(1, -(-len(view) // chunk))
+                digest, sha = hashlib.sha256(view).hexdigest(), hashlib.sha256()
+                for no in range(n):
+                    part = view[no * chunk : (no + 1) * chunk]
+                    sha.update(part)
+                    rows.append((record, page_id, url, no, n, len(view), digest, sha.hexdigest(), bytes(part)))
+                    size += len(part)
+                    if size >= _BATCH or len(rows) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                        rows, size = [], 0
+                record += 1
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    return run
+
+
+def chunk_table(pages: DataFrame, chunk: int = CHUNK, page_id: str = "page_id", url: str = "url", payload: str = "html", most: int = MOST_BROADCAST) -> DataFrame:
     """Rows of ``CHUNKED``; a record's rows stand together and in order. Null payloads are empty: one empty chunk.
 
-    The payload moves once, to meet the response of its digest; a hot digest is split by adaptive execution, for
-    the left side of an outer join can be dealt out freely.
+    A first pass over digests and ids finds the payloads that occur more than once. Up to ``most`` of them are
+    broadcast, and no payload is shuffled; beyond, the chunk rows meet them by digest. A row given twice is two
+    records. Of equal payloads under one smallest id, that id's rows are all responses. A null id counts as largest.
     """
     body = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), utf8(payload).alias("body"))
-    body = body.withColumn("payload_digest", F.sha2("body", 256)).withColumn("payload_bytes", F.octet_length("body").cast("long"))
     first = (
-        body.filter(F.col("payload_bytes") >= MIN_REVISIT)
-        .groupBy(F.col("payload_digest").alias("of"))
+        body.filter(F.octet_length("body") >= MIN_REVISIT)
+        .groupBy(F.sha2("body", 256).alias("of"))
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
         .filter("copies > 1")
+        .select("of", "first_id")
     )
-    met = body.join(first, F.col("payload_digest") == F.col("of"), "left")
+    first = save(first, "warc-copies")
+    cut = body.mapInArrow(_cut(chunk), CUT)
+    if first.count() <= most:
+        met = cut.join(F.broadcast(first), F.col("payload_digest") == F.col("of"), "left")
+    else:
+        # a record's rows come from one task, so they stay together where a hot digest is dealt out
+        met = cut.join(first, F.col("payload_digest") == F.col("of"), "left").sortWithinPartitions("payload_digest", "record", "chunk_no")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    met = met.withColumn("revisit", revisit).withColumn("n_chunks", F.when(F.col("revisit"), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / F.lit(float(chunk))))).cast("long"))
-    met = met.withColumn("chunk_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)))
-    piece = F.substring("body", (F.col("chunk_no") * chunk + 1).cast("int"), F.lit(chunk))
+    met = met.withColumn("revisit", revisit).filter("NOT revisit OR chunk_no = 0")
     return met.select(
-        "page_id", "url", "chunk_no", "n_chunks", "payload_bytes", "payload_digest",
+        "record", "page_id", "url", "chunk_no", F.when(F.col("revisit"), 1).otherwise(F.col("n_chunks")).cast("long").alias("n_chunks"), "payload_bytes", "payload_digest", "sha256_so_far",
         F.when(F.col("revisit"), "revisit").otherwise("response").alias("record_type"),
         F.when(F.col("revisit"), F.col("first_id")).alias("refers_to"),
-        F.when(F.col("revisit"), F.lit(b"")).otherwise(piece).alias("chunk"),
+        F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("chunk")).alias("chunk"),
     )
 
 
