@@ -35,6 +35,7 @@ from .shared import fmix, save, table, utf8
 WORDS, PERCENT = 4, 85  # of op7; near-duplicate stages take five words and 80 percent
 BUCKETS, CHUNKS = 1 << 20, 256  # hash buckets of the frequency table, and the parts it is summed in
 BLOCK = 1000
+HASHED = 26  # bits of the hashes that tell which texts are wanted: a bitmap of 8 MB at most
 LEAF, FAN = 8, 8
 FEW = 48  # members of a prefix shingle's group up to which they are compared one by one
 MOST_COMMON = 1 << 20  # shingles of 8 bytes that may be broadcast
@@ -276,8 +277,8 @@ def _new_prefixes(frequent, percent: int, common=None):
     return run
 
 
-def spread_prefixes(reps: DataFrame, sets_of, frequent, percent: int, block: int, most: int = MOST_COMMON) -> DataFrame:
-    """``reps`` (rep, n, prefix, bitmap) with prefixes in which shingles held by more than ``block`` classes come last.
+def prefix_tokens(reps: DataFrame, sets_of, frequent, percent: int, block: int, most: int = MOST_COMMON) -> DataFrame:
+    """(token, rep) of the prefixes of ``reps`` (rep, prefix), with shingles held by more than ``block`` classes last.
 
     ``sets_of`` gives (rep, shingles) for a table of reps. Only classes with such a shingle in their prefix are read
     again: with all others, the first shingles of the old and the new order are the same. The common shingles are
@@ -286,7 +287,7 @@ def spread_prefixes(reps: DataFrame, sets_of, frequent, percent: int, block: int
     tokens = reps.mapInArrow(_explode_prefix, "token long, rep long")
     hot = save(tokens.groupBy("token").agg(F.count("*").alias("members")).filter(F.col("members") > block).select("token"), "hot")
     if hot.isEmpty():
-        return reps
+        return tokens
     first = save(tokens.join(hot, "token", "left_semi").select("rep").distinct(), "touched")
     sets = sets_of(first)
     counts = sets.mapInArrow(_count_shingles, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -299,16 +300,16 @@ def spread_prefixes(reps: DataFrame, sets_of, frequent, percent: int, block: int
     else:
         held = sets.mapInArrow(_explode_shingles, "token long, rep long").join(common, "token").groupBy("rep").agg(F.collect_list("token").alias("held"))  # bounded by the set
         fresh = sets.join(held, "rep", "left").mapInArrow(_new_prefixes(frequent, percent), "rep long, fresh binary")
-    return save(reps.join(fresh, "rep", "left").select("rep", "n", F.coalesce("fresh", "prefix").alias("prefix"), "bitmap"), "spread")
+    fresh = save(fresh.withColumnRenamed("fresh", "prefix"), "fresh")
+    return tokens.join(fresh.select("rep"), "rep", "left_anti").select("token", "rep").unionByName(fresh.mapInArrow(_explode_prefix, "token long, rep long"))
 
 
-def candidate_components(reps: DataFrame, percent: int, block: int) -> DataFrame:
-    """``reps``: rep, n, prefix, bitmap. (rep, cluster) of those that may link with another.
+def candidate_components(reps: DataFrame, tokens: DataFrame, percent: int, block: int) -> DataFrame:
+    """``reps``: rep, n, bitmap; ``tokens``: token, rep. (rep, cluster) of those that may link with another.
 
     Members of a prefix shingle's group are tied by bitmaps; a group of more than ``block`` is tied as a whole. Of
     shingles with the same members, as near copies have many, one is enough.
     """
-    tokens = reps.mapInArrow(_explode_prefix, "token long, rep long")
     shared = tokens.groupBy("token").agg(F.min("rep").alias("hub"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("who")).filter("members > 1")
     shared = shared.groupBy("hub", "members", "who").agg(F.min("token").alias("token")).drop("who")
     met = save(tokens.join(shared, "token"), "shared")
@@ -460,8 +461,14 @@ def _with_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: in
             packed = [shingles(t.as_py(), words).tobytes() for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["rep"], batch["cluster"], pa.array(packed, pa.binary())], ["rep", "cluster", "shingles"])
 
-    named = wanted.join(classes.select("rep", "rep_id", "rep_sha"), "rep")
-    met = identified(docs).join(named, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha"))).select("rep", "cluster", "text")
+    named = save(wanted.join(classes.select("rep", "rep_id", "rep_sha"), "rep"), "named")
+    # a bitmap of hashed digests, of at most 2 ** HASHED bits, keeps most texts that aren't wanted out of the shuffle
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << HASHED)) + 1
+    bits = named.select(place("rep_sha").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    at = identified(docs).withColumn("p", place("sha")).withColumn("bucket", F.bitmap_bucket_number("p")).withColumn("bit", F.bitmap_bit_position("p"))
+    octet = F.conv(F.hex(F.expr("substring(bits, CAST(bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    near = at.join(F.broadcast(bits), "bucket").filter(F.expr("shiftleft(1, CAST(bit % 8 AS INT))").bitwiseAND(octet) != 0).select("doc_id", "sha", "text")
+    met = near.join(named, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha"))).select("rep", "cluster", "text")
     return save(met.dropDuplicates(["rep"]).mapInArrow(run, "rep long, cluster long, shingles binary"), "members")
 
 
@@ -479,7 +486,7 @@ def linked_rows(docs: DataFrame, words: int, percent: int, block: int = BLOCK) -
     one = s.join(c, (F.col("set_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha")))
     one = save(one.select("rep", "n", "prefix", "bitmap").dropDuplicates(["rep"]), "one")
     sets_of = lambda reps: _with_sets(docs, classes, reps.withColumn("cluster", F.lit(0).cast("long")), words).drop("cluster")
-    clusters = candidate_components(spread_prefixes(one, sets_of, frequent, percent, block), percent, block)
+    clusters = candidate_components(one, prefix_tokens(one.select("rep", "prefix"), sets_of, frequent, percent, block), percent, block)
     links = _verified(_with_sets(docs, classes, clusters, words), clusters, percent, block)
     linked = components(links)
     named = classes.join(linked, F.col("rep") == F.col("node"), "left").withColumn("more", (F.col("copies") > 1) | F.col("component").isNotNull())

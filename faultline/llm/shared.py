@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
-
+from ..sources.store import new_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a temporary one.
-
-    Outside local mode an unset spark.checkpoint.dir falls back to the warehouse, never to a machine's own disk.
-    """
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            base = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="faultline-")
-            shared_dir.own = base
-        else:
-            base = spark.conf.get("spark.sql.warehouse.dir")
-    return base.rstrip("/")
+MASK64 = (1 << 64) - 1
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/faultline-{label}-{uuid.uuid4().hex}"
+    """A path of its own in the folder that driver and executors share (spark.checkpoint.dir)."""
+    return new_folder(spark, label)
 
 
 def save(df: DataFrame, label: str) -> DataFrame:

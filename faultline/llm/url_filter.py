@@ -5,10 +5,11 @@ host, paths form a tree of templates. Digits and long hexadecimal runs are varia
 tree, segments that are rarer than an even share of a wide node become the wildcard ``*``, and branches whose
 share of blocked examples is statistically like their parent's are merged into ``*`` too.
 
-The purity of a node is its share of blocked examples, smoothed towards what it inherits: domain (the last two
-labels; it inherits ``PRIOR``), host, and each step of the template in turn. A node passes its purity on in so far as its urls have
+The purity of a node is its share of blocked examples, smoothed towards what it inherits: root, domain (the last
+two labels), host, and each step of the template in turn. Above the hosts, a host is one example, with the shares of
+its urls that are labelled and blocked, so that a large host doesn't speak for the others. A node passes its purity on in so far as its urls have
 labels: what a child inherits lies between what the parent inherited and the parent's purity, by the labelled share
-of the parent's urls. So a branch without labels is judged by its siblings where these make up most of the parent. A
+of the parent's urls, where one without a label weighs ``UNLABELLED``. So a branch without labels is judged by its siblings where these make up most of the parent. A
 template is rejected when its purity is over one half.
 
 Levels are built until no path goes on; a path that is alone under its node leaves at once with the rest of it as it
@@ -33,6 +34,8 @@ WIDE = 25
 LIKE = 1.0
 #: Blocked share expected without examples, and the number of examples it weighs.
 PRIOR, PRIOR_WEIGHT = 0.2, 2.0
+#: Weight of a url without a label beside one with a label, against passing a purity on.
+UNLABELLED = 0.75
 #: Levels of the tree in the SQL below, which can't loop; the operator has no such bound.
 SQL_LEVELS = 6
 #: Blocked share over which a template is rejected.
@@ -79,7 +82,7 @@ def _smoothed(bad: F.Column, seen: F.Column, inherited: F.Column) -> F.Column:
 
 
 def _passed_on(bad: F.Column, seen: F.Column, n: F.Column, inherited: F.Column) -> F.Column:
-    return inherited + (_smoothed(bad, seen, inherited) - inherited) * seen / n
+    return inherited + (_smoothed(bad, seen, inherited) - inherited) * seen / (seen + F.lit(UNLABELLED) * (n - seen))
 
 
 def path_templates(paths: DataFrame) -> DataFrame:
@@ -87,8 +90,9 @@ def path_templates(paths: DataFrame) -> DataFrame:
     n, bad, seen = F.col("n"), F.col("bad"), F.col("seen")
     sums = [F.sum(x).alias(x) for x in ("n", "bad", "seen")]
     hosts = paths.groupBy("host").agg(*sums).withColumn("domain", domain_of(F.col("host")))
-    domains = hosts.groupBy("domain").agg(*sums)
-    domains = domains.select("domain", _passed_on(bad, seen, n, F.lit(PRIOR)).alias("inherited"))
+    domains = hosts.groupBy("domain").agg(F.count("*").alias("n"), *(F.sum(F.col(x) / F.col("n")).alias(x) for x in ("bad", "seen")))
+    root = domains.agg(*sums).select(_passed_on(bad, seen, n, F.lit(PRIOR)).alias("inherited"))  # one row
+    domains = domains.crossJoin(F.broadcast(root)).select("domain", _passed_on(bad, seen, n, F.col("inherited")).alias("inherited"))
     hosts = hosts.join(domains, "domain").select("host", _passed_on(bad, seen, n, F.col("inherited")).alias("inherited"))
     # a path starts with the separator or is empty; an empty one is one empty segment
     live = paths.join(hosts, "host").withColumn("prefix", F.lit("")).withColumn("rest", F.regexp_replace("gpath", "^/", ""))
@@ -152,7 +156,7 @@ def _op9_sql() -> str:
         return f"(bad + {PRIOR_WEIGHT} * {inherited}) / (seen + {PRIOR_WEIGHT})"
 
     def passed(inherited: str) -> str:
-        return f"{inherited} + ({smoothed(inherited)} - {inherited}) * seen / n"
+        return f"{inherited} + ({smoothed(inherited)} - {inherited}) * seen / (seen + {UNLABELLED} * (n - seen))"
 
     order = sorted(RULES, key=lambda r: (-len(r), r))
     parts = [
@@ -162,8 +166,9 @@ def _op9_sql() -> str:
         "p AS (SELECT *, CASE rule " + " ".join(f"WHEN '{x}' THEN '{v}'" for x, v in RULES.items()) + " END AS ruled FROM r)",
         "g AS (SELECT host, gpath, count(*) AS n, count(*) FILTER (ruled = 'block') AS bad, count(ruled) AS seen FROM p GROUP BY host, gpath)",
         f"""h AS (SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, sum(n) AS n, sum(bad) AS bad, sum(seen) AS seen FROM g GROUP BY ALL),
-dm AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, sum(seen) AS seen FROM h GROUP BY ALL),
-dp AS (SELECT domain, {passed(str(PRIOR))} AS inherited FROM dm),
+dm AS (SELECT domain, count(*) AS n, sum(bad / n) AS bad, sum(seen / n) AS seen FROM h GROUP BY ALL),
+rt AS (SELECT {passed(str(PRIOR))} AS inherited FROM (SELECT sum(n) AS n, sum(bad) AS bad, sum(seen) AS seen FROM dm)),
+dp AS (SELECT domain, {passed("inherited")} AS inherited FROM dm, rt),
 hp AS (SELECT host, {passed("inherited")} AS inherited FROM h JOIN dp USING (domain)),
 l1 AS (SELECT g.*, inherited, '' AS prefix, regexp_replace(gpath, '^/', '') AS rest FROM g JOIN hp USING (host))""",
     ]

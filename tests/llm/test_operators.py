@@ -550,10 +550,10 @@ def test_common_shingles_beyond_the_broadcast(spark):
     r = random.Random(6)
     data = [(i, " ".join(w if r.random() > 0.02 else f"x{i}" for w in base)) for i in range(40)] + [(100 + i, " ".join(base[:40]) + " " + words(500 + i, 70)) for i in range(30)]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    real = ngram_join.spread_prefixes
+    real = ngram_join.prefix_tokens
     small = lambda *a: real(*a, most=0)
     with pytest.MonkeyPatch.context() as m:
-        m.setattr(ngram_join, "spread_prefixes", small)
+        m.setattr(ngram_join, "prefix_tokens", small)
         got = sorted((tuple(x) for x in ngram_join.similar_components(df, 4, 85, 8).collect()), key=str)
     assert got == brute_components(data, 4, 85)
 
