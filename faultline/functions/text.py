@@ -29,6 +29,23 @@ def has_term(c: Column, terms) -> Column:
     return F.coalesce(c.rlike(terms_pattern(terms)), F.lit(False))
 
 
+def first_sentences(said: Column) -> Column:
+    """The first of the sentences with each text key, in their order; those without a word go.
+
+    Sorted by key and place, a sentence stays if the one before it has another key: no sentence is compared with all.
+    """
+    placed = F.transform(said, lambda s, i: F.struct(text_key(s).alias("k"), i.alias("i"), F.trim(s).alias("t")))
+    # one-element arrays bind what is made once and used for every element
+    ordered = F.transform(F.array(placed), lambda a: F.array_sort(F.filter(a, lambda p: p["k"] != "")))
+    kept = F.transform(ordered, lambda a: F.filter(a, lambda p, i: (i == 0) | (F.get(a, i - 1)["k"] != p["k"])))
+    back = F.transform(kept, lambda a: F.array_sort(F.transform(a, lambda p: F.struct(p["i"].alias("i"), p["t"].alias("t")))))
+    return F.transform(F.get(back, F.lit(0)), lambda p: p["t"])
+
+
+def sentences(c: Column) -> Column:
+    return F.split(c, r"(?<=[.!?])\s+")
+
+
 def clean_note(c: Column) -> Column:
     """A note without dispatcher scaffold, boilerplate and repeated sentences; empty if little is left."""
     x = F.coalesce(c, F.lit(""))
@@ -37,19 +54,8 @@ def clean_note(c: Column) -> Column:
     x = F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
     low = F.lower(x)
     empty = low.isin("", *K.MEANINGLESS) | reduce(lambda a, b: a | b, (F.startswith(low, F.lit(p)) for p in K.SYSTEM_PREFIXES)) | any_match(x, K.BOILERPLATE)
-    said = F.filter(F.split(x, r"(?<=[.!?])\s+"), lambda s: ~any_match(s, K.BOILERPLATE))
-    keyed = F.filter(F.transform(said, lambda s: F.struct(text_key(s).alias("k"), F.trim(s).alias("t"))), lambda p: p["k"] != "")
-
-    def firsts(arr: Column) -> Column:
-        """The first sentence of each key; ``arr`` is bound once, so that keys aren't made again for each sentence."""
-        return F.aggregate(
-            arr,
-            F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<string>").alias("out")),
-            lambda acc, p: F.when(F.array_contains(acc["seen"], p["k"]), acc).otherwise(F.struct(F.array_append(acc["seen"], p["k"]).alias("seen"), F.array_append(acc["out"], p["t"]).alias("out"))),
-            lambda acc: F.array_join(acc["out"], " "),
-        )
-
-    kept = firsts(keyed)
+    said = F.filter(sentences(x), lambda s: ~any_match(s, K.BOILERPLATE))
+    kept = F.array_join(first_sentences(said), " ")
     return F.when(empty | (F.length(F.regexp_replace(kept, r"(?U)\W", "")) < 8), "").otherwise(kept)
 
 

@@ -82,6 +82,24 @@ def audit_sample(incidents: DataFrame, size: int = 50, seed: str = "audit", key:
 COMPONENTS = ("membership_correct", "family_correct", "cause_correct", "action_correct", "citations_correct")
 
 
+def write_audit(sample: DataFrame, path: str) -> None:
+    """A sample as CSV for people to label: a blank column for each label that it doesn't carry."""
+    blank = [F.lit(None).cast("string").alias(c) for c in (*COMPONENTS, "actual_correct") if c not in sample.columns]
+    sample.select("*", *blank).coalesce(1).write.csv(path, header=True, escape='"')  # a sample is small
+
+
+def read_audit(spark: SparkSession, path: str, key: str = "incident_id") -> DataFrame:
+    """A labelled CSV: raw_score as a number and the labels as integers; rows that no one has labelled are left out."""
+    x = spark.read.csv(path, header=True, escape='"', multiLine=True)
+    missing = {key, "raw_score", *COMPONENTS, "actual_correct"} - set(x.columns)
+    if missing:
+        raise ValueError(f"{path} lacks {sorted(missing)}")
+    x = x.withColumn("raw_score", F.col("raw_score").try_cast("double"))
+    for c in (*COMPONENTS, "actual_correct"):
+        x = x.withColumn(c, F.trim(c).try_cast("int"))
+    return x.filter(F.coalesce(*COMPONENTS, "actual_correct").isNotNull())
+
+
 def label_violations(rows: DataFrame) -> DataFrame:
     """Audit rows whose component labels aren't all 0 or 1, or don't multiply to actual_correct."""
     ok = F.lit(True)

@@ -108,6 +108,17 @@ def nest(orders: DataFrame, links: DataFrame, comments: DataFrame) -> DataFrame:
     return x.withColumn("eligibility", why).withColumn("eligible", F.col("eligibility") == "eligible")
 
 
+def bridge(links: DataFrame, orders: DataFrame) -> DataFrame:
+    """Links with what their jobs say, null for unknown jobs."""
+    return links.join(orders, "work_order_id", "left")
+
+
+def attach_notes(notes: DataFrame) -> DataFrame:
+    """(work_order_id, note): a job's texts in order, joined by blanks."""
+    said = F.transform(F.array_sort(F.collect_list(F.struct("source_sequence", "text"))), lambda n: n["text"])
+    return notes.groupBy("work_order_id").agg(F.array_join(said, " ").alias("note"))
+
+
 def validation_report(**counts: tuple[DataFrame, str]) -> DataFrame:
     """(name, kind, n) for named tables: one small aggregate each."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), "n") for name, (df, kind) in counts.items()]

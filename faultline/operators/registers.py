@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import text as X
 from ..functions import values as V
 
 
@@ -38,21 +39,32 @@ def asset_departments(links: DataFrame, orders: DataFrame) -> DataFrame:
     return mode_first(x, "asset_key", "department", "pos")
 
 
-def incident_detail(incident_id: str, incidents: DataFrame, members: DataFrame, orders: DataFrame, notes: DataFrame) -> DataFrame:
-    """An incident with its jobs and redacted notes nested."""
+def incident_details(incidents: DataFrame, members: DataFrame, orders: DataFrame, notes: DataFrame) -> DataFrame:
+    """All incidents with their jobs, in sequence, and redacted notes nested."""
     n = notes.groupBy("work_order_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("source_sequence", "redacted"))), lambda x: x["redacted"]).alias("notes"))
-    m = members.filter(F.col("incident_id") == incident_id).join(orders, "work_order_id").join(n, "work_order_id", "left")
+    m = members.join(orders, "work_order_id").join(n, "work_order_id", "left")
     jobs = m.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "work_order_id", "occurred_at", "reason", "notes"))).alias("jobs"))
-    return incidents.filter(F.col("incident_id") == incident_id).join(jobs, "incident_id", "left")
+    return incidents.join(jobs, "incident_id", "left")
+
+
+def incident_detail(incident_id: str, incidents: DataFrame, members: DataFrame, orders: DataFrame, notes: DataFrame) -> DataFrame:
+    """One incident's row of ``incident_details``."""
+    own = F.col("incident_id") == incident_id
+    return incident_details(incidents.filter(own), members.filter(own), orders, notes)
 
 
 def asset_detail(asset: str, links: DataFrame, orders: DataFrame, members: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Totals of an asset and its jobs in time order, with is_repeat."""
-    mine = links.filter(F.col("asset_key") == asset).select("work_order_id").distinct().join(orders, "work_order_id")
+    """One asset's row of ``asset_details``."""
+    return asset_details(links.filter(F.col("asset_key") == asset), orders, members, incidents)
+
+
+def asset_details(links: DataFrame, orders: DataFrame, members: DataFrame, incidents: DataFrame) -> DataFrame:
+    """Totals of every asset and its jobs in time order, with is_repeat. Catch-all assets are excluded upstream."""
+    mine = links.select("asset_key", "work_order_id").distinct().join(orders.drop("asset_key"), "work_order_id")
     x = mine.join(members.select("work_order_id", "incident_id"), "work_order_id", "left").join(incidents.select("incident_id", "recurring"), "incident_id", "left")
     x = x.withColumn("is_repeat", F.coalesce("recurring", F.lit(False)))
-    return x.agg(
-        F.lit(asset).alias("asset_key"), F.count("*").alias("jobs"), F.count_if("is_repeat").alias("repeats"), F.max("occurred_at").alias("last_service"),
+    return x.groupBy("asset_key").agg(
+        F.count("*").alias("jobs"), F.count_if("is_repeat").alias("repeats"), F.max("occurred_at").alias("last_service"),
         F.array_sort(F.collect_list(F.struct("occurred_at", "work_order_id", "is_repeat"))).alias("timeline"),
     )
 
@@ -64,6 +76,19 @@ def review_queue(insights: DataFrame, reviews: DataFrame, decision: str | None =
     return (x if decision is None else x.filter(F.col("decision") == decision)).orderBy(F.col("confidence").asc_nulls_last(), "review_id")
 
 
+def store_decisions(log: DataFrame) -> DataFrame:
+    """A decision log as it may be stored: personal data in the reviewers' free text is redacted first."""
+    for c in ("edited_action", "reviewer_note"):
+        if c in log.columns:
+            log = log.withColumn(c, F.when(F.col(c).isNotNull(), X.redact_pii(F.col(c))["text"]))
+    return log
+
+
+def with_reviews(incidents: DataFrame, insights: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Incidents with their finding and, if there is one, their review."""
+    return incidents.select("incident_id").join(insights, "incident_id").join(reviews, "incident_id", "left")
+
+
 def latest_decisions(log: DataFrame) -> DataFrame:
     """The last entry of a decision log for each review."""
     return log.withColumn("_n", F.row_number().over(Window.partitionBy("review_id").orderBy(F.desc("decided_at"), F.desc("decision")))).filter("_n = 1").drop("_n")
@@ -235,12 +260,26 @@ def matching_assets(found: DataFrame, register: DataFrame) -> DataFrame:
     return found.groupBy("asset_key").agg(F.count("*").alias("matching_incidents")).join(register, "asset_key")
 
 
+def parse_queries(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with year, more_than, recurring and terms of the search string in each row; the family is classified apart."""
+    q = F.coalesce(F.col(column), F.lit(""))
+    low = F.lower(q)
+    found = lambda c, p: F.when(c.rlike(p), F.regexp_extract(c, p, 1)).try_cast("int")
+    return df.withColumns(
+        {
+            "year": found(q, r"(?U)\b(20\d{2})\b"), "more_than": found(low, r"more than\s+(\d+)"), "recurring": F.contains(low, F.lit("recurring")),
+            "terms": F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit("([a-z]{3,})")))),
+        }
+    )
+
+
 # ---- report ----
 
 
 def report_records(incidents: DataFrame, insights: DataFrame, risk: DataFrame) -> DataFrame:
     """Active findings in report order, with their rank."""
-    x = incidents.select("incident_id", "last_seen").join(insights, "incident_id").join(risk.select("asset_key", "risk"), "asset_key", "left")
+    own = [c for c in ("last_seen", "first_seen", "department", "resolution_status") if c in incidents.columns]
+    x = incidents.select("incident_id", *own).join(insights, "incident_id").join(risk.select("asset_key", "risk"), "asset_key", "left")
     return x.orderBy(F.desc("recurring"), F.desc((F.col("family") != K.UNKNOWN).cast("int")), F.desc_nulls_last("risk"), F.desc("last_seen"), "incident_id")
 
 
@@ -251,20 +290,81 @@ def first_per_asset(records: DataFrame, k: int = 5) -> DataFrame:
 
 
 def report_json(records: DataFrame, limit: int = 500, offset: int = 0, version: str = "1") -> DataFrame:
-    """One JSON string a finding, with the envelope's version."""
-    rows = records.offset(offset).limit(limit)
+    """One JSON string a finding, with the envelope's version; a page of them unless ``limit`` is None."""
+    rows = records if limit is None else records.offset(offset).limit(limit)
     return rows.select("incident_id", F.to_json(F.struct(F.lit(version).alias("version"), *rows.columns)).alias("finding"))
 
 
-def report_markdown(records: DataFrame, kpi: DataFrame, k: int = 20) -> DataFrame:
-    """Lines of a briefing in order: section, line_no, line. Write with ``.orderBy('section', 'line_no')``."""
-    head = kpi.select(F.lit(0).alias("section"), F.posexplode(F.array(F.lit("# Maintenance briefing"), F.concat(F.lit("Jobs: "), F.col("jobs").cast("string")), F.concat(F.lit("Incidents: "), F.col("incidents").cast("string")), F.concat(F.lit("Recurring: "), F.col("recurring").cast("string")))).alias("line_no", "line"))
-    top = first_per_asset(records, k).withColumn("line_no", F.row_number().over(Window.orderBy(F.desc("risk"), "incident_id")))  # k rows
-    body = top.select(F.lit(1).alias("section"), "line_no", F.concat(F.lit("- "), "title", F.lit(": "), "recommended_action").alias("line"))
-    return head.unionByName(body)
+def structured_findings(records: DataFrame) -> DataFrame:
+    """Report records under the 23 fixed names of the structured report; nested parts are structs."""
+    have = set(records.columns)
+    got = lambda c, other: F.coalesce(F.col(c), other) if c in have else other
+    return records.select(
+        F.concat(F.lit("INS-"), F.col("incident_id")).alias("INSIGHT_ID"), F.col("incident_id").alias("INCIDENT_ID"), F.col("asset_key").alias("ASSET_KEY"), F.col("department").alias("DEPARTMENT"),
+        F.col("family").alias("ISSUE_FAMILY"), F.struct("first_seen", "last_seen").alias("EVIDENCE_WINDOW"), F.col("recurring").alias("RECURRING"), F.col("resolution_status").alias("RESOLUTION_STATUS"),
+        F.coalesce("risk", F.lit(0)).alias("RISK_SCORE"), F.col("observations").alias("OBSERVATIONS"), F.col("interpretation").alias("INTERPRETATION"),
+        F.col("possible_cause.statement").alias("CAUSAL_FACTOR"), F.col("possible_cause.support_level").alias("CAUSAL_SUPPORT_LEVEL"), F.col("recommended_action").alias("RECOMMENDED_ACTION"),
+        F.col("pm_interval_recommendation").alias("PM_INTERVAL_RECOMMENDATION"), F.struct(F.col("score"), F.col("level"), F.col("needs_review").alias("requires_human_review")).alias("CONFIDENCE"),
+        F.col("supporting_work_orders").alias("SUPPORTING_WORK_ORDERS"), F.col("contradicting_work_orders").alias("CONTRADICTING_WORK_ORDERS"), F.col("evidence_by_field").alias("EVIDENCE"),
+        F.col("provenance").alias("PROVENANCE"), F.upper(got("decision", F.lit("NOT_REQUIRED"))).alias("REVIEW_DECISION"), got("human_override", F.lit(False)).alias("HUMAN_OVERRIDE"),
+        F.lit("PENDING_HUMAN_AUTHORIZATION").alias("DISPATCH_STATUS"),
+    )
+
+
+#: fixed values: the briefing's sections in order
+SECTIONS = (
+    "Executive Summary", "High-Risk Equipment", "Recurring Maintenance Patterns", "Evidence-Based Findings", "Preventive Maintenance Recommendations",
+    "Low-Confidence Findings Requiring Review",
+)
+
+
+def report_markdown(records: DataFrame, kpi: DataFrame, risky: DataFrame, k: int = 5) -> DataFrame:
+    """Lines of the briefing: section (0 to 5), place (order within it), line. Write with ``.orderBy("section", "place")``.
+
+    ``records``: report records with title, summary, score, interpretation, recommended_action, supporting_work_orders
+    and decision. ``risky``: asset_key, risk of the equipment to name. Every finding is listed once by recurrence and
+    once more if its review is pending. A section without rows says so in one line.
+    """
+    cited = F.array_join(F.transform("supporting_work_orders", lambda i: F.concat(F.lit("`"), i, F.lit("`"))), ", ")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("### "), F.col("title")), F.concat(F.col("summary"), F.lit(" Confidence: **"), F.bround(F.col("score") * 100).cast("int").cast("string"), F.lit("%**.")),
+        F.concat(F.lit("Evidence: "), cited, F.lit(".")), F.concat(F.lit("Interpretation: "), F.col("interpretation")), F.concat(F.lit("Review status: "), F.upper("decision"), F.lit(".")),
+    )
+    listed = records.withColumn("line", text)
+    place = F.struct((~F.col("recurring")).cast("int").alias("a"), (F.col("family") == K.UNKNOWN).cast("int").alias("b"), (-F.coalesce("risk", F.lit(0))).cast("long").alias("c"), (-V.micros(F.col("last_seen"))).alias("d"), F.col("incident_id").alias("e"))
+    alone = lambda n: F.struct(F.lit(n).alias("a"), F.lit(0).alias("b"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("d"), F.lit("").alias("e"))
+    said = F.concat(
+        F.lit("Analyzed "), F.col("jobs").cast("string"), F.lit(" unique work orders across "), F.col("assets").cast("string"), F.lit(" composite asset keys. "), F.col("recurring").cast("string"),
+        F.lit(" recurring incident episodes were detected; "), F.col("pending_reviews").cast("string"), F.lit(" findings require human review."),
+    )
+    first = first_per_asset(records.filter("recurring"), k)
+    advice = F.concat(F.lit("- **"), F.col("asset_key"), F.lit("**: "), F.col("recommended_action"), F.lit(" Evidence: "), cited, F.lit("."))
+    risk_line = F.concat(F.lit("- **"), F.col("asset_key"), F.lit("**: risk "), F.col("risk").cast("string"), F.lit("/100."))
+    parts = [
+        (kpi, said, alone(0), None),
+        (risky, risk_line, F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), (-F.col("risk")).cast("long").alias("c"), F.lit(0).cast("long").alias("d"), F.col("asset_key").alias("e")), "No equipment records meet the high-risk threshold."),
+        (listed.filter("recurring"), F.col("line"), place, "No findings in this section."),
+        (listed.filter("NOT recurring"), F.col("line"), place, "No findings in this section."),
+        (first, advice, place, "No recommendations generated."),
+        (listed.filter("upper(decision) = 'PENDING'"), F.col("line"), place, "No findings in this section."),
+    ]
+    out = None
+    for n, (df, line, at, empty) in enumerate(parts):
+        lines = df.select(F.lit(n).alias("section"), at.alias("place"), line.alias("line"))
+        head = kpi.select(F.lit(n).alias("section"), alone(-1).alias("place"), F.lit(f"## {SECTIONS[n]}").alias("line"))
+        lines = lines.unionByName(head)
+        if empty is not None:
+            none = df.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit(n).alias("section"), alone(0).alias("place"), F.lit(empty).alias("line"))
+            lines = lines.unionByName(none)
+        out = lines if out is None else out.unionByName(lines)
+    return out
 
 
-def run_summary(orders: DataFrame, assets: DataFrame, incidents: DataFrame, insights: DataFrame) -> DataFrame:
+def run_summary(orders: DataFrame, assets: DataFrame, incidents: DataFrame, insights: DataFrame, validation: DataFrame | None = None) -> DataFrame:
+    """One row of a run's counts; ``validation`` (name, kind, n) adds its counters as one map."""
     a = orders.agg(F.count("*").alias("jobs"), F.count_if("eligible").alias("eligible"))
     b = incidents.agg(F.count("*").alias("incidents"), F.count_if("recurring").alias("recurring"))
-    return a.crossJoin(assets.agg(F.count("*").alias("assets"))).crossJoin(b).crossJoin(insights.agg(F.count_if("needs_review").alias("review_queue")))
+    out = a.crossJoin(assets.agg(F.count("*").alias("assets"))).crossJoin(b).crossJoin(insights.agg(F.count_if("needs_review").alias("review_queue")))  # one row each
+    if validation is None:
+        return out
+    return out.crossJoin(validation.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(".", "name", "kind"), "n")))).alias("validation")))

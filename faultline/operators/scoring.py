@@ -55,6 +55,23 @@ def guard_calibration(artifact: dict | None, operational: bool, dataset: str | N
         raise ValueError("the artifact belongs to other data")
 
 
+def refusals(artifacts: DataFrame, operational: bool, dataset: str | None = None) -> DataFrame:
+    """``artifacts`` with the first reason, if any, why each can't calibrate; the guard's rules as a column."""
+    why = F.when(F.coalesce("score_space", F.lit("raw")) != "raw", "score_space")
+    if operational:
+        why = why.when(F.col("provenance") == "synthetic", "synthetic")
+    if dataset is not None:
+        why = why.when(F.col("dataset_id") != dataset, "dataset")
+    return artifacts.withColumn("refused", why)
+
+
+def risk_evidence(incidents: DataFrame, members: DataFrame, orders: DataFrame, links: DataFrame) -> DataFrame:
+    """One row an asset and job of active incidents: the job's own links, else the incident's asset."""
+    m = members.select("incident_id", "work_order_id").join(incidents.select("incident_id", F.col("asset_key").alias("_asset"), "family"), "incident_id")
+    x = m.join(orders.select("work_order_id", "occurred_at", "priority"), "work_order_id").join(links.select("work_order_id", "asset_key"), "work_order_id", "left")
+    return x.select(F.coalesce("asset_key", "_asset").alias("asset_key"), "work_order_id", "occurred_at", "family", "priority").distinct()
+
+
 def asset_risk(evidence: DataFrame, signals: DataFrame) -> DataFrame:
     """Risk of each asset, 0 to 100.
 

@@ -22,12 +22,12 @@ def ngrams(words: Column, lengths) -> Column:
     """All runs of the given numbers of words, joined by blanks."""
     none = F.array().cast("array<string>")
 
-    def runs(n: int) -> Column:
-        last = F.size(words) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(none)
+    def runs(w: Column, n: int) -> Column:
+        last = F.size(w) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(none)
 
-    parts = [runs(n) for n in lengths]
-    return F.flatten(F.array(*parts))
+    # a one-element array binds the words, which would be made again for every run
+    return F.flatten(F.get(F.transform(F.array(words), lambda w: F.array(*(runs(w, n) for n in lengths))), F.lit(0)))
 
 
 def terms(df: DataFrame, doc: str, text: str, lengths=(1, 2), words: Column | None = None) -> DataFrame:

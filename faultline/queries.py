@@ -138,9 +138,16 @@ def b13(spark, sf):
     return normalize.orphans(jobs(spark, sf), links(spark, sf).filter("role = 'appliesto'")).select("work_order_id")
 
 
+def nested(spark, sf):
+    """Jobs with their parts and, as notes, the conversation of the same number."""
+    x = links(spark, sf).withColumn("priority", V.role_priority(F.col("role"))).withColumn("asset_class", F.lit("equipment"))
+    n = notes(spark, sf).select("work_order_id", "source_sequence", "comment_id", F.col("text").alias("cleaned"), F.col("text").alias("redacted"))
+    return normalize.nest(jobs(spark, sf), x, n)
+
+
 @query("b14_nest", f"WITH {LINKS_SQL} SELECT work_order_id, string_agg(asset_key, '|' ORDER BY asset_key) AS assets FROM (SELECT DISTINCT work_order_id, asset_key FROM links) GROUP BY 1")
 def b14(spark, sf):
-    return links(spark, sf).groupBy("work_order_id").agg(F.array_join(F.array_sort(F.collect_set("asset_key")), "|").alias("assets"))
+    return nested(spark, sf).select("work_order_id", F.array_join("asset_keys", "|").alias("assets"))
 
 
 @query("b15_anchors", f"""WITH {LINKS_SQL}, r AS (SELECT *, {ROLE_SQL} AS priority, CASE WHEN row_idx % 2 = 0 THEN 1 ELSE 0 END AS loc FROM links),
@@ -243,8 +250,7 @@ def c11(spark, sf):
 
 @query("c13_excerpts", "SELECT CAST(conv_id AS VARCHAR) AS work_order_id, substr(string_agg(text, ' ' ORDER BY turn, text), 1, 180) AS excerpt FROM conversations GROUP BY 1")
 def c13(spark, sf):
-    said = F.transform(F.array_sort(F.collect_list(F.struct("source_sequence", "text"))), lambda n: n["text"])
-    return notes(spark, sf).groupBy("work_order_id").agg(F.substring(F.array_join(said, " "), 1, 180).alias("excerpt"))
+    return normalize.attach_notes(notes(spark, sf)).select("work_order_id", F.substring("note", 1, 180).alias("excerpt"))
 
 
 # ---- D: classification and sequence features ----
@@ -434,13 +440,12 @@ def e8_all(spark, sf):
 
 @query("f1_bridge", f"WITH {LINKS_SQL}, {JOBS_SQL} SELECT l.work_order_id, asset_key, role, department, occurred_at FROM links l LEFT JOIN jobs USING (work_order_id)")
 def f1(spark, sf):
-    return links(spark, sf).join(jobs(spark, sf), "work_order_id", "left").select("work_order_id", "asset_key", "role", "department", "occurred_at")
+    return normalize.bridge(links(spark, sf), jobs(spark, sf)).select("work_order_id", "asset_key", "role", "department", "occurred_at")
 
 
 @query("f2_note_attach", "SELECT CAST(conv_id AS VARCHAR) AS work_order_id, string_agg(text, ' ' ORDER BY turn, text) AS note FROM conversations GROUP BY 1")
 def f2(spark, sf):
-    said = F.transform(F.array_sort(F.collect_list(F.struct("source_sequence", "text"))), lambda n: n["text"])
-    return notes(spark, sf).groupBy("work_order_id").agg(F.array_join(said, " ").alias("note"))
+    return normalize.attach_notes(notes(spark, sf))
 
 
 @query("f3_window_pairs", f"WITH {HISTORIES_SQL} SELECT DISTINCT least(a.work_order_id, b.work_order_id) AS source, greatest(a.work_order_id, b.work_order_id) AS target FROM histories a JOIN histories b ON a.asset_key = b.asset_key AND a.work_order_id < b.work_order_id AND abs(epoch_us(a.occurred_at) - epoch_us(b.occurred_at)) <= 21600000000")
@@ -607,9 +612,9 @@ def h12(spark, sf):
 
 
 RISK_SQL = f"""{LINKS_SQL}, {JOBS_SQL}, ev AS (SELECT DISTINCT asset_key, work_order_id, occurred_at, department AS family, CASE WHEN priority LIKE '1%' OR priority LIKE '2%' THEN 'high' ELSE 'normal' END AS priority, status FROM links JOIN jobs USING (work_order_id)),
-l AS (SELECT *, max(occurred_at) OVER (PARTITION BY asset_key) AS latest FROM ev), f AS (SELECT asset_key, max(c) AS repeated FROM (SELECT asset_key, family, count(*) AS c FROM l GROUP BY ALL) GROUP BY 1),
+l AS (SELECT *, max(occurred_at) OVER (PARTITION BY asset_key) AS latest FROM ev), rf AS (SELECT asset_key, max(c) AS repeated FROM (SELECT asset_key, family, count(*) AS c FROM l GROUP BY ALL) GROUP BY 1),
 ra AS (SELECT asset_key, count(*) AS jobs, count(*) FILTER (epoch_us(occurred_at) >= epoch_us(latest) - 90 * 86400000000) AS recent_90, count(*) FILTER (priority = 'high') AS high_priority, count(*) FILTER (status = 'O') AS unresolved FROM l GROUP BY 1),
-rk AS (SELECT asset_key, jobs, recent_90, high_priority, unresolved, repeated, CAST(round_even(25 * least(1.0, jobs / 8.0) + 30 * least(1.0, greatest(0, repeated - 1) / 4.0) + 15 * least(1.0, high_priority / 3.0) + 15 * least(1.0, unresolved / 3.0) + 15 * least(1.0, recent_90 / 5.0), 0) AS BIGINT) AS risk FROM ra JOIN f USING (asset_key))"""
+rk AS (SELECT asset_key, jobs, recent_90, high_priority, unresolved, repeated, CAST(round_even(25 * least(1.0, jobs / 8.0) + 30 * least(1.0, greatest(0, repeated - 1) / 4.0) + 15 * least(1.0, high_priority / 3.0) + 15 * least(1.0, unresolved / 3.0) + 15 * least(1.0, recent_90 / 5.0), 0) AS BIGINT) AS risk FROM ra JOIN rf USING (asset_key))"""
 
 
 def risk(spark, sf):
@@ -666,9 +671,14 @@ def i9(spark, sf):
 # ---- J: registers and dashboard ----
 
 
+def hashed(column: str):
+    """Two bytes of an id's digest, for rules that SQL can repeat."""
+    return F.conv(F.substring(F.sha2(F.col(column), 256), 1, 4), 16, 10).cast("int")
+
+
 def reviews(spark, sf):
     i = incidents(spark, sf)
-    n = F.crc32(F.col("incident_id").cast("binary")) % 5
+    n = hashed("incident_id") % 5
     return i.select(F.concat(F.lit("R-"), "incident_id").alias("review_id"), "incident_id", F.when(n == 0, "rejected").when(n == 1, "approved").otherwise("pending").alias("decision"), F.lit(False).alias("archived"), F.lit("{}").alias("snapshot"))
 
 
@@ -698,7 +708,7 @@ def j7(spark, sf):
 @query("j10_review_carry_over")
 def j10(spark, sf):
     c = scoring.with_level(confidence(spark, sf).withColumn("score", F.col("raw_score"))).withColumn("title", F.col("incident_id"))
-    return registers.carry_reviews(reviews(spark, sf), c.filter(F.crc32(F.col("incident_id").cast("binary")) % 7 != 0)).select("incident_id", "decision", "archived")
+    return registers.carry_reviews(reviews(spark, sf), c.filter(hashed("incident_id") % 7 != 0)).select("incident_id", "decision", "archived")
 
 
 @query("j11_kpis", f"WITH {RISK_SQL} SELECT (SELECT count(*) FROM jobs) AS jobs, (SELECT count(DISTINCT asset_key) FROM links) AS assets, (SELECT count(*) FROM rk WHERE risk >= 65) AS high_risk_equipment")

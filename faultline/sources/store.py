@@ -5,19 +5,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` out and read it back: cuts lineage and survives the loss of executors.
 
-    The folder is spark.checkpoint.dir; where that is unset, a temporary one in local mode and the warehouse otherwise.
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir; in local mode, where that is unset, a temporary one.
+
+    Any other unset spark.checkpoint.dir is an error: executors would write to their own disks.
     """
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = tempfile.mkdtemp(prefix="faultline-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/faultline-{label}-{uuid.uuid4().hex}"
+        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own["base"] = _own.get("base") or tempfile.mkdtemp(prefix="faultline-")
+    return f"{base.rstrip('/')}/faultline-{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` out and read it back: cuts lineage and survives the loss of executors."""
+    spark = df.sparkSession
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder. Frames that read it are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
