@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.ml.feature import PCA, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import materialise
+
 VOCABULARY, PHRASES = 4096, 500
 BLANK = "unknown maintenance record"
-#: fixed values: words left out of phrases
-STOP_WORDS = (
-    "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does "
-    "doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most "
-    "my no nor not now of off on once only or other our ours out over own same she should so some such than that the their theirs them then there "
-    "these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours"
-).split()
+
+
+def stop_words() -> list[str]:
+    """Words left out of phrases: Spark's own English list."""
+    return StopWordsRemover.loadDefaultStopWords("english")
 
 
 def ngrams(words: Column, lengths) -> Column:
@@ -90,29 +96,92 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense_top_k(vectors: DataFrame, query: DataFrame, k: int = 10, where: Column | None = None) -> DataFrame:
+def dense_top_k(vectors: DataFrame, query: DataFrame, k: int = 10, where: Column | None = None, most: int = 4096) -> DataFrame:
     """Nearest vectors of each query row: query_id, vec_id, score, rank. ``query`` (query_id, q) is stated and small.
 
-    ``where`` filters before the search. Each task keeps its own best before the shuffle.
+    ``where`` filters before the search. Each task keeps its own best before the shuffle. Up to ``most`` queries are
+    broadcast; more go through in that many at a time, by blocks of their hash, so what is broadcast never grows.
     """
+    n = query.count()
+    if n > most:
+        blocks = -(-n // most)
+        part = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
+        return reduce(DataFrame.unionByName, (dense_top_k(vectors, query.filter(part == b), k, where, n) for b in range(2 * blocks)))
     v = vectors if where is None else vectors.filter(where)
     x = v.join(F.broadcast(query)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
     at = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return x.withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= k)
 
 
+PACKED = "block long, ids binary, labels binary, matrix binary"
+NEIGHBOUR = "q_id long, truth long, vec_id long, label long, score double"
+
+
+def _pack(block: int):
+    """vec_id, label, embedding to blocks of at most ``block`` rows of unit length, packed; null embeddings are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, []
+
+        def packed() -> pa.RecordBatch:
+            ids, labels, rows = zip(*held)
+            x = np.array(rows, np.float64)
+            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            x = np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number]), *(pa.array([np.array(c, np.int64).tobytes()], pa.binary()) for c in (ids, labels)), pa.array([x.tobytes()], pa.binary())], ["block", "ids", "labels", "matrix"]
+            )
+
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("vec_id", "label", "embedding"))):
+                if row[2] is not None:
+                    held.append(row)
+                    if len(held) == block:
+                        yield packed()
+                        number, held = number + 1, []
+        if held:
+            yield packed()
+
+    return run
+
+
+def _nearest(k: int):
+    """Pairs of blocks (columns of the second with a leading r_): each query's best ``k`` of the other block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in NEIGHBOUR.split(", ")]
+        for batch in batches:
+            for row in batch.to_pylist():
+                q, v = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["r_ids"], np.int64)
+                truth, label = np.frombuffer(row["labels"], np.int64), np.frombuffer(row["r_labels"], np.int64)
+                x, y = np.frombuffer(row["matrix"]).reshape(len(q), -1), np.frombuffer(row["r_matrix"]).reshape(len(v), -1)
+                for at in range(0, len(q), 256):
+                    # rounded, so that the order of a sum's terms doesn't decide between equal vectors
+                    score = np.round(x[at : at + 256] @ y.T, 12)
+                    score[(q[at : at + 256, None] == v) | np.isnan(score)] = -np.inf
+                    m = min(k, len(v))
+                    least = -np.partition(-score, m - 1, axis=1)[:, m - 1 : m]
+                    i, j = np.nonzero((score >= least) & (score > -np.inf))
+                    order = np.lexsort((v[j], -score[i, j], i))
+                    i, j = i[order], j[order]
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j = i[keep], j[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q[at + i], truth[at + i], v[j], label[j], score[i, j])], names)
+
+    return run
+
+
 def knn_classify(vectors: DataFrame, k: int = 5, block: int = 2000) -> DataFrame:
     """Leave-one-out vote of the ``k`` nearest by cosine: vec_id, label, predicted, confidence.
 
-    Exact: every block of queries meets all vectors, and each (query, block) keeps its best ``k`` first. Ties go to
-    the smaller id, equal votes to the smaller label.
+    Exact, and so of the square of the rows: every block of vectors meets every block, as a product of two matrices that
+    keeps each query's best ``k`` before anything is shuffled. Ties go to the smaller id, equal votes to the smaller
+    label. Vectors that are null or of no length have no neighbours.
     """
-    left = vectors.select(F.col("vec_id").alias("q_id"), F.col("label").alias("truth"), F.col("embedding").alias("q")).withColumn("q_norm", F.sqrt(dot(F.col("q"), F.col("q"))))
-    right = vectors.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(32)))
-    score = F.try_divide(dot(F.col("q"), F.col("embedding")), F.col("q_norm") * F.col("norm"))
-    x = left.join(right, F.col("q_id") != F.col("vec_id")).select("q_id", "truth", "vec_id", "label", "part", score.alias("score"))
-    for key in (["q_id", "part"], ["q_id"]):
-        x = x.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "vec_id"))).filter(F.col("_n") <= k).drop("_n")
+    packed = materialise(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding").mapInArrow(_pack(block), PACKED), "vectors")
+    other = packed.select(*(F.col(c).alias(f"r_{c}") for c in packed.columns))
+    x = packed.crossJoin(other).mapInArrow(_nearest(k), NEIGHBOUR)
+    x = x.withColumn("_n", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("_n") <= k)
     votes = x.groupBy("q_id", "truth", "label").agg(F.count("*").alias("votes"), F.avg("score").alias("confidence"))
     best = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("votes"), "label"))
     return votes.withColumn("_n", best).filter("_n = 1").select(F.col("q_id").alias("vec_id"), F.col("truth").alias("label"), F.col("label").alias("predicted"), "confidence")
@@ -150,8 +219,12 @@ def pca_2d(vectors: DataFrame) -> tuple[DataFrame, list[float]]:
 
 
 def phrases(df: DataFrame, doc: str, text: str, limit: int = 30) -> DataFrame:
-    """Two- and three-word phrases by mean TF-IDF over texts of three words or more; two documents at least."""
-    w = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b(\w\w+)\b")), lambda x: ~x.isin(*STOP_WORDS))
+    """Two- and three-word phrases by mean TF-IDF over texts of three words or more; two documents at least.
+
+    Stop words are Spark's English ones, a list of its own: phrases with a word on one list only differ from other tools'.
+    """
+    left_out = stop_words()
+    w = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b(\w\w+)\b")), lambda x: ~x.isin(*left_out))
     long = df.filter(F.size(F.split(F.trim(text), r"\s+")) >= 3).withColumn("_w", w)
     t = terms(long, doc, text, (2, 3), F.col("_w"))
     often = t.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 2").select("term")

@@ -266,7 +266,7 @@ def test_searches_cover_the_query_set(spark, sf):
 
 
 def test_phrases_are_those_of_the_notes(spark, sf):
-    notes = [" ".join(w for w in X_WORDS.findall((r.text or "").lower()) if w not in vectors.STOP_WORDS) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    notes = [" ".join(w for w in X_WORDS.findall((r.text or "").lower()) if w not in vectors.stop_words()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = Q.QUERIES["c11_phrases"](spark, sf).collect()
     assert got and all(r.documents == sum(f" {r.term} " in f" {n} " for n in notes) for r in got)
 
