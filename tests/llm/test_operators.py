@@ -459,11 +459,29 @@ def test_suffix_array_and_prefixes():
 
 def test_range_coder_round_trip():
     r = np.random.default_rng(2)
-    cases = [r.integers(0, 65536, (7, 300)), np.zeros((3, 500), int), r.integers(0, 3, (5, 2048)), np.full((2, 64), 65535), r.integers(0, 50000, (1, 1)), np.tile(r.integers(0, 50000, (4, 40)), 20)]
+    cases = [r.integers(0, 65536, (7, 300)), np.zeros((3, 500), int), r.integers(0, 3, (5, 2048)), np.full((2, 64), 65535), r.integers(0, 50000, (1, 1)), r.integers(0, 2**31, (3, 2048)), r.integers(0, 2**32, (5, 700)), np.full((2, 9), 2**32 - 1), np.tile(r.integers(0, 50000, (4, 40)), 20)]
     for ids in cases:
         assert (range_coder.decode_blocks(range_coder.encode_blocks(ids), ids.shape[1]) == ids).all()
-    assert sum(map(len, range_coder.encode_blocks(cases[-1]))) < cases[-1].size  # repeats cost less than a byte an id
+    assert sum(map(len, range_coder.encode_blocks(cases[-1]))) < cases[-1].size / 4  # repeats cost less than two bits an id
+    with pytest.raises(ValueError):
+        range_coder.encode_blocks(np.zeros((1, range_coder.BLOCK_IDS + 1), int))
+
+
+def test_order_0_predicts_ids():
+    """Ids without any order, but of unequal frequency, cost about their entropy and the first appearances."""
+    r = np.random.default_rng(5)
+    p = 0.5 ** np.arange(1, 12)
+    ids = r.choice(40_000 + np.arange(11), (16, 2048), p=p / p.sum())
+    entropy = -(p / p.sum() * np.log2(p / p.sum())).sum() / 8
+    assert sum(map(len, range_coder.encode_blocks(ids))) / ids.size < 1.1 * entropy + 0.05
+
 
+def test_blocks_beat_deflate(spark, sf):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    ids = np.concatenate([np.frombuffer(x, "<u4") for x in encoder(default_path()).encode(texts)])
+    ids = ids[: len(ids) // 2048 * 2048].reshape(-1, 2048)
+    ours = sum(map(len, range_coder.encode_blocks(ids))) / ids.size
+    assert ours < 1.1 and ours < sum(len(zlib.compress(x.astype("<u2").tobytes(), 6)) for x in ids) / ids.size
 
 @pytest.mark.parametrize("lanes", [token_file.LANES, 1])
 def test_token_files(spark, docs, empty, lanes):
