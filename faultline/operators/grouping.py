@@ -11,6 +11,10 @@ from ..functions import values as V
 from ..sources.store import materialise
 
 
+#: Edges of a component that one task may hold.
+MOST_EDGES = 200_000
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the least id reachable over ``edges`` (source, target), for every row of ``nodes`` (id).
 
@@ -58,20 +62,60 @@ def _greedy(span_us: int, strict: bool):
     return run
 
 
-def constrained_groups(edges: DataFrame, orders: DataFrame, span_days: float = K.SPAN_DAYS, strict_family: bool = False) -> DataFrame:
+def _walk_in_rounds(edges: DataFrame, ends: DataFrame, span_us: int, strict: bool) -> DataFrame:
+    """(id, group) as ``_greedy`` gives them, by joins alone, for components too large for one task.
+
+    An edge that comes first at both of its groups is next for them in the serial walk, whatever happens elsewhere, so
+    all such edges are decided at once. What a refusal rests on only gets worse as groups grow: of the edges between two
+    groups the first one speaks for all, and once refused they are gone.
+    """
+    ids = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
+    known = F.when(F.col("family") == K.UNKNOWN, F.array().cast("array<string>")).otherwise(F.array("family"))
+    state = ends.join(ids, ends.work_order_id == ids.id).select(F.col("id").alias("group"), F.col("t").alias("first"), F.col("t").alias("last"), "own", known.alias("families"))
+    state, labels = materialise(state, "states"), materialise(ids.withColumn("group", F.col("id")), "groups")
+    key = F.struct((-F.col("weight")).alias("w"), "source", "target")
+    live = materialise(edges.select(F.col("source").alias("a"), F.col("target").alias("b"), key.alias("key")), "live")
+    while not live.isEmpty():
+        pair = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
+        live = live.groupBy(*pair).agg(F.min(F.struct("key", "a", "b")).alias("m")).select("m.key", "m.a", "m.b")
+        best = live.select(F.explode(F.array("a", "b")).alias("g"), "key").groupBy("g").agg(F.min("key").alias("best"))
+        at = lambda c: best.select(F.col("g").alias(c), F.col("best").alias(f"best_{c}"))
+        met = materialise(live.join(at("a"), "a").join(at("b"), "b").withColumn("now", (F.col("key") == F.col("best_a")) & (F.col("key") == F.col("best_b"))), "met")
+        side = lambda c: state.select(*(F.col(x).alias(f"{c}_{x}" if x != "group" else c) for x in state.columns))
+        x = met.filter("now").join(side("a"), "a").join(side("b"), "b")
+        x = x.withColumn("first", F.least("a_first", "b_first")).withColumn("last", F.greatest("a_last", "b_last"))
+        x = x.withColumn("own", F.array_intersect("a_own", "b_own")).withColumn("families", F.array_union("a_families", "b_families"))
+        ok = (F.size("own") > 0) & (F.col("last") - F.col("first") <= span_us)
+        merged = materialise(x.filter(ok & (F.size("families") <= 1) if strict else ok).select("a", "b", "first", "last", "own", "families"), "merged")
+        into = merged.select(F.col("b").alias("old"), F.col("a").alias("new"))
+        moved = lambda df, c: df.join(into.withColumnRenamed("old", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+        gone = merged.select(F.explode(F.array("a", "b")).alias("group"))
+        state = materialise(state.join(gone, "group", "left_anti").unionByName(merged.select(F.col("a").alias("group"), "first", "last", "own", "families")), "states")
+        labels = materialise(moved(labels, "group"), "groups")
+        rest = moved(moved(met.filter("NOT now").select("key", "a", "b"), "a"), "b").filter("a <> b")
+        live = materialise(rest, "live")
+    return labels
+
+
+def constrained_groups(edges: DataFrame, orders: DataFrame, span_days: float = K.SPAN_DAYS, strict_family: bool = False, most: int = MOST_EDGES) -> DataFrame:
     """(work_order_id, group) of every order, merging ``edges`` in the order (-weight, source, target).
 
     Merges never leave a connected component, so components are found with joins first and the order-dependent part
-    runs on each by itself: exact, and as parallel as there are components. Catch-all assets are excluded upstream,
-    which bounds a component's jobs.
+    runs on each by itself: exact, and as parallel as there are components. A component of more than ``most`` edges is
+    no frame of one task but goes through rounds of joins with the same result.
     """
     own = F.when(F.size("primary_asset_keys") > 0, F.col("primary_asset_keys")).otherwise(F.col("asset_keys"))
     ids = orders.select(F.col("work_order_id").alias("id"))
     labels = connected_components(edges, edges.select(F.col("source").alias("id")).union(edges.select("target")))
     end = orders.select("work_order_id", V.micros(F.col("occurred_at")).alias("t"), own.alias("own"), "family")
     side = lambda p: end.select(*(F.col(c).alias(p if c == "work_order_id" else f"{p}_{c}") for c in end.columns))
-    x = edges.select("source", "target", "weight").join(side("source"), "source").join(side("target"), "target").join(labels.withColumnRenamed("id", "source"), "source")
-    merged = x.groupBy("component").applyInPandas(_greedy(int(span_days * 86_400_000_000), strict_family), "id string, group string")
+    placed = materialise(edges.select("source", "target", "weight").join(labels.withColumnRenamed("id", "source"), "source"), "placed")
+    large = materialise(placed.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("component"), "large")
+    small = placed.join(large, "component", "left_anti").join(side("source"), "source").join(side("target"), "target")
+    span = int(span_days * 86_400_000_000)
+    merged = small.groupBy("component").applyInPandas(_greedy(span, strict_family), "id string, group string")
+    if not large.isEmpty():
+        merged = merged.unionByName(_walk_in_rounds(placed.join(large, "component", "left_semi"), end, span, strict_family))
     return ids.join(merged, "id", "left").select(F.col("id").alias("work_order_id"), F.coalesce("group", "id").alias("group"))
 
 

@@ -305,3 +305,54 @@ def test_confidence_takes_the_edges_of_incidents(spark, sf):
     for i, s in got.items():
         assert s == pytest.approx(np.mean(by[i]) if i in by else 0.40)
     assert any(abs(s - 0.40) > 0.01 for s in got.values())
+
+
+def test_groups_by_rounds_equal_the_serial_walk(spark):
+    """Random edges over jobs with several anchors: rounds of joins and the walk in one task give the same groups."""
+    r = random.Random(9)
+    jobs = [(f"{i:03d}", T0 + timedelta(hours=r.randint(0, 60)), [f"A{k}" for k in sorted(r.sample(range(4), r.randint(1, 3)))], r.choice(["x", "y", K.UNKNOWN])) for i in range(18)]
+    orders = spark.createDataFrame([(i, t, a, a, f) for i, t, a, f in jobs], "work_order_id string, occurred_at timestamp, primary_asset_keys array<string>, asset_keys array<string>, family string")
+    pairs_ = {tuple(sorted(r.sample([j[0] for j in jobs], 2))) for _ in range(30)}
+    e = spark.createDataFrame([(a, b, round(r.random(), 1)) for a, b in sorted(pairs_)], "source string, target string, weight double")
+    walk, rounds = ({x.work_order_id: x.group for x in grouping.constrained_groups(e, orders, 1.5, True, most).collect()} for most in (10_000, 0))
+    assert walk == rounds and 3 < len(set(walk.values())) < 18
+
+
+def test_first_sentences(spark):
+    """The first of each key stays, in order; the same from plain Python over long notes."""
+    said = ["Pump ran.", "pump RAN!", "...", "Valve shut.", "Pump ran?", "Seal wet."] + [f"Note {i % 50}." for i in range(400)]
+    got = spark.createDataFrame([(said,), ([],), (None,)], "s array<string>").select(X.first_sentences(F.col("s")).alias("y")).collect()
+    seen, want = set(), []
+    for s in said:
+        k = " ".join(re.sub(r"\W+", " ", s.lower()).split())
+        if k and k not in seen:
+            seen.add(k)
+            want.append(s)
+    assert [g.y for g in got] == [want, [], None]
+
+
+def test_knn_blocks_match_brute_force(spark):
+    """Blocks of any size, equal vectors, null ones and one of no length."""
+    g = np.random.default_rng(6)
+    x = g.normal(size=(60, 8))
+    x[10] = x[11] = x[12]
+    rows = [(i, int(i % 3), [float(v) for v in x[i]]) for i in range(60)] + [(70, 1, None), (71, 1, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 12)
+    want = {}
+    for i in range(60):
+        near = sorted((j for j in range(60) if j != i), key=lambda j: (-s[i, j], j))[:5]
+        want[i] = min(range(3), key=lambda c: (-sum(j % 3 == c for j in near), c))
+    for block in (2000, 7):
+        assert {r.vec_id: r.predicted for r in vectors.knn_classify(df, block=block).collect()} == want
+
+
+def test_structured_report_and_refusals(spark):
+    a = spark.createDataFrame([("raw", "human", "d"), ("x", "human", "d"), ("raw", "synthetic", "d"), (None, "human", "e")], "score_space string, provenance string, dataset_id string")
+    assert [r.refused for r in scoring.refusals(a, True, "d").collect()] == [None, "score_space", "synthetic", "dataset"]
+    assert [r.refused for r in scoring.refusals(a, False).collect()] == [None, "score_space", None, None]
+    log = spark.createDataFrame([("R", "call a.b@c.org", None)], "review_id string, reviewer_note string, edited_action string")
+    assert registers.store_decisions(log).first() == ("R", "call [EMAIL_REDACTED]", None)
+    q = registers.parse_queries(spark.createDataFrame([("Recurring leaks, more than 3 in 2021",), (None,)], "q string"), "q").collect()
+    assert (q[0].year, q[0].more_than, q[0].recurring, q[0].terms) == (2021, 3, True, ["leaks", "more", "recurring", "than"]) and (q[1].year, q[1].recurring, q[1].terms) == (None, False, [])
