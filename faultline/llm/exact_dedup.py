@@ -35,7 +35,8 @@ def radix_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", d
         dealt = live.withColumn("digit", F.substring("body", at + 1, width))
         split = dealt.groupBy("node", "digit").agg(F.count("*").alias("n"), F.max("doc_id").alias("hi")).filter("n > 1")
         split = save(split.withColumn("group", F.monotonically_increasing_id()), f"split{at}").withColumnsRenamed({"node": "in_node", "digit": "by"})
-        kept = dealt.join(split, (F.col("node") == F.col("in_node")) & (F.col("digit") == F.col("by")))
+        # the size of a file says little of what it holds in memory, so nothing that grows is broadcast by it
+        kept = dealt.join(split.hint("merge"), (F.col("node") == F.col("in_node")) & (F.col("digit") == F.col("by")))
         ended = F.octet_length("digit") < width
         kept = save(
             kept.select(
@@ -69,7 +70,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id"
     classes = radix_classes(docs, text, doc_id, digits).dropDuplicates(["doc_id", "sha256"])
     c = classes.select(F.col("doc_id").alias("c_id"), F.col("sha256").alias("c_sha"), "keep_id", "group_size")
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.sha2(utf8(text), 256).alias("text_sha256"))
-    j = d.join(c, d.doc_id.eqNullSafe(c.c_id) & (d.text_sha256 == c.c_sha), "left")
+    j = d.join(c.hint("merge"), d.doc_id.eqNullSafe(c.c_id) & (d.text_sha256 == c.c_sha), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return j.select(
         "doc_id",
@@ -88,8 +89,9 @@ def without_rows(docs: DataFrame, gone: DataFrame, again: DataFrame) -> DataFram
     # the row travels as one column, so that no name of docs can clash
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.sha2(utf8("text"), 256).alias("own_sha"))
     same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_sha") == F.col("gone_sha"))
-    left = rows.join(gone, same, "left_anti")
+    left = rows.join(gone.hint("merge"), same, "left_anti")
     if not again.isEmpty():
+        again = again.hint("merge")
         once = left.join(again, same, "left_semi").groupBy("own_id", "own_sha").agg(F.first("row").alias("row"))
         left = left.join(again, same, "left_anti").unionByName(once.select("row", "own_id", "own_sha"))
     return left.select("row.*")

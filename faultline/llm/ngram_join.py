@@ -468,7 +468,7 @@ def _with_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: in
     at = identified(docs).withColumn("p", place("sha")).withColumn("bucket", F.bitmap_bucket_number("p")).withColumn("bit", F.bitmap_bit_position("p"))
     octet = F.conv(F.hex(F.expr("substring(bits, CAST(bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
     near = at.join(F.broadcast(bits), "bucket").filter(F.expr("shiftleft(1, CAST(bit % 8 AS INT))").bitwiseAND(octet) != 0).select("doc_id", "sha", "text")
-    met = near.join(named, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha"))).select("rep", "cluster", "text")
+    met = near.join(named.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha"))).select("rep", "cluster", "text")
     return save(met.dropDuplicates(["rep"]).mapInArrow(run, "rep long, cluster long, shingles binary"), "members")
 
 
@@ -483,7 +483,7 @@ def linked_rows(docs: DataFrame, words: int, percent: int, block: int = BLOCK) -
     classes = save(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     c = classes.select(F.col("set_hash").alias("h"), "rep_id", "rep_sha", "rep")
     s = sets.select("doc_id", "sha", F.col("n_shingles").alias("n"), "set_hash", "prefix", "bitmap")
-    one = s.join(c, (F.col("set_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha")))
+    one = s.join(c.hint("merge"), (F.col("set_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha")))
     one = save(one.select("rep", "n", "prefix", "bitmap").dropDuplicates(["rep"]), "one")
     sets_of = lambda reps: _with_sets(docs, classes, reps.withColumn("cluster", F.lit(0).cast("long")), words).drop("cluster")
     clusters = candidate_components(one, prefix_tokens(one.select("rep", "prefix"), sets_of, frequent, percent, block), percent, block)
@@ -495,7 +495,7 @@ def linked_rows(docs: DataFrame, words: int, percent: int, block: int = BLOCK) -
     named = named.join(heads, "rep", "left").filter("more OR head").select("set_hash", "rep_id", "rep_sha", F.coalesce("component", "rep").alias("component"))
     least = named.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "rep_sha")).alias("least"))
     named = named.join(least, "component").select(F.col("set_hash").alias("h"), F.col("least.rep_id").alias("least_id"), F.col("least.rep_sha").alias("least_sha"))
-    out = sets.select("doc_id", "sha", "n_shingles", "set_hash").join(named, F.col("set_hash") == F.col("h"), "left")
+    out = sets.select("doc_id", "sha", "n_shingles", "set_hash").join(named.hint("merge"), F.col("set_hash") == F.col("h"), "left")
     return out.select("doc_id", "sha", "n_shingles", "least_id", "least_sha")
 
 
