@@ -363,14 +363,14 @@ def g6(spark, sf):
     return m.select("incident_id", "work_order_id", "sequence", (F.col("reason") == "episode anchor").alias("alone"))
 
 
-@query("h2_raw_score", f"WITH {CONF_SQL} SELECT incident_id, round(penalty, 6) AS penalty, round(greatest(0.0, least(1.0, 0.25 * 0.40 + 0.20 + 0.15 * temporal_consistency + 0.20 * evidence_strength + 0.20 * issue_agreement - penalty)), 6) AS raw_score FROM conf")
+@query("h2_raw_score", f"WITH {CONF_SQL} SELECT incident_id, round(penalty, 6) AS penalty, round(greatest(0.0, least(1.0, 0.25 * 0.40 + 0.20 + 0.15 * temporal_consistency + 0.20 * evidence_strength + 0.20 * issue_agreement - penalty)), 10) AS raw_score FROM conf")
 def h2(spark, sf):
     m = members(spark, sf).select(
         "incident_id", "work_order_id", "occurred_at", "family", F.col("primary_asset_keys").alias("own"), (F.col("value") > 10).alias("noted"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("trigger_score"),
         F.when(F.col("value") < 1, "UNRESOLVED").otherwise(F.col("signal")).alias("signal"),
     )
     none = m.select("incident_id", F.lit(0.0).alias("semantic")).filter("false")
-    return scoring.confidence(incidents(spark, sf), m, none).select("incident_id", r6(F.col("conflict_penalty"), "penalty"), r6(F.col("raw_score"), "raw_score"))
+    return scoring.confidence(incidents(spark, sf), m, none).select("incident_id", r6(F.col("conflict_penalty"), "penalty"), F.round("raw_score", 10).alias("raw_score"))
 
 
 @query("h5_calibration_guard", f"""WITH {SCORED_SQL} SELECT asset_key, CASE WHEN asset_key LIKE 'src1%' THEN 'score_space' WHEN asset_key LIKE '%2' THEN 'synthetic' WHEN asset_key LIKE '%3' THEN 'dataset' END AS refused FROM scored GROUP BY ALL""")
