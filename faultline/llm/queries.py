@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .language_id import op8_language_id
 from .line_dedup import OP11_SQL, op11_line_dedup
+from .lexical_search import OP13_SQL, op13_lexical_search
 from .mixing import OP1_SQL, op1_mix_sources
 from .ngram_join import op7_ngram_join
 from .packing import op4_packing
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op13_lexical_search": op13_lexical_search,
 }
-SQL = {"op1_mix_sources": OP1_SQL, "op2_warc": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_line_dedup": OP11_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op2_warc": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_line_dedup": OP11_SQL, "op13_lexical_search": OP13_SQL}
