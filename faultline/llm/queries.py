@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversation_trie import OP12_SQL, op12_conversation_trie
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .language_id import op8_language_id
 from .line_dedup import OP11_SQL, op11_line_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_lexical_search": op13_lexical_search,
 }
-SQL = {"op1_mix_sources": OP1_SQL, "op2_warc": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_line_dedup": OP11_SQL, "op13_lexical_search": OP13_SQL}
+SQL = {"op1_mix_sources": OP1_SQL, "op2_warc": OP2_SQL, "op9_url_filter": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op11_line_dedup": OP11_SQL, "op12_conversation_trie": OP12_SQL, "op13_lexical_search": OP13_SQL}
