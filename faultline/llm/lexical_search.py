@@ -29,6 +29,8 @@ FLOOR, SLOPE = 10, 90
 MOST_ITEMS, MOST_TERMS = 4096, 1 << 17
 #: Cells (documents x terms) of a block, documents of a block and of a leaf.
 CELLS, BLOCK, LEAF = 1 << 24, 4096, 24
+#: Bytes of a path (four a term) that decide which task takes it.
+STEM = 64
 _SLICE = 1 << 20
 #: Bytes that part terms become blanks, A-Z become lower case; bytes of other characters stay.
 _FOLD = bytes(c | 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -246,7 +248,8 @@ def _block(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int) -> Da
         js = [j for t in own if df[j := number[t]] and weight[j] > 0]
         asked.append((i, [int(rank[j]) for j in js], [weight[j] for j in js]))
     paths = vectors.select("doc_id", "n", "terms", "tfs").mapInArrow(_paths(spark.sparkContext.broadcast(rank.tolist()), s.docs, max(1, s.total)), "doc_id long, m long, path binary, tfs binary")
-    trie = paths.repartitionByRange("path", "doc_id").sortWithinPartitions("path")
+    # ranges by the stem, as the driver holds sampled keys of all partitions to find their bounds
+    trie = paths.withColumn("stem", F.substring("path", 1, STEM)).repartitionByRange("stem", "doc_id").sortWithinPartitions("path").drop("stem")
     return trie.mapInArrow(_search(spark.sparkContext.broadcast(asked), k, int((df > 0).sum())), "item_id long, doc_id long, score long")
 
 

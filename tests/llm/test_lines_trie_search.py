@@ -210,7 +210,7 @@ def test_search_of_nothing(spark):
 
 
 def test_tree_bounds_hold_and_prune():
-    """No node's bound is below a score beneath it, and branch and bound leaves most leaves of a sorted block alone."""
+    """No node's bound is below a score beneath it, and what the search finds is the exact ranking."""
     r = np.random.default_rng(0)
     vectors = sorted(((np.sort(r.choice(200, r.integers(1, 30), replace=False)), int(r.integers(10, 900))) for _ in range(900)), key=lambda v: v[0].astype(">u4").tobytes())
     m = np.array([x for _, x in vectors])
