@@ -1,9 +1,9 @@
-"""TF-IDF weights as rows, similarities, nearest neighbours, phrases."""
+"""Dense vectors: nearest neighbours, votes, components; and phrases."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,75 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import materialise
+from . import sparse
 
-VOCABULARY, PHRASES = 4096, 500
-BLANK = "unknown maintenance record"
+PHRASES = 500
 
 
-def stop_words() -> list[str]:
+@cache
+def stop_words() -> tuple[str, ...]:
     """Words left out of phrases: Spark's own English list."""
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
-def ngrams(words: Column, lengths) -> Column:
-    """All runs of the given numbers of words, joined by blanks."""
-    none = F.array().cast("array<string>")
-
-    def runs(w: Column, n: int) -> Column:
-        last = F.size(w) - n
-        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(none)
-
-    # a one-element array binds the words, which would be made again for every run
-    return F.flatten(F.get(F.transform(F.array(words), lambda w: F.array(*(runs(w, n) for n in lengths))), F.lit(0)))
-
-
-def terms(df: DataFrame, doc: str, text: str, lengths=(1, 2), words: Column | None = None) -> DataFrame:
-    """(doc, term, tf) for lower-cased words of two characters or more and their n-grams."""
-    w = F.regexp_extract_all(F.lower(F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) == "", BLANK).otherwise(F.col(text))), F.lit(r"(?U)\b(\w\w+)\b")) if words is None else words
-    return df.select(F.col(doc).alias("doc"), F.explode(ngrams(w, lengths)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
-
-
-def tfidf(counts: DataFrame, documents: DataFrame, most: int = VOCABULARY) -> DataFrame:
-    """(doc, term, w): the ``most`` frequent terms, idf = ln((1 + n) / (1 + df)) + 1, L2-normalised.
-
-    ``counts``: doc, term, tf. ``documents``: one row with n. Ties in the vocabulary go to the smaller term. The
-    vocabulary is bounded by ``most``, which makes its broadcast safe.
-    """
-    vocabulary = counts.groupBy("term").agg(F.sum("tf").alias("all"), F.count("*").alias("df")).orderBy(F.desc("all"), "term").limit(most)
-    idf = vocabulary.crossJoin(F.broadcast(documents)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    x = counts.join(F.broadcast(idf), "term").select("doc", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    norm = x.groupBy("doc").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return x.join(norm, "doc").select("doc", "term", (F.col("v") / F.col("norm")).alias("w"))
-
-
-def fit(df: DataFrame, doc: str, text: str, most: int = VOCABULARY) -> DataFrame:
-    return tfidf(terms(df, doc, text), df.agg(F.count("*").alias("n")), most)
-
-
-def pair_similarity(pairs: DataFrame, weights: DataFrame) -> DataFrame:
-    """``pairs`` (source, target) with their cosine, 0 without a common term. Work starts at the pairs, not at terms."""
-    left = weights.select(F.col("doc").alias("source"), "term", F.col("w").alias("wl"))
-    right = weights.select(F.col("doc").alias("target"), "term", F.col("w").alias("wr"))
-    dot = pairs.select("source", "target").join(left, "source").join(right, ["target", "term"]).groupBy("source", "target").agg(F.sum(F.col("wl") * F.col("wr")).alias("_s"))
-    clamp = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("_s", F.lit(0.0))))
-    return pairs.join(dot, ["source", "target"], "left").withColumn("semantic", clamp).drop("_s")
-
-
-def query_top_k(weights: DataFrame, query_terms: DataFrame, k: int = 10) -> DataFrame:
-    """(doc, score) of the ``k`` documents nearest to one query. ``query_terms``: term, w."""
-    score = weights.join(F.broadcast(query_terms.select("term", F.col("w").alias("q"))), "term").groupBy("doc").agg(F.sum(F.col("w") * F.col("q")).alias("score"))
-    return score.filter("score > 0").orderBy(F.desc("score"), "doc").limit(k)
-
-
-def queries_top_k(weights: DataFrame, query_terms: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, doc, score, rank) of the ``k`` documents nearest to each query. ``query_terms``: query_id, term, w.
-
-    Queries meet documents by their terms in a shuffled join, so neither side has to be small.
-    """
-    q = query_terms.select("query_id", "term", F.col("w").alias("q"))
-    score = weights.join(q, "term").groupBy("query_id", "doc").agg(F.sum(F.col("w") * F.col("q")).alias("score")).filter("score > 0")
-    at = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
-    return score.withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= k)
+    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
 
 
 # ---- dense vectors ----
@@ -226,9 +166,9 @@ def phrases(df: DataFrame, doc: str, text: str, limit: int = 30) -> DataFrame:
     left_out = stop_words()
     w = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b(\w\w+)\b")), lambda x: ~x.isin(*left_out))
     long = df.filter(F.size(F.split(F.trim(text), r"\s+")) >= 3).withColumn("_w", w)
-    t = terms(long, doc, text, (2, 3), F.col("_w"))
-    often = t.groupBy("term").agg(F.count("*").alias("df")).filter("df >= 2").select("term")
     n = long.agg(F.count("*").alias("n"))
-    weights = tfidf(t.join(often, "term", "left_semi"), n, PHRASES)
+    top, hits = sparse.top_terms(sparse.grams(long, doc, text, (2, 3), F.col("_w")), PHRASES, least_df=2)
+    vocabulary = materialise(sparse.with_idf(top, n), "idf")
+    weights = sparse.as_rows(sparse.vectors_of(hits, vocabulary), vocabulary)
     mean = weights.groupBy("term").agg(F.sum("w").alias("s"), F.count("*").alias("documents")).crossJoin(F.broadcast(n))
     return mean.filter(~F.contains("term", F.lit("redacted")) & ~F.col("term").rlike("^[0-9 ]+$")).select("term", "documents", (F.col("s") / F.col("n")).alias("score")).orderBy(F.desc("score"), "term").limit(limit)

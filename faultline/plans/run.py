@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import classify, text
-from ..operators import features, grouping, insight, normalize, pairs, scoring, vectors
+from ..operators import features, grouping, insight, normalize, pairs, scoring, sparse
 from ..sources import tables
 from ..sources.store import materialise
 
@@ -36,8 +36,8 @@ def analyse(spark: SparkSession, orders: DataFrame, threshold: float = K.EDGE_TH
     """Edges, incidents, members, confidence, risk and findings of the eligible orders."""
     ready = materialise(orders.filter("eligible"), "ready")
     found = pairs.candidate_pairs(ready)
-    weights = vectors.fit(ready, "work_order_id", "note")
-    edges = materialise(pairs.score_edges(vectors.pair_similarity(materialise(found, "pairs"), materialise(weights, "weights")), ready), "scored")
+    weights = sparse.fit(ready, "work_order_id", "note")[0]
+    edges = materialise(pairs.score_edges(sparse.pair_similarity(materialise(found, "pairs"), weights), ready), "scored")
     kept = pairs.admitted(edges, threshold)
     groups = materialise(grouping.constrained_groups(kept, ready), "groups")
     incidents = materialise(grouping.build_incidents(groups, ready), "incidents")

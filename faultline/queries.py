@@ -14,7 +14,7 @@ from . import constants as K
 from .functions import classify as C
 from .functions import text as X
 from .functions import values as V
-from .operators import calibration, features, grouping, insight, normalize, pairs, profile, registers, scoring, vectors
+from .operators import calibration, features, grouping, insight, normalize, pairs, profile, registers, scoring, sparse, vectors
 from .plans.bindings import HISTORIES_SQL, JOBS_SQL, LINKS_SQL, event_orders, histories, jobs, links, notes, table
 from .sources import tables
 
@@ -350,20 +350,21 @@ weights AS (SELECT doc, term, v / sqrt(sum(v * v) OVER (PARTITION BY doc)) AS w
 
 @query("e1_tfidf", f"WITH {TFIDF_SQL} SELECT doc, term, round(w, 6) AS w FROM weights")
 def e1(spark, sf):
-    return vectors.fit(table(spark, sf, "benchmark"), "item_id", "text").select("doc", "term", r6(F.col("w"), "w"))
+    return sparse.as_rows(*sparse.fit(table(spark, sf, "benchmark"), "item_id", "text")).select("doc", "term", r6(F.col("w"), "w"))
 
 
 @query("e2_pair_similarity", f"WITH {TFIDF_SQL} SELECT a.item_id AS source, b.item_id AS target, round(coalesce((SELECT sum(x.w * y.w) FROM weights x JOIN weights y ON x.term = y.term WHERE x.doc = a.item_id AND y.doc = b.item_id), 0), 6) AS semantic FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
 def e2(spark, sf):
     b = table(spark, sf, "benchmark")
     p = b.select(F.col("item_id").alias("source"), (F.col("item_id") + 1).alias("target")).join(b.select(F.col("item_id").alias("target")), "target", "left_semi")
-    return vectors.pair_similarity(p, vectors.fit(b, "item_id", "text")).select("source", "target", r6(F.col("semantic"), "semantic"))
+    return sparse.pair_similarity(p, sparse.fit(b, "item_id", "text")[0]).select("source", "target", r6(F.col("semantic"), "semantic"))
 
 
 @query("e3_query_top_k", f"WITH {TFIDF_SQL}, q AS (SELECT term, w AS q FROM weights WHERE doc = 0) SELECT doc, round(sum(w * q), 6) AS score FROM weights JOIN q USING (term) GROUP BY doc ORDER BY sum(w * q) DESC, doc LIMIT 10")
 def e3(spark, sf):
-    w = vectors.fit(table(spark, sf, "benchmark"), "item_id", "text")
-    return vectors.query_top_k(w, w.filter("doc = 0")).select("doc", r6(F.col("score"), "score"))
+    v = sparse.fit(table(spark, sf, "benchmark"), "item_id", "text")[0]
+    found = sparse.queries_top_k(sparse.build_index(v), v.filter("doc = 0").withColumnRenamed("doc", "query_id"))
+    return found.select("doc", r6(F.col("score"), "score"))
 
 
 COS_SQL = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))))"
@@ -409,14 +410,14 @@ EVERY = 50
 
 @query("e1_tfidf_notes")
 def e1_notes(spark, sf):
-    return vectors.fit(table(spark, sf, "documents"), "doc_id", "text").select("doc", "term", r6(F.col("w"), "w"))
+    return sparse.as_rows(*sparse.fit(table(spark, sf, "documents"), "doc_id", "text")).select("doc", "term", r6(F.col("w"), "w"))
 
 
 @query("e3_query_top_k_notes")
 def e3_notes(spark, sf):
-    w = vectors.fit(table(spark, sf, "documents"), "doc_id", "text")
-    q = w.filter(F.col("doc") % EVERY == 0).withColumnRenamed("doc", "query_id")
-    return vectors.queries_top_k(w, q).select("query_id", "doc", r6(F.col("score"), "score"))
+    v = sparse.fit(table(spark, sf, "documents"), "doc_id", "text")[0]
+    q = v.filter(F.col("doc") % EVERY == 0).withColumnRenamed("doc", "query_id")
+    return sparse.queries_top_k(sparse.build_index(v), q).select("query_id", "doc", r6(F.col("score"), "score"))
 
 
 def dense_queries(e):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .functions import classify as C
 from .functions import text as X
-from .operators import calibration, features, grouping, insight, normalize, pairs, profile, registers, scoring, vectors
+from .operators import calibration, features, grouping, insight, normalize, pairs, profile, registers, scoring, sparse, vectors
 from .plans.bindings import HISTORIES_SQL, JOBS_SQL, LINKS_SQL, event_orders, histories, jobs, links, notes, table
 from .queries import (
     D4_BENCH,
@@ -339,8 +339,8 @@ def g1(spark, sf):
         F.when(F.col("lang") == "en", K.UNKNOWN).otherwise(F.col("lang")).alias("family"), asset.alias("primary_asset_keys"), asset.alias("asset_keys"),
     )
     found = store.materialise(pairs.candidate_pairs(o, days=2, neighbours=3), "pairs")
-    weights = store.materialise(vectors.fit(d.withColumn("id", F.col("doc_id").cast("string")), "id", "text"), "weights")
-    e = pairs.score_edges(vectors.pair_similarity(found, weights), o, days=2)
+    weights = sparse.fit(d.withColumn("id", F.col("doc_id").cast("string")), "id", "text")[0]
+    e = pairs.score_edges(sparse.pair_similarity(found, weights), o, days=2)
     return e.select("source", "target", r6(F.col("semantic"), "semantic"), r6(F.col("weight"), "weight"))
 
 
