@@ -167,8 +167,6 @@ def phrases(df: DataFrame, doc: str, text: str, limit: int = 30) -> DataFrame:
     w = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\b(\w\w+)\b")), lambda x: ~x.isin(*left_out))
     long = df.filter(F.size(F.split(F.trim(text), r"\s+")) >= 3).withColumn("_w", w)
     n = long.agg(F.count("*").alias("n"))
-    top, hits = sparse.top_terms(sparse.grams(long, doc, text, (2, 3), F.col("_w")), PHRASES, least_df=2)
-    vocabulary = materialise(sparse.with_idf(top, n), "idf")
-    weights = sparse.as_rows(sparse.vectors_of(hits, vocabulary), vocabulary)
+    weights = sparse.as_rows(*sparse.fit(long, doc, text, PHRASES, (2, 3), F.col("_w"), least_df=2))
     mean = weights.groupBy("term").agg(F.sum("w").alias("s"), F.count("*").alias("documents")).crossJoin(F.broadcast(n))
     return mean.filter(~F.contains("term", F.lit("redacted")) & ~F.col("term").rlike("^[0-9 ]+$")).select("term", "documents", (F.col("s") / F.col("n")).alias("score")).orderBy(F.desc("score"), "term").limit(limit)
