@@ -89,19 +89,6 @@ def with_reviews(incidents: DataFrame, insights: DataFrame, reviews: DataFrame)
     return incidents.select("incident_id").join(insights, "incident_id").join(reviews, "incident_id", "left")
 
 
-def latest_decisions(log: DataFrame) -> DataFrame:
-    """The last entry of a decision log for each review."""
-    return log.withColumn("_n", F.row_number().over(Window.partitionBy("review_id").orderBy(F.desc("decided_at"), F.desc("decision")))).filter("_n = 1").drop("_n")
-
-
-def apply_decisions(reviews: DataFrame, log: DataFrame) -> DataFrame:
-    """Reviews with their latest decisions; archived ones can't be changed."""
-    new = latest_decisions(log).select("review_id", F.col("decision").alias("_d"), F.col("edited_family").alias("_f"), F.col("decided_at").alias("_t"))
-    hit = F.col("_t").isNotNull() & ~F.col("archived")
-    x = reviews.join(new, "review_id", "left")
-    return x.withColumn("decision", F.when(hit, F.col("_d")).otherwise(F.col("decision"))).withColumn("edited_family", F.when(hit, F.col("_f")).otherwise(F.col("edited_family"))).withColumn("decided_at", F.when(hit, F.col("_t")).otherwise(F.col("decided_at"))).drop("_d", "_f", "_t")
-
-
 def override(insights: DataFrame, reviews: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings with the reviewers' family and action in place of the derived ones."""
     r = reviews.select("incident_id", "edited_family", "edited_action")
@@ -124,19 +111,6 @@ def override(insights: DataFrame, reviews: DataFrame, rules: DataFrame) -> DataF
     return x.drop("label", "rule_text", "rule_action", "edited_family", "edited_action")
 
 
-def carry_reviews(old: DataFrame, insights: DataFrame) -> DataFrame:
-    """Reviews after a rerun: decided ones stay, low findings are (re)opened, cleared pending ones go, and reviews whose
-    finding disappeared are archived with a snapshot."""
-    new = insights.select("incident_id", "needs_review", F.to_json(F.struct("title", "score")).alias("_s"))
-    o = old.select("incident_id", F.col("decision").alias("_d"), F.col("archived").alias("_a"), F.col("snapshot").alias("_o"), F.lit(True).alias("_had"))
-    x = o.join(new, "incident_id", "full_outer")
-    gone = F.col("needs_review").isNull()
-    decided = F.coalesce(F.col("_d") != "pending", F.lit(False))
-    x = x.withColumn("decision", F.when(F.coalesce("_had", F.lit(False)), F.col("_d")).otherwise("pending"))
-    x = x.withColumn("archived", gone).withColumn("snapshot", F.when(gone, F.coalesce("_o", F.lit("{}"))).otherwise(F.col("_s")))
-    return x.filter(decided | (gone & decided) | (F.coalesce("needs_review", F.lit(False)))).select("incident_id", "decision", "archived", "snapshot")
-
-
 # ---- dashboard ----
 
 

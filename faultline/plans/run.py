@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import classify, text
-from ..operators import features, grouping, insight, normalize, pairs, scoring, sparse
+from ..operators import features, grouping, insight, normalize, pairs, reviews, scoring, sparse
 from ..sources import tables
 from ..sources.store import materialise
 
@@ -56,13 +58,31 @@ def analyse(spark: SparkSession, orders: DataFrame, threshold: float = K.EDGE_TH
     return {"edges": edges, "incidents": incidents, "members": grouping.memberships(groups, incidents, ready, kept), "confidence": confidence, "risk": risk, "insights": findings, "evidence": insight.evidence_text(jobs)}
 
 
+def carried(spark: SparkSession, root: str, out: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The reviews that a rerun keeps, and incidents under the families that reviewers gave them."""
+    none = spark.createDataFrame([], "review_id string, incident_id string, decision string")
+    if not tables.has_table(spark, root, "reviews"):
+        old, incidents, insights = none, out["incidents"].limit(0), out["insights"].limit(0)
+    else:
+        old, incidents, insights = (tables.read_snapshot(spark, root, n) for n in ("reviews", "incidents", "insights"))
+    kept = materialise(reviews.carry_reviews(old, incidents, insights, out["insights"]), "reviews")
+    return {"reviews": kept, "incidents": reviews.with_edited_families(out["incidents"], out["insights"], reviews.complete_columns(old).withColumn("archived", F.lit(False)))}
+
+
 def run(spark: SparkSession, source: str, root: str, as_of: str) -> str:
-    """Read, normalise, analyse and publish; the run's id. A failure leaves the published snapshot as it was."""
+    """Read, normalise, analyse and publish as one unit, with reviews and run history carried over; the run's id.
+
+    A failure, or another run that publishes first, leaves the published snapshot as it was.
+    """
+    after = tables.current(spark, root)[0]
     sources = tables.read_sources(spark, source)
     tables.gate_import(sources)
     canonical = canonical_orders(sources, as_of)
-    out = analyse(spark, canonical["orders"])
-    run_id = tables.publish_snapshot(spark, root, canonical | out)
-    counts = sources["work_orders"].agg(F.count("*").alias("all")).crossJoin(tables.read_snapshot(spark, root, "orders").agg(F.count("*").alias("accepted"))).select("accepted", (F.col("all") - F.col("accepted")).alias("rejected"))
-    tables.append_run(counts, root, run_id, source, as_of)
-    return run_id
+    out = canonical | analyse(spark, canonical["orders"])
+    out |= carried(spark, root, out)
+    run_id = uuid.uuid4().hex
+    counts = sources["work_orders"].agg(F.count("*").alias("all")).crossJoin(canonical["orders"].agg(F.count("*").alias("accepted"))).select("accepted", (F.col("all") - F.col("accepted")).alias("rejected"))
+    history = tables.run_row(counts, run_id, source, as_of)
+    if tables.has_table(spark, root, "run_history"):
+        history = tables.read_snapshot(spark, root, "run_history").unionByName(history)
+    return tables.publish_snapshot(spark, root, out | {"run_history": history.coalesce(1)}, run_id, after)

@@ -525,11 +525,6 @@ def members(spark, sf):
     return episode_groups(spark, sf).join(i, "group").join(event_orders(spark, sf), "work_order_id")
 
 
-@query("g6_memberships")
-def g6(spark, sf):
-    return grouping.memberships(episode_groups(spark, sf), incidents(spark, sf), event_orders(spark, sf), pairs.admitted(edges(spark, sf), 0.8))
-
-
 @query("g7_gap_episodes", f"WITH {EPISODES_SQL} SELECT * FROM ep")
 def g7(spark, sf):
     return episodes(spark, sf)
@@ -543,12 +538,16 @@ def g8(spark, sf):
 # ---- H: confidence, risk, calibration, audit ----
 
 
-def confidence(spark, sf):
-    m = members(spark, sf).select("incident_id", "work_order_id", "occurred_at", "family", F.col("primary_asset_keys").alias("own"), (F.col("value") > 10).alias("noted"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("trigger_score"), "signal")
+def inside_edges(spark, sf, m):
+    """Similarities of the admitted edges within incidents."""
     at = m.select("incident_id", "work_order_id")
     inside = pairs.admitted(edges(spark, sf)).select("source", "target", "semantic").join(at.withColumnRenamed("work_order_id", "source"), "source")
-    inside = inside.join(at.withColumnRenamed("work_order_id", "target"), ["incident_id", "target"]).select("incident_id", "semantic")
-    return scoring.confidence(incidents(spark, sf), m, inside)
+    return inside.join(at.withColumnRenamed("work_order_id", "target"), ["incident_id", "target"]).select("incident_id", "semantic")
+
+
+def confidence(spark, sf):
+    m = members(spark, sf).select("incident_id", "work_order_id", "occurred_at", "family", F.col("primary_asset_keys").alias("own"), (F.col("value") > 10).alias("noted"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("trigger_score"), "signal")
+    return scoring.confidence(incidents(spark, sf), m, inside_edges(spark, sf, m))
 
 
 @query("h1_confidence")
@@ -664,11 +663,6 @@ def i8(spark, sf):
     return insight.evidence_text(finding_members(spark, sf))
 
 
-@query("i9_citation_gate", "SELECT CAST(NULL AS VARCHAR) AS incident_id, CAST(NULL AS VARCHAR) AS failed FROM region WHERE false")
-def i9(spark, sf):
-    return insight.citation_violations(findings(spark, sf), finding_members(spark, sf)).withColumn("failed", F.array_join("failed", ","))
-
-
 # ---- J: registers and dashboard ----
 
 
@@ -706,20 +700,6 @@ def j7(spark, sf):
     return registers.review_queue(c, reviews(spark, sf), "pending").select("review_id", r6(F.col("confidence"), "confidence"))
 
 
-@query("j10_review_carry_over")
-def j10(spark, sf):
-    c = scoring.with_level(confidence(spark, sf).withColumn("score", F.col("raw_score"))).withColumn("title", F.col("incident_id"))
-    return registers.carry_reviews(reviews(spark, sf), c.filter(hashed("incident_id") % 7 != 0)).select("incident_id", "decision", "archived")
-
-
-@query("j11_kpis", f"WITH {RISK_SQL} SELECT (SELECT count(*) FROM jobs) AS jobs, (SELECT count(DISTINCT asset_key) FROM links) AS assets, (SELECT count(*) FROM rk WHERE risk >= 65) AS high_risk_equipment")
-def j11(spark, sf):
-    a = links(spark, sf).select("asset_key").distinct().withColumn("asset_class", F.lit("equipment"))
-    i = incidents(spark, sf)
-    c = confidence(spark, sf).withColumn("score", F.col("raw_score"))
-    return registers.kpis(jobs(spark, sf), a, i, risk(spark, sf), reviews(spark, sf), c).select("jobs", "assets", "high_risk_equipment")
-
-
 @query("j12_resolution_rate", f"WITH {JOBS_SQL} SELECT round(count(*) FILTER (status = 'F') / nullif(count(*) FILTER (status <> 'P'), 0), 6) AS resolution_rate FROM jobs")
 def j12(spark, sf):
     x = jobs(spark, sf).select(F.when(F.col("status") == "F", "RESOLVED").when(F.col("status") == "P", "UNKNOWN").otherwise("UNRESOLVED").alias("resolution_status"))
@@ -757,26 +737,6 @@ def j21(spark, sf):
     return registers.coverage(jobs(spark, sf).select(F.col("occurred_at").alias("first_seen"), F.col("occurred_at").alias("last_seen")))
 
 
-@query("j24_search_incidents", f"WITH {EPISODES_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY asset_key) AS n FROM ep WHERE year(started) = 2024) SELECT asset_key || '#' || episode AS incident_id, asset_key FROM c WHERE n > 2 ORDER BY 1 LIMIT 15")
-def j24(spark, sf):
-    x = episodes(spark, sf).select(F.concat_ws("#", "asset_key", "episode").alias("incident_id"), "asset_key", F.col("started").alias("first_seen"), F.lit(False).alias("recurring"))
-    return registers.search_incidents(x, registers.parse_query("assets with more than 2 episodes in 2024")).select("incident_id", "asset_key")
-
-
-@query("j25_search_jobs", "WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS work_order_id, source AS family, coalesce(text, '') AS note FROM documents), o AS (SELECT *, len(list_intersect(list_distinct(string_split_regex(lower(note || ' ' || family), '[ \\t\\n\\x0B\\f\\r]+')), ['the', 'and', 'thble'])) AS overlap FROM d) SELECT work_order_id, family, CAST(overlap AS INTEGER) AS overlap FROM o WHERE overlap > 0 ORDER BY overlap DESC, work_order_id DESC LIMIT 15")
-def j25(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("work_order_id"), F.col("source").alias("family"), F.coalesce("text", F.lit("")).alias("note"))
-    none = spark.createDataFrame([], "doc string, score double")
-    return registers.search_jobs(d, none, ["the", "and", "thble"]).select("work_order_id", "family", "overlap")
-
-
-@query("j27_report_findings")
-def j27(spark, sf):
-    i = registers.active(incidents(spark, sf), reviews(spark, sf))
-    r = i.groupBy("asset_key").agg(F.count("*").alias("risk"))
-    return registers.report_json(registers.report_records(i, findings(spark, sf), r), limit=1_000_000)
-
-
 # ---- K: profiles ----
 
 

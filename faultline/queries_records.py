@@ -8,6 +8,7 @@ from . import constants as K
 from .functions import classify as C
 from .functions import text as X
 from .operators import calibration, features, grouping, insight, normalize, pairs, profile, registers, scoring, sparse, vectors
+from .operators import reviews as reviews_of
 from .plans.bindings import HISTORIES_SQL, JOBS_SQL, LINKS_SQL, event_orders, histories, jobs, links, notes, table
 from .queries import (
     D4_BENCH,
@@ -23,6 +24,7 @@ from .queries import (
     episode_groups,
     hashed,
     incidents,
+    inside_edges,
     members,
     nested,
     query,
@@ -33,6 +35,7 @@ from .queries import (
     scored,
 )
 from .sources import store, tables
+from .sources.review_store import ReviewStore
 
 # ---- shared SQL ----
 
@@ -349,8 +352,6 @@ def g1(spark, sf):
 SQL["h1_confidence"] = f"""WITH {CONF_SQL} SELECT incident_id, round(temporal_consistency, 6) AS temporal_consistency, round(evidence_strength, 6) AS evidence_strength, round(raw_score, 6) AS raw_score,
 CASE WHEN raw_score >= 0.82 THEN 'HIGH' WHEN raw_score >= 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS level, raw_score < 0.72 AS needs_review FROM conf"""
 SQL["j7_review_queue"] = f"WITH {CONF_SQL} SELECT review_id, round(raw_score, 6) AS confidence FROM rev JOIN conf USING (incident_id) WHERE decision = 'pending'"
-SQL["j10_review_carry_over"] = f"""WITH {CONF_SQL}, x AS (SELECT incident_id, decision, CAST('0x' || substr(sha256(incident_id), 1, 4) AS INTEGER) % 7 = 0 AS archived, raw_score < 0.72 AS low FROM rev JOIN conf USING (incident_id))
-SELECT incident_id, decision, archived FROM x WHERE decision <> 'pending' OR (low AND NOT archived)"""
 SQL["j1_incident_register"] = f"WITH {INC_SQL} SELECT incident_id, asset_key, last_seen, count(*) OVER (PARTITION BY asset_key) AS risk FROM act"
 SQL["g6_memberships"] = f"""WITH {CONF_SQL}, en AS (SELECT source AS work_order_id, e.* FROM ed e UNION ALL SELECT target, e.* FROM ed e),
 bs AS (SELECT work_order_id, source, target FROM en WHERE same_asset AND (sf = tf OR sf = 'unknown' OR tf = 'unknown') AND weight >= 0.8 QUALIFY row_number() OVER (PARTITION BY work_order_id ORDER BY weight DESC, source, target) = 1)
@@ -363,14 +364,13 @@ def g6(spark, sf):
     return m.select("incident_id", "work_order_id", "sequence", (F.col("reason") == "episode anchor").alias("alone"))
 
 
-@query("h2_raw_score", f"WITH {CONF_SQL} SELECT incident_id, round(penalty, 6) AS penalty, round(greatest(0.0, least(1.0, 0.25 * 0.40 + 0.20 + 0.15 * temporal_consistency + 0.20 * evidence_strength + 0.20 * issue_agreement - penalty)), 10) AS raw_score FROM conf")
+@query("h2_raw_score", f"WITH {CONF_SQL} SELECT incident_id, round(penalty, 6) AS penalty, round(greatest(0.0, least(1.0, 0.25 * semantic_consistency + 0.20 + 0.15 * temporal_consistency + 0.20 * evidence_strength + 0.20 * issue_agreement - penalty)), 10) AS raw_score FROM conf")
 def h2(spark, sf):
     m = members(spark, sf).select(
         "incident_id", "work_order_id", "occurred_at", "family", F.col("primary_asset_keys").alias("own"), (F.col("value") > 10).alias("noted"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("trigger_score"),
         F.when(F.col("value") < 1, "UNRESOLVED").otherwise(F.col("signal")).alias("signal"),
     )
-    none = m.select("incident_id", F.lit(0.0).alias("semantic")).filter("false")
-    return scoring.confidence(incidents(spark, sf), m, none).select("incident_id", r6(F.col("conflict_penalty"), "penalty"), F.round("raw_score", 10).alias("raw_score"))
+    return scoring.confidence(incidents(spark, sf), m, inside_edges(spark, sf, m)).select("incident_id", r6(F.col("conflict_penalty"), "penalty"), F.round("raw_score", 10).alias("raw_score"))
 
 
 @query("h5_calibration_guard", f"""WITH {SCORED_SQL} SELECT asset_key, CASE WHEN asset_key LIKE 'src1%' THEN 'score_space' WHEN asset_key LIKE '%2' THEN 'synthetic' WHEN asset_key LIKE '%3' THEN 'dataset' END AS refused FROM scored GROUP BY ALL""")
@@ -467,13 +467,19 @@ def j2(spark, sf):
     return rows.crossJoin(F.broadcast(total)).select("incident_id", "asset_key", "total")  # one row
 
 
-@query("j5_incident_details", f"WITH {INC_SQL}, nt AS (SELECT CAST(conv_id AS VARCHAR) AS work_order_id, string_agg(text, '/' ORDER BY turn) AS said FROM conversations GROUP BY 1) SELECT incident_id, string_agg(sequence || ':' || work_order_id || ':' || coalesce(said, ''), '|' ORDER BY sequence) AS jobs FROM mem LEFT JOIN nt USING (work_order_id) GROUP BY 1")
+#: A job's heaviest admitted edge of 0.8 or more.
+BEST_SQL = """en AS (SELECT source AS work_order_id, e.* FROM ed e UNION ALL SELECT target, e.* FROM ed e),
+bs AS (SELECT work_order_id FROM en WHERE same_asset AND (sf = tf OR sf = 'unknown' OR tf = 'unknown') AND weight >= 0.8 GROUP BY 1)"""
+
+
+@query("j5_incident_details", f"WITH {CONF_SQL}, {BEST_SQL}, nt AS (SELECT CAST(conv_id AS VARCHAR) AS work_order_id, string_agg(text, '/' ORDER BY turn) AS said FROM conversations GROUP BY 1) SELECT incident_id, string_agg(sequence || ':' || mem.work_order_id || ':' || coalesce(said, ''), '|' ORDER BY sequence) AS jobs, count(bs.work_order_id) AS tied FROM mem LEFT JOIN nt USING (work_order_id) LEFT JOIN bs USING (work_order_id) GROUP BY 1")
 def j5(spark, sf):
     i, g = incidents(spark, sf), episode_groups(spark, sf)
-    m = grouping.memberships(g, i, event_orders(spark, sf), edges(spark, sf).filter("false"))
+    m = grouping.memberships(g, i, event_orders(spark, sf), pairs.admitted(edges(spark, sf), 0.8))
     x = registers.incident_details(i.select("incident_id"), m, event_orders(spark, sf), notes(spark, sf).withColumnRenamed("text", "redacted"))
     one = lambda j: F.concat_ws(":", j["sequence"].cast("string"), j["work_order_id"], F.array_join(F.coalesce(j["notes"], F.array().cast("array<string>")), "/"))
-    return x.select("incident_id", F.array_join(F.transform("jobs", one), "|").alias("jobs"))
+    tied = F.size(F.filter("jobs", lambda j: j["reason"] != "episode anchor")).cast("long")
+    return x.select("incident_id", F.array_join(F.transform("jobs", one), "|").alias("jobs"), tied.alias("tied"))
 
 
 @query("j6_asset_details", f"WITH {INC_SQL}, x AS (SELECT h.asset_key, h.work_order_id, h.occurred_at, coalesce(mem.recurring, false) AS again FROM histories h LEFT JOIN mem ON mem.work_order_id = h.work_order_id) SELECT asset_key, count(*) AS jobs, count(*) FILTER (again) AS repeats, max(occurred_at) AS last_service, string_agg(work_order_id || CASE WHEN again THEN '*' ELSE '' END, ',' ORDER BY occurred_at, work_order_id) AS timeline FROM x GROUP BY 1")
@@ -483,15 +489,52 @@ def j6(spark, sf):
     return x.withColumn("timeline", F.array_join(F.transform("timeline", lambda t: F.concat(t["work_order_id"], F.when(t["is_repeat"], "*").otherwise(""))), ","))
 
 
-@query("j8_decisions", f"""WITH {INC_SQL}, x AS (SELECT *, CAST('0x' || substr(sha256(incident_id), 1, 4) AS INTEGER) AS h FROM rev) SELECT review_id, CASE WHEN h % 4 = 0 THEN decision WHEN h % 3 = 0 THEN 'rejected' WHEN h % 3 = 1 THEN 'approved' ELSE decision END AS decision, CASE WHEN h % 4 > 0 AND h % 3 = 1 THEN 'pothole' END AS edited_family FROM x""")
-def j8(spark, sf):
-    """Two log entries for a third of the reviews, one for another; every fourth review is archived."""
+J8_SQL = """x AS (SELECT *, CAST('0x' || substr(sha256(incident_id), 1, 4) AS INTEGER) AS h FROM rev),
+dec AS (SELECT review_id, incident_id, h % 4 = 0 AS archived, CASE WHEN h % 4 = 0 THEN decision WHEN h % 3 = 0 THEN 'rejected' WHEN h % 3 = 1 THEN 'approved' ELSE decision END AS decision, CASE WHEN h % 4 > 0 AND h % 3 = 1 AND h % 5 > 0 THEN 'pothole' END AS edited_family FROM x)"""
+
+
+def review_log(spark, sf):
+    """Reviews, of which every fourth is archived, and a log: two entries for a third of them, one for another; a fifth of
+    those edited is taken back."""
     h = hashed("incident_id")
-    r = reviews(spark, sf).withColumn("archived", h % 4 == 0).withColumn("edited_family", F.lit(None).cast("string")).withColumn("decided_at", F.lit(None).cast("timestamp"))
+    r = reviews_of.complete_columns(reviews(spark, sf)).withColumn("archived", h % 4 == 0)
     day = lambda n: F.lit(f"2024-01-0{n}").cast("timestamp").alias("decided_at")
-    first = r.filter(h % 3 < 2).select("review_id", F.lit("approved").alias("decision"), F.lit("pothole").alias("edited_family"), day(1))
-    log = first.unionByName(r.filter(h % 3 == 0).select("review_id", F.lit("rejected").alias("decision"), F.lit(None).cast("string").alias("edited_family"), day(2)))
-    return registers.apply_decisions(r, log).select("review_id", "decision", "edited_family")
+    none = F.lit(None).cast("string").alias("edited_family")
+    first = r.filter(h % 3 < 2).select("review_id", F.lit("approved").alias("decision"), F.lit("pothole").alias("edited_family"), F.lit(True).alias("sets_family"), day(1))
+    back = r.filter((h % 5 == 0) | (h % 3 == 0)).filter(h % 3 < 2).select("review_id", F.when(h % 3 == 0, "rejected").otherwise("approved").alias("decision"), none, F.lit(True).alias("sets_family"), day(2))
+    return r, first.unionByName(back)
+
+
+@query("j8_decisions", f"WITH {INC_SQL}, {J8_SQL} SELECT review_id, decision, edited_family FROM dec")
+def j8(spark, sf):
+    """The log merged into a bucketed store, read back."""
+    r, log = review_log(spark, sf)
+    store_ = ReviewStore(spark, store.new_folder(spark, "reviews"), 16)
+    store_.merge(r)
+    store_.merge(reviews_of.changed_by(store_.read(), log))
+    return store_.read().select("review_id", "decision", "edited_family")
+
+
+@query("j8_family_edits", f"WITH {INC_SQL}, {J8_SQL} SELECT incident_id, CASE WHEN NOT archived AND edited_family IS NOT NULL THEN edited_family ELSE inc.family END AS family FROM inc JOIN dec USING (incident_id)")
+def j8_families(spark, sf):
+    """Incidents under their edited families: edited ones first, then the edits that are taken back."""
+    i = incidents(spark, sf)
+    r, log = review_log(spark, sf)
+    own = i.select("incident_id", "family")
+    first = reviews_of.apply_decisions(r, log.filter(F.col("edited_family").isNotNull()))
+    edited = reviews_of.with_edited_families(i.select("incident_id", "family"), own, first)
+    return reviews_of.with_edited_families(edited, own, reviews_of.apply_decisions(first, log)).select("incident_id", "family")
+
+
+@query("j10_review_carry_over", f"""WITH {CONF_SQL}, x AS (SELECT incident_id, inc.asset_key, jobs, decision, CAST('0x' || substr(sha256(incident_id), 1, 4) AS INTEGER) % 7 = 0 AS gone, raw_score < 0.72 AS low, raw_score FROM rev JOIN conf USING (incident_id) JOIN inc USING (incident_id))
+SELECT incident_id, decision, gone AS archived, CASE WHEN gone THEN asset_key END AS kept_asset, CASE WHEN gone THEN jobs END AS kept_jobs, CASE WHEN gone THEN 'F ' || incident_id END AS kept_title FROM x WHERE gone OR decision <> 'pending' OR low""")
+def j10(spark, sf):
+    """A rerun in which every seventh finding is gone."""
+    c = scoring.with_level(confidence(spark, sf).withColumn("score", F.col("raw_score"))).withColumn("title", F.concat(F.lit("F "), "incident_id"))
+    f = store.materialise(c.select("incident_id", "title", "score", "needs_review"), "findings")
+    kept = reviews_of.carry_reviews(reviews(spark, sf), incidents(spark, sf), f, f.filter(hashed("incident_id") % 7 != 0))
+    at = lambda path: F.get_json_object("snapshot", path)
+    return kept.select("incident_id", "decision", "archived", at("$.incident.asset_key").alias("kept_asset"), at("$.incident.jobs").cast("long").alias("kept_jobs"), at("$.insight.title").alias("kept_title"))
 
 
 @query("j9_overrides", f"""WITH {INC_SQL}, {RULES_SQL}, x AS (SELECT inc.*, {FAMILY_SQL.format('inc.family')} AS fam, CAST('0x' || substr(sha256(incident_id), 1, 4) AS INTEGER) % 3 AS h FROM inc)
@@ -530,7 +573,7 @@ c6 AS (SELECT i_family, incident_id, sequence, work_order_id FROM mem WHERE recu
 SELECT family, incidents, assets, (SELECT string_agg(work_order_id, ',' ORDER BY incident_id, sequence) FROM c6 WHERE i_family = family) AS cited FROM t4""")
 def j19(spark, sf):
     i = incidents(spark, sf)
-    m = grouping.memberships(episode_groups(spark, sf), i, event_orders(spark, sf), edges(spark, sf).filter("false"))
+    m = grouping.memberships(episode_groups(spark, sf), i, event_orders(spark, sf), pairs.admitted(edges(spark, sf), 0.8))
     return registers.pattern_ledger(i, m).select("family", "incidents", "assets", F.array_join("cited", ",").alias("cited"))
 
 

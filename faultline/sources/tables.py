@@ -72,37 +72,95 @@ def gate_import(sources: dict[str, DataFrame]) -> None:
             raise ValueError(f"{kind} has no rows")
 
 
-# ---- snapshots: a folder for each run and a pointer that is written last ----
-
-
-def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame], run_id: str | None = None) -> str:
-    """Write all tables under a new run folder, then the pointer. A failure before that leaves the old snapshot."""
-    run_id = run_id or uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/runs/{run_id}/{name}")
-    spark.createDataFrame([(run_id,)], "run_id string").withColumn("published_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/_CURRENT")
+# ---- generations: what is current is the file of the largest number that was created whole ----
+
+
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def current(spark: SparkSession, root: str) -> tuple[int, str]:
+    """(generation, content); (0, "") before the first one. A claim whose writer died before its last byte doesn't count."""
+    for n in sorted((int(x) for x in _listed(spark, f"{root}/_GENERATIONS") if x.isdigit()), reverse=True):
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_GENERATIONS/{n:012d}")
+        with_end = "".join(spark.read.text(at.toString(), wholetext=True).first() or [""])
+        if with_end.endswith("\n"):
+            return n, with_end[:-1]
+    return 0, ""
+
+
+def commit(spark: SparkSession, root: str, after: int, content: str) -> int:
+    """Make ``content`` the generation that follows ``after``. Of several writers one creates the file; the others fail.
+
+    Rests on the file system's creation without overwriting, which HDFS and local disks make exclusive.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_GENERATIONS/{after + 1:012d}")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if current(spark, root)[0] != after:
+        raise RuntimeError(f"{root} has moved on from generation {after}")
+    try:
+        out = fs.create(at, False)
+    except Exception as e:  # noqa: BLE001  py4j wraps what the file system throws
+        if "AlreadyExists" in str(e) or "already exists" in str(e):
+            raise RuntimeError(f"another writer made generation {after + 1} of {root}") from e
+        raise
+    out.write(bytearray((content + "\n").encode()))
+    out.close()
+    return after + 1
+
+
+# ---- snapshots: a folder for each run, named by a generation that is claimed last ----
+
+
+def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame], run_id: str | None = None, after: int | None = None) -> str:
+    """Write all tables under a new run folder, then claim the next generation for it. A failure leaves the old snapshot.
+
+    ``after``: the generation that the tables were derived from (default: the current one). A writer that another one
+    has overtaken fails, and its folder is removed.
+    """
+    run_id, after = run_id or uuid.uuid4().hex, current(spark, root)[0] if after is None else after
+    folder = f"{root}/runs/{run_id}-{uuid.uuid4().hex[:8]}"
+    try:
+        for name, df in tables.items():
+            df.write.parquet(f"{folder}/{name}")
+        commit(spark, root, after, f"{run_id} {folder.rpartition('/')[2]}")
+    except BaseException:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        raise
     return run_id
 
 
 def current_run(spark: SparkSession, root: str) -> str | None:
-    if not _exists(spark, f"{root}/_CURRENT"):
-        return None
-    row = spark.read.parquet(f"{root}/_CURRENT").orderBy(F.desc("published_at"), F.desc("run_id")).first()
-    return row and row.run_id
+    return current(spark, root)[1].partition(" ")[0] or None
+
+
+def has_table(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether the current snapshot has a table of that name."""
+    folder = current(spark, root)[1].partition(" ")[2]
+    return bool(folder) and _exists(spark, f"{root}/runs/{folder}/{name}")
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/runs/{current_run(spark, root)}/{name}")
+    """A table of the current snapshot; the frame keeps to it when another one is published."""
+    return spark.read.parquet(f"{root}/runs/{current(spark, root)[1].partition(' ')[2]}/{name}")
 
 
-def append_run(df_of_counts: DataFrame, root: str, run_id: str, source: str, started_at: str) -> None:
+def run_row(df_of_counts: DataFrame, run_id: str, source: str, started_at: str) -> DataFrame:
     """One row of run history: who ran on what, when, and how many rows were accepted and rejected."""
-    row = df_of_counts.select(F.lit(run_id).alias("run_id"), F.lit(source).alias("source"), "accepted", "rejected", F.lit(started_at).cast("timestamp").alias("started_at"), F.current_timestamp().alias("completed_at"))
-    row.coalesce(1).write.mode("append").parquet(f"{root}/_RUNS")
+    return df_of_counts.select(F.lit(run_id).alias("run_id"), F.lit(source).alias("source"), F.col("accepted").cast("long").alias("accepted"), F.col("rejected").cast("long").alias("rejected"), F.lit(started_at).cast("timestamp").alias("started_at"), F.current_timestamp().alias("completed_at"))
+
+
+def append_run(df_of_counts: DataFrame, root: str, run_id: str, source: str, started_at: str) -> None:
+    run_row(df_of_counts, run_id, source, started_at).coalesce(1).write.mode("append").parquet(f"{root}/_RUNS")
 
 
 def latest_run(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/_RUNS").orderBy(F.desc("completed_at"), "run_id").limit(1)
+    """The last run of a snapshot's history, or of a history kept by itself."""
+    runs = read_snapshot(spark, root, "run_history") if has_table(spark, root, "run_history") else spark.read.parquet(f"{root}/_RUNS")
+    return runs.orderBy(F.desc("completed_at"), "run_id").limit(1)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
