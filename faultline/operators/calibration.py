@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import IsotonicRegression
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.store import materialise
+from .segments import least_hashes
+
 ARTIFACT = T.StructType([T.StructField("x_values", T.ArrayType(T.DoubleType())), T.StructField("y_values", T.ArrayType(T.DoubleType())), T.StructField("score_space", T.StringType()), T.StructField("provenance", T.StringType()), T.StructField("dataset_id", T.StringType())])
 
 
@@ -16,16 +19,50 @@ def check_labels(rows: DataFrame) -> None:
         raise ValueError("scores must lie in [0, 1] and labels be 0 or 1")
 
 
+POOL = "part long, x double, total double, n double"
+
+
+def _pooled(x: list[float], total: list[float], n: list[float]) -> list[list[float]]:
+    """Blocks (x, total, n) in ascending x, merged until their means rise."""
+    out: list[list[float]] = []
+    for row in zip(x, total, n):
+        out.append(list(row))
+        while len(out) > 1 and out[-2][1] * out[-1][2] >= out[-1][1] * out[-2][2]:
+            _, t, m = out.pop()
+            out[-1][1] += t
+            out[-1][2] += m
+    return out
+
+
+def _merge(part: int, rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("x")
+    blocks = _pooled(*(rows[c].to_pylist() for c in ("x", "total", "n")))
+    x, total, n = zip(*blocks) if blocks else ((), (), ())
+    return pa.table({"part": pa.array([part] * len(x), pa.int64()), "x": pa.array(x, pa.float64()), "total": pa.array(total, pa.float64()), "n": pa.array(n, pa.float64())})
+
+
+def isotonic_blocks(rows: DataFrame, parts: int = 64, fan: int = 8) -> DataFrame:
+    """(x, y) of the pool-adjacent-violators fit, one row a step: the least score of a block and its mean label.
+
+    Scores are pooled in ranges, each by itself; then the block lists of ``fan`` neighbouring ranges are pooled again
+    until one list is left, whose order of merges doesn't matter. Equal scores are pooled first.
+    """
+    pooled = rows.groupBy(F.col("score").alias("x")).agg(F.sum(F.col("label").cast("double")).alias("total"), F.count("*").cast("double").alias("n"))
+    part = F.least(F.floor(F.col("x") * parts), F.lit(parts - 1)).cast("long")
+    blocks, left = pooled.select(part.alias("part"), "x", "total", "n"), parts
+    while True:
+        blocks = materialise(blocks.groupBy("part").applyInArrow(lambda key, t: _merge(key[0].as_py(), t), POOL), "blocks")
+        if left == 1:
+            return blocks.select("x", (F.col("total") / F.col("n")).alias("y"))
+        left = -(-left // fan)
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / fan).cast("long"))
+
+
 def fit_isotonic(rows: DataFrame, provenance: str = "human", dataset_id: str | None = None) -> DataFrame:
-    """One artifact row: the steps of the pool-adjacent-violators fit. Equal scores are pooled first, so that the
-    order of rows doesn't matter. The number of steps is at most the number of distinct scores among the labels."""
-    spark = rows.sparkSession
-    model = IsotonicRegression(featuresCol="score", labelCol="label").fit(rows.select("score", F.col("label").cast("double").alias("label")))
-    steps: list[tuple[float, float]] = []
-    for x, y in zip(model.boundaries.toArray().tolist(), model.predictions.toArray().tolist()):
-        if not steps or steps[-1][1] != y:
-            steps.append((x, y))
-    return spark.createDataFrame([([x for x, _ in steps], [y for _, y in steps], "raw", provenance, dataset_id)], ARTIFACT)
+    """One artifact row: the steps of the pool-adjacent-violators fit, in two arrays."""
+    s = F.array_sort(F.collect_list(F.struct("x", "y")))
+    x = isotonic_blocks(rows).agg(s.alias("s"))
+    return x.select(F.transform("s", lambda p: p["x"]).alias("x_values"), F.transform("s", lambda p: p["y"]).alias("y_values"), F.lit("raw").alias("score_space"), F.lit(provenance).alias("provenance"), F.lit(dataset_id).cast("string").alias("dataset_id"))
 
 
 def artifact_violations(artifact: DataFrame) -> DataFrame:
@@ -67,11 +104,11 @@ def thresholds(rows: DataFrame, at=(0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
 
 def split_by_asset(rows: DataFrame, fraction: float = 0.2, asset: str = "asset_key") -> DataFrame:
     """``rows`` with held_out: all rows of the first max(1, round(n * fraction)) assets by SHA-256."""
-    hashed = rows.select(asset).distinct().withColumn("_h", F.sha2(F.col(asset), 256))
-    n = hashed.count()
-    # an audit's assets are few; the bound on those held out is taken before they are joined back
-    out = hashed.orderBy("_h").limit(max(1, round(n * fraction))).select(asset, F.lit(True).alias("_o"))
-    return rows.join(out, asset, "left").withColumn("held_out", F.coalesce("_o", F.lit(False))).drop("_o")
+    hashed = materialise(rows.select(asset).distinct().filter(F.col(asset).isNotNull()).select(asset, F.sha2(F.col(asset), 256).alias("_h"), F.lit(0).alias("_all")), "assets")
+    want = hashed.groupBy("_all").agg(F.greatest(F.lit(1), F.round(F.count("*") * fraction)).cast("long").alias("k"))
+    bound = F.broadcast(least_hashes(hashed, "_all", "_h", want).select("bound"))  # one row
+    x = rows.crossJoin(bound) if not hashed.isEmpty() else rows.withColumn("bound", F.lit(None).cast("string"))
+    return x.withColumn("held_out", F.coalesce(F.sha2(F.col(asset), 256) <= F.col("bound"), F.lit(False))).drop("bound")
 
 
 def audit_sample(incidents: DataFrame, size: int = 50, seed: str = "audit", key: str = "incident_id") -> DataFrame:

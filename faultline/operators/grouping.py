@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import values as V
 from ..sources.store import materialise
+from . import segments as S
 
 
 #: Edges of a component that one task may hold.
@@ -151,16 +152,22 @@ def memberships(groups: DataFrame, incidents: DataFrame, orders: DataFrame, edge
     return x.join(best.select("work_order_id", F.array_join("reasons", "; ").alias("reason")), "work_order_id", "left").select("incident_id", "work_order_id", "sequence", F.coalesce("reason", F.lit("episode anchor")).alias("reason"))
 
 
-def timeline(rows: DataFrame, key: str = "asset_key", ts: str = "occurred_at", tie: str = "work_order_id") -> DataFrame:
+def timeline(rows: DataFrame, key: str = "asset_key", ts: str = "occurred_at", tie: str = "work_order_id", slice_days: float = S.SLICE_DAYS) -> DataFrame:
     """``rows`` with floor days since the previous job of the asset."""
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    return rows.withColumn("gap_days", V.floor_days(F.col(ts), F.lag(ts).over(w)))
+    x = S.last_before(S.sliced(rows, ts, slice_days), [key], ts, tie, F.col(ts), "_p")
+    return x.withColumn("gap_days", V.floor_days(F.col(ts), F.col("_p"))).drop("_slice", "_p")
 
 
-def gap_episodes(rows: DataFrame, gap_days: float = 180, least: int = 3, most: int = 40, key: str = "asset_key", ts: str = "occurred_at", tie: str = "work_order_id") -> DataFrame:
-    """Episodes of each asset: a new one after more than ``gap_days`` floor days, and for every job without a time."""
-    w = Window.partitionBy(key).orderBy(F.col(ts).asc_nulls_last(), tie)
-    gap = F.floor(V.day_span(F.col(ts), F.lag(ts).over(w)))
-    x = rows.withColumn("_new", F.when(gap.isNull() | (gap > gap_days), 1).otherwise(0)).withColumn("episode", F.sum("_new").over(w))
+def with_episodes(rows: DataFrame, gap_days: float = 180, key: str = "asset_key", ts: str = "occurred_at", tie: str = "work_order_id", slice_days: float = S.SLICE_DAYS) -> DataFrame:
+    """``rows`` with the number of their episode: a new one after more than ``gap_days`` floor days, and for every job without a time."""
+    x = S.last_before(S.sliced(rows, ts, slice_days), [key], ts, tie, F.col(ts), "_p")
+    gap = F.floor(V.day_span(F.col(ts), F.col("_p")))
+    x = x.withColumn("_new", F.when(gap.isNull() | (gap > gap_days), 1).otherwise(0))
+    return S.sums_before(x, [key], ts, tie, episode=F.col("_new")).withColumn("episode", F.col("episode") + F.col("_new")).drop("_slice", "_p", "_new")
+
+
+def gap_episodes(rows: DataFrame, gap_days: float = 180, least: int = 3, most: int = 40, key: str = "asset_key", ts: str = "occurred_at", tie: str = "work_order_id", slice_days: float = S.SLICE_DAYS) -> DataFrame:
+    """Episodes of each asset with ``least`` to ``most`` jobs."""
+    x = with_episodes(rows, gap_days, key, ts, tie, slice_days)
     out = x.groupBy(key, "episode").agg(F.count("*").alias("jobs"), F.min(ts).alias("started"), F.max(ts).alias("ended"))
     return out.withColumn("span_days", V.floor_days(F.col("ended"), F.col("started"))).filter(F.col("jobs").between(least, most))

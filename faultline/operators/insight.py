@@ -173,13 +173,6 @@ def citation_violations(insights: DataFrame, members: DataFrame) -> DataFrame:
     return x.select("incident_id", F.array_compact(F.array(*failed)).alias("failed")).filter(F.size("failed") > 0)
 
 
-def chunk_hits(chunks: DataFrame, terms: list[str], source: str, page: str) -> DataFrame:
-    """Procedure chunks with the number of a query's terms they hold, beside the source and page to cite."""
-    words = F.array_distinct(F.split(F.lower("chunk"), " "))
-    overlap = F.size(F.array_intersect(words, F.array(*map(F.lit, terms))))
-    return chunks.select(source, page, "chunk_no", "chunk", overlap.alias("overlap"), F.concat(F.lit("["), F.col(source), F.lit(", p. "), F.col(page).cast("string"), F.lit("]")).alias("citation"))
-
-
 def retrieval_context(hits: DataFrame, label: str = "label", text: str = "text", score: str = "score") -> DataFrame:
     """One row with the hits, best first, one line each, redacted for outside use; hits still unsafe are held back."""
     x = hits.withColumn("_t", X.redact_external(F.col(text))["text"]).filter(~X.unsafe_outside(F.col("_t"), F.array().cast("array<string>")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,62 +189,6 @@ def readiness(kpi: DataFrame) -> DataFrame:
     return kpi.select(F.explode(rows).alias("r")).select("r.name", "r.state")
 
 
-# ---- search ----
-
-
-def parse_query(q: str, family: str | None = None) -> dict:
-    """A search string's parts: family (from classification), year, minimum, recurring, terms."""
-    year, least = re.search(r"\b(20\d{2})\b", q), re.search(r"more than\s+(\d+)", q.lower())
-    return {
-        "family": family if family != K.UNKNOWN else None, "year": int(year[1]) if year else None, "more_than": int(least[1]) if least else None,
-        "recurring": "recurring" in q.lower(), "terms": sorted(set(re.findall("[a-z]{3,}", q.lower()))),
-    }
-
-
-def search_incidents(incidents: DataFrame, parsed: dict, limit: int = 15) -> DataFrame:
-    """Incidents that meet a query's structured parts; none if it has none."""
-    if parsed["family"] is None and parsed["year"] is None and parsed["more_than"] is None and not parsed["recurring"]:
-        return incidents.limit(0)
-    x = incidents
-    if parsed["family"]:
-        x = x.filter(F.col("family") == parsed["family"])
-    if parsed["year"]:
-        x = x.filter(F.year("first_seen") == parsed["year"])
-    if parsed["more_than"] is not None:
-        often = x.groupBy("asset_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > parsed["more_than"])
-        x = x.join(often.select("asset_key"), "asset_key", "left_semi")
-    if parsed["recurring"]:
-        x = x.filter("recurring")
-    return x.orderBy("incident_id").limit(limit)
-
-
-def search_jobs(jobs: DataFrame, nearest: DataFrame, terms: list[str], limit: int = 15) -> DataFrame:
-    """Jobs by overlap of their words with the terms, then by similarity. ``jobs``: work_order_id, family, note.
-    ``nearest`` (doc, score) is a top-k and small."""
-    words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "note", "family")), r"\s+"))
-    x = jobs.withColumn("overlap", F.size(F.array_intersect(words, F.array(*map(F.lit, terms)).cast("array<string>"))))
-    x = x.join(F.broadcast(nearest.select(F.col("doc").alias("work_order_id"), "score")), "work_order_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    best = x.filter("overlap > 0 OR score > 0").orderBy(F.desc("overlap"), F.desc("score"), F.desc("work_order_id")).limit(limit)
-    return best.select("work_order_id", "family", "overlap", "score", F.substring("note", 1, 180).alias("excerpt"))
-
-
-def matching_assets(found: DataFrame, register: DataFrame) -> DataFrame:
-    return found.groupBy("asset_key").agg(F.count("*").alias("matching_incidents")).join(register, "asset_key")
-
-
-def parse_queries(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with year, more_than, recurring and terms of the search string in each row; the family is classified apart."""
-    q = F.coalesce(F.col(column), F.lit(""))
-    low = F.lower(q)
-    found = lambda c, p: F.when(c.rlike(p), F.regexp_extract(c, p, 1)).try_cast("int")
-    return df.withColumns(
-        {
-            "year": found(q, r"(?U)\b(20\d{2})\b"), "more_than": found(low, r"more than\s+(\d+)"), "recurring": F.contains(low, F.lit("recurring")),
-            "terms": F.array_sort(F.array_distinct(F.regexp_extract_all(low, F.lit("([a-z]{3,})")))),
-        }
-    )
-
-
 # ---- report ----
 
 

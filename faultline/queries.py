@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import constants as K
@@ -315,7 +315,7 @@ def d7(spark, sf):
 FROM histories u JOIN histories k ON u.asset_key = k.asset_key AND u.family = 'unknown' AND k.family <> 'unknown' AND abs(epoch_us(u.occurred_at) - epoch_us(k.occurred_at)) <= 86400000000)
 SELECT asset_key, work_order_id, gap_us FROM c QUALIFY row_number() OVER (PARTITION BY asset_key, work_order_id ORDER BY gap_us, kt) = 1""")
 def d8(spark, sf):
-    return features.nearest_known(histories(spark, sf), days=1).select("asset_key", "work_order_id", "gap_us")
+    return features.nearest_known(histories(spark, sf), days=1, slice_days=1).select("asset_key", "work_order_id", "gap_us")
 
 
 @query("d10_temporal_features", f"""WITH {HISTORIES_SQL}, h AS (SELECT *, epoch_us(occurred_at) AS t, row_number() OVER (PARTITION BY asset_key ORDER BY occurred_at, work_order_id) AS rn, floor((epoch_us(occurred_at) - lag(epoch_us(occurred_at)) OVER (PARTITION BY asset_key, family ORDER BY occurred_at, work_order_id)) / 86400000000.0) AS fgap FROM histories)
@@ -508,10 +508,7 @@ def g5(spark, sf):
 
 def episode_groups(spark, sf):
     """Members of gap episodes as groups."""
-    h = event_orders(spark, sf)
-    w = Window.partitionBy("asset_key").orderBy("occurred_at", "work_order_id")
-    gap = V.floor_days(F.col("occurred_at"), F.lag("occurred_at").over(w))
-    x = h.withColumn("_n", F.when(gap.isNull() | (gap > 0), 1).otherwise(0)).withColumn("episode", F.sum("_n").over(w))
+    x = grouping.with_episodes(event_orders(spark, sf), gap_days=0)
     keep = episodes(spark, sf).select("asset_key", "episode")
     return x.join(keep, ["asset_key", "episode"]).select("work_order_id", F.concat_ws("#", "asset_key", "episode").alias("group"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import constants as K
 from .functions import classify as C
 from .functions import text as X
-from .operators import calibration, features, grouping, insight, normalize, pairs, profile, registers, scoring, sparse, vectors
+from .operators import calibration, features, grouping, insight, normalize, pairs, profile, registers, scoring, search, sparse, vectors
 from .operators import reviews as reviews_of
 from .plans.bindings import HISTORIES_SQL, JOBS_SQL, LINKS_SQL, event_orders, histories, jobs, links, notes, table
 from .queries import (
@@ -264,12 +264,29 @@ def d9(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.has_term(F.col("text"), K.FOLLOW_UP_TERMS).alias("follow_up"))
 
 
-@query("e9_cited_chunks", """WITH p AS (SELECT doc_id, source, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents),
-c AS (SELECT doc_id, source, t, unnest(range(0, CAST(ceil(greatest(length(t) - 900, 0) / 750.0) AS BIGINT) + 1)) AS k FROM p WHERE length(t) >= 40)
-SELECT source, doc_id AS page, CAST(k AS INTEGER) AS chunk_no, CAST(len(list_intersect(list_distinct(string_split(lower(substr(t, CAST(k AS BIGINT) * 750 + 1, 900)), ' ')), ['the', 'and', 'que', 'der'])) AS INTEGER) AS overlap FROM c""")
+CHUNKS_SQL = """pg AS (SELECT doc_id, source, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents),
+ck AS (SELECT doc_id, source, t, unnest(range(0, CAST(ceil(greatest(length(t) - 900, 0) / 750.0) AS BIGINT) + 1)) AS k FROM pg WHERE length(t) >= 40), ch AS (SELECT doc_id, source, k, substr(t, CAST(k AS BIGINT) * 750 + 1, 900) AS chunk, row_number() OVER (ORDER BY doc_id, k) AS id FROM ck)"""
+#: Words, n-grams and counts of texts in SQL: ``{p}`` names the tables, ``{k}`` the key, ``{t}`` the text, ``{f}`` the source.
+GRAMS_SQL = r"""{p}w AS (SELECT {k} AS doc, list_filter(regexp_extract_all(lower(CASE WHEN trim(coalesce({t}, '')) = '' THEN 'unknown maintenance record' ELSE {t} END), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+'), lambda x: length(x) >= 2) AS w FROM {f}),
+{p}g AS (SELECT doc, unnest(w) AS term FROM {p}w UNION ALL SELECT doc, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM {p}w WHERE len(w) > 1), {p}tf AS (SELECT doc, term, count(*) AS tf FROM {p}g GROUP BY ALL)"""
+
+
+def weights_sql(p: str, n: str) -> str:
+    """Vocabulary and weights of the counts ``{p}tf``; ``n`` counts their texts."""
+    return f"""{p}vc AS (SELECT term, ln((1.0 + ({n})) / (1.0 + count(*))) + 1.0 AS idf FROM {p}tf GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 4096), {p}wt AS (SELECT doc, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc)) AS w FROM {p}tf JOIN {p}vc USING (term))"""
+
+
+@query("e9_cited_chunks", f"""WITH {CHUNKS_SQL}, {GRAMS_SQL.format(p='c', k='id', t='chunk', f='ch')}, {weights_sql('c', 'SELECT count(*) FROM ch')},
+{GRAMS_SQL.format(p='q', k="conv_id || '-' || turn", t='text', f='conversations')}, qwt AS (SELECT doc, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc)) AS w FROM qtf JOIN cvc USING (term)),
+s AS (SELECT q.doc AS query_id, c.doc AS id, round(sum(q.w * c.w), 12) AS score FROM qwt q JOIN cwt c USING (term) GROUP BY ALL),
+b AS (SELECT query_id, score, ch.* FROM s JOIN ch USING (id) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, id) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b QUALIFY rank <= 5)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, source, doc_id AS page, CAST(k AS INTEGER) AS chunk_no, round(score, 6) AS score, '[' || source || ' p.' || doc_id || ']' AS citation FROM r""")
 def e9(spark, sf):
-    hits = insight.chunk_hits(X.chunks(table(spark, sf, "documents")), ["the", "and", "que", "der"], source="source", page="doc_id")
-    return hits.select("source", F.col("doc_id").alias("page"), "chunk_no", "overlap")
+    """Every turn of the conversations against all chunks of the documents."""
+    q = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text")
+    found = search.cited_chunks(q, X.chunks(table(spark, sf, "documents")), "query_id", "text", "source", "doc_id")
+    return found.withColumn("score", F.round("score", 6))
 
 
 # ---- F, G: joins and edges ----
@@ -589,37 +606,61 @@ def j22(spark, sf):
     return registers.readiness(kpi_row(spark, sf))
 
 
-@query("j23_parsed_searches", r"""WITH q AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Recurring pumps, more than ' || conv_id || ' in 20' || lpad(CAST(conv_id % 30 AS VARCHAR), 2, '0') || ' ' ELSE '' END || text AS q FROM conversations)
-SELECT conv_id, turn, TRY_CAST(nullif(regexp_extract(q, '(?:^|[^\p{L}\p{M}\p{N}_])(20[0-9]{2})(?:[^\p{L}\p{M}\p{N}_]|$)', 1), '') AS INTEGER) AS year, TRY_CAST(nullif(regexp_extract(lower(q), 'more than\s+([0-9]+)', 1), '') AS INTEGER) AS more_than, contains(lower(q), 'recurring') AS recurring,
-array_to_string(list_sort(list_distinct(regexp_extract_all(lower(q), '[a-z]{3,}'))), ',') AS terms FROM q""")
+#: Families that the searches of every third turn name, by words of their keywords.
+ASKED = (("sewer_backup", "sewer backups"), ("pothole", "a pothole"), ("electrical_issue", "streetlights out"))
+SEARCH_SQL = r"""sq AS (SELECT conv_id || '-' || turn AS query_id, conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Recurring ' || CASE conv_id % 4 WHEN 0 THEN '{0[1]}' WHEN 1 THEN '{1[1]}' WHEN 2 THEN '{2[1]}' ELSE 'things' END || CASE WHEN conv_id % 5 < 2 THEN ', more than ' || conv_id % 7 ELSE '' END || ' in 20' || (22 + conv_id % 4) || ' ' WHEN turn % 3 = 1 AND conv_id % 6 = 0 THEN 'more than ' || conv_id % 9 || ' ' ELSE '' END || text AS q FROM conversations),
+ps AS (SELECT *, CASE WHEN turn % 3 = 0 THEN CASE conv_id % 4 WHEN 0 THEN '{0[0]}' WHEN 1 THEN '{1[0]}' WHEN 2 THEN '{2[0]}' END END AS family, TRY_CAST(nullif(regexp_extract(q, '(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])(20[0-9]{{2}})(?:[^\p{{L}}\p{{M}}\p{{N}}_]|$)', 1), '') AS INTEGER) AS year,
+ TRY_CAST(nullif(regexp_extract(lower(q), 'more than\s+([0-9]+)', 1), '') AS INTEGER) AS more_than, contains(lower(q), 'recurring') AS recurring, list_sort(list_distinct(regexp_extract_all(lower(q), '[a-z]{{3,}}'))) AS terms FROM sq)""".format(*ASKED)
+
+
+def searches(spark, sf):
+    """Every turn of the conversations as a search; two thirds of them state families, years or numbers."""
+    c, t = F.col("conv_id"), F.col("turn")
+    what = F.when(c % 4 == 0, ASKED[0][1]).when(c % 4 == 1, ASKED[1][1]).when(c % 4 == 2, ASKED[2][1]).otherwise("things")
+    least = F.when(c % 5 < 2, F.concat(F.lit(", more than "), (c % 7).cast("string"))).otherwise("")
+    lead = F.when(t % 3 == 0, F.concat(F.lit("Recurring "), what, least, F.lit(" in 20"), (c % 4 + 22).cast("string"), F.lit(" "))).when((t % 3 == 1) & (c % 6 == 0), F.concat(F.lit("more than "), (c % 9).cast("string"), F.lit(" "))).otherwise("")
+    q = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.concat(lead, "text").alias("q"))
+    return store.materialise(search.parse(q, "query_id", "q"), "parsed")
+
+
+@query("j23_parsed_searches", f"WITH {SEARCH_SQL} SELECT query_id, family, year, more_than, recurring, array_to_string(terms, ',') AS terms FROM ps")
 def j23(spark, sf):
-    lead = F.concat(F.lit("Recurring pumps, more than "), F.col("conv_id").cast("string"), F.lit(" in 20"), F.lpad((F.col("conv_id") % 30).cast("string"), 2, "0"), F.lit(" "))
-    q = table(spark, sf, "conversations").withColumn("q", F.concat(F.when(F.col("turn") % 3 == 0, lead).otherwise(""), "text"))
-    return registers.parse_queries(q, "q").select("conv_id", "turn", "year", "more_than", "recurring", F.array_join("terms", ",").alias("terms"))
+    return searches(spark, sf).select("query_id", "family", "year", "more_than", "recurring", F.array_join("terms", ",").alias("terms"))
 
 
-#: Search terms and the half by similarity: the ten documents nearest to them.
-SEARCH = ("the", "and", "thble")
-SQL["j25_search_jobs"] = f"""WITH {DOC_TFIDF_SQL}, nr AS (SELECT doc, sum(w) AS score FROM weights WHERE term IN ({quoted(SEARCH)}) GROUP BY 1 HAVING sum(w) > 0 ORDER BY 2 DESC, 1 LIMIT 10),
-d AS (SELECT CAST(doc_id AS VARCHAR) AS work_order_id, doc_id, source AS family, coalesce(text, '') AS note FROM documents),
-o AS (SELECT *, len(list_intersect(list_distinct(string_split_regex(lower(note || ' ' || family), '[ \\t\\n\\x0B\\f\\r]+')), [{quoted(SEARCH)}])) AS overlap, coalesce((SELECT score FROM nr WHERE doc = doc_id), 0.0) AS score FROM d)
-SELECT work_order_id, family, CAST(overlap AS INTEGER) AS overlap, round(score, 6) AS score FROM o WHERE overlap > 0 OR score > 0 ORDER BY overlap DESC, o.score DESC, work_order_id DESC LIMIT 15"""
+#: Incidents of three families that searches ask for, by event type; the hour of the day stands for the year.
+MATCH_SQL = f"""{INC_SQL}, {SEARCH_SQL}, mi AS (SELECT incident_id, asset_key, CASE family WHEN 'click' THEN 'pothole' WHEN 'error' THEN 'sewer_backup' WHEN 'signup' THEN 'electrical_issue' ELSE 'unknown' END AS family, 2022 + hour(first_seen) % 4 AS year, recurring FROM act),
+fm2 AS (SELECT query_id, ps.more_than, ps.recurring AS solely, mi.* FROM ps JOIN mi ON (ps.family IS NULL OR ps.family = mi.family) AND (ps.year IS NULL OR ps.year = mi.year) WHERE ps.family IS NOT NULL OR ps.year IS NOT NULL OR ps.more_than IS NOT NULL OR ps.recurring),
+en2 AS (SELECT *, count(*) OVER (PARTITION BY query_id, asset_key) AS n FROM fm2), ok2 AS (SELECT * FROM en2 WHERE (more_than IS NULL OR n > more_than) AND (NOT solely OR recurring))"""
 
 
-@query("j25_search_jobs", SQL["j25_search_jobs"])
-def j25(spark, sf):
-    docs = table(spark, sf, "documents")
-    d = docs.select(F.col("doc_id").cast("string").alias("work_order_id"), F.col("source").alias("family"), F.coalesce("text", F.lit("")).alias("note"))
-    terms = spark.createDataFrame([(t, 1.0) for t in SEARCH], "term string, w double")
-    near = vectors.query_top_k(vectors.fit(docs, "doc_id", "text"), terms)
-    return registers.search_jobs(d, near, list(SEARCH)).select("work_order_id", "family", "overlap", r6(F.col("score"), "score"))
+def searched_incidents(spark, sf):
+    i = registers.active(incidents(spark, sf), reviews(spark, sf))
+    family = F.when(F.col("family") == "click", "pothole").when(F.col("family") == "error", "sewer_backup").when(F.col("family") == "signup", "electrical_issue").otherwise(K.UNKNOWN)
+    year = F.hour("first_seen") % 4 + 2022
+    return store.materialise(i.select("incident_id", "asset_key", family.alias("family"), F.make_timestamp(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("first_seen"), "recurring"), "searched")
+
+
+@query("j24_search_incidents", f"WITH {MATCH_SQL} SELECT query_id, incident_id, asset_key FROM ok2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY incident_id) <= 15")
+def j24(spark, sf):
+    return search.matching_incidents(searches(spark, sf), searched_incidents(spark, sf))
 
 
-@query("j26_matching_assets", f"WITH {INC_SQL} SELECT asset_key, count(*) AS matching_incidents, any_value(total) AS total FROM act JOIN (SELECT asset_key, count(*) AS total FROM inc GROUP BY 1) USING (asset_key) WHERE recurring GROUP BY 1")
+@query("j26_matching_assets", f"WITH {MATCH_SQL} SELECT query_id, asset_key, count(*) AS matching_incidents FROM ok2 GROUP BY ALL")
 def j26(spark, sf):
-    i = incidents(spark, sf)
-    register = i.groupBy("asset_key").agg(F.count("*").alias("total"))
-    return registers.matching_assets(registers.active(i, reviews(spark, sf)).filter("recurring"), register).select("asset_key", "matching_incidents", "total")
+    return search.matching_assets(searches(spark, sf), searched_incidents(spark, sf))
+
+
+@query("j25_search_jobs", f"""WITH {SEARCH_SQL}, {GRAMS_SQL.format(p='c', k='doc_id', t='text', f='documents')}, {weights_sql('c', 'SELECT count(*) FROM documents')}, {GRAMS_SQL.format(p='q', k='query_id', t='q', f='sq')},
+qwt AS (SELECT doc, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc)) AS w FROM qtf JOIN cvc USING (term)),
+sm AS (SELECT q.doc AS query_id, CAST(c.doc AS VARCHAR) AS work_order_id, round(sum(q.w * c.w), 12) AS score FROM qwt q JOIN cwt c USING (term) GROUP BY ALL), nr AS (SELECT * FROM sm WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, work_order_id) <= 15),
+jb AS (SELECT CAST(doc_id AS VARCHAR) AS work_order_id, source AS family, list_distinct(string_split_regex(lower(coalesce(text, '') || ' ' || source), '[ \\t\\n\\x0B\\f\\r]+')) AS w FROM documents), jt AS (SELECT work_order_id, unnest(w) AS term FROM jb), qt AS (SELECT query_id, unnest(terms) AS term FROM ps),
+ov AS (SELECT query_id, work_order_id, count(*) AS overlap FROM qt JOIN jt USING (term) GROUP BY ALL),
+al AS (SELECT query_id, work_order_id, coalesce(overlap, 0) AS overlap, coalesce(score, 0.0) AS score FROM ov FULL JOIN nr USING (query_id, work_order_id))
+SELECT query_id, work_order_id, family, CAST(overlap AS INTEGER) AS overlap, round(score, 6) AS score FROM al JOIN jb USING (work_order_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, al.score DESC, work_order_id DESC) <= 15""")
+def j25(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("work_order_id"), F.col("source").alias("family"), F.coalesce("text", F.lit("")).alias("note"))
+    return search.ranked_jobs(searches(spark, sf), d).select("query_id", "work_order_id", "family", "overlap", r6(F.col("score"), "score"))
 
 
 def report_rows(spark, sf):
