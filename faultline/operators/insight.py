@@ -173,8 +173,12 @@ def citation_violations(insights: DataFrame, members: DataFrame) -> DataFrame:
     return x.select("incident_id", F.array_compact(F.array(*failed)).alias("failed")).filter(F.size("failed") > 0)
 
 
-def retrieval_context(hits: DataFrame, label: str = "label", text: str = "text", score: str = "score") -> DataFrame:
-    """One row with the hits, best first, one line each, redacted for outside use; hits still unsafe are held back."""
+def retrieval_context(hits: DataFrame, by: str = "query_id", label: str = "label", text: str = "text", score: str = "score", k: int = 10) -> DataFrame:
+    """(``by``, context): each query's ``k`` best hits, one line each, redacted for outside use; hits still unsafe are held back.
+
+    Hits are ranked before any text is gathered, so a row holds ``k`` lines at most. Equal scores go by label and text.
+    """
     x = hits.withColumn("_t", X.redact_external(F.col(text))["text"]).filter(~X.unsafe_outside(F.col("_t"), F.array().cast("array<string>")))
+    x = x.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), label, "_t"))).filter(F.col("_n") <= k)
     line = F.concat(F.lit("["), F.col(label), F.lit("] "), F.col("_t"))
-    return x.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(label).alias("l"), line.alias("t")))), lambda r: r["t"]), "\n").alias("context"))
+    return x.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("t")))), lambda r: r["t"]), "\n").alias("context"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..sources.store import materialise
+from .segments import least_hashes
 
 
 def value_counts(df: DataFrame, column: str, k: int | None = None) -> DataFrame:
@@ -43,11 +45,12 @@ def with_assets_per_job(links: DataFrame, cap: int = 10) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, by: str, fraction: float, key: str, seed: str = "s") -> DataFrame:
-    """max(1, round(n * fraction)) rows of each stratum, null among them: those with the least hashes."""
-    w = Window.partitionBy(by)
+    """max(1, round(n * fraction)) rows of each stratum, null among them: those with the least hashes. ``key`` tells rows apart. No stratum is sorted."""
     h = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256)
-    x = df.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(h, key)))
-    return x.filter(F.col("_r") <= F.greatest(F.lit(1), F.bround(F.col("_n") * fraction))).drop("_n", "_r")
+    hashed = materialise(df.select(F.col(by).alias("_by"), h.alias("_h")), "hashed")
+    want = hashed.groupBy("_by").agg(F.greatest(F.lit(1), F.bround(F.count("*") * fraction)).cast("long").alias("k"))
+    bound = least_hashes(hashed, "_by", "_h", want).withColumnsRenamed({"_by": "_st"})
+    return df.join(bound, F.col(by).eqNullSafe(F.col("_st"))).filter(h <= F.col("bound")).drop("_st", "bound")
 
 
 def repeat_by_type(links: DataFrame, least: int = 3, k: int = 10) -> DataFrame:

@@ -8,8 +8,7 @@ from functools import cache, reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.ml.feature import PCA, StopWordsRemover
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,12 +149,34 @@ def by_band(predicted: DataFrame, edges=(0.0, 0.2, 0.4, 0.6, 0.8, 1.0)) -> DataF
     return predicted.withColumn("upper", band).filter("upper IS NOT NULL").groupBy("upper").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
 
 
-def pca_2d(vectors: DataFrame) -> tuple[DataFrame, list[float]]:
-    """(vec_id, x, y) on the first two principal components, whose signs are arbitrary, and the variance they explain."""
-    v = vectors.withColumn("_v", array_to_vector(F.col("embedding")))
-    model = PCA(k=2, inputCol="_v", outputCol="_p").fit(v)
-    p = vector_to_array("_p")
-    return model.transform(v).select("vec_id", p[0].alias("x"), p[1].alias("y")), list(model.explainedVariance)
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's count, sums and products of its vectors, as one row."""
+    n, total, product = 0, None, None
+    for batch in batches:
+        rows = [r for r in batch["embedding"].to_pylist() if r is not None]
+        if rows:
+            x = np.array(rows, np.float64)
+            n, total, product = n + len(x), x.sum(axis=0) + (0 if total is None else total), x.T @ x + (0 if product is None else product)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary()), pa.array([product.tobytes()], pa.binary())], ["n", "total", "product"])
+
+
+def pca_2d(vectors: DataFrame) -> DataFrame:
+    """(vec_id, x, y, x_share, y_share): centred vectors on their first two principal components, and the shares of the
+    variance that these explain. A component's largest entry is positive. The driver holds a row of moments a task."""
+    n, total, product = 0, 0.0, 0.0
+    for r in vectors.select("embedding").mapInArrow(_moments, "n long, total binary, product binary").toLocalIterator():
+        t = np.frombuffer(r.total)
+        n, total, product = n + r.n, total + t, product + np.frombuffer(r["product"]).reshape(len(t), len(t))
+    if not n:
+        return vectors.select("vec_id", *(F.lit(None).cast("double").alias(c) for c in ("x", "y", "x_share", "y_share"))).filter("false")
+    mean = total / n
+    value, axis = np.linalg.eigh(product / n - np.outer(mean, mean))
+    axis = axis[:, ::-1][:, :2]
+    axis = axis * np.sign(axis[np.abs(axis).argmax(axis=0), np.arange(2)])
+    share = value[::-1][:2] / max(value.sum(), 1e-300)
+    at = lambda a: dot(F.col("embedding"), F.array(*map(F.lit, a.tolist()))) - float(mean @ a)
+    return vectors.filter("embedding IS NOT NULL").select("vec_id", at(axis[:, 0]).alias("x"), at(axis[:, 1]).alias("y"), *(F.lit(float(v)).alias(c) for v, c in zip(share, ("x_share", "y_share"))))
 
 
 def phrases(df: DataFrame, doc: str, text: str, limit: int = 30) -> DataFrame:

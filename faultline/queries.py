@@ -14,7 +14,7 @@ from . import constants as K
 from .functions import classify as C
 from .functions import text as X
 from .functions import values as V
-from .operators import calibration, features, grouping, insight, normalize, pairs, profile, registers, scoring, sparse, vectors
+from .operators import ann, calibration, features, grouping, insight, normalize, pairs, profile, registers, scoring, sparse, vectors
 from .plans.bindings import HISTORIES_SQL, JOBS_SQL, LINKS_SQL, event_orders, histories, jobs, links, notes, table
 from .sources import tables
 
@@ -392,9 +392,24 @@ def e6(spark, sf):
     return vectors.knn_summary(vectors.knn_classify(table(spark, sf, "embeddings"))).select("n", r6(F.col("accuracy"), "accuracy"), r6(F.col("baseline"), "baseline"))
 
 
+@query("e6_per_class", f"WITH {KNN_SQL} SELECT label, count(*) AS n, round(avg(CAST(label = predicted AS INTEGER)), 6) AS accuracy FROM p GROUP BY 1 HAVING count(*) >= 5")
+def e6_classes(spark, sf):
+    return vectors.per_class(vectors.knn_classify(table(spark, sf, "embeddings")), 5).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query("e6_confusions", f"WITH {KNN_SQL} SELECT label, predicted, count(*) AS n FROM p WHERE label <> predicted GROUP BY ALL ORDER BY n DESC, label, predicted LIMIT 10")
+def e6_confused(spark, sf):
+    return vectors.confusions(vectors.knn_classify(table(spark, sf, "embeddings")))
+
+
+@query("e6_bands", f"WITH {KNN_SQL} SELECT CASE WHEN confidence <= 0.2 THEN 0.2 WHEN confidence <= 0.4 THEN 0.4 WHEN confidence <= 0.6 THEN 0.6 WHEN confidence <= 0.8 THEN 0.8 ELSE 1.0 END::DOUBLE AS upper, count(*) AS n, round(avg(CAST(label = predicted AS INTEGER)), 6) AS accuracy FROM p GROUP BY 1")
+def e6_bands(spark, sf):
+    return vectors.by_band(vectors.knn_classify(table(spark, sf, "embeddings"))).withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query("e7_pca")
 def e7(spark, sf):
-    return vectors.pca_2d(table(spark, sf, "embeddings"))[0]
+    return vectors.pca_2d(table(spark, sf, "embeddings"))
 
 
 @query("e8_filtered_search", f"SELECT q.vec_id AS query_id, v.vec_id, round({COS}, 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id = 3) q WHERE v.label = 2 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.vec_id) <= 5")
@@ -424,18 +439,31 @@ def dense_queries(e):
     return e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-@query("e4_dense_top_k_all")
+@query("e4_dense_top_k_all", f"SELECT q.vec_id AS query_id, v.vec_id, round({COS}, 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE {COS} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.vec_id) <= 10")
 def e4_all(spark, sf):
     e = table(spark, sf, "embeddings")
     return vectors.dense_top_k(e, dense_queries(e)).select("query_id", "vec_id", r6(F.col("score"), "score"))
 
 
-@query("e8_filtered_search_all")
+@query("e8_filtered_search_all", f"SELECT q.vec_id AS query_id, v.vec_id, round({COS}, 6) AS score FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE v.label = 2 AND {COS} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, v.vec_id) <= 5")
 def e8_all(spark, sf):
     e = table(spark, sf, "embeddings")
     return vectors.dense_top_k(e, dense_queries(e), 5, F.col("label") == 2).select("query_id", "vec_id", r6(F.col("score"), "score"))
 
 
+@query("e4_approximate")
+def e4_near(spark, sf):
+    """The same searches by the index of cells; recall is measured in a test."""
+    e = table(spark, sf, "embeddings")
+    return ann.search(ann.build(e), e, dense_queries(e)).select("query_id", "vec_id", r6(F.col("score"), "score"))
+
+
+@query("e8_approximate")
+def e8_near(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return ann.search(ann.build(e), e, dense_queries(e), 5, "label = 2").select("query_id", "vec_id", r6(F.col("score"), "score"))
+
+
 # ---- F: joins ----
 
 

@@ -470,9 +470,9 @@ def i9(spark, sf):
     return insight.citation_violations(x, finding_members(spark, sf)).withColumn("failed", F.array_join("failed", ","))
 
 
-@query("i10_retrieval_context", "SELECT string_agg('[' || p_brand || '] ' || p_name, chr(10) ORDER BY p_retailprice DESC, p_brand, p_name) AS context FROM part")
+@query("i10_retrieval_context", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_brand, p_name) AS n FROM part) SELECT p_type AS query_id, string_agg('[' || p_brand || '] ' || p_name, chr(10) ORDER BY n) AS context FROM r WHERE n <= 10 GROUP BY 1")
 def i10(spark, sf):
-    return insight.retrieval_context(table(spark, sf, "part").select(F.col("p_brand").alias("label"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("score")))
+    return insight.retrieval_context(table(spark, sf, "part").select(F.col("p_type").alias("query_id"), F.col("p_brand").alias("label"), F.col("p_name").alias("text"), F.col("p_retailprice").alias("score")))
 
 
 # ---- J: registers, review, search, report ----
@@ -613,14 +613,14 @@ ps AS (SELECT *, CASE WHEN turn % 3 = 0 THEN CASE conv_id % 4 WHEN 0 THEN '{0[0]
  TRY_CAST(nullif(regexp_extract(lower(q), 'more than\s+([0-9]+)', 1), '') AS INTEGER) AS more_than, contains(lower(q), 'recurring') AS recurring, list_sort(list_distinct(regexp_extract_all(lower(q), '[a-z]{{3,}}'))) AS terms FROM sq)""".format(*ASKED)
 
 
-def searches(spark, sf):
+def searches(spark, sf, families=K.FAMILIES):
     """Every turn of the conversations as a search; two thirds of them state families, years or numbers."""
     c, t = F.col("conv_id"), F.col("turn")
     what = F.when(c % 4 == 0, ASKED[0][1]).when(c % 4 == 1, ASKED[1][1]).when(c % 4 == 2, ASKED[2][1]).otherwise("things")
     least = F.when(c % 5 < 2, F.concat(F.lit(", more than "), (c % 7).cast("string"))).otherwise("")
     lead = F.when(t % 3 == 0, F.concat(F.lit("Recurring "), what, least, F.lit(" in 20"), (c % 4 + 22).cast("string"), F.lit(" "))).when((t % 3 == 1) & (c % 6 == 0), F.concat(F.lit("more than "), (c % 9).cast("string"), F.lit(" "))).otherwise("")
     q = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.concat(lead, "text").alias("q"))
-    return store.materialise(search.parse(q, "query_id", "q"), "parsed")
+    return store.materialise(search.parse(q, "query_id", "q", families), "parsed")
 
 
 @query("j23_parsed_searches", f"WITH {SEARCH_SQL} SELECT query_id, family, year, more_than, recurring, array_to_string(terms, ',') AS terms FROM ps")
@@ -660,7 +660,7 @@ al AS (SELECT query_id, work_order_id, coalesce(overlap, 0) AS overlap, coalesce
 SELECT query_id, work_order_id, family, CAST(overlap AS INTEGER) AS overlap, round(score, 6) AS score FROM al JOIN jb USING (work_order_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, al.score DESC, work_order_id DESC) <= 15""")
 def j25(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("work_order_id"), F.col("source").alias("family"), F.coalesce("text", F.lit("")).alias("note"))
-    return search.ranked_jobs(searches(spark, sf), d).select("query_id", "work_order_id", "family", "overlap", r6(F.col("score"), "score"))
+    return search.ranked_jobs(searches(spark, sf, None), d).select("query_id", "work_order_id", "family", "overlap", r6(F.col("score"), "score"))
 
 
 def report_rows(spark, sf):
