@@ -3,7 +3,8 @@
 Texts are bytes. A round takes the next digit (a run of successive bytes) of every text that is still in a
 group of two or more and splits each group by it. A group leaves when one text is left in it or when its texts
 have ended; texts in one ended group agree in every byte, so equality needs no digest. Digits grow from round to
-round, because few groups survive a long common prefix.
+round, in the end by doubling, and a round carries only the bytes that none has looked at: texts of L equal bytes take
+a number of rounds that grows with the logarithm of L, and write no more than L bytes in all but a constant.
 
 A round is a counting aggregate (combined before the shuffle, so a group with a third of all rows costs one row a
 task) and an inner join that keeps the members of groups of two or more (adaptive execution splits a hot key).
@@ -11,14 +12,14 @@ task) and an inner join that keeps the members of groups of two or more (adaptiv
 
 from __future__ import annotations
 
-from itertools import chain, repeat
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import save, table, utf8
 
-#: Bytes a round looks at; the last width repeats until every group has ended.
+#: Bytes that the first rounds look at; each later one looks at twice as many as the one before.
 DIGITS = (192, 2048, 16384, 131072)
 
 
@@ -30,9 +31,9 @@ def radix_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", d
     """
     live = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lit(-1).cast("long").alias("node"), utf8(text).alias("body"))
     done: DataFrame | None = None
-    at = 0
-    for width in chain(digits, repeat(digits[-1])):
-        dealt = live.withColumn("digit", F.substring("body", at + 1, width))
+    for at in count():
+        width = digits[at] if at < len(digits) else 2 * width
+        dealt = live.withColumn("digit", F.substring("body", 1, width))
         split = dealt.groupBy("node", "digit").agg(F.count("*").alias("n"), F.max("doc_id").alias("hi")).filter("n > 1")
         split = save(split.withColumn("group", F.monotonically_increasing_id()), f"split{at}").withColumnsRenamed({"node": "in_node", "digit": "by"})
         # the size of a file says little of what it holds in memory, so nothing that grows is broadcast by it
@@ -45,17 +46,17 @@ def radix_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", d
                 F.col("group").alias("node"),
                 "hi",
                 F.col("n").alias("group_size"),
-                F.when(ended, F.sha2("body", 256)).alias("sha256"),
-                F.when(~ended, F.col("body")).alias("body"),
+                # the first round has whole texts
+                (F.col("sha256") if at else F.sha2("body", 256)).alias("sha256"),
+                F.when(~ended, F.expr(f"substring(body, {width + 1})")).alias("body"),
             ),
             f"radix{at}",
         )
         part = kept.filter("ended").select("doc_id", "sha256", F.col("hi").alias("keep_id"), "group_size")
         done = part if done is None else done.unionByName(part)
-        live = kept.filter("NOT ended").select("doc_id", "node", "body")
+        live = kept.filter("NOT ended").select("doc_id", "node", "body", "sha256")
         if live.isEmpty():
             return done
-        at += width
     raise AssertionError
 
 

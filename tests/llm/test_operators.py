@@ -56,6 +56,14 @@ def clashing(df):
 # ---- 10: exact dedup ----
 
 
+def test_exact_duplicates_of_long_texts(spark):
+    """Two texts of 3 MB, and one that differs in its last byte: as many rounds as the logarithm of the length."""
+    a, b = "long text " * 300_000, "long text " * 299_999 + "long texT "
+    df = spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(df).collect()}
+    assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
+
+
 @pytest.mark.parametrize("digits", [exact_dedup.DIGITS, (1, 2, 97, 30_000)])
 def test_exact_duplicates(docs, digits):
     got = exact_dedup.exact_duplicates(clashing(docs), digits=digits).collect()
