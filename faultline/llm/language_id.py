@@ -2,8 +2,9 @@
 
 Bigrams and trigrams of code points of the lower-cased text are hashed into ``DIMS`` features. Document frequencies
 come from every training document. The weights are fitted by follow-the-regularised-leader with elastic-net penalties
-on a bounded sample (at most ``per_lang`` documents of each of the ``MAX_LANGS`` most frequent languages; others are
-never predicted), which reaches the driver as counts of hashed features, at most ``DIMS`` a document. A temperature,
+on a bounded sample (at most ``per_lang`` documents of each language, fewer of each if there are many languages, and
+``MOST_SAMPLED`` in all), which reaches the driver as counts of hashed features, at most ``DIMS`` a document. Every
+language is learned; more than ``MOST_LANGS`` of them are an error, as weights are held densely. A temperature,
 fitted on every fifth document of that sample, calibrates the probabilities. Prediction is a narrow
 pass over all documents with the weights broadcast: ``DIMS`` x languages numbers, whatever the corpus size.
 """
@@ -23,9 +24,10 @@ from .shared import table
 
 BITS = 15
 DIMS = 1 << BITS
-MAX_LANGS = 200
-#: Bound of the training sample, for each language.
-PER_LANG = 700
+#: Languages that a model may tell apart, at most.
+MOST_LANGS = 500
+#: Bounds of the training sample: for each language, and in all.
+PER_LANG, MOST_SAMPLED = 700, 100_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 UND = "und"
@@ -144,16 +146,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_language_model(train: DataFrame, per_lang: int = PER_LANG) -> Model | None:
-    """``train``: doc_id, text, lang without nulls. None if there is nothing to learn from."""
-    top = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    """``train``: doc_id, text, lang without nulls. None if there is nothing to learn from, as in an empty table.
+
+    One id with two texts is two documents; rows that repeat id, text and language are one. Long texts count as a whole.
+    """
+    known = train.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
+    if len(known) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    per_lang = min(per_lang, max(1, MOST_SAMPLED // max(1, len(known))))
+    top = train.sparkSession.createDataFrame([(r.lang, r["count"]) for r in known], "lang string, count long")
+    train = train.withColumn("said", F.xxhash64("text"))
     # a sample by hashed id of about twice the bound, then exactly the bound
     rate = F.lit(2.0 * per_lang) / F.col("count")
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    ids = train.select("doc_id", "lang").join(F.broadcast(top), "lang").filter(unit < rate).select("doc_id", "lang", unit.alias("u"))
-    ids = ids.selectExpr("doc_id", "lang AS label", "row_number() OVER (PARTITION BY lang ORDER BY u, doc_id) AS rank").filter(F.col("rank") <= per_lang)
-    sample = train.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "lang").mapInArrow(_features, "doc_id long, lang string, at binary, n binary")
-    # per_lang * MAX_LANGS documents, of at most DIMS features each, whatever the length of the texts
-    rows = sample.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    ids = train.select("doc_id", "said", "lang").join(F.broadcast(top), "lang").filter(unit < rate).select("doc_id", "said", "lang", unit.alias("u")).distinct()
+    ids = ids.selectExpr("doc_id", "said", "lang", "row_number() OVER (PARTITION BY lang ORDER BY u, doc_id, said) AS rank").filter(F.col("rank") <= per_lang).drop("rank")
+    sample = train.join(F.broadcast(ids), ["doc_id", "said", "lang"]).dropDuplicates(["doc_id", "said", "lang"])
+    # MOST_SAMPLED documents at most, of at most DIMS features each, whatever the length of the texts
+    order = [F.xxhash64("doc_id"), "doc_id", "said", "lang"]
+    rows = sample.orderBy(*order).select("doc_id", "text", "lang").mapInArrow(_features, "doc_id long, lang string, at binary, n binary").collect()
     langs = sorted({r.lang for r in rows})
     if not langs:
         return None
@@ -179,7 +190,8 @@ def fit_language_model(train: DataFrame, per_lang: int = PER_LANG) -> Model | No
 def predict_language(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with lang_pred and lang_score appended; clashing columns of ``docs`` are replaced.
 
-    ``und`` with score 0 for null texts, texts without a letter, and if there is no model.
+    ``und`` with score 0 for null texts, texts without a letter, and if there is no model. Rows are judged one by one, so
+    repeated rows and ids make no difference; long texts count as a whole; of equal probabilities the first language wins.
     """
     docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
