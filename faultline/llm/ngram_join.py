@@ -35,6 +35,8 @@ from .shared import fmix, save, table, utf8
 WORDS, PERCENT = 4, 85  # of op7; near-duplicate stages take five words and 80 percent
 BUCKETS, CHUNKS = 1 << 20, 256  # hash buckets of the frequency table, and the parts it is summed in
 BLOCK = 1000
+#: Bytes of sets in a block, about; a set that is larger is a block of its own.
+UNIT_BYTES = 32 << 20
 HASHED = 26  # bits of the hashes that tell which texts are wanted: a bitmap of 8 MB at most
 LEAF, FAN = 8, 8
 FEW = 48  # members of a prefix shingle's group up to which they are compared one by one
@@ -501,7 +503,9 @@ def linked_rows(docs: DataFrame, words: int, percent: int, block: int = BLOCK) -
 
 def _verified(members: DataFrame, clusters: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (u, v) among ``members`` (rep, cluster, shingles) that tie all that true links tie."""
-    sized = clusters.groupBy("cluster").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / F.lit(float(block))).cast("long"))
+    heft = F.octet_length("shingles").cast("long")
+    parts = lambda n, size: F.ceil(F.greatest(F.col(n) / F.lit(float(block)), F.col(size) / F.lit(float(UNIT_BYTES)))).cast("long")
+    sized = members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(heft).alias("bytes")).withColumn("blocks", parts("size", "bytes")).drop("bytes")
     members = save(members.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "dealt")
     # first: every block with itself and with block 0 of its component
     units = F.when(F.col("block") == 0, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
@@ -514,9 +518,10 @@ def _verified(members: DataFrame, clusters: DataFrame, percent: int, block: int)
         # then: what is outside a large component's largest group with every block
         found = components(links).withColumnsRenamed({"node": "rep", "component": "grp"})
         large = save(large.join(found, "rep", "left").withColumn("grp", F.coalesce("grp", "rep")), "large")
-        counts = large.groupBy("cluster", "grp").agg(F.count("*").alias("n"))
-        biggest = counts.groupBy("cluster").agg(F.max_by("grp", F.struct("n", "grp")).alias("biggest"), F.sum("n").alias("all_n"), F.max("n").alias("big_n"))
-        out = biggest.withColumn("out_blocks", F.ceil((F.col("all_n") - F.col("big_n")) / F.lit(float(block))).cast("long")).filter("out_blocks > 0")
+        counts = large.groupBy("cluster", "grp").agg(F.count("*").alias("n"), F.sum(heft).alias("b"))
+        first_of = F.struct("n", "grp")
+        biggest = counts.groupBy("cluster").agg(F.max_by("grp", first_of).alias("biggest"), (F.sum("n") - F.max("n")).alias("out_n"), (F.sum("b") - F.max_by("b", first_of)).alias("out_b"))
+        out = biggest.withColumn("out_blocks", parts("out_n", "out_b")).filter("out_n > 0")
         large = large.join(out.select("cluster", "biggest", "out_blocks"), "cluster")
         outside = large.filter("grp <> biggest").withColumn("o", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("out_blocks")))
         left = outside.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -533,7 +538,9 @@ def similar_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     Words are runs without ASCII white space, lower-cased in ASCII. Two documents link when 100 times the size of
     their sets' intersection is at least ``percent`` times that of the union. Null texts and texts without words
     have no shingles and link with nothing. Repeated rows get equal results. One id with two texts is two documents.
-    A row without an id links like any other; its component_id is null if it reaches no row with an id.
+    A row without an id links like any other; its component_id is null if it reaches no row with an id. Links don't
+    depend on order, so there are no ties to settle. Long texts have long sets: sets are dealt into blocks by their
+    number and by their bytes. An empty table gives no rows.
     """
     alone = F.col("least_sha").isNull()
     return linked_rows(docs, words, percent, block).select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
