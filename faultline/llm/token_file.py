@@ -20,13 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .range_coder import BLOCK_IDS, decode_blocks, encode_blocks
-from .shared import new_path, save, table
+from .shared import file_system, new_path, save, table
 from .tokens import default_path, encoder, runs
 
 MAGIC = b"TIDS1\0\0\0"
@@ -83,13 +82,14 @@ def _frames(stream) -> Iterator[tuple[list[tuple[int | None, int, bool]], np.nda
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END, lanes: int = LANES) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files under ``folder`` in ascending doc_id order; the saved manifest.
 
-    Null texts count as empty: the end id alone. Null doc_ids come first. Repeated rows are written each time.
+    Null texts count as empty: the end id alone. Null doc_ids come first. Repeated rows are written each time; rows of
+    one id stand in the order of their texts' hashes. Long texts go through in frames. An empty table has no files.
     """
     path_of_tokenizer, frame_ids = tokenizer or default_path(), lanes * BLOCK_IDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, out, total, documents = encoder(path_of_tokenizer), None, 0, 0
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         no = TaskContext.get().partitionId()
         path = f"{base}/part-{no:06d}-{uuid.uuid4().hex}.tids"
@@ -119,7 +119,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
             yield pa.RecordBatch.from_arrays([pa.array([no]), pa.array([path]), pa.array([total]), pa.array([documents])], ["file_no", "path", "ids", "documents"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # one id that very many rows repeat is dealt over tasks by its texts
+    rows = rows.withColumn("said", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "said").sortWithinPartitions("doc_id", "said", "text").drop("said")
     return save(ordered.mapInArrow(run, MANIFEST), "token-manifest")
 
 
@@ -127,7 +129,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """Each document of the manifest's files: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = file_system(folder)
         names = [x.split()[0] for x in READ.split(", ")]
         for batch in batches:
             for no, path in zip(batch["file_no"].to_pylist(), batch["path"].to_pylist()):

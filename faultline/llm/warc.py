@@ -20,12 +20,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, save, table, utf8
+from .shared import file_system, new_path, save, table, utf8
 
 CHUNK = 1 << 16
 MIN_REVISIT = 100
@@ -71,7 +70,7 @@ def chunk_table(pages: DataFrame, chunk: int = CHUNK, page_id: str = "page_id",
 
     A first pass over digests and ids finds the payloads that occur more than once. Up to ``most`` of them are
     broadcast, and no payload is shuffled; beyond, the chunk rows meet them by digest. A row given twice is two
-    records. Of equal payloads under one smallest id, that id's rows are all responses. A null id counts as largest.
+    records. Of equal payloads under one smallest id, that id's rows are all responses. A null id counts as largest. Long payloads are cut into chunks. An empty table has no rows.
     """
     body = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), utf8(payload).alias("body"))
     first = (
@@ -114,7 +113,7 @@ def write_warc(chunks: DataFrame, folder: str) -> DataFrame:
     """Write a chunk table as gzip members, one for each record; returns the saved manifest (path, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         path = f"{base}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         out, records = None, 0
@@ -185,7 +184,7 @@ def read_warc(manifest: DataFrame, folder: str, chunk: int = CHUNK, payload: boo
                         break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = file_system(folder)
         names = [x.split()[0] for x in READ.split(", ")]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
