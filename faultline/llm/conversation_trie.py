@@ -47,7 +47,7 @@ def with_shared_heads(sequences: DataFrame, group: int = 20, most: int = 4) -> D
     c's decimal digits modulo ``most``. A lead that is absent or short gives what it has."""
     h = (F.crc32(F.col("conv_id").cast("string")) % most).cast("int")
     lead = sequences.filter(F.col("conv_id") % group == 0).select(F.col("conv_id").alias("lead"), F.slice("turns", 1, most - 1).alias("head"))
-    x = sequences.withColumn("lead", F.col("conv_id") - F.col("conv_id") % group).withColumn("h", h).join(lead, "lead", "left")
+    x = sequences.withColumn("lead", F.col("conv_id") - F.col("conv_id") % group).withColumn("h", h).join(lead.hint("merge"), "lead", "left")
     own = F.slice("turns", F.col("h") + 1, F.greatest(F.size("turns"), F.lit(1)))
     head = F.coalesce(F.slice("head", F.lit(1), F.col("h")), F.slice("turns", 1, 0))
     return x.select("conv_id", F.concat(head, own).alias("turns"))

@@ -73,7 +73,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[i
     """One row per piece of a document of ``docs`` (doc_id, text): the columns of ``OUT``.
 
     Null texts count as empty: a document of the end id alone. Repeated rows are packed as often as they occur.
-    Sequence ids hold the task's number in their upper bits; a task that runs again makes the same ones.
+    Sequence ids hold the task's number in their upper bits; a task that runs again makes the same ones. Of equally good
+    places the first is taken. Long texts are cut into pieces. An empty table gives no rows.
     """
     path, tiers = tokenizer or default_path(), tuple(sorted(tiers, reverse=True))
     longest = tiers[0]

@@ -403,7 +403,8 @@ def remove_repeats(docs: DataFrame, shard: int = SHARD, text: str = "text", doc_
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay).
 
     A byte goes if a ``SPAN``-byte string over it also starts anywhere else, in the same text or another. Null texts
-    count as empty. Rows with equal texts, repeated rows among them, lose all bytes of texts of SPAN bytes or more.
+    count as empty. Rows with equal texts, repeated rows among them, lose all bytes of texts of SPAN bytes or more: there
+    are no ties, as no copy is spared. Long texts are scanned in overlapping slices. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(text).alias("body")).withColumn("key", F.unhex(F.substring(F.sha2("body", 256), 1, 32)))
     ranges = repeated_windows(rows.select("key", "body"), shard)

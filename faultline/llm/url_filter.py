@@ -131,7 +131,8 @@ def judge_urls(pages: DataFrame, rules: dict[str, str] | None = None, url: str =
     """One row per row of ``pages``: page_id, host, path, rule, verdict, template, purity.
 
     Null urls and urls without ``://`` have an empty host and path and are judged like any other. Repeated rows
-    get equal verdicts. An empty table gives no rows.
+    get equal verdicts; of rules that fit equally long only one can. Long paths take a round of joins for each level that
+    two paths share. An empty table gives no rows.
     """
     rules = RULES if rules is None else rules
     host, path = split_url(F.col(url))
