@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -119,10 +119,25 @@ def attach_notes(notes: DataFrame) -> DataFrame:
     return notes.groupBy("work_order_id").agg(F.array_join(said, " ").alias("note"))
 
 
-def validation_report(**counts: tuple[DataFrame, str]) -> DataFrame:
-    """(name, kind, n) for named tables: one small aggregate each."""
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), "n") for name, (df, kind) in counts.items()]
-    return reduce(DataFrame.unionByName, parts)
+class Counters:
+    """Counts that are taken in the pass that writes a table, so that no counter needs a scan of its own."""
+
+    def __init__(self) -> None:
+        self._seen: list[tuple[str, Observation]] = []
+
+    def watch(self, df: DataFrame, name: str, **kinds: Column) -> DataFrame:
+        """``df``, of which the rows that meet each condition are counted as it is written once."""
+        seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+        self._seen.append((name, seen))
+        return df.observe(seen, *(F.count_if(c).alias(k) for k, c in kinds.items()))
+
+    def counts(self) -> dict[tuple[str, str], int]:
+        """{(name, kind): n} of what has been written."""
+        return {(name, kind): n for name, seen in self._seen for kind, n in seen.get.items()}
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """(name, kind, n), a row for each counter."""
+        return spark.createDataFrame([(*k, n) for k, n in self.counts().items()], "name string, kind string, n long")
 
 
 def violations(df: DataFrame, key: str, **checks) -> DataFrame:

@@ -14,8 +14,14 @@ from ..sources import tables
 from ..sources.store import materialise
 
 
-def canonical_orders(sources: dict[str, DataFrame], as_of: str) -> dict[str, DataFrame]:
-    """Normalised tables of a source: orders (nested, classified, with context), links, comments."""
+def canonical_orders(sources: dict[str, DataFrame], as_of: str, seen: normalize.Counters | None = None) -> dict[str, DataFrame]:
+    """Normalised tables of a source: orders (nested, classified, with context), links, comments.
+
+    ``seen`` counts source and accepted rows in the passes that write them.
+    """
+    seen, every = seen or normalize.Counters(), F.lit(True)
+    # what comes in is written once and counted as it is: later steps read it more than once
+    sources = {n: materialise(seen.watch(df, n, source=every), n) for n, df in sources.items()}
     work = normalize.normalize_work_orders(sources["work_orders"], as_of)
     links = normalize.drop_catch_all(normalize.link_candidates(sources["entities"]))
     work = materialise(work, "work")
@@ -31,7 +37,7 @@ def canonical_orders(sources: dict[str, DataFrame], as_of: str) -> dict[str, Dat
     orders = orders.withColumn("family", F.coalesce("_f", "family")).withColumn("method", F.when(hit, "sequence_context").otherwise(F.col("method"))).withColumn("trigger", F.coalesce("_t", "trigger")).withColumn("score", F.coalesce("_s", "score")).drop("_f", "_t", "_s")
     said = F.array_join("cleaned_notes", " ")
     orders = orders.withColumn("signal", F.when(F.size("cleaned_notes") > 0, text.resolution_signal(F.element_at("cleaned_notes", -1)))).withColumn("repair", text.has_term(said, K.REPAIR_TERMS))
-    return {"orders": materialise(orders, "orders"), "links": links, "comments": comments}
+    return {"orders": materialise(seen.watch(orders, "orders", accepted=every, eligible=F.col("eligible")), "orders"), "links": links, "comments": comments}
 
 
 def analyse(spark: SparkSession, orders: DataFrame, threshold: float = K.EDGE_THRESHOLD) -> dict[str, DataFrame]:
@@ -77,12 +83,15 @@ def run(spark: SparkSession, source: str, root: str, as_of: str) -> str:
     after = tables.current(spark, root)[0]
     sources = tables.read_sources(spark, source)
     tables.gate_import(sources)
-    canonical = canonical_orders(sources, as_of)
+    seen = normalize.Counters()
+    canonical = canonical_orders(sources, as_of, seen)
     out = canonical | analyse(spark, canonical["orders"])
     out |= carried(spark, root, out)
     run_id = uuid.uuid4().hex
-    counts = sources["work_orders"].agg(F.count("*").alias("all")).crossJoin(canonical["orders"].agg(F.count("*").alias("accepted"))).select("accepted", (F.col("all") - F.col("accepted")).alias("rejected"))
+    n = seen.counts()
+    accepted = n["orders", "accepted"]
+    counts = spark.createDataFrame([(accepted, n["work_orders", "source"] - accepted)], "accepted long, rejected long")
     history = tables.run_row(counts, run_id, source, as_of)
     if tables.has_table(spark, root, "run_history"):
         history = tables.read_snapshot(spark, root, "run_history").unionByName(history)
-    return tables.publish_snapshot(spark, root, out | {"run_history": history.coalesce(1)}, run_id, after)
+    return tables.publish_snapshot(spark, root, out | {"run_history": history.coalesce(1), "validation": seen.report(spark)}, run_id, after)

@@ -742,10 +742,11 @@ def a8(spark, sf):
 @query("j30_run_summary", f"""WITH {CONF_SQL}, {LINKS_SQL}, {JOBS_SQL} SELECT (SELECT count(*) FROM jobs) AS jobs, (SELECT count(*) FROM jobs WHERE status = 'F') AS eligible, (SELECT count(DISTINCT asset_key) FROM links) AS assets, (SELECT count(*) FROM inc) AS incidents, (SELECT count(*) FROM inc WHERE recurring) AS recurring,
 (SELECT count(*) FROM conf WHERE raw_score < 0.72) AS review_queue, (SELECT count(*) FROM lineitem) AS source_links, (SELECT count(*) FROM links WHERE role = 'other') AS excluded_links""")
 def j30(spark, sf):
-    li = links(spark, sf)
-    report = normalize.validation_report(orders=(jobs(spark, sf), "source"), links=(li, "source")).unionByName(normalize.validation_report(links=(li.filter("role = 'other'"), "excluded")))
+    seen = normalize.Counters()
+    li = store.materialise(seen.watch(links(spark, sf), "links", source=F.lit(True), excluded=F.col("role") == "other"), "links")
     c = scoring.with_level(confidence(spark, sf).withColumn("score", F.col("raw_score")))
-    j = jobs(spark, sf).withColumn("eligible", F.col("status") == "F")
+    j = store.materialise(seen.watch(jobs(spark, sf).withColumn("eligible", F.col("status") == "F"), "orders", source=F.lit(True)), "orders")
+    report = seen.report(spark)
     x = registers.run_summary(j, li.select("asset_key").distinct(), incidents(spark, sf), c, report)
     return x.select("jobs", "eligible", "assets", "incidents", "recurring", "review_queue", F.col("validation")["links.source"].alias("source_links"), F.col("validation")["links.excluded"].alias("excluded_links"))
 

@@ -163,19 +163,6 @@ def latest_run(spark: SparkSession, root: str) -> DataFrame:
     return runs.orderBy(F.desc("completed_at"), "run_id").limit(1)
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Rows and an order-free digest of a table's content."""
-    each = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(df.columns))).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("|", F.lit(",".join(sorted(df.columns))), F.count("*").cast("string"), F.coalesce(F.sum(each), F.lit(0)).cast("string")), 256).alias("digest"))
-
-
-def dataset_id(sources: dict[str, DataFrame]) -> str:
-    """Sixteen hex digits over the fingerprints of all tables."""
-    import hashlib
-
-    return hashlib.sha256("".join(f"{k}:{fingerprint(v).first().digest};" for k, v in sorted(sources.items())).encode()).hexdigest()[:16]
-
-
 def backfill(work_orders: DataFrame | None = None, comments: DataFrame | None = None, assets: DataFrame | None = None, reviews: DataFrame | None = None):
     """Tables of older snapshots with the columns added since: asset_class, source_sequence, archived, snapshot."""
     if assets is not None and "asset_class" not in assets.columns:
