@@ -47,7 +47,7 @@ def build(vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> Index
     centroid is nearest by angle, as its residual in units of the sample's largest one. The sample alone is bounded."""
     spark = vectors.sparkSession
     some = vectors.filter("embedding IS NOT NULL").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").collect()
-    x = _unit(np.array([r.embedding for r in some], np.float64).reshape(len(some), -1))
+    x = _unit(np.array([r.embedding for r in some], np.float64)) if some else np.zeros((0, 0))
     x = x[~np.isnan(x).any(axis=1)]
     c = _centroids(x, cells) if len(x) else np.zeros((0, 0))
     scale = np.abs(x - c[(x @ c.T).argmax(axis=1)]).max(axis=0) / 127 + 1e-12 if len(x) else np.zeros(0)
@@ -57,11 +57,13 @@ def build(vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE) -> Index
         c, scale = put.value
         for batch in batches:
             got = [(i, la, e) for i, la, e in zip(*(batch[n].to_pylist() for n in ("vec_id", "label", "embedding"))) if e is not None]
-            v = _unit(np.array([e for *_, e in got], np.float64).reshape(len(got), -1))
-            ok = ~np.isnan(v).any(axis=1) if len(got) else np.zeros(0, bool)
+            if not got:
+                continue
+            v = _unit(np.array([e for *_, e in got], np.float64))
+            ok = ~np.isnan(v).any(axis=1)
             v, got = v[ok], [g for g, k in zip(got, ok) if k]
-            own = (v @ c.T).argmax(axis=1) if len(got) else np.zeros(0, np.int64)
-            codes = np.clip(np.rint((v - c[own]) / scale), -127, 127).astype(np.int8) if len(got) else []
+            own = (v @ c.T).argmax(axis=1)
+            codes = np.clip(np.rint((v - c[own]) / scale), -127, 127).astype(np.int8)
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array(own, pa.int32()), pa.array([x.tobytes() for x in codes], pa.binary())], ["vec_id", "label", "cell", "code"])
 
     path = new_folder(spark, "cells")

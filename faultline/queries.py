@@ -6,6 +6,8 @@ Names begin with the inventory id of what they exercise. Every query runs over i
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,38 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+_held: ContextVar[dict | None] = ContextVar("held", default=None)
+
+
+def once(f):
+    """Inside a query marked ``written_once``, what ``f`` makes is written the first time and read after that."""
+
+    @wraps(f)
+    def make(spark, sf):
+        held = _held.get()
+        if held is None:
+            return f(spark, sf)
+        if f.__name__ not in held:
+            held[f.__name__] = store.materialise(f(spark, sf), f.__name__)
+        return held[f.__name__]
+
+    return make
+
+
+def written_once(f):
+    """A query whose branches share incidents, members and edges: each is computed once, as in the batch run."""
+
+    @wraps(f)
+    def run(spark, sf):
+        at = _held.set({})
+        try:
+            return f(spark, sf)
+        finally:
+            _held.reset(at)
+
+    return run
+
+
 def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
@@ -507,6 +541,7 @@ def f4(spark, sf):
 # ---- G: edges, groups, episodes ----
 
 
+@once
 def edges(spark, sf):
     """Scored pairs of events; the similarity of two events is that of their values."""
     o = event_orders(spark, sf)
@@ -551,6 +586,7 @@ def g5(spark, sf):
     return incidents(spark, sf).select("incident_id", "asset_key", "family", "first_seen", "last_seen", "jobs", "recurring")
 
 
+@once
 def episode_groups(spark, sf):
     """Members of gap episodes as groups."""
     x = grouping.with_episodes(event_orders(spark, sf), gap_days=0)
@@ -558,10 +594,12 @@ def episode_groups(spark, sf):
     return x.join(keep, ["asset_key", "episode"]).select("work_order_id", F.concat_ws("#", "asset_key", "episode").alias("group"))
 
 
+@once
 def incidents(spark, sf):
     return grouping.build_incidents(episode_groups(spark, sf), event_orders(spark, sf))
 
 
+@once
 def members(spark, sf):
     i = incidents(spark, sf).select("incident_id", "group")
     return episode_groups(spark, sf).join(i, "group").join(event_orders(spark, sf), "work_order_id")
@@ -587,6 +625,7 @@ def inside_edges(spark, sf, m):
     return inside.join(at.withColumnRenamed("work_order_id", "target"), ["incident_id", "target"]).select("incident_id", "semantic")
 
 
+@once
 def confidence(spark, sf):
     m = members(spark, sf).select("incident_id", "work_order_id", "occurred_at", "family", F.col("primary_asset_keys").alias("own"), (F.col("value") > 10).alias("noted"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("trigger_score"), "signal")
     return scoring.confidence(incidents(spark, sf), m, inside_edges(spark, sf, m))

@@ -27,12 +27,14 @@ from .queries import (
     inside_edges,
     members,
     nested,
+    once,
     query,
     quoted,
     r6,
     reviews,
     risk,
     scored,
+    written_once,
 )
 from .sources import store, tables
 from .sources.review_store import ReviewStore
@@ -79,6 +81,7 @@ def finding_members(spark, sf):
     return m.select("incident_id", "work_order_id", "occurred_at", "family", "repair", signal.alias("signal"), F.array(note).alias("cleaned"), F.array(note).alias("redacted"), F.col("asset_keys").alias("assets"))
 
 
+@once
 def findings(spark, sf):
     i = mapped(incidents(spark, sf)).select("incident_id", "asset_key", "family", "recurring", "first_seen", "last_seen", "resolution_status")
     return insight.generate_insights(i, finding_members(spark, sf), tables.rules_table(spark))
@@ -576,6 +579,7 @@ def kpi_row(spark, sf):
 
 
 @query("j11_kpis", SQL["j11_kpis"])
+@written_once
 def j11(spark, sf):
     return kpi_row(spark, sf).select("jobs", "assets", "high_risk_equipment", "incidents", "recurring", r6(F.col("repeat_rate"), "repeat_rate"), "pending_reviews", r6(F.col("mean_confidence"), "mean_confidence"))
 
@@ -602,6 +606,7 @@ def j20(spark, sf):
 
 @query("j22_readiness", f"""WITH {INC_SQL}, {RISK_SQL} SELECT 'evidence' AS name, CASE WHEN (SELECT count(*) FROM act) > 0 THEN 'READY' ELSE 'HOLD' END AS state UNION ALL SELECT 'review', CASE WHEN (SELECT count(*) FROM rev WHERE decision = 'pending') = 0 THEN 'READY' ELSE 'REVIEW' END
 UNION ALL SELECT 'risk', CASE WHEN (SELECT count(*) FROM rk WHERE risk >= 65) = 0 THEN 'READY' ELSE 'WATCH' END""")
+@written_once
 def j22(spark, sf):
     return registers.readiness(kpi_row(spark, sf))
 
@@ -679,6 +684,7 @@ SQL["j27_report_findings"] = f"WITH {RECORDS_SQL} SELECT incident_id, asset_key,
 
 
 @query("j27_report_findings", SQL["j27_report_findings"])
+@written_once
 def j27(spark, sf):
     return report_rows(spark, sf).select("incident_id", "asset_key", "family", "recurring", "risk", "last_seen")
 
@@ -687,6 +693,7 @@ FIRST_SQL = "SELECT * FROM (SELECT * FROM rec{} QUALIFY row_number() OVER (PARTI
 
 
 @query("j28_first_per_asset", f"WITH {RECORDS_SQL}, f5 AS ({FIRST_SQL.format('')}) SELECT asset_key, incident_id, risk FROM f5")
+@written_once
 def j28(spark, sf):
     return registers.first_per_asset(report_rows(spark, sf)).select("asset_key", "incident_id", "risk")
 
@@ -704,11 +711,13 @@ def _flat(x):
 
 
 @query("j29_structured_findings", J29_SQL)
+@written_once
 def j29(spark, sf):
     return _flat(registers.structured_findings(report_rows(spark, sf)))
 
 
 @query("a7_structured_report", f"WITH {RECORDS_SQL} SELECT incident_id, '1' AS version, asset_key, fam AS issue_family, CAST(risk AS INTEGER) AS risk_score, csv AS supporting FROM rec")
+@written_once
 def a7(spark, sf):
     """The report as JSON lines in a folder, read back."""
     path = store.new_folder(spark, "report")
@@ -733,6 +742,7 @@ SELECT * FROM body UNION ALL SELECT * FROM hd UNION ALL SELECT * FROM ey"""
 
 
 @query("a8_briefing", A8_SQL)
+@written_once
 def a8(spark, sf):
     a = links(spark, sf).select("asset_key").distinct().withColumn("asset_class", F.lit("equipment"))
     risky = registers.top_risk(a, risk(spark, sf).filter(F.col("risk") >= K.RISK_HIGH))
@@ -741,6 +751,7 @@ def a8(spark, sf):
 
 @query("j30_run_summary", f"""WITH {CONF_SQL}, {LINKS_SQL}, {JOBS_SQL} SELECT (SELECT count(*) FROM jobs) AS jobs, (SELECT count(*) FROM jobs WHERE status = 'F') AS eligible, (SELECT count(DISTINCT asset_key) FROM links) AS assets, (SELECT count(*) FROM inc) AS incidents, (SELECT count(*) FROM inc WHERE recurring) AS recurring,
 (SELECT count(*) FROM conf WHERE raw_score < 0.72) AS review_queue, (SELECT count(*) FROM lineitem) AS source_links, (SELECT count(*) FROM links WHERE role = 'other') AS excluded_links""")
+@written_once
 def j30(spark, sf):
     seen = normalize.Counters()
     li = store.materialise(seen.watch(links(spark, sf), "links", source=F.lit(True), excluded=F.col("role") == "other"), "links")
