@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import classify, text
-from ..operators import features, grouping, insight, normalize, pairs, reviews, scoring, sparse
+from ..operators import features, grouping, insight, normalize, pairs, registers, reviews, scoring, sparse
 from ..sources import tables
 from ..sources.store import materialise
 
@@ -75,6 +75,17 @@ def carried(spark: SparkSession, root: str, out: dict[str, DataFrame]) -> dict[s
     return {"reviews": kept, "incidents": reviews.with_edited_families(out["incidents"], out["insights"], reviews.complete_columns(old).withColumn("archived", F.lit(False)))}
 
 
+def decide(spark: SparkSession, root: str, log: DataFrame) -> None:
+    """Publish the reviews that a decision log changes, and incidents under the families that it gives or takes back.
+
+    All other tables of the snapshot stay as they are. Log: as in ``reviews.changed_by``; free text is redacted.
+    """
+    after = tables.current(spark, root)[0]
+    old, incidents, insights = (tables.read_snapshot(spark, root, n) for n in ("reviews", "incidents", "insights"))
+    new = materialise(registers.store_decisions(reviews.apply_decisions(old, log)), "reviews")
+    tables.publish_snapshot(spark, root, {"reviews": new, "incidents": reviews.with_edited_families(incidents, insights, new)}, tables.current_run(spark, root), after, keep=True)
+
+
 def run(spark: SparkSession, source: str, root: str, as_of: str) -> str:
     """Read, normalise, analyse and publish as one unit, with reviews and run history carried over; the run's id.
 

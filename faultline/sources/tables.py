@@ -1,7 +1,8 @@
-"""Reading and publishing tables: aliases, the import gate, snapshots, run history, fingerprints."""
+"""Reading and publishing tables: aliases, the import gate, snapshots, run history."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -114,38 +115,45 @@ def commit(spark: SparkSession, root: str, after: int, content: str) -> int:
 # ---- snapshots: a folder for each run, named by a generation that is claimed last ----
 
 
-def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame], run_id: str | None = None, after: int | None = None) -> str:
+def _snapshot(spark: SparkSession, root: str) -> dict:
+    """What the current generation names: run, and the folder of each table."""
+    content = current(spark, root)[1]
+    return json.loads(content) if content else {"run": None, "tables": {}}
+
+
+def publish_snapshot(spark: SparkSession, root: str, tables: dict[str, DataFrame], run_id: str | None = None, after: int | None = None, keep: bool = False) -> str:
     """Write all tables under a new run folder, then claim the next generation for it. A failure leaves the old snapshot.
 
     ``after``: the generation that the tables were derived from (default: the current one). A writer that another one
-    has overtaken fails, and its folder is removed.
+    has overtaken fails, and its folder is removed. With ``keep``, tables that aren't given stay as they are in the
+    current snapshot, and nothing of them is written again.
     """
     run_id, after = run_id or uuid.uuid4().hex, current(spark, root)[0] if after is None else after
-    folder = f"{root}/runs/{run_id}-{uuid.uuid4().hex[:8]}"
+    old = _snapshot(spark, root)["tables"] if keep else {}
+    folder = f"runs/{run_id}-{uuid.uuid4().hex[:8]}"
     try:
         for name, df in tables.items():
-            df.write.parquet(f"{folder}/{name}")
-        commit(spark, root, after, f"{run_id} {folder.rpartition('/')[2]}")
+            df.write.parquet(f"{root}/{folder}/{name}")
+        commit(spark, root, after, json.dumps({"run": run_id, "tables": old | {name: f"{folder}/{name}" for name in tables}}))
     except BaseException:
-        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}")
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         raise
     return run_id
 
 
 def current_run(spark: SparkSession, root: str) -> str | None:
-    return current(spark, root)[1].partition(" ")[0] or None
+    return _snapshot(spark, root)["run"]
 
 
 def has_table(spark: SparkSession, root: str, name: str) -> bool:
     """Whether the current snapshot has a table of that name."""
-    folder = current(spark, root)[1].partition(" ")[2]
-    return bool(folder) and _exists(spark, f"{root}/runs/{folder}/{name}")
+    return name in _snapshot(spark, root)["tables"]
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the current snapshot; the frame keeps to it when another one is published."""
-    return spark.read.parquet(f"{root}/runs/{current(spark, root)[1].partition(' ')[2]}/{name}")
+    return spark.read.parquet(f"{root}/{_snapshot(spark, root)['tables'][name]}")
 
 
 def run_row(df_of_counts: DataFrame, run_id: str, source: str, started_at: str) -> DataFrame:

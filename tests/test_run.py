@@ -1,5 +1,7 @@
 """The batch run on a tiny source, and episodes over a stream."""
 
+import json
+
 from faultline.plans import run as R
 from faultline.sources import tables
 from faultline.streaming.episodes import stream_episodes
@@ -37,6 +39,31 @@ def test_batch_run(spark, tmp_path):
     assert [r.sequence for r in tables.read_snapshot(spark, root, "members").orderBy("sequence").collect()] == [0, 1, 2]
 
 
+def test_rerun_keeps_reviews_and_history(spark, tmp_path):
+    """A decision with a family edit outlives a rerun; when its finding is gone it is archived with what it was about."""
+    source, root = tmp_path / "source", str(tmp_path / "store")
+    source.mkdir()
+    for name, body in (("WORKORDER", WORK), ("WOENTITY", LINKS), ("WOCOMMENT", NOTES.replace("Water leak", "Wet").replace("water leak", "wet").replace("caused by a cracked seal", "no cause"))):
+        (source / f"{name}.csv").write_text(body)
+    R.run(spark, str(source), root, "2025-01-01")
+    kept = tables.read_snapshot(spark, root, "reviews").orderBy("incident_id").first()
+    assert kept.decision == "pending" and not kept.archived
+    log = spark.createDataFrame([(kept.review_id, "approved", "pothole", True, "2025-01-02")], "review_id string, decision string, edited_family string, sets_family boolean, decided_at string").selectExpr("* EXCEPT (decided_at)", "CAST(decided_at AS TIMESTAMP) AS decided_at")
+    R.decide(spark, root, log)
+    family = lambda: {r.incident_id: r.family for r in tables.read_snapshot(spark, root, "incidents").collect()}
+    review = lambda: {r.incident_id: r for r in tables.read_snapshot(spark, root, "reviews").collect()}[kept.incident_id]
+    assert family()[kept.incident_id] == "pothole" and review().decision == "approved"
+    R.run(spark, str(source), root, "2025-01-01")
+    assert family()[kept.incident_id] == "pothole" and review().decision == "approved" and not review().archived
+    assert tables.read_snapshot(spark, root, "run_history").count() == 2
+    (source / "WOENTITY.csv").write_text(LINKS.replace("PUMP,20", "PUMP,21").replace("1,PUMP", "9,PUMP"))
+    R.run(spark, str(source), root, "2025-01-01")
+    gone = review()
+    assert gone.archived and gone.decision == "approved" and kept.incident_id not in family()
+    assert json.loads(gone.snapshot)["incident"]["asset_key"] == "PUMP:20"
+    assert tables.latest_run(spark, root).first().run_id == tables.current_run(spark, root) and tables.read_snapshot(spark, root, "run_history").count() == 3
+
+
 def test_streamed_episodes(spark, tmp_path):
     days = {"a": (1, 5, 9, 200, 210), "b": (3,), "z": (400, 800)}
     rows = [(k, f"2023-01-01 00:00:00", d) for k, ds in days.items() for d in ds]
