@@ -14,7 +14,7 @@ from faultline import queries as Q
 from faultline.functions import classify as C
 from faultline.functions import text as X
 from faultline.functions import values as V
-from faultline.operators import calibration, features, grouping, insight, normalize, pairs, registers, scoring, sparse, vectors
+from faultline.operators import calibration, features, grouping, insight, normalize, pairs, registers, scoring, search, sparse, vectors
 from faultline.sources import tables
 
 T0 = datetime(2024, 1, 1)
@@ -353,5 +353,5 @@ def test_structured_report_and_refusals(spark):
     assert [r.refused for r in scoring.refusals(a, False).collect()] == [None, "score_space", None, None]
     log = spark.createDataFrame([("R", "call a.b@c.org", None)], "review_id string, reviewer_note string, edited_action string")
     assert registers.store_decisions(log).first() == ("R", "call [EMAIL_REDACTED]", None)
-    q = registers.parse_queries(spark.createDataFrame([("Recurring leaks, more than 3 in 2021",), (None,)], "q string"), "q").collect()
+    q = search.parse(spark.createDataFrame([(1, "Recurring leaks, more than 3 in 2021"), (2, None)], "id int, q string"), "id", "q", None).orderBy("query_id").collect()
     assert (q[0].year, q[0].more_than, q[0].recurring, q[0].terms) == (2021, 3, True, ["leaks", "more", "recurring", "than"]) and (q[1].year, q[1].recurring, q[1].terms) == (None, False, [])
