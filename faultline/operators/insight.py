@@ -37,9 +37,9 @@ def pm_interval(df: DataFrame) -> DataFrame:
     n = F.size("_pos")
     mid = (F.element_at("_pos", F.floor((n + 1) / 2).cast("int")) + F.element_at("_pos", F.floor(n / 2).cast("int") + 1)) / 2
     why = (
-        F.when(~F.col("recurring"), "The episode is not classified as recurring; no PM cadence is inferred.")
-        .when(F.size("_same") < 3, F.concat(F.lit("At least three work orders classified as "), F.col("family"), F.lit(" are required to infer a PM interval.")))
-        .when(n < 2, "At least two positive recurrence gaps are required; the available episode dates do not provide enough time-separated evidence.")
+        F.when(~F.col("recurring"), K.ABSTAIN_NOT_RECURRING)
+        .when(F.size("_same") < 3, F.concat(F.lit(K.ABSTAIN_FEW_JOBS[0]), F.col("family"), F.lit(K.ABSTAIN_FEW_JOBS[1])))
+        .when(n < 2, K.ABSTAIN_FEW_GAPS)
     )
     few = ~F.col("recurring") | (F.size("_same") < 3)
     out = F.struct(

@@ -227,11 +227,7 @@ def structured_findings(records: DataFrame) -> DataFrame:
     )
 
 
-#: fixed values: the briefing's sections in order
-SECTIONS = (
-    "Executive Summary", "High-Risk Equipment", "Recurring Maintenance Patterns", "Evidence-Based Findings", "Preventive Maintenance Recommendations",
-    "Low-Confidence Findings Requiring Review",
-)
+SECTIONS = K.SECTIONS
 
 
 def report_markdown(records: DataFrame, kpi: DataFrame, risky: DataFrame, k: int = 5) -> DataFrame:
