@@ -553,6 +553,13 @@ def test_similar_components_of_a_large_group(spark):
     assert got == brute_components(data, 4, 85)
 
 
+def test_similar_components_of_heavy_sets(docs, monkeypatch):
+    """Blocks by bytes: sets heavier than a block allows are dealt out, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "UNIT_BYTES", 1500)
+    got = sorted((tuple(r) for r in ngram_join.similar_components(docs, 5, 80, 50).collect()), key=str)
+    assert got == brute_components(rows(), 5, 80)
+
+
 def test_similar_components_empty(empty):
     assert ngram_join.similar_components(empty).collect() == []
 
@@ -704,6 +711,20 @@ def test_language_id_edges(spark):
     assert left.columns == df.columns and {(r.lang_pred, r.lang_score) for r in left.collect()} == {("x", "x")}
 
 
+def test_language_id_of_ids_with_two_texts(spark):
+    """One id with texts in two languages: both are learned from, and the model is the same however rows are dealt."""
+    data = [(i, "the and of " * 4 + str(i), "en") for i in range(30)] + [(i, "der die das " * 4 + str(i), "de") for i in range(30)]
+    models = [language_id.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(n), per_lang=20) for rows, n in ((data, 3), (data[::-1], 5))]
+    assert models[0].langs == ["de", "en"] and np.allclose(models[0].weights, models[1].weights) and np.abs(models[0].weights).sum() > 0
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    df = spark.createDataFrame([(i, "text", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        language_id.fit_language_model(df)
+
+
 def test_language_id_without_labels(docs, empty):
     assert {r.lang_pred for r in language_id.predict_language(docs, None).collect()} == {"und"}
     assert language_id.fit_language_model(language_id.training_rows(empty)) is None
