@@ -632,6 +632,7 @@ def confidence(spark, sf):
 
 
 @query("h1_confidence")
+@written_once
 def h1(spark, sf):
     c = scoring.with_level(confidence(spark, sf).withColumn("score", F.col("raw_score")))
     return c.select("incident_id", r6(F.col("temporal_consistency"), "temporal_consistency"), r6(F.col("evidence_strength"), "evidence_strength"), r6(F.col("raw_score"), "raw_score"), "level", "needs_review")
@@ -776,6 +777,7 @@ def j4(spark, sf):
 
 
 @query("j7_review_queue")
+@written_once
 def j7(spark, sf):
     c = confidence(spark, sf).select("incident_id", F.col("incident_id").alias("title"), F.col("raw_score").alias("score"))
     return registers.review_queue(c, reviews(spark, sf), "pending").select("review_id", r6(F.col("confidence"), "confidence"))

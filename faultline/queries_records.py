@@ -379,12 +379,14 @@ SELECT incident_id, mem.work_order_id, CAST(sequence AS INTEGER) AS sequence, bs
 
 
 @query("g6_memberships", SQL["g6_memberships"])
+@written_once
 def g6(spark, sf):
     m = grouping.memberships(episode_groups(spark, sf), incidents(spark, sf), event_orders(spark, sf), pairs.admitted(edges(spark, sf), 0.8))
     return m.select("incident_id", "work_order_id", "sequence", (F.col("reason") == "episode anchor").alias("alone"))
 
 
 @query("h2_raw_score", f"WITH {CONF_SQL} SELECT incident_id, round(penalty, 6) AS penalty, round(greatest(0.0, least(1.0, 0.25 * semantic_consistency + 0.20 + 0.15 * temporal_consistency + 0.20 * evidence_strength + 0.20 * issue_agreement - penalty)), 10) AS raw_score FROM conf")
+@written_once
 def h2(spark, sf):
     m = members(spark, sf).select(
         "incident_id", "work_order_id", "occurred_at", "family", F.col("primary_asset_keys").alias("own"), (F.col("value") > 10).alias("noted"), F.least(F.lit(1.0), F.col("value") / 100.0).alias("trigger_score"),
@@ -493,6 +495,7 @@ bs AS (SELECT work_order_id FROM en WHERE same_asset AND (sf = tf OR sf = 'unkno
 
 
 @query("j5_incident_details", f"WITH {CONF_SQL}, {BEST_SQL}, nt AS (SELECT CAST(conv_id AS VARCHAR) AS work_order_id, string_agg(text, '/' ORDER BY turn) AS said FROM conversations GROUP BY 1) SELECT incident_id, string_agg(sequence || ':' || mem.work_order_id || ':' || coalesce(said, ''), '|' ORDER BY sequence) AS jobs, count(bs.work_order_id) AS tied FROM mem LEFT JOIN nt USING (work_order_id) LEFT JOIN bs USING (work_order_id) GROUP BY 1")
+@written_once
 def j5(spark, sf):
     i, g = incidents(spark, sf), episode_groups(spark, sf)
     m = grouping.memberships(g, i, event_orders(spark, sf), pairs.admitted(edges(spark, sf), 0.8))
@@ -526,6 +529,7 @@ def review_log(spark, sf):
 
 
 @query("j8_decisions", f"WITH {INC_SQL}, {J8_SQL} SELECT review_id, decision, edited_family FROM dec")
+@written_once
 def j8(spark, sf):
     """The log merged into a bucketed store, read back."""
     r, log = review_log(spark, sf)
@@ -536,6 +540,7 @@ def j8(spark, sf):
 
 
 @query("j8_family_edits", f"WITH {INC_SQL}, {J8_SQL} SELECT incident_id, CASE WHEN NOT archived AND edited_family IS NOT NULL THEN edited_family ELSE inc.family END AS family FROM inc JOIN dec USING (incident_id)")
+@written_once
 def j8_families(spark, sf):
     """Incidents under their edited families: edited ones first, then the edits that are taken back."""
     i = incidents(spark, sf)
@@ -548,6 +553,7 @@ def j8_families(spark, sf):
 
 @query("j10_review_carry_over", f"""WITH {CONF_SQL}, x AS (SELECT incident_id, inc.asset_key, jobs, decision, CAST('0x' || substr(sha256(incident_id), 1, 4) AS INTEGER) % 7 = 0 AS gone, raw_score < 0.72 AS low, raw_score FROM rev JOIN conf USING (incident_id) JOIN inc USING (incident_id))
 SELECT incident_id, decision, gone AS archived, CASE WHEN gone THEN asset_key END AS kept_asset, CASE WHEN gone THEN jobs END AS kept_jobs, CASE WHEN gone THEN 'F ' || incident_id END AS kept_title FROM x WHERE gone OR decision <> 'pending' OR low""")
+@written_once
 def j10(spark, sf):
     """A rerun in which every seventh finding is gone."""
     c = scoring.with_level(confidence(spark, sf).withColumn("score", F.col("raw_score"))).withColumn("title", F.concat(F.lit("F "), "incident_id"))
@@ -561,6 +567,7 @@ def j10(spark, sf):
 SELECT incident_id, CASE WHEN h = 0 THEN 'sewer_backup' ELSE fam END AS family, CASE WHEN h = 0 THEN (SELECT label FROM rules WHERE family = 'sewer_backup') ELSE r.label END || ' · ' || asset_key || ' · ' || incident_id AS title,
 CASE WHEN h = 1 THEN 'Replace it.' WHEN h = 0 THEN (SELECT action FROM rules WHERE family = 'sewer_backup') ELSE {_BARE.format("CASE WHEN recurring THEN r.action ELSE '" + K.MONITOR + "' END")} || ' (WorkOrderIds: ' || ids || ').' END AS action, h < 2 AS human_override
 FROM x JOIN rules r ON r.family = fam JOIN ids USING (incident_id)""")
+@written_once
 def j9(spark, sf):
     h = hashed("incident_id") % 3
     r = incidents(spark, sf).select("incident_id", F.when(h == 0, "sewer_backup").alias("edited_family"), F.when(h == 1, "Replace it.").alias("edited_action"))
@@ -592,6 +599,7 @@ def j13(spark, sf):
 @query("j19_pattern_ledger", f"""WITH {INC_SQL}, t4 AS (SELECT family, count(*) AS incidents, count(DISTINCT asset_key) AS assets FROM inc WHERE recurring GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4),
 c6 AS (SELECT i_family, incident_id, sequence, work_order_id FROM mem WHERE recurring AND sequence < 6 QUALIFY row_number() OVER (PARTITION BY i_family ORDER BY incident_id, sequence) <= 6)
 SELECT family, incidents, assets, (SELECT string_agg(work_order_id, ',' ORDER BY incident_id, sequence) FROM c6 WHERE i_family = family) AS cited FROM t4""")
+@written_once
 def j19(spark, sf):
     i = incidents(spark, sf)
     m = grouping.memberships(episode_groups(spark, sf), i, event_orders(spark, sf), pairs.admitted(edges(spark, sf), 0.8))
