@@ -48,7 +48,7 @@ def analyse(spark: SparkSession, orders: DataFrame, threshold: float = K.EDGE_TH
     edges = materialise(pairs.score_edges(sparse.pair_similarity(materialise(found, "pairs"), weights), ready), "scored")
     kept = pairs.admitted(edges, threshold)
     groups = materialise(grouping.constrained_groups(kept, ready), "groups")
-    incidents = materialise(grouping.build_incidents(groups, ready), "incidents")
+    incidents = materialise(grouping.build_incidents(groups, ready, digits=K.ID_DIGITS), "incidents")
     members = groups.join(incidents.select("group", "incident_id"), "group").join(ready, "work_order_id")
     members = materialise(members, "members")
     of = members.select("work_order_id", "incident_id")
