@@ -4,13 +4,13 @@ Two multinomials over hashed word unigrams and bigrams: one from trusted documen
 A document's score is its log-likelihood ratio divided by its number of n-grams; documents under a fixed
 threshold, or that fail the base rules, are not kept.
 
-The raw counts cover every document. The trusted model is fitted on at most ``max_trusted`` labelled documents
-(those with the smallest hashed ids), which bounds the broadcast of their ids; the count table has ``BUCKETS``
-rows whatever the corpus size, which bounds what comes to the driver and goes back to the tasks.
+The raw counts cover every document, and the trusted model and the threshold every document labelled good: their
+ids are broadcast, so that no text moves, up to ``MOST_BROADCAST``; beyond, they are joined through a shuffle. The count table has ``BUCKETS`` rows whatever the corpus size, which bounds what comes
+to the driver and goes back to the tasks; the threshold's quantiles are found exactly, by counts in narrowing ranges.
 
 The models are cross-fitted: ids are dealt to ``FOLDS`` folds by hash, and a document, trusted or not, is scored by
-the model that leaves out the trusted documents of its own fold. So no verdict depends on whether the document was
-in the sample, and the threshold is taken from scores of documents that their model has not seen.
+the model that leaves out the trusted documents of its own fold. So no verdict depends on whether the document is
+trusted itself, and the threshold is taken from scores of documents that their model has not seen.
 """
 
 from __future__ import annotations
@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from .shared import save, table
 
 BUCKETS = 1 << 16
-#: Bound of the labelled sample that the trusted model is fitted on.
-MAX_TRUSTED = 20_000
+#: Trusted ids that are broadcast at most: some 200 MB.
+MOST_BROADCAST = 4_000_000
+#: Scores that come to the driver at once, and ranges that they are counted in.
+AT_ONCE = 4096
 FOLDS = 4
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
-#: The threshold lies under the KEEP quantile of the trusted sample's scores, by SLACK times that quantile's
+#: The threshold lies under the KEEP quantile of the trusted documents' scores, by SLACK times that quantile's
 #: distance from their median.
 KEEP, SLACK = 0.002, 0.5
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(48)
@@ -86,17 +88,20 @@ def _count(folds: int):
     return run
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """At most ``max_trusted`` ids labelled good and not toxic, by hashed id; small enough to broadcast."""
-    good = labels.filter("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    return save(good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted), "trusted")
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Every id labelled good and not toxic."""
+    return save(labels.filter("quality = 1 AND toxic = 0").select("doc_id").distinct(), "trusted")
+
+
+def _small(good: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    return F.broadcast(good) if good.count() <= most else good
 
 
 def log_ratio(raw: np.ndarray, trusted: np.ndarray) -> np.ndarray:
     """log P(bucket | trusted) - log P(bucket | corpus) from smoothed raw and plain trusted counts; zeros if nothing is trusted."""
     if not trusted.sum():
         return np.zeros(len(raw))
-    # the trusted prior follows the corpus, so that what the trusted sample is too small to show stays neutral
+    # the trusted prior follows the corpus, so that what the trusted documents are too few to show stays neutral
     p = raw / raw.sum()
     t = trusted + p * max(1.0, 0.25 * trusted.sum())
     return np.log(t / t.sum()) - np.log(p)
@@ -104,7 +109,7 @@ def log_ratio(raw: np.ndarray, trusted: np.ndarray) -> np.ndarray:
 
 def fit_ratio(docs: DataFrame, good: DataFrame, smooth: float = 0.5, folds: int = FOLDS) -> np.ndarray:
     """Log-likelihood ratio of each bucket, one row for each fold: the model without that fold's trusted documents."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(good.withColumn("trusted", F.lit(True))), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(_small(good).withColumn("trusted", F.lit(True)), "doc_id", "left")
     names = [f"t{k}" for k in range(folds)]
     counts = (
         marked.select("text", F.when(F.col("trusted"), fold_of(F.col("doc_id"), folds)).alias("fold"))
@@ -124,13 +129,40 @@ def fit_ratio(docs: DataFrame, good: DataFrame, smooth: float = 0.5, folds: int
 OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
 
+def order_statistics(rows: DataFrame, column: str, ranks: list[int], at_once: int = AT_ONCE) -> dict[int, float]:
+    """The values at ``ranks`` (from 0) of a column without nulls, exactly.
+
+    Rows are counted in ``at_once`` ranges between the least and the largest value; ranges that hold a rank are looked at
+    again by themselves, until they hold one value or few enough to be sorted on the driver.
+    """
+    c = F.col(column)
+    n, lo, hi = rows.agg(F.count(c), F.min(c), F.max(c)).first()
+    if lo == hi:
+        return dict.fromkeys(ranks, lo)
+    if n <= at_once:
+        values = sorted(r[0] for r in rows.select(c).collect())
+        return {k: values[k] for k in ranks}
+    part = F.least(F.floor((c - lo) / (hi - lo) * at_once), F.lit(at_once - 1))
+    out, before = {}, 0
+    for _, m, first, last in sorted(rows.groupBy(part.alias("part")).agg(F.count(c), F.min(c), F.max(c)).collect()):
+        inside = [k - before for k in ranks if before <= k < before + m]
+        if inside:
+            found = order_statistics(rows.filter(c.between(first, last)), column, inside, at_once)
+            out |= {k + before: v for k, v in found.items()}
+        before += m
+    return out
+
+
 def fit_threshold(docs: DataFrame, good: DataFrame, ratio: np.ndarray, keep: float = KEEP, slack: float = SLACK) -> float:
     """The score from which documents are kept; 0 if no trusted document passes the base rules."""
-    sample = docs.join(F.broadcast(good), "doc_id", "left_semi")
-    scores = [r.score for r in score_quality(sample, ratio, 0.0).filter("NOT base_failed").select("score").collect()]  # bounded as ``good`` is
-    if not scores:
+    trusted = docs.join(_small(good), "doc_id", "left_semi")
+    scores = save(score_quality(trusted, ratio, 0.0).filter("NOT base_failed").select("score"), "scores")
+    n = scores.count()
+    if not n:
         return 0.0
-    low, mid = np.quantile(scores, [keep, 0.5])
+    at = [q * (n - 1) for q in (keep, 0.5)]
+    found = order_statistics(scores, "score", sorted({min(int(x) + k, n - 1) for x in at for k in (0, 1)}))
+    low, mid = (found[int(x)] + (x - int(x)) * (found[min(int(x) + 1, n - 1)] - found[int(x)]) for x in at)
     return float(low - slack * (mid - low))
 
 
