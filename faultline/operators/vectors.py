@@ -7,6 +7,7 @@ from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
@@ -35,19 +36,85 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def dense_top_k(vectors: DataFrame, query: DataFrame, k: int = 10, where: Column | None = None, most: int = 4096) -> DataFrame:
+def _blocks(block: int):
+    """id, embedding to blocks of at most ``block`` rows of one length: dims, ids, matrix (bytes). Null embeddings are blocks of length -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = batch["id"], batch["embedding"]
+            lengths = pc.fill_null(pc.list_value_length(rows), -1).to_numpy(zero_copy_only=False)
+            for d in np.unique(lengths):
+                own = np.nonzero(lengths == d)[0]
+                for at in range(0, len(own), block):
+                    k = pa.array(own[at : at + block])
+                    x = np.asarray(rows.take(k).flatten().to_numpy(zero_copy_only=False), np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([ids.take(k).to_pylist()], pa.list_(ids.type)), pa.array([x.tobytes()], pa.binary())], ["dims", "ids", "matrix"])
+
+    return run
+
+
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of rows, summed from the first to the last entry as ``dot`` does."""
+    s = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        s += x[:, d] * y[:, d]
+    return s
+
+
+def _best(k: int):
+    """Pairs of blocks (queries with a leading q_): each query's best ``k`` of the block.
+
+    A matrix product tells who may be among them; their scores are then summed in order, as ``cosine`` does. Pairs
+    without a score come last.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                q_ids, ids = batch["q_ids"][r].values, batch["ids"][r].values
+                q_dims, dims = batch["q_dims"][r].as_py(), batch["dims"][r].as_py()
+                x = np.frombuffer(batch["q_matrix"][r].as_buffer()).reshape(len(q_ids), max(q_dims, 0))
+                y = np.frombuffer(batch["matrix"][r].as_buffer()).reshape(len(ids), max(dims, 0))
+                place = np.empty(len(ids), np.int64)
+                place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
+                with np.errstate(all="ignore"):
+                    xn, yn = np.sqrt(_in_order(x, x)), np.sqrt(_in_order(y, y))
+                    xu, yu = x / xn[:, None], (y / yn[:, None]).T
+                    for at in range(0, len(x), 256):
+                        own = slice(at, at + 256)
+                        score = xu[own] @ yu if q_dims == dims else np.full((len(x[own]), len(y)), np.nan)
+                        score[np.isnan(score)] = -np.inf
+                        least = np.partition(score, -min(k, len(y)), axis=1)[:, -min(k, len(y))]
+                        i, j = np.nonzero(score >= least[:, None] - 1e-9)
+                        same = _in_order(x[at + i], y[j]) / (xn[at + i] * yn[j]) if q_dims == dims else np.full(len(i), np.nan)
+                        none = np.isnan(same)
+                        order = np.lexsort((place[j], np.where(none, 0.0, -same), none, i))
+                        i, j, same = i[order], j[order], same[order]
+                        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                        i, j, same = i[keep], j[keep], same[keep]
+                        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at + i)), ids.take(pa.array(j)), pa.array(same, mask=np.isnan(same))], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def dense_top_k(vectors: DataFrame, query: DataFrame, k: int = 10, where: Column | None = None, most: int = 4096, block: int = 2000) -> DataFrame:
     """Nearest vectors of each query row: query_id, vec_id, score, rank. ``query`` (query_id, q) is stated and small.
 
-    ``where`` filters before the search. Each task keeps its own best before the shuffle. Up to ``most`` queries are
-    broadcast; more go through in that many at a time, by blocks of their hash, so what is broadcast never grows.
+    ``where`` filters before the search. Blocks of vectors meet blocks of queries as matrix products, and each keeps its
+    own best before the shuffle. Pairs without a score (null, no length, other lengths) rank last. Up to ``most`` queries
+    are broadcast; more go through in that many at a time, by blocks of their hash, so what is broadcast never grows.
     """
     n = query.count()
     if n > most:
         blocks = -(-n // most)
         part = F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))
-        return reduce(DataFrame.unionByName, (dense_top_k(vectors, query.filter(part == b), k, where, n) for b in range(2 * blocks)))
-    v = vectors if where is None else vectors.filter(where)
-    x = v.join(F.broadcast(query)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+        return reduce(DataFrame.unionByName, (dense_top_k(vectors, query.filter(part == b), k, where, n, block) for b in range(2 * blocks)))
+    v = (vectors if where is None else vectors.filter(where)).select(F.col("vec_id").alias("id"), "embedding")
+    q = query.select(F.col("query_id").alias("id"), F.col("q").alias("embedding")).coalesce(1)  # at most ``most`` rows, so few blocks
+    kind = lambda df: dict(df.dtypes)["id"]
+    pack = lambda df: df.mapInArrow(_blocks(block), f"dims int, ids array<{kind(df)}>, matrix binary")
+    asked = pack(q).select(*(F.col(c).alias(f"q_{c}") for c in ("dims", "ids", "matrix")))
+    x = pack(v).join(F.broadcast(asked)).mapInArrow(_best(k), f"query_id {kind(q)}, vec_id {kind(v)}, score double")
     at = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return x.withColumn("rank", F.row_number().over(at)).filter(F.col("rank") <= k)
 
