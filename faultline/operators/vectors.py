@@ -139,40 +139,52 @@ def _pack(block: int):
             )
 
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("vec_id", "label", "embedding"))):
-                if row[2] is not None:
-                    held.append(row)
-                    if len(held) == block:
-                        yield packed()
-                        number, held = number + 1, []
+            for start in range(0, batch.num_rows, block):  # a vector as a list of Python numbers takes eight times its bytes
+                part = batch.slice(start, block)
+                for row in zip(*(part[c].to_pylist() for c in ("vec_id", "label", "embedding"))):
+                    if row[2] is not None:
+                        held.append(row)
+                        if len(held) == block:
+                            yield packed()
+                            number, held = number + 1, []
         if held:
             yield packed()
 
     return run
 
 
+def _kth(score: np.ndarray, k: int) -> np.ndarray:
+    """For each row a value that its ``k``-th highest score reaches: of the maxima of 64 ranges of columns the ``k``-th highest."""
+    n = score.shape[1]
+    if n > 64 >= k:
+        score = np.maximum.reduceat(score, np.arange(64) * n // 64, axis=1)
+    m = min(k, score.shape[1])
+    return np.partition(score, -m, axis=1)[:, -m]
+
+
 def _nearest(k: int):
-    """Pairs of blocks (columns of the second with a leading r_): each query's best ``k`` of the other block."""
+    """Pairs of blocks (columns of the second with a leading r_): each query's best ``k`` of the other block.
+
+    Blocks are read where Arrow holds them: a batch may have as many pairs as fit its limit of bytes, and isn't copied.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in NEIGHBOUR.split(", ")]
         for batch in batches:
-            for row in batch.to_pylist():
-                q, v = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["r_ids"], np.int64)
-                truth, label = np.frombuffer(row["labels"], np.int64), np.frombuffer(row["r_labels"], np.int64)
-                x, y = np.frombuffer(row["matrix"]).reshape(len(q), -1), np.frombuffer(row["r_matrix"]).reshape(len(v), -1)
+            for r in range(batch.num_rows):
+                q, v, truth, label, x, y = (np.frombuffer(batch[c][r].as_buffer(), t) for c, t in (("ids", "i8"), ("r_ids", "i8"), ("labels", "i8"), ("r_labels", "i8"), ("matrix", "f8"), ("r_matrix", "f8")))
+                x, y = x.reshape(len(q), -1), y.reshape(len(v), -1)
                 for at in range(0, len(q), 256):
-                    # rounded, so that the order of a sum's terms doesn't decide between equal vectors
-                    score = np.round(x[at : at + 256] @ y.T, 12)
+                    score = x[at : at + 256] @ y.T
                     score[(q[at : at + 256, None] == v) | np.isnan(score)] = -np.inf
-                    m = min(k, len(v))
-                    least = -np.partition(-score, m - 1, axis=1)[:, m - 1 : m]
-                    i, j = np.nonzero((score >= least) & (score > -np.inf))
-                    order = np.lexsort((v[j], -score[i, j], i))
-                    i, j = i[order], j[order]
+                    i, j = np.nonzero((score >= _kth(score, k)[:, None] - 1e-11) & (score > -np.inf))
+                    # rounded, so that the order of a sum's terms doesn't decide between equal vectors
+                    best = np.round(score[i, j], 12)
+                    order = np.lexsort((v[j], -best, i))
+                    i, j, best = i[order], j[order], best[order]
                     keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-                    i, j = i[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q[at + i], truth[at + i], v[j], label[j], score[i, j])], names)
+                    i, j, best = i[keep], j[keep], best[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q[at + i], truth[at + i], v[j], label[j], best)], names)
 
     return run
 
